@@ -2,11 +2,39 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
 import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessera.llm import bpe, lines, positional, simhash
+from tessera.llm._common import arrow_stage, documents, table
+
+
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of at least 40 code points found in at least 5 documents stay only in the largest doc_id."""
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    rows = lines.with_bitmaps(docs, lines.bitmaps(lines.drops(docs))).select(F.col("doc_id").cast("bigint"), "text", "_keep")
+    schema = pa.schema([("doc_id", pa.int64()), ("n_lines", pa.int64()), ("n_dropped", pa.int64()), ("kept_sha256", pa.string())])
+
+    def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            kept = [lines.kept_lines(t.as_py() or b"", k.as_py()) for t, k in zip(b.column(1).cast(pa.large_binary()), b.column(2), strict=True)]
+            yield table({"doc_id": b.column(0), "n_lines": [x[1] for x in kept], "n_dropped": [x[2] for x in kept], "kept_sha256": [hashlib.sha256(x[0]).hexdigest() for x in kept]}, schema)
 
-from tessera.llm import bpe
-from tessera.llm._common import documents
+    return arrow_stage(rows, digests, "doc_id bigint, n_lines bigint, n_dropped bigint, kept_sha256 string")
+
+
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of documents inside 10-word windows of benchmark items."""
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    found = positional.windows(positional.build(documents(spark, sf_dir)), items, 10)
+    n_hit = F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, s: n + s["end"] - s["start"])
+    names = F.array_join(F.array_sort(F.transform("items", lambda x: x.cast("string"))), ",")
+    return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("bigint").alias("n_items"), F.sha2(names, 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
 
 
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,4 +42,9 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = {"op9_bpe": op9_bpe}
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of documents whose fingerprints of 4-word shingles are linked at 4 bits or fewer."""
+    return simhash.near_duplicates(documents(spark, sf_dir), 4)
+
+
+QUERIES = {"op7_line_dedup": op7_line_dedup, "op8_decontamination": op8_decontamination, "op9_bpe": op9_bpe, "op10_simhash": op10_simhash}
