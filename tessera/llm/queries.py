@@ -10,10 +10,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, lines, positional, simhash
+from tessera.llm import bpe, language, lines, positional, simhash
 from tessera.llm._common import arrow_stage, documents, table
 
 
+def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every text, learned from the documents that are not held out."""
+    docs = documents(spark, sf_dir)
+    model = language.learn(docs.where(~language.held_out(F.col("doc_id"))))
+    found = language.identify(docs, model)
+    return found.select("doc_id", language.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "n_spans")
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of at least 40 code points found in at least 5 documents stay only in the largest doc_id."""
     docs = documents(spark, sf_dir).select("doc_id", "text")
@@ -47,4 +55,4 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir), 4)
 
 
-QUERIES = {"op7_line_dedup": op7_line_dedup, "op8_decontamination": op8_decontamination, "op9_bpe": op9_bpe, "op10_simhash": op10_simhash}
+QUERIES = {"op1_language": op1_language, "op7_line_dedup": op7_line_dedup, "op8_decontamination": op8_decontamination, "op9_bpe": op9_bpe, "op10_simhash": op10_simhash}
