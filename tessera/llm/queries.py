@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, language, lines, positional, simhash
+from tessera.llm import bpe, language, lines, positional, simhash, suffixes
 from tessera.llm._common import arrow_stage, documents, table
 
 
@@ -22,6 +22,21 @@ def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", language.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "n_spans")
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes covered by 400-byte strings that occur again are removed from every text."""
+    docs = documents(spark, sf_dir)
+    rows = suffixes.with_spans(docs, suffixes.repeats(docs))
+    schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
+
+    def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = [x.as_py() or b"" for x in b.column(1).cast(pa.large_binary())]
+            kept = [suffixes.without_spans(t, x.as_py()) for t, x in zip(texts, b.column(2), strict=True)]
+            yield table({"doc_id": b.column(0), "n_bytes": [len(t) for t in texts], "n_removed": [x[1] for x in kept], "n_spans": [x[2] for x in kept], "kept_sha256": [hashlib.sha256(x[0]).hexdigest() for x in kept]}, schema)
+
+    return arrow_stage(rows, digests, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of at least 40 code points found in at least 5 documents stay only in the largest doc_id."""
     docs = documents(spark, sf_dir).select("doc_id", "text")
@@ -55,4 +70,4 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir), 4)
 
 
-QUERIES = {"op1_language": op1_language, "op7_line_dedup": op7_line_dedup, "op8_decontamination": op8_decontamination, "op9_bpe": op9_bpe, "op10_simhash": op10_simhash}
+QUERIES = {"op1_language": op1_language, "op6_suffix_dedup": op6_suffix_dedup, "op7_line_dedup": op7_line_dedup, "op8_decontamination": op8_decontamination, "op9_bpe": op9_bpe, "op10_simhash": op10_simhash}
