@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, language, lines, positional, simhash, suffixes
+from tessera.llm import bpe, language, lines, positional, prefixes, simhash, suffixes
 from tessera.llm._common import arrow_stage, documents, table
 
 
@@ -22,6 +22,11 @@ def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", language.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "n_spans")
 
 
+def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every text and of its edited text, and how alike they are."""
+    return prefixes.compared(documents(spark, sf_dir))
+
+
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes covered by 400-byte strings that occur again are removed from every text."""
     docs = documents(spark, sf_dir)
@@ -70,4 +75,4 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir), 4)
 
 
-QUERIES = {"op1_language": op1_language, "op6_suffix_dedup": op6_suffix_dedup, "op7_line_dedup": op7_line_dedup, "op8_decontamination": op8_decontamination, "op9_bpe": op9_bpe, "op10_simhash": op10_simhash}
+QUERIES = {"op1_language": op1_language, "op2_fingerprints": op2_fingerprints, "op6_suffix_dedup": op6_suffix_dedup, "op7_line_dedup": op7_line_dedup, "op8_decontamination": op8_decontamination, "op9_bpe": op9_bpe, "op10_simhash": op10_simhash}
