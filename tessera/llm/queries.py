@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, language, lines, positional, prefixes, simhash, suffixes
+from tessera.llm import bpe, language, licenses, lines, personal, positional, prefixes, simhash, suffixes
 from tessera.llm._common import arrow_stage, documents, table
 
 
@@ -27,6 +27,22 @@ def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefixes.compared(documents(spark, sf_dir))
 
 
+def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of personal data in every text."""
+    found = personal.find(documents(spark, sf_dir))
+    of = lambda k: F.filter("found", lambda x: x["kind"] == k)
+    base = F.filter("found", lambda x: x["kind"].isin(*personal.BASE))
+    counts = [F.size(of(k)).cast("bigint").alias(f"n_{k}") for k in personal.BASE]
+    best = F.coalesce(F.array_max(F.transform("found", lambda x: x["score"])), F.lit(0.0))
+    return found.select("doc_id", *counts, F.sha2(personal.joined(base), 256).alias("base_sha256"), personal.joined(F.col("found")).alias("spans"), best.alias("max_score"))
+
+
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and lines like license templates in every text."""
+    found = licenses.scan(documents(spark, sf_dir))
+    return found.withColumns({"base_labels": F.array_join("base_labels", ","), "labels": F.array_join("labels", ",")})
+
+
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes covered by 400-byte strings that occur again are removed from every text."""
     docs = documents(spark, sf_dir)
@@ -75,4 +91,4 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir), 4)
 
 
-QUERIES = {"op1_language": op1_language, "op2_fingerprints": op2_fingerprints, "op6_suffix_dedup": op6_suffix_dedup, "op7_line_dedup": op7_line_dedup, "op8_decontamination": op8_decontamination, "op9_bpe": op9_bpe, "op10_simhash": op10_simhash}
+QUERIES = {"op1_language": op1_language, "op2_fingerprints": op2_fingerprints, "op3_personal_data": op3_personal_data, "op5_licenses": op5_licenses, "op6_suffix_dedup": op6_suffix_dedup, "op7_line_dedup": op7_line_dedup, "op8_decontamination": op8_decontamination, "op9_bpe": op9_bpe, "op10_simhash": op10_simhash}

@@ -1,5 +1,7 @@
 """DuckDB SQL for the registered queries that SQL can express."""
 
+from tessera.llm import licenses
+
 _LOWER = "translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = r"regexp_extract_all(" + _LOWER + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
@@ -30,4 +32,26 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(h.n_hit, 0) AS n_
 FROM d LEFT JOIN h ON h.r = d.r LEFT JOIN n ON n.r = d.r
 """
 
-SQL: dict[str, str] = {"op7_line_dedup": OP7, "op8_decontamination": OP8}
+_VALUES = ", ".join(f"({i}, '{label}', '{text}')" for i, (label, text) in enumerate(licenses.TEMPLATES))
+_PHRASES = ", ".join(f"('{label}', '{phrase}')" for phrase, label in licenses.PHRASES)
+
+OP5 = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, {_WORDS.format('text')} AS w FROM documents),
+p(label, phrase) AS (VALUES {_PHRASES}),
+ph AS (SELECT label, string_split(phrase, ' ') AS ws FROM p),
+pl AS (SELECT r, label, i FROM (SELECT d.r, ph.label, ph.ws, d.w, unnest(range(1, len(d.w) - len(ph.ws) + 2)) AS i FROM d, ph WHERE len(d.w) >= len(ph.ws)) WHERE w[i] = ws[1] AND w[i:i + len(ws) - 1] = ws),
+b AS (SELECT r, count(*) AS n, min(i) - 1 AS lo, max(i) - 1 AS hi, list(DISTINCT label) AS ls FROM pl GROUP BY r),
+v(t, label, words) AS (VALUES {_VALUES}),
+tp AS (SELECT label, list_distinct(string_split(words, ' ')) AS ws FROM v),
+l AS (SELECT r, unnest(string_split(text, chr(10))) AS line FROM d),
+lw AS (SELECT r, list_distinct({_WORDS.format('line')}) AS ws FROM l),
+x AS (SELECT lw.r, tp.label, len(list_intersect(tp.ws, lw.ws)) AS o, len(tp.ws) AS k FROM lw, tp WHERE len(lw.ws) >= ceil(round({licenses.THRESHOLD} * len(tp.ws), 9))),
+m AS (SELECT r, list(DISTINCT label) AS ls, max(o / k) AS c FROM x WHERE o >= ceil(round({licenses.THRESHOLD} * k, 9)) GROUP BY r)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(b.n, 0) AS n_base, b.lo AS first_word, b.hi AS last_word,
+       array_to_string(list_sort(coalesce(b.ls, [])), ',') AS base_labels,
+       array_to_string(list_sort(list_distinct(list_concat(coalesce(b.ls, []), coalesce(m.ls, [])))), ',') AS labels,
+       CASE WHEN b.n > 0 THEN 1.0::DOUBLE ELSE coalesce(m.c, 0.0)::DOUBLE END AS score
+FROM d LEFT JOIN b ON b.r = d.r LEFT JOIN m ON m.r = d.r
+"""
+
+SQL: dict[str, str] = {"op5_licenses": OP5, "op7_line_dedup": OP7, "op8_decontamination": OP8}
