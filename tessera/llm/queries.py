@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, language, licenses, lines, personal, positional, prefixes, simhash, suffixes
+from tessera.llm import bpe, language, licenses, lines, lm, personal, positional, prefixes, simhash, suffixes
 from tessera.llm._common import arrow_stage, documents, table
 
 
@@ -37,6 +37,11 @@ def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(personal.joined(base), 256).alias("base_sha256"), personal.joined(F.col("found")).alias("spans"), best.alias("max_score"))
 
 
+def op4_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's stupid-backoff score by the counts of all other documents."""
+    return lm.score(documents(spark, sf_dir)).withColumn("lm_score", F.round("lm_score", 6))
+
+
 def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """License phrases and lines like license templates in every text."""
     found = licenses.scan(documents(spark, sf_dir))
@@ -91,4 +96,4 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir), 4)
 
 
-QUERIES = {"op1_language": op1_language, "op2_fingerprints": op2_fingerprints, "op3_personal_data": op3_personal_data, "op5_licenses": op5_licenses, "op6_suffix_dedup": op6_suffix_dedup, "op7_line_dedup": op7_line_dedup, "op8_decontamination": op8_decontamination, "op9_bpe": op9_bpe, "op10_simhash": op10_simhash}
+QUERIES = {"op1_language": op1_language, "op2_fingerprints": op2_fingerprints, "op3_personal_data": op3_personal_data, "op4_lm_scores": op4_lm_scores, "op5_licenses": op5_licenses, "op6_suffix_dedup": op6_suffix_dedup, "op7_line_dedup": op7_line_dedup, "op8_decontamination": op8_decontamination, "op9_bpe": op9_bpe, "op10_simhash": op10_simhash}

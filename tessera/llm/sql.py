@@ -1,6 +1,6 @@
 """DuckDB SQL for the registered queries that SQL can express."""
 
-from tessera.llm import licenses
+from tessera.llm import licenses, lm
 
 _LOWER = "translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = r"regexp_extract_all(" + _LOWER + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -54,4 +54,22 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(b.n, 0) AS n_base
 FROM d LEFT JOIN b ON b.r = d.r LEFT JOIN m ON m.r = d.r
 """
 
-SQL: dict[str, str] = {"op5_licenses": OP5, "op7_line_dedup": OP7, "op8_decontamination": OP8}
+OP4 = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS.format('text')} AS w FROM documents),
+t AS (SELECT r, unnest(w) AS a, unnest(range(len(w))) AS i FROM d),
+g AS (SELECT r, i, a, lag(a) OVER (PARTITION BY r ORDER BY i) AS p FROM t),
+n AS (SELECT count(*) AS n FROM t),
+u AS (SELECT a, count(*) AS c FROM t GROUP BY a),
+ud AS (SELECT r, a, count(*) AS c FROM t GROUP BY r, a),
+b AS (SELECT p, a, count(*) AS c FROM g WHERE p IS NOT NULL GROUP BY p, a),
+bd AS (SELECT r, p, a, count(*) AS c FROM g WHERE p IS NOT NULL GROUP BY r, p, a),
+x AS (SELECT g.r, g.p, u.c - ud.c AS cw, n.n - len(d.w) AS rest, coalesce(b.c - bd.c, 0) AS cb, coalesce(up.c - udp.c, 0) AS cp
+      FROM g JOIN d ON d.r = g.r CROSS JOIN n JOIN u ON u.a = g.a JOIN ud ON ud.r = g.r AND ud.a = g.a
+      LEFT JOIN b ON b.p = g.p AND b.a = g.a LEFT JOIN bd ON bd.r = g.r AND bd.p = g.p AND bd.a = g.a
+      LEFT JOIN u up ON up.a = g.p LEFT JOIN ud udp ON udp.r = g.r AND udp.a = g.p),
+v AS (SELECT r, cb > 0 AS seen, CASE WHEN cb > 0 THEN cb / cp ELSE CASE WHEN p IS NULL THEN 1.0 ELSE {lm.BACKOFF} END * CASE WHEN cw > 0 THEN cw / rest ELSE 1 / (rest + 1) END END AS s FROM x),
+s AS (SELECT r, avg(log10(s)) AS score, count(*) FILTER (WHERE NOT seen) AS back FROM v GROUP BY r)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(s.back, 0) AS n_backed_off, round(s.score, 6) AS lm_score FROM d LEFT JOIN s ON s.r = d.r
+"""
+
+SQL: dict[str, str] = {"op4_lm_scores": OP4, "op5_licenses": OP5, "op7_line_dedup": OP7, "op8_decontamination": OP8}
