@@ -1,10 +1,58 @@
-"""From raw documents to tokens: the stages of a training-data pipeline."""
+"""From raw documents to tokens. Each stage works on all that its predecessor kept; the last one returns token digests.
+
+Cases: a text that is null or has no letter goes at the first stage; of rows that repeat a document one stays; a
+document whose lines all go stays with an empty text until the near duplicates, of which one stays; rows of one
+doc_id are contaminated together; empty tables give empty results; further columns are carried along.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessera.llm import bpe, language, lines, positional, simhash
+from tessera.llm._common import documents, written
+
+#: Words in a shingle of the near-duplicate stage.
+SHINGLE = 5
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a language; those that are `und` go."""
+    return language.known(docs, language.learn(docs.where(~language.held_out(F.col("doc_id")))))
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the lines of at least 40 code points that 5 documents or more have; the largest doc_id keeps them."""
+    return lines.deduplicated(docs)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates: the smallest doc_id."""
+    return simhash.without_near_duplicates(docs, SHINGLE)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without any 10-word window of a benchmark item."""
+    found = positional.windows(positional.build(docs), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    hit = found.where(F.size("spans") > 0).select(F.col("doc_id").alias("_hit")).distinct()
+    return docs.join(hit, F.col("doc_id").cast("bigint").eqNullSafe(F.col("_hit")), "left_anti")
+
+
+def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts and digests of every document's ids and of the bytes they decode to."""
+    return bpe.round_trip(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+STAGES = [("language_id", language_id), ("line_dedup", line_dedup), ("near_dedup", near_dedup), ("decontamination", decontamination), ("encoding", encoding)]
+
+#: Neither learning a language model nor SimHash groups can be said in SQL.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    for name, stage in STAGES:
+        docs = written(stage(spark, docs, sf_dir), name)
+    return docs

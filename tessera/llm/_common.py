@@ -11,6 +11,7 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 #: Bytes of text that a vectorised step takes at once; its temporaries are some 60 times as large.
 SLICE_BYTES = 1 << 20
@@ -30,7 +31,7 @@ def ship(spark: SparkSession) -> None:
     sc._tessera_shipped = True
 
 
-def arrow_stage(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+def arrow_stage(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
     """mapInArrow, with the package at hand on every executor."""
     ship(df.sparkSession)
     return df.mapInArrow(run, schema)

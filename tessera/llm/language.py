@@ -181,6 +181,30 @@ def viterbi(score: np.ndarray, before: np.ndarray, penalty: float) -> np.ndarray
     return label
 
 
+def predictions(model: Model, column: pa.Array, penalty: float) -> tuple[list[str], np.ndarray, list[list[tuple[int, int, str]]]]:
+    """For each text its language, that one's share of the letters, and the spans of its languages."""
+    kept = []  # only counts, bounds and scores of the words, as all texts go through Viterbi together
+    for b in slices(pa.RecordBatch.from_arrays([column], ["text"])) if model.languages else ():
+        w = read_words(b.column(0).to_pylist())
+        kept.append((np.diff(w.before), w.starts.astype(np.int32), w.ends.astype(np.int32), word_scores(model, w)))
+    n = np.concatenate([x[0] for x in kept] or [np.zeros(len(column), np.int64)])
+    starts, ends = (np.concatenate([x[i] for x in kept] or [np.zeros(0, np.int32)]) for i in (1, 2))
+    before = np.zeros(len(n) + 1, np.int64)
+    np.cumsum(n, out=before[1:])
+    label = viterbi(np.concatenate([x[3] for x in kept]), before, penalty) if len(starts) else np.zeros(0, np.uint8)
+    doc, k = np.repeat(np.arange(len(n)), n), max(1, len(model.languages))
+    letters = np.bincount(doc * k + label, weights=ends - starts, minlength=len(n) * k).reshape(-1, k)
+    total, top = letters.sum(axis=1), letters.argmax(axis=1)
+    begin = np.ones(len(label), bool)
+    begin[1:] = (label[1:] != label[:-1]) | (doc[1:] != doc[:-1])
+    at = np.flatnonzero(begin)
+    until = np.append(at[1:], len(label)) - 1 if len(at) else at
+    spans: list[list[tuple[int, int, str]]] = [[] for _ in n]
+    for a, z in zip(at.tolist(), until.tolist(), strict=True):
+        spans[doc[a]].append((int(starts[a]), int(ends[z]), model.languages[label[a]]))
+    return [model.languages[x] if t else "und" for x, t in zip(top, total, strict=True)], letters[np.arange(len(n)), top] / np.maximum(total, 1), spans
+
+
 def identify(docs: DataFrame, model: Model, penalty: float = PENALTY, spans: bool = False) -> DataFrame:
     """docs' doc_id with lang_pred, score (its share of the letters), n_spans, and on request spans of code points with their language."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -192,31 +216,21 @@ def identify(docs: DataFrame, model: Model, penalty: float = PENALTY, spans: boo
     schema = pa.schema(fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
         for batch in batches:
-            found = []
-            if m.languages:
-                for b in slices(batch):
-                    w = read_words(b.column(1).to_pylist())
-                    found.append((np.diff(w.before), w.starts.astype(np.int32), w.ends.astype(np.int32), word_scores(m, w)))
-            n = np.concatenate([x[0] for x in found]) if found else np.zeros(batch.num_rows, np.int64)
-            before = np.zeros(len(n) + 1, np.int64)
-            np.cumsum(n, out=before[1:])
-            starts, ends = (np.concatenate([x[i] for x in found] or [np.zeros(0, np.int32)]) for i in (1, 2))
-            label = viterbi(np.concatenate([x[3] for x in found]), before, penalty) if len(starts) else np.zeros(0, np.uint8)
-            doc, k = np.repeat(np.arange(len(n)), n), max(1, len(m.languages))
-            letters = np.bincount(doc * k + label, weights=ends - starts, minlength=len(n) * k).reshape(-1, k)
-            total, top = letters.sum(axis=1), letters.argmax(axis=1)
-            begin = np.ones(len(label), bool)
-            begin[1:] = (label[1:] != label[:-1]) | (doc[1:] != doc[:-1])
-            rows = {"doc_id": batch.column(0), "lang_pred": [m.languages[x] if t else "und" for x, t in zip(top, total, strict=True)], "score": letters[np.arange(len(n)), top] / np.maximum(total, 1), "n_spans": np.bincount(doc[begin], minlength=len(n))}
-            if spans:
-                at = np.flatnonzero(begin)
-                until = np.append(at[1:], len(label)) - 1
-                each: list[list] = [[] for _ in n]
-                for a, z in zip(at.tolist(), until.tolist() if len(at) else [], strict=True):
-                    each[doc[a]].append({"start": int(starts[a]), "end": int(ends[z]), "lang": m.languages[label[a]]})
-                rows["spans"] = each
-            yield table(rows, schema)
+            lang, score, found = predictions(shared.value, batch.column(1), penalty)
+            rows = {"doc_id": batch.column(0), "lang_pred": lang, "score": score, "n_spans": [len(x) for x in found]}
+            yield table(rows | ({"spans": [[{"start": a, "end": b, "lang": x} for a, b, x in each] for each in found]} if spans else {}), schema)
 
     return arrow_stage(docs.select(F.col("doc_id").cast("bigint"), "text"), run, out)
+
+
+def known(docs: DataFrame, model: Model, penalty: float = PENALTY) -> DataFrame:
+    """The rows of docs, all columns, whose text is not `und`."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array([x != "und" for x in predictions(shared.value, b.column(at), penalty)[0]], pa.bool_()))
+
+    return arrow_stage(docs, run, docs.schema)

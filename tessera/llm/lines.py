@@ -138,3 +138,19 @@ def with_bitmaps(docs: DataFrame, keep: DataFrame) -> DataFrame:
     rows = keyed(docs)
     keep = keep.select(F.col("doc").alias("_b_doc"), F.col("text_hash").alias("_b_hash"), F.col("keep").alias("_keep"))
     return rows.join(keep, (F.col("_doc") == F.col("_b_doc")) & (F.col("_text_hash") == F.col("_b_hash")), "left").drop("_doc", "_text_hash", "_b_doc", "_b_hash")
+
+
+def deduplicated(docs: DataFrame, least: int = 40, least_docs: int = 5) -> DataFrame:
+    """The rows of docs, all columns, with the lines that stay; n_chars follows the text."""
+    rows = with_bitmaps(docs, bitmaps(drops(docs, least, least_docs)))
+    at, keep = docs.columns.index("text"), len(docs.columns)
+    schema = docs.schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = [None if t.as_py() is None else kept_lines(t.as_py(), k.as_py())[0] for t, k in zip(b.column(at).cast(pa.large_binary()), b.column(keep), strict=True)]
+            columns = [pa.array(texts, pa.binary()).cast(pa.string()) if i == at else c for i, c in enumerate(b.columns[:keep])]
+            yield pa.RecordBatch.from_arrays(columns, b.schema.names[:keep])
+
+    out = arrow_stage(rows.select(*docs.columns, "_keep"), run, schema)
+    return out.withColumn("n_chars", F.length("text").cast(schema["n_chars"].dataType)) if "n_chars" in docs.columns else out

@@ -69,15 +69,15 @@ def simhash(hashes: np.ndarray, upto: np.ndarray) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, fp: the fingerprint of every whole text, as the signed value of its bits."""
-    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
+    """doc_id, text_hash, fp: the fingerprint of every whole text, as the signed value of its bits."""
+    schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("fp", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for b in slices(batch):
-                yield table({"doc_id": b.column(0), "fp": simhash(*shingle_hashes(b.column(1), size)).view(np.int64)}, schema)
+                yield table({"doc_id": b.column(0), "text_hash": b.column(1), "fp": simhash(*shingle_hashes(b.column(2), size)).view(np.int64)}, schema)
 
-    return arrow_stage(docs.select(F.col("doc_id").cast("bigint"), "text"), run, "doc_id bigint, fp bigint")
+    return arrow_stage(docs.select(F.col("doc_id").cast("bigint"), F.xxhash64("text").alias("text_hash"), "text"), run, "doc_id bigint, text_hash bigint, fp bigint")
 
 
 def bands(n: int) -> int:
@@ -220,12 +220,27 @@ def components(edges: DataFrame) -> DataFrame:
         mark = now
 
 
+def grouped(docs: DataFrame, size: int = 4) -> DataFrame:
+    """doc_id, text_hash, fp, root, least: each row's fingerprint, its group's name and that group's smallest doc_id."""
+    fps = written(fingerprints(docs, size), "fingerprints")
+    distinct = written(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
+    roots = components(near_pairs(distinct.select("fp"))).withColumnRenamed("u", "fp")
+    linked = distinct.join(roots, "fp")
+    group = linked.unionByName(distinct.join(roots.select(F.col("root").alias("fp")).distinct(), "fp").withColumn("root", F.col("fp"))).groupBy("root").agg(F.min("least").alias("group_least"))
+    named = linked.select("fp", "root").unionByName(roots.select(F.col("root").alias("fp"), "root").distinct()).join(group, "root").withColumnRenamed("group_least", "linked_least")
+    every = distinct.join(named, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.when(F.col("root").isNull(), F.col("least")).otherwise(F.col("linked_least")).alias("least"))
+    return fps.join(every, "fp").select("doc_id", "text_hash", "fp", "root", "least")
+
+
 def near_duplicates(docs: DataFrame, size: int = 4) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id: the smallest doc_id that links of at most RADIUS bits reach."""
-    fps = written(fingerprints(docs, size), "fingerprints")
-    least = written(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    roots = components(near_pairs(least.select("fp")))
-    rooted = least.join(roots.withColumnRenamed("u", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    group = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.where("fp <> root").join(group, "root").select("fp", "component_id").unionByName(rooted.where("fp = root").join(group, "root").select("fp", "component_id"))
-    return fps.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return grouped(docs, size).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("least").alias("component_id"))
+
+
+def without_near_duplicates(docs: DataFrame, size: int) -> DataFrame:
+    """The rows of docs, all columns, one of each group: that of the smallest doc_id, then of the smallest hash of its text."""
+    first = grouped(docs, size).groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("first"))
+    first = first.select(F.col("first.doc_id").alias("_first"), F.col("first.text_hash").alias("_first_hash"))
+    rows = docs.withColumns({"_id": F.col("doc_id").cast("bigint"), "_hash": F.xxhash64("text")})
+    rows = rows.join(first, F.col("_id").eqNullSafe(F.col("_first")) & (F.col("_hash") == F.col("_first_hash")), "left_semi")
+    return rows.dropDuplicates(["_id", "_hash"]).drop("_id", "_hash")
