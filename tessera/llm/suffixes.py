@@ -97,47 +97,62 @@ def rows_of(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
 
 
-def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
-    """Starts of all suffixes of `text` (bytes) in order of their first `depth` symbols at least; equal ones in any order.
+def smaller_than_next(text: np.ndarray) -> np.ndarray:
+    """Whether each suffix is smaller than its successor: the byte after a run of equal ones is larger; at the end it is not."""
+    n = len(text)
+    change = np.append(np.flatnonzero(text[1:] != text[:-1]), n - 1)
+    end = change[np.searchsorted(change, np.arange(n))]
+    smaller = np.zeros(n, bool)
+    some = end < n - 1
+    smaller[some] = text[end[some] + 1] > text[end[some]]
+    return smaller
+
+
+def suffix_array(text: np.ndarray, depth: int, wanted: np.ndarray | None = None) -> np.ndarray:
+    """Starts of the suffixes of `text` (bytes) in order of their first `depth` symbols at least; equal ones in any order.
 
     Two stages: only suffixes smaller than their successors are sorted directly; those not smaller are induced from
-    their successors by a scan of the buckets of the first byte, in order.
+    their successors by a scan of the buckets of the first byte, in order. `wanted` leaves out what isn't asked for:
+    besides, only suffixes up to the first directly sorted one after a wanted one take part.
     """
     n = len(text)
-    if n < 2:
-        return np.arange(n)
-    # smaller than the successor: the first differing byte after a run of equal ones is larger; at the end it is not
-    change = np.flatnonzero(text[1:] != text[:-1])
-    following = np.full(n, n - 1)
-    at = np.searchsorted(change, np.arange(n))
-    some = at < len(change)
-    following[some] = change[at[some]]
-    smaller = np.zeros(n, bool)
-    smaller[some] = text[following[some] + 1] > text[following[some]]
-    direct = np.flatnonzero(smaller)
+    if not n:
+        return np.zeros(0, np.int64)
+    smaller = smaller_than_next(text)
+    part = np.ones(n, bool)
+    if wanted is not None:
+        places = np.append(np.flatnonzero(smaller), n - 1)
+        last = np.flatnonzero(wanted & ~np.append(wanted[1:], False))  # a run of wanted ones ends here
+        until = places[np.searchsorted(places, last)]
+        edge = np.zeros(n + 1, np.int64)
+        np.add.at(edge, last, 1)
+        np.add.at(edge, until + 1, -1)
+        part = wanted | (np.cumsum(edge[:-1]) > 0)
+    direct = np.flatnonzero(smaller & part)
     direct = direct[_order(text, direct, depth)]
     bounds = np.searchsorted(text[direct], np.arange(257))
     induced: list[list[np.ndarray]] = [[] for _ in range(256)]
-    induced[text[n - 1]].append(np.array([n - 1]))
-    out = []
+    if part[n - 1]:
+        induced[text[n - 1]].append(np.array([n - 1]))
+    follows = part & ~smaller  # to be induced
+    out = [np.zeros(0, np.int64)]
     for byte in range(256):
-        mine, own = [], induced[byte]
+        own = induced[byte]
         while own:  # suffixes that begin with a run of this byte come one after another
             front = np.concatenate(own)
-            mine.append(front)
-            own = _induce(text, smaller, front, byte, induced)
+            out.append(front)
+            own = _induce(text, follows, front, byte, induced)
         rest = direct[bounds[byte] : bounds[byte + 1]]
         if len(rest):
-            mine.append(rest)
-            _induce(text, smaller, rest, byte, induced)
-        out.extend(mine)
+            out.append(rest)
+            _induce(text, follows, rest, byte, induced)
     return np.concatenate(out)
 
 
-def _induce(text: np.ndarray, smaller: np.ndarray, front: np.ndarray, byte: int, induced: list[list[np.ndarray]]) -> list[np.ndarray]:
-    """Put the predecessors that aren't smaller into their buckets; those in this very bucket are returned."""
+def _induce(text: np.ndarray, follows: np.ndarray, front: np.ndarray, byte: int, induced: list[list[np.ndarray]]) -> list[np.ndarray]:
+    """Put the predecessors that are to be induced into their buckets; those in this very bucket are returned."""
     before = front[front > 0] - 1
-    before = before[~smaller[before]]
+    before = before[follows[before]]
     first = text[before]
     order = np.argsort(first, kind="stable")
     before, first = before[order], first[order]
@@ -158,16 +173,17 @@ def _order(text: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
     skip = 8
     while skip < depth and tied.any():
         # groups of ties: a row that equals the one before, and the row before it
-        inside = tied | np.append(tied[1:], False)
-        where = np.flatnonzero(inside)
-        group = np.cumsum(~tied[where])
+        where = np.flatnonzero(tied | np.append(tied[1:], False))
+        group = np.cumsum(~tied[where]) - 1
         mine = order[where]
         place = at[mine] + skip
         key = np.where(place < len(text), keys[np.minimum(place, len(text))], np.uint64(0))
-        by = np.lexsort((key, group))
-        order[where] = mine[by]
-        key, group = key[by], group[by]
-        tied[where] = np.append(False, (key[1:] == key[:-1]) & (group[1:] == group[:-1]))
+        differ = np.append(False, (key[1:] != key[:-1]) & (group[1:] == group[:-1]))
+        split = np.flatnonzero((np.bincount(group[differ], minlength=group[-1] + 1) > 0)[group])  # other groups stay as they are
+        if len(split):
+            by = split[np.lexsort((key[split], group[split]))]
+            order[where[split]], key[split] = mine[by], key[by]
+            tied[where] = np.append(False, (key[1:] == key[:-1]) & (group[1:] == group[:-1]))
         skip += 8
     return order
 
@@ -194,7 +210,7 @@ def repeated_windows(contexts: list[bytes], windows: np.ndarray, length: int) ->
     is_window = np.zeros(len(text), bool)
     for o, w in zip(offset.tolist(), windows.tolist(), strict=True):
         is_window[o : o + w] = True
-    order = suffix_array(text, length)
+    order = suffix_array(text, length, is_window)
     order = order[is_window[order]]
     hit = np.zeros(len(text), bool)
     if len(order) > 1:
