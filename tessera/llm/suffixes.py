@@ -18,7 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm._common import arrow_stage, slices, table, text_bytes, written
@@ -27,9 +27,12 @@ LENGTH = 400
 #: Bytes of the grams that anchor windows.
 GRAM = 32
 #: Contexts of one gram up to which they share a shard; those of more are taken apart into windows.
-SHARD_CONTEXTS = 2000
+SHARD_CONTEXTS = 1000
 #: Bytes of contexts that a suffix array is made of at once.
-SHARD_BYTES = 1 << 20
+SHARD_BYTES = 1 << 19
+
+#: Bytes of text whose anchors are sought at once.
+SLICE = 1 << 19
 
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
@@ -81,7 +84,7 @@ def places(docs: DataFrame, length: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for b in slices(batch):
+            for b in slices(batch, "text", SLICE):
                 data, offsets = text_bytes(b.column(2))
                 row, a, z, p, gram = anchors(data, offsets, length)
                 raw, digest = data.tobytes(), xxhash.xxh3_64_digest
@@ -297,7 +300,10 @@ def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     by_array = arrow_stage(sharded, _shards(length), RANGES)
     windows = segments.where("segment is null").select("gram", "context", "single", "window", "k1", "k2")
     again = windows.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    crowded = windows.where("single").join(again, ["k1", "k2"]).groupBy("gram", "context").agg(F.collect_list(F.struct(F.col("window").alias("a"), (F.col("window") + 1).alias("b"))).alias("ranges"))
+    hits = windows.where("single").join(again, ["k1", "k2"]).select("gram", "context", "window").distinct()
+    runs = hits.withColumn("run", F.col("window") - F.row_number().over(Window.partitionBy("gram", "context").orderBy("window")))  # at most `length` rows each
+    runs = runs.groupBy("gram", "context", "run").agg(F.min("window").alias("a"), (F.max("window") + 1).alias("b"))
+    crowded = runs.groupBy("gram", "context").agg(F.collect_list(F.struct("a", "b")).alias("ranges"))
     known = whole.where("n > 1").select("gram", "context", F.array(F.struct(F.lit(0).alias("a"), F.col("at.windows").alias("b"))).alias("ranges"))
     found = known.unionByName(by_array).unionByName(crowded)
     spans = placed.join(found, ["gram", "context"]).select("doc_id", "text_hash", F.inline(F.transform("ranges", lambda r: F.struct((F.col("start") + r["a"]).alias("a"), (F.col("start") + r["b"] - 1 + length).alias("b")))))
