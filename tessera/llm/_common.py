@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import sys
 import tempfile
 import uuid
 import zipfile
@@ -31,10 +33,30 @@ def ship(spark: SparkSession) -> None:
     sc._tessera_shipped = True
 
 
+#: Bytes of an Arrow batch between the JVM and Python; a longer row comes alone.
+BATCH_BYTES = 16 << 20
+
+
+def give_back() -> None:
+    """Return freed memory to the system, as idle workers stay beside those of the next stage."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+        if trim is not None:
+            trim(0)
+
+
 def arrow_stage(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
-    """mapInArrow, with the package at hand on every executor."""
-    ship(df.sparkSession)
-    return df.mapInArrow(run, schema)
+    """mapInArrow, with the package at hand on every executor and batches bounded in bytes."""
+    spark = df.sparkSession
+    ship(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+    def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        give_back()
+
+    return df.mapInArrow(held, schema)
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -25,6 +25,8 @@ from tessera.llm._common import arrow_stage, slices, table
 
 BUCKETS = 1 << 16
 SAMPLE_DOCS = 20_000
+#: Bytes of text that go through Viterbi together.
+TOGETHER_BYTES = 6 << 20
 #: In nats.
 PENALTY = 8.0
 #: A language is a candidate for a script that has at least this share of its letters.
@@ -217,9 +219,10 @@ def identify(docs: DataFrame, model: Model, penalty: float = PENALTY, spans: boo
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lang, score, found = predictions(shared.value, batch.column(1), penalty)
-            rows = {"doc_id": batch.column(0), "lang_pred": lang, "score": score, "n_spans": [len(x) for x in found]}
-            yield table(rows | ({"spans": [[{"start": a, "end": b, "lang": x} for a, b, x in each] for each in found]} if spans else {}), schema)
+            for b in slices(batch, "text", TOGETHER_BYTES):
+                lang, score, found = predictions(shared.value, b.column(1), penalty)
+                rows = {"doc_id": b.column(0), "lang_pred": lang, "score": score, "n_spans": [len(x) for x in found]}
+                yield table(rows | ({"spans": [[{"start": a, "end": z, "lang": x} for a, z, x in each] for each in found]} if spans else {}), schema)
 
     return arrow_stage(docs.select(F.col("doc_id").cast("bigint"), "text"), run, out)
 
@@ -230,7 +233,8 @@ def known(docs: DataFrame, model: Model, penalty: float = PENALTY) -> DataFrame:
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield b.filter(pa.array([x != "und" for x in predictions(shared.value, b.column(at), penalty)[0]], pa.bool_()))
+        for batch in batches:
+            for b in slices(batch, "text", TOGETHER_BYTES):
+                yield b.filter(pa.array([x != "und" for x in predictions(shared.value, b.column(at), penalty)[0]], pa.bool_()))
 
     return arrow_stage(docs, run, docs.schema)
