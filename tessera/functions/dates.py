@@ -54,8 +54,8 @@ def from_template(x: Column, this_year: int) -> Column:
 
 def valid(date: Column) -> Column:
     """YYYY-MM-DD of struct(y, m, d); null for days that don't exist."""
-    text = F.format_string("%04d-%02d-%02d", date["y"], date["m"], date["d"])
-    return F.when(date.isNotNull(), F.date_format(F.try_to_date(text, "yyyy-MM-dd"), "yyyy-MM-dd"))
+    day = lambda x: F.when(x.isNotNull(), F.date_format(F.try_to_date(F.format_string("%04d-%02d-%02d", x["y"], x["m"], x["d"]), "yyyy-MM-dd"), "yyyy-MM-dd"))
+    return F.get(F.transform(F.array(date), day), F.lit(0))  # the date's ladder is in the plan once
 
 
 def birth_year(x: Column) -> Column:

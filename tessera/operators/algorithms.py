@@ -24,7 +24,7 @@ def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.select("id").join(d, "id", "left").select("id", zero(F.col("i")).alias("in_degree"), zero(F.col("o")).alias("out_degree"), zero(F.col("i") + F.col("o")).alias("total"))
 
 
-def pagerank(nodes: DataFrame, edges: DataFrame, alpha: float = 0.85, iterations: int = 100, tolerance: float | None = 1e-6, every: int = 10) -> DataFrame:
+def pagerank(nodes: DataFrame, edges: DataFrame, alpha: float = 0.85, iterations: int = 100, tolerance: float | None = 1e-6) -> DataFrame:
     """id, rank. Parallel edges add weight; the rank of nodes without out-edges is spread over all; ranks sum to 1.
 
     Ends when the ranks move by less than nodes x tolerance in total (None: after all iterations).
@@ -34,19 +34,17 @@ def pagerank(nodes: DataFrame, edges: DataFrame, alpha: float = 0.85, iterations
     out = weight.groupBy("src").agg(F.sum("w").alias("total"))
     share = cut(weight.join(out, "src").select("src", "dst", (F.col("w") / F.col("total")).alias("share")))
     ranks = cut(nodes.select("id").distinct().join(out.select(F.col("src").alias("id"), F.lit(True).alias("leads")), "id", "left").select("id", F.col("leads").isNull().alias("ends"), F.lit(1.0 / max(n, 1)).alias("rank")))
-    for i in range(iterations):
+    for _ in range(iterations):
         lost = ranks.where("ends").agg(F.coalesce(F.sum("rank"), F.lit(0.0))).head()[0]
         got = ranks.join(share, ranks["id"] == share["src"]).groupBy("dst").agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
-        new = ranks.join(got, ranks["id"] == got["dst"], "left").select("id", "ends", (F.lit((1 - alpha) / n) + alpha * (F.coalesce("got", F.lit(0.0)) + lost / n)).alias("rank"), F.col("rank").alias("before"))
-        if tolerance is not None or i % every == every - 1:
-            new = cut(new)
+        new = cut(ranks.join(got, ranks["id"] == got["dst"], "left").select("id", "ends", (F.lit((1 - alpha) / n) + alpha * (F.coalesce("got", F.lit(0.0)) + lost / n)).alias("rank"), F.col("rank").alias("before")))
         ranks = new.select("id", "ends", "rank")
         if tolerance is not None and new.agg(F.sum(F.abs(F.col("rank") - F.col("before")))).head()[0] < n * tolerance:
             break
     return ranks.select("id", "rank")
 
 
-def hits(nodes: DataFrame, edges: DataFrame, iterations: int = 100, tolerance: float | None = 1e-8, every: int = 10) -> DataFrame:
+def hits(nodes: DataFrame, edges: DataFrame, iterations: int = 100, tolerance: float | None = 1e-8) -> DataFrame:
     """id, hub, authority, each summing to 1."""
     e = cut(edges.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("w")))
     n = nodes.select("id").distinct()
@@ -54,16 +52,14 @@ def hits(nodes: DataFrame, edges: DataFrame, iterations: int = 100, tolerance: f
 
     def step(values: DataFrame, take: str, give: str) -> DataFrame:
         got = values.join(e, values["id"] == e[take]).groupBy(F.col(give).alias("id")).agg(F.sum(F.col("v") * F.col("w")).alias("g"))
-        raw = n.join(got, "id", "left").select("id", F.coalesce("g", F.lit(0.0)).alias("g"))
+        raw = cut(n.join(got, "id", "left").select("id", F.coalesce("g", F.lit(0.0)).alias("g")))
         total = raw.agg(F.sum("g").alias("s"))
         return raw.join(F.broadcast(total)).select("id", F.when(F.col("s") > 0, F.col("g") / F.col("s")).otherwise(0.0).alias("v"))  # one row
 
     authority = None
-    for i in range(iterations):
+    for _ in range(iterations):
         authority = step(hub, "src", "dst")
         new = step(authority, "dst", "src")
-        if tolerance is not None or i % every == every - 1:
-            new, authority = cut(new), cut(authority)
         moved = tolerance is not None and new.join(hub.select("id", F.col("v").alias("b")), "id").agg(F.sum(F.abs(F.col("v") - F.col("b")))).head()[0]
         hub = new
         if tolerance is not None and moved < tolerance:

@@ -25,7 +25,8 @@ def cleaned(records: DataFrame) -> DataFrame:
     """Records with a title and an infobox of text fields: "|k=v" that leaked into a value becomes a field, later ones win; dates are normalized; empty fields go."""
     pairs = F.flatten(F.transform(F.map_entries("infobox"), _leaked))
     box = F.map_from_entries(_last_wins(pairs))
-    box = F.transform_values(box, lambda k, v: F.when(dates.is_date_key(k), dates.normalized(text.strip_markup(v))).otherwise(text.strip_markup(v)))
+    box = F.transform_values(box, lambda _, v: text.strip_markup(v))
+    box = F.transform_values(box, lambda k, v: F.when(dates.is_date_key(k), dates.normalized(v)).otherwise(v))
     out = records.where("title is not null and title <> '' and infobox is not null").withColumn("infobox", F.map_filter(box, lambda _, v: v != ""))
     return out.where(F.size("infobox") > 0)
 

@@ -218,7 +218,9 @@ def dat_texts(spark: SparkSession, d: str) -> DataFrame:
         .when(i == 3, F.date_format(t, "d/M/yyyy")).when(i == 4, F.date_format(t, "yyyy")).otherwise("nay")
     )
     templated = F.when(i == 0, F.date_format(t, "'{{ngày sinh và tuổi|'yyyy'|'M'|'d'}}'")).when(i == 2, F.date_format(t, "'{{birth date|df=yes|'yyyy'|'M'|'d'}}'")).otherwise(raw)
-    return read(spark, d, "orders").select("o_orderkey", dates.normalized(raw).alias("normalized"), dates.valid(dates.from_template(templated, 2025)).alias("parsed"), dates.birth_year(raw).alias("y"))
+    texts = read(spark, d, "orders").select("o_orderkey", raw.alias("raw"), templated.alias("templated"))
+    x = F.col("raw")
+    return texts.select("o_orderkey", dates.normalized(x).alias("normalized"), dates.valid(dates.from_template(F.col("templated"), 2025)).alias("parsed"), dates.birth_year(x).alias("y"))
 
 
 @query(r"""
