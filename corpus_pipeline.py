@@ -36,8 +36,9 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any 10-word window of a benchmark item."""
     found = positional.windows(positional.build(docs), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    hit = found.where(F.size("spans") > 0).select(F.col("doc_id").alias("_hit")).distinct()
-    return docs.join(hit, F.col("doc_id").cast("bigint").eqNullSafe(F.col("_hit")), "left_anti")
+    hit = found.where(F.size("spans") > 0).select(F.col("doc_id").alias("hit")).distinct()
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("id"), F.struct("*").alias("row"))
+    return rows.join(hit, F.col("id").eqNullSafe(F.col("hit")), "left_anti").select("row.*")
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

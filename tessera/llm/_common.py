@@ -150,3 +150,10 @@ def words(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return packed, before
 
 
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """The name, with underscores before it until no column of df has it."""
+    while name.lower() in (c.lower() for c in df.columns):
+        name = f"_{name}"
+    return name

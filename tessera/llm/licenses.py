@@ -66,7 +66,7 @@ def prefix_index(docs: DataFrame, threshold: float) -> list[tuple]:
 
 
 def matches(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, text_hash, block, label, containment: every line that meets a template."""
+    """doc_id, text_hash, block, label, containment: every line that meets a template, labelled by those that it meets best."""
     index = prefix_index(docs, threshold)
     first = sorted({r[0] for r in index})
     templates = docs.sparkSession.createDataFrame(index, "word string, template int, label string, words array<string>, least int, place int")  # fixed: the templates
@@ -84,7 +84,8 @@ def matches(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     pairs = pairs.where(F.size(after) + F.size(F.array_intersect(F.slice("words", F.lit(1), F.col("place")), "have")) >= F.col("least"))
     overlap = F.size(F.array_intersect("words", "have"))
     met = pairs.where(overlap >= F.col("least")).select("doc_id", "text_hash", "block", "label", (overlap / F.size("words")).alias("containment"))
-    return met.groupBy("doc_id", "text_hash", "block", "label").agg(F.max("containment").alias("containment"))
+    best = met.groupBy("doc_id", "text_hash", "block").agg(F.max("containment").alias("containment"), F.collect_set(F.struct("label", F.col("containment").alias("c"))).alias("all"))
+    return best.select("doc_id", "text_hash", "block", F.explode(F.array_distinct(F.transform(F.filter("all", lambda x: x["c"] == F.col("containment")), lambda x: x["label"]))).alias("label"), "containment")
 
 
 def phrases(docs: DataFrame) -> DataFrame:

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._common import arrow_stage, table, written
+from tessera.llm._common import arrow_stage, fresh, table, written
 
 STRIPPED = b" \t\n\x0b\x0c\r"
 #: Stands for a missing doc_id in comparisons.
@@ -33,8 +33,8 @@ LINES = "h1 bigint, h2 bigint, doc bigint, text_hash bigint, line int"
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """The columns that name a row of documents here: doc (doc_id, or NO_DOC) and text_hash."""
-    return docs.withColumns({"_doc": F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_DOC)), "_text_hash": F.xxhash64("text")})
+    """doc (doc_id, or NO_DOC) and text_hash, which name a row of documents here; its text; and all its columns as `row`."""
+    return docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_DOC)).alias("doc"), F.xxhash64("text").alias("text_hash"), "text", F.struct("*").alias("row"))
 
 
 def line_hashes(docs: DataFrame, least: int = 40) -> DataFrame:
@@ -57,7 +57,7 @@ def line_hashes(docs: DataFrame, least: int = 40) -> DataFrame:
             doc, text_hash = (np.repeat(b.column(i).to_numpy(zero_copy_only=False), counts) for i in (0, 1))
             yield table({"h1": np.ascontiguousarray(h[:, 0]), "h2": np.ascontiguousarray(h[:, 1]), "doc": doc, "text_hash": text_hash, "line": np.array(numbers, np.int32)}, _LINES)
 
-    return arrow_stage(keyed(docs).select("_doc", "_text_hash", "text"), run, LINES)
+    return arrow_stage(keyed(docs).select("doc", "text_hash", "text"), run, LINES)
 
 
 #: kind 0: a line to drop; 1: a line of a key that is still open; 2: what a batch counted of an open key.
@@ -134,15 +134,16 @@ def kept_lines(text: bytes, keep: bytes | None) -> tuple[bytes, int, int]:
 
 
 def with_bitmaps(docs: DataFrame, keep: DataFrame) -> DataFrame:
-    """docs with the column `_keep`; null where all lines stay."""
+    """row (all columns of docs), text and keep: null where all lines stay."""
+    k = keep.select(F.col("doc").alias("k_doc"), F.col("text_hash").alias("k_hash"), "keep")
     rows = keyed(docs)
-    keep = keep.select(F.col("doc").alias("_b_doc"), F.col("text_hash").alias("_b_hash"), F.col("keep").alias("_keep"))
-    return rows.join(keep, (F.col("_doc") == F.col("_b_doc")) & (F.col("_text_hash") == F.col("_b_hash")), "left").drop("_doc", "_text_hash", "_b_doc", "_b_hash")
+    return rows.join(k, (F.col("doc") == F.col("k_doc")) & (F.col("text_hash") == F.col("k_hash")), "left").select("row", "text", "keep")
 
 
 def deduplicated(docs: DataFrame, least: int = 40, least_docs: int = 5) -> DataFrame:
     """The rows of docs, all columns, with the lines that stay; n_chars follows the text."""
-    rows = with_bitmaps(docs, bitmaps(drops(docs, least, least_docs)))
+    mark = fresh(docs, "keep")
+    rows = with_bitmaps(docs, bitmaps(drops(docs, least, least_docs))).select("row.*", F.col("keep").alias(mark))
     at, keep = docs.columns.index("text"), len(docs.columns)
     schema = docs.schema
 
@@ -152,5 +153,5 @@ def deduplicated(docs: DataFrame, least: int = 40, least_docs: int = 5) -> DataF
             columns = [pa.array(texts, pa.binary()).cast(pa.string()) if i == at else c for i, c in enumerate(b.columns[:keep])]
             yield pa.RecordBatch.from_arrays(columns, b.schema.names[:keep])
 
-    out = arrow_stage(rows.select(*docs.columns, "_keep"), run, schema)
+    out = arrow_stage(rows, run, schema)
     return out.withColumn("n_chars", F.length("text").cast(schema["n_chars"].dataType)) if "n_chars" in docs.columns else out

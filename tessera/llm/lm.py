@@ -142,7 +142,8 @@ def pack(hashes: np.ndarray, counts: np.ndarray) -> bytes:
 def unpack(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     n, used, first = (int(x) for x in np.frombuffer(data, "<u8", 3))
     steps = np.zeros((n, 8), np.uint8)
-    steps[1:, :used] = np.frombuffer(data, np.uint8, used * max(0, n - 1), 24).reshape(used, -1).T
+    if used:
+        steps[1:, :used] = np.frombuffer(data, np.uint8, used * (n - 1), 24).reshape(used, n - 1).T
     hashes = steps.view("<u8").ravel().astype(np.uint64)
     if n:
         hashes[0] = first

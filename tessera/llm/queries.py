@@ -66,7 +66,7 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of at least 40 code points found in at least 5 documents stay only in the largest doc_id."""
     docs = documents(spark, sf_dir).select("doc_id", "text")
-    rows = lines.with_bitmaps(docs, lines.bitmaps(lines.drops(docs))).select(F.col("doc_id").cast("bigint"), "text", "_keep")
+    rows = lines.with_bitmaps(docs, lines.bitmaps(lines.drops(docs))).select(F.col("row.doc_id").cast("bigint").alias("doc_id"), "text", "keep")
     schema = pa.schema([("doc_id", pa.int64()), ("n_lines", pa.int64()), ("n_dropped", pa.int64()), ("kept_sha256", pa.string())])
 
     def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -240,7 +240,7 @@ def near_duplicates(docs: DataFrame, size: int = 4) -> DataFrame:
 def without_near_duplicates(docs: DataFrame, size: int) -> DataFrame:
     """The rows of docs, all columns, one of each group: that of the smallest doc_id, then of the smallest hash of its text."""
     first = grouped(docs, size).groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("first"))
-    first = first.select(F.col("first.doc_id").alias("_first"), F.col("first.text_hash").alias("_first_hash"))
-    rows = docs.withColumns({"_id": F.col("doc_id").cast("bigint"), "_hash": F.xxhash64("text")})
-    rows = rows.join(first, F.col("_id").eqNullSafe(F.col("_first")) & (F.col("_hash") == F.col("_first_hash")), "left_semi")
-    return rows.dropDuplicates(["_id", "_hash"]).drop("_id", "_hash")
+    first = first.select(F.col("first.doc_id").alias("first_id"), F.col("first.text_hash").alias("first_hash"))
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("id"), F.xxhash64("text").alias("hash"), F.struct("*").alias("row"))
+    rows = rows.join(first, F.col("id").eqNullSafe(F.col("first_id")) & (F.col("hash") == F.col("first_hash")), "left_semi")
+    return rows.dropDuplicates(["id", "hash"]).select("row.*")

@@ -43,10 +43,11 @@ pl AS (SELECT r, label, i FROM (SELECT d.r, ph.label, ph.ws, d.w, unnest(range(1
 b AS (SELECT r, count(*) AS n, min(i) - 1 AS lo, max(i) - 1 AS hi, list(DISTINCT label) AS ls FROM pl GROUP BY r),
 v(t, label, words) AS (VALUES {_VALUES}),
 tp AS (SELECT label, list_distinct(string_split(words, ' ')) AS ws FROM v),
-l AS (SELECT r, unnest(string_split(text, chr(10))) AS line FROM d),
-lw AS (SELECT r, list_distinct({_WORDS.format('line')}) AS ws FROM l),
-x AS (SELECT lw.r, tp.label, len(list_intersect(tp.ws, lw.ws)) AS o, len(tp.ws) AS k FROM lw, tp WHERE len(lw.ws) >= ceil(round({licenses.THRESHOLD} * len(tp.ws), 9))),
-m AS (SELECT r, list(DISTINCT label) AS ls, max(o / k) AS c FROM x WHERE o >= ceil(round({licenses.THRESHOLD} * k, 9)) GROUP BY r)
+l AS (SELECT r, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS i FROM d),
+lw AS (SELECT r, i, list_distinct({_WORDS.format('line')}) AS ws FROM l),
+x AS (SELECT lw.r, lw.i, tp.label, len(list_intersect(tp.ws, lw.ws)) AS o, len(tp.ws) AS k FROM lw, tp WHERE len(lw.ws) >= ceil(round({licenses.THRESHOLD} * len(tp.ws), 9))),
+y AS (SELECT *, max(o / k) OVER (PARTITION BY r, i) AS best FROM x WHERE o >= ceil(round({licenses.THRESHOLD} * k, 9))),
+m AS (SELECT r, list(DISTINCT label) AS ls, max(best) AS c FROM y WHERE o / k = best GROUP BY r)
 SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(b.n, 0) AS n_base, b.lo AS first_word, b.hi AS last_word,
        array_to_string(list_sort(coalesce(b.ls, [])), ',') AS base_labels,
        array_to_string(list_sort(list_distinct(list_concat(coalesce(b.ls, []), coalesce(m.ls, [])))), ',') AS labels,
