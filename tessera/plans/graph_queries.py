@@ -126,25 +126,25 @@ def gb_merge_overwrite(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-WITH x AS (SELECT DISTINCT 'cus' || o_custkey AS src, o_orderstatus AS dst FROM orders WHERE o_orderkey % 2 = 0),
-y AS (SELECT DISTINCT 'cus' || o_custkey AS src, o_orderstatus AS dst FROM orders WHERE o_orderkey % 2 = 1)
+WITH x AS (SELECT DISTINCT 'cus' || o_custkey AS src, o_orderstatus AS dst FROM orders WHERE o_orderpriority < '3'),
+y AS (SELECT DISTINCT 'cus' || o_custkey AS src, o_orderstatus AS dst FROM orders WHERE o_orderpriority >= '3')
 SELECT src, dst, 'old' AS origin FROM x UNION ALL SELECT src, dst, 'new' FROM y WHERE NOT EXISTS (SELECT 1 FROM x WHERE x.src = y.src AND x.dst = y.dst)
 """)
 def gb_insert_only(spark: SparkSession, d: str) -> DataFrame:
-    o = read(spark, d, "orders").select(key("cus", "o_custkey").alias("src"), F.col("o_orderstatus").alias("dst"), F.lit("T").alias("type"), F.col("o_orderkey").alias("ord"))
-    old = o.where("ord % 2 = 0").select("src", "dst", "type").distinct().withColumn("properties", F.create_map(F.lit("origin"), F.lit("old")))
-    new = o.where("ord % 2 = 1").withColumn("properties", F.create_map(F.lit("origin"), F.lit("new")))
+    o = read(spark, d, "orders").select(key("cus", "o_custkey").alias("src"), F.col("o_orderstatus").alias("dst"), F.lit("T").alias("type"), F.col("o_orderkey").alias("ord"), "o_orderpriority")
+    old = o.where("o_orderpriority < '3'").select("src", "dst", "type").distinct().withColumn("properties", F.create_map(F.lit("origin"), F.lit("old")))
+    new = o.where("o_orderpriority >= '3'").withColumn("properties", F.create_map(F.lit("origin"), F.lit("new")))
     return G.insert_only(old, new).select("src", "dst", F.col("properties")["origin"].alias("origin"))
 
 
 @query("""
-WITH k AS (SELECT DISTINCT lower(p_name) AS name_key FROM part WHERE p_partkey % 3 = 0), a AS (SELECT 'nat' || n_nationkey AS id, lower(n_name) AS name_key, n_name AS name FROM nation)
-SELECT type, count(*) AS n, count(*) FILTER (WHERE enriched) AS enriched FROM (SELECT 'Nation' AS type, n_nationkey % 5 = 0 AS enriched FROM nation UNION ALL SELECT 'Part', true FROM k) GROUP BY type
+WITH k AS (SELECT DISTINCT lower(p_name) AS name_key FROM part), a AS (SELECT 'nat' || n_nationkey AS id, lower(n_name) AS name_key, n_name AS name FROM nation)
+SELECT type, count(*) AS n, count(*) FILTER (WHERE enriched) AS enriched FROM (SELECT 'Nation' AS type, n_regionkey = 0 AS enriched FROM nation UNION ALL SELECT 'Part', true FROM k) GROUP BY type
 """)
 def gb_upsert(spark: SparkSession, d: str) -> DataFrame:
     old = nodes(spark, d).where("type = 'Nation'")
-    known = read(spark, d, "nation").where("n_nationkey % 5 = 0").select(F.lit("Nation").alias("label"), F.lower("n_name").alias("name"), F.col("n_nationkey").alias("source_id"), F.col("n_nationkey").cast("bigint").alias("ord"))
-    new = read(spark, d, "part").where("p_partkey % 3 = 0").select(F.lit("Part").alias("label"), F.col("p_name").alias("name"), F.col("p_size").alias("source_id"), F.col("p_partkey").alias("ord"))
+    known = read(spark, d, "nation").where("n_regionkey = 0").select(F.lit("Nation").alias("label"), F.lower("n_name").alias("name"), F.col("n_nationkey").alias("source_id"), F.col("n_nationkey").cast("bigint").alias("ord"))
+    new = read(spark, d, "part").select(F.lit("Part").alias("label"), F.col("p_name").alias("name"), F.col("p_size").alias("source_id"), F.col("p_partkey").alias("ord"))
     merged = G.upsert(old, known.unionByName(new), F.lower(F.substring("label", 1, 3)))
     return merged.groupBy("type").agg(F.count(F.lit(1)).alias("n"), F.count_if("enriched").alias("enriched"))
 
@@ -159,11 +159,11 @@ def gb_successions(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""
-WITH {O} SELECT 'ord' || o_orderkey AS src, 'ord' || b AS dst FROM o WHERE b IS NOT NULL AND o_orderkey % 10 <> 0 AND b % 10 <> 0
+WITH {O}, s AS (SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'P') SELECT 'ord' || o_orderkey AS src, 'ord' || b AS dst FROM o WHERE o_orderkey IN (FROM s) AND b IN (FROM s)
 """)
 def flt_valid_successions(spark: SparkSession, d: str) -> DataFrame:
     e = edges(spark, d, ("SUCCEEDED",)).select("src", "dst", F.col("properties")["position_id"].alias("position_id"))
-    served = read(spark, d, "orders").where("o_orderkey % 10 <> 0").select(key("ord", "o_orderkey").alias("holder"), key("cus", "o_custkey").alias("position"))
+    served = read(spark, d, "orders").where("o_orderstatus <> 'P'").select(key("ord", "o_orderkey").alias("holder"), key("cus", "o_custkey").alias("position"))
     return G.valid_successions(e, served).select("src", "dst")
 
 

@@ -252,13 +252,13 @@ def gen_variants(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-SELECT o_orderkey AS id FROM orders WHERE o_orderkey % 4 <> 0
+SELECT o_orderkey AS id FROM orders WHERE o_orderstatus <> 'F'
 """)
 def src_remaining(spark: SparkSession, d: str) -> DataFrame:
     from tessera.sources.readers import remaining
 
-    o = read(spark, d, "orders").select(F.col("o_orderkey").alias("id"))
-    return remaining(o, o.where("id % 4 = 0"))
+    o = read(spark, d, "orders").select(F.col("o_orderkey").alias("id"), "o_orderstatus")
+    return remaining(o, o.where("o_orderstatus = 'F'")).select("id")
 
 
 @query("""
