@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from tessera.llm import bpe, language, lines, positional, simhash
 from tessera.llm._common import documents, written
 
-#: Words in a shingle of the near-duplicate stage.
-SHINGLE = 5
+#: Words in a shingle of the near-duplicate stage, and the share of shingles that near duplicates have in common.
+SHINGLE, RESEMBLANCE = 5, 0.8
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,7 +30,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: the smallest doc_id."""
-    return simhash.without_near_duplicates(docs, SHINGLE)
+    return simhash.without_near_duplicates(docs, SHINGLE, RESEMBLANCE)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,6 +6,10 @@ planes stand vertically, 64 fingerprints to a word, three carry-save counters ad
 all lanes at once, and a comparison ends when every lane of it is beyond the radius. A bucket gives a spanning
 forest of its links, not its pairs; buckets over BUCKET fingerprints are dealt out as pairs of chunks.
 
+Texts of a given resemblance of shingles may be further apart. `alike` compares fingerprints that share sampled bits
+in the same way up to WIDE_RADIUS and then holds their sketches (minima of SLOTS classes of shingle hashes) against
+each other. It finds most such pairs, not all: see the README for measured shares.
+
 Words: runs of bytes other than [space, \\t-\\r], A-Z lower-cased; shingles of `size` words, repeats included; a shorter
 text is one shingle. Cases: a text without words (or null) has fingerprint zero and is linked as any other;
 equal fingerprints are one group; rows without doc_id take part but name no group; an empty table gives an empty result.
@@ -13,7 +17,7 @@ equal fingerprints are one group; rows without doc_id take part but name no grou
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -28,6 +32,12 @@ RADIUS = 4
 #: Fingerprints in a chunk of a large bucket; a task compares two chunks at a time.
 BUCKET = 4096
 
+#: Bytes in a sketch of a text's shingles.
+SLOTS = 128
+#: Bits apart up to which texts are candidates for a resemblance, and the share of candidates so far apart that sampled tables are to find.
+WIDE_RADIUS, FOUND = 14, 0.9
+_MIX = np.uint64(0xD6E8FEB86659FD93)
+
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _INSIDE = np.ones(256, bool)
@@ -68,16 +78,37 @@ def simhash(hashes: np.ndarray, upto: np.ndarray) -> np.ndarray:
     return out
 
 
-def fingerprints(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, text_hash, fp: the fingerprint of every whole text, as the signed value of its bits."""
-    schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("fp", pa.int64())])
+def fingerprints(docs: DataFrame, size: int, with_sketch: bool = False) -> DataFrame:
+    """doc_id, text_hash, fp, sketch: the fingerprint of every whole text, as the signed value of its bits, and the sketch of its shingles."""
+    schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("fp", pa.int64()), ("sketch", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for b in slices(batch):
-                yield table({"doc_id": b.column(0), "text_hash": b.column(1), "fp": simhash(*shingle_hashes(b.column(2), size)).view(np.int64)}, schema)
+                hashes, upto = shingle_hashes(b.column(2), size)
+                marks = sketches(hashes, upto) if with_sketch else np.zeros((b.num_rows, 0), np.uint8)
+                yield table({"doc_id": b.column(0), "text_hash": b.column(1), "fp": simhash(hashes, upto).view(np.int64), "sketch": [x.tobytes() for x in marks]}, schema)
+
+    return arrow_stage(docs.select(F.col("doc_id").cast("bigint"), F.xxhash64("text").alias("text_hash"), "text"), run, "doc_id bigint, text_hash bigint, fp bigint, sketch binary")
+
 
-    return arrow_stage(docs.select(F.col("doc_id").cast("bigint"), F.xxhash64("text").alias("text_hash"), "text"), run, "doc_id bigint, text_hash bigint, fp bigint")
+def sketches(hashes: np.ndarray, upto: np.ndarray) -> np.ndarray:
+    """For each row SLOTS bytes: of the hashes of each of SLOTS classes one byte of the smallest, 1 to 255; 0 where there are none."""
+    h, n = hashes.astype(np.uint64), len(upto) - 1
+    least = np.full(n * SLOTS, np.iinfo(np.uint64).max, np.uint64)
+    at = np.repeat(np.arange(n), np.diff(upto)) * SLOTS + (h & np.uint64(SLOTS - 1)).astype(np.int64)
+    np.minimum.at(least, at, h >> np.uint64(8))
+    some = least != np.iinfo(np.uint64).max
+    mixed = least * _MIX
+    return np.where(some, 1 + (mixed >> np.uint64(40)) % np.uint64(255), 0).astype(np.uint8).reshape(n, SLOTS)
+
+
+def resemblance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The share of shingles in common (Jaccard) that two arrays of sketches let expect; rows without shingles are alike."""
+    some = (a > 0) | (b > 0)
+    n = some.sum(axis=1)
+    same = ((a == b) & some).sum(axis=1) / np.maximum(n, 1)
+    return np.where(n > 0, (same - 1 / 255) / (1 - 1 / 255), 1.0)
 
 
 def bands(n: int) -> int:
@@ -98,8 +129,23 @@ def bucket_keys(fp: Column, b: int) -> Column:
     return F.array(*out)
 
 
-def links(fp: np.ndarray, bucket: np.ndarray) -> np.ndarray:
-    """For each fingerprint, the place of the first one that it hangs together with inside its bucket. Buckets lie in runs."""
+def within(counters: list[np.ndarray], over: np.ndarray, radius: int) -> np.ndarray:
+    """Lanes whose count (bit-sliced, lowest bit first) is at most the radius."""
+    more, equal = over, ~over
+    for i in reversed(range(len(counters))):
+        if radius >> i & 1:
+            equal = equal & counters[i]
+        else:
+            more = more | equal & counters[i]
+            equal = equal & ~counters[i]
+    return ~more
+
+
+def links(fp: np.ndarray, bucket: np.ndarray, radius: int = RADIUS, alike: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None) -> np.ndarray:
+    """For each fingerprint, the place of the first one that it hangs together with inside its bucket. Buckets lie in runs.
+
+    alike: whether two arrays of places are to be linked that are near enough; only pairs not yet together are asked for.
+    """
     n = len(fp)
     blocks = -(-n // 64)
     padded = np.zeros(blocks * 64, np.uint64)
@@ -119,26 +165,32 @@ def links(fp: np.ndarray, bucket: np.ndarray) -> np.ndarray:
         alive = lo < hi
         q, at, lo, hi = q[alive], at[alive], lo[alive], hi[alive]
         lanes = (full >> (64 - hi).astype(np.uint64)) & (full << lo.astype(np.uint64))
-        ones, twos, fours, over = (np.zeros(len(q), np.uint64) for _ in range(4))
+        counters = [np.zeros(len(q), np.uint64) for _ in range(radius.bit_length())]
+        over = np.zeros(len(q), np.uint64)
         for plane in range(64):
-            x = planes[plane, at] ^ flips[plane, q]
-            carry = ones & x
-            ones ^= x
-            carry, twos = twos & carry, twos ^ carry
-            carry, fours = fours & carry, fours ^ carry
+            carry = planes[plane, at] ^ flips[plane, q]
+            for i, c in enumerate(counters):
+                counters[i], carry = c ^ carry, c & carry
             over |= carry
             if plane % 8 == 7:
-                near = lanes & ~(over | fours & (ones | twos))
-                if not (live := near != 0).all():
-                    q, at, lanes, ones, twos, fours, over = (a[live] for a in (q, at, lanes, ones, twos, fours, over))
+                live = (lanes & within(counters, over, radius)) != 0
+                if not live.all():
+                    q, at, lanes, over = q[live], at[live], lanes[live], over[live]
+                    counters = [c[live] for c in counters]
                 if not len(q):
                     break
         if len(q):
-            near = lanes & ~(over | fours & (ones | twos))
+            near = lanes & within(counters, over, radius)
             for i in range(0, len(q), 1 << 14):
                 hit = np.unpackbits(near[i : i + (1 << 14)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
                 a, lane = np.nonzero(hit)
-                _join(label, q[i + a], at[i + a] * 64 + lane)
+                u, v = q[i + a], at[i + a] * 64 + lane
+                if alike is not None:
+                    apart = label[u] != label[v]
+                    u, v = u[apart], v[apart]
+                    same = alike(u, v)
+                    u, v = u[same], v[same]
+                _join(label, u, v)
         step += 1
     return label
 
@@ -159,48 +211,75 @@ def _join(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
             label[:] = up
 
 
-def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of a partition, sorted by bucket, to the links of each bucket."""
+def _edges(radius: int, least: float):
+    """Rows of a partition (t, key, a, b, fp, node, sketch), sorted by bucket, to the links of each bucket, by node."""
     schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
-    held: list[np.ndarray] = []
-
-    def out(rows: np.ndarray) -> pa.RecordBatch:
-        change = np.append(True, (rows[1:, :4] != rows[:-1, :4]).any(axis=1))
-        bucket, fp = np.cumsum(change), rows[:, 4]
-        size = np.bincount(bucket)[bucket]
-        bucket, fp = bucket[size > 1], fp[size > 1]
-        label = links(fp.view(np.uint64), bucket) if len(fp) else np.zeros(0, np.int64)
-        linked = np.flatnonzero(label != np.arange(len(fp)))
-        return table({"u": fp[linked], "v": fp[label[linked]]}, schema)
-
-    for b in batches:
-        if not b.num_rows:
-            continue
-        held.append(np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in b.columns], axis=1))
-        if sum(map(len, held)) >= 4 * BUCKET:
-            rows = np.concatenate(held)
-            same = (rows[:, :4] == rows[-1, :4]).all(axis=1)
-            cut = int(np.argmax(same))  # the last bucket may go on
-            held = [rows[cut:]]
-            if cut:
-                yield out(rows[:cut])
-    if held:
-        yield out(np.concatenate(held))
 
+    def out(rows: np.ndarray, marks: np.ndarray) -> pa.RecordBatch:
+        bucket = np.cumsum(np.append(True, (rows[1:, :4] != rows[:-1, :4]).any(axis=1)))
+        crowd = np.bincount(bucket)[bucket] > 1
+        bucket, fp, node, marks = bucket[crowd], np.ascontiguousarray(rows[crowd, 4]), rows[crowd, 5], marks[crowd]
+        alike = (lambda u, v: resemblance(marks[u], marks[v]) >= least) if least else None
+        label = links(fp.view(np.uint64), bucket, radius, alike) if len(fp) else np.zeros(0, np.int64)
+        linked = np.flatnonzero(label != np.arange(len(fp)))
+        return table({"u": node[linked], "v": node[label[linked]]}, schema)
 
-def near_pairs(fps: DataFrame) -> DataFrame:
-    """u, v: links whose closure holds every two of the distinct fingerprints in column fp that are at most RADIUS bits apart."""
-    b = bands(fps.count())
-    rows = fps.select("fp", F.inline(bucket_keys(F.col("fp"), b)))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        marks: list[np.ndarray] = []
+        for b in batches:
+            if not b.num_rows:
+                continue
+            held.append(np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in b.columns[:6]], axis=1))
+            marks.append(np.frombuffer(b"".join(b.column(6).to_pylist()), np.uint8).reshape(b.num_rows, -1) if least else np.zeros((b.num_rows, 0), np.uint8))
+            if sum(map(len, held)) >= 4 * BUCKET:
+                rows, all_marks = np.concatenate(held), np.concatenate(marks)
+                cut = int(np.argmax((rows[:, :4] == rows[-1, :4]).all(axis=1)))  # the last bucket may go on
+                held, marks = [rows[cut:]], [all_marks[cut:]]
+                if cut:
+                    yield out(rows[:cut], all_marks[:cut])
+        if held:
+            yield out(np.concatenate(held), np.concatenate(marks))
+
+    return run
+
+
+def _linked(rows: DataFrame, radius: int, least: float) -> DataFrame:
+    """u, v: the links in buckets (t, key) of rows with fp, node and sketch; large buckets are dealt out as pairs of chunks."""
     half = BUCKET // 2
     large = rows.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BUCKET).select("t", "key", F.ceil(F.col("n") / half).cast("int").alias("chunks"))
     dealt = rows.join(large, ["t", "key"], "left")
-    own = F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int")
+    own = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
     # a chunk meets itself and every other one; each pair of chunks is a bucket
     pairs = F.when(F.col("chunks").isNull(), F.array(F.struct(F.lit(0).alias("a"), F.lit(0).alias("b")))).otherwise(F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda x: F.struct(F.least(x, own).alias("a"), F.greatest(x, own).alias("b"))))
-    dealt = dealt.select("t", "key", "fp", F.inline(pairs))
-    ordered = dealt.repartition("t", "key", "a", "b").sortWithinPartitions("t", "key", "a", "b").select("t", "key", "a", "b", "fp")
-    return arrow_stage(ordered, _edges, "u bigint, v bigint")
+    dealt = dealt.select("t", "key", "fp", "node", "sketch", F.inline(pairs))
+    ordered = dealt.repartition("t", "key", "a", "b").sortWithinPartitions("t", "key", "a", "b").select("t", "key", "a", "b", "fp", "node", "sketch")
+    return arrow_stage(ordered, _edges(radius, least), "u bigint, v bigint")
+
+
+def near_pairs(fps: DataFrame) -> DataFrame:
+    """u, v: links whose closure holds every two of the distinct fingerprints in column fp that are at most RADIUS bits apart."""
+    b = bands(fps.count())
+    return _linked(fps.select("fp", F.col("fp").alias("node"), F.lit(None).cast("binary").alias("sketch"), F.inline(bucket_keys(F.col("fp"), b))), RADIUS, 0.0)
+
+
+def sampled_bits(n: int) -> list[list[int]]:
+    """Choices of bits such that buckets of n fingerprints stay small and FOUND of the pairs WIDE_RADIUS - 2 apart share one."""
+    k = max(12, (n >> 8).bit_length())
+    hit = (1 - (WIDE_RADIUS - 2) / 64) ** k
+    rng = np.random.default_rng(64)
+    return [sorted(rng.choice(64, k, replace=False).tolist()) for _ in range(int(np.ceil(np.log(1 - FOUND) / np.log(1 - hit))))]
+
+
+def alike_pairs(nodes: DataFrame, least: float) -> DataFrame:
+    """u, v: links of nodes (node, fp, sketch) whose shingles' resemblance is at least `least` by their sketches, less one standard error of these, among those at most WIDE_RADIUS bits apart that share sampled bits."""
+    keys = []
+    for t, bits in enumerate(sampled_bits(nodes.count())):
+        key = F.lit(0).cast("bigint")
+        for i in bits:
+            key = F.shiftleft(key, 1).bitwiseOR(F.shiftrightunsigned("fp", i).bitwiseAND(F.lit(1)))
+        keys.append(F.struct(F.lit(t).alias("t"), key.alias("key")))
+    return _linked(nodes.select("fp", "node", "sketch", F.inline(F.array(*keys))), WIDE_RADIUS, least - (least * (1 - least) / SLOTS) ** 0.5)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -220,16 +299,29 @@ def components(edges: DataFrame) -> DataFrame:
         mark = now
 
 
+def _rooted(rows: DataFrame, distinct: DataFrame, edges: DataFrame) -> DataFrame:
+    """doc_id, text_hash, fp, root, least: each row's group by the links of its node, and the group's smallest doc_id. distinct: node, least."""
+    roots = components(edges).withColumnRenamed("u", "node")
+    named = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
+    linked = distinct.join(named, "node")
+    group = linked.groupBy("root").agg(F.min("least").alias("group_least"))
+    linked = linked.select("node", "root").join(group, "root")
+    every = distinct.join(linked, "node", "left").select("node", F.coalesce("root", "node").alias("root"), F.when(F.col("root").isNull(), F.col("least")).otherwise(F.col("group_least")).alias("least"))
+    return rows.join(every, "node").select("doc_id", "text_hash", "fp", "root", "least")
+
+
 def grouped(docs: DataFrame, size: int = 4) -> DataFrame:
-    """doc_id, text_hash, fp, root, least: each row's fingerprint, its group's name and that group's smallest doc_id."""
-    fps = written(fingerprints(docs, size), "fingerprints")
-    distinct = written(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    roots = components(near_pairs(distinct.select("fp"))).withColumnRenamed("u", "fp")
-    linked = distinct.join(roots, "fp")
-    group = linked.unionByName(distinct.join(roots.select(F.col("root").alias("fp")).distinct(), "fp").withColumn("root", F.col("fp"))).groupBy("root").agg(F.min("least").alias("group_least"))
-    named = linked.select("fp", "root").unionByName(roots.select(F.col("root").alias("fp"), "root").distinct()).join(group, "root").withColumnRenamed("group_least", "linked_least")
-    every = distinct.join(named, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.when(F.col("root").isNull(), F.col("least")).otherwise(F.col("linked_least")).alias("least"))
-    return fps.join(every, "fp").select("doc_id", "text_hash", "fp", "root", "least")
+    """Groups of links of at most RADIUS bits."""
+    rows = written(fingerprints(docs, size), "fingerprints").withColumn("node", F.col("fp"))
+    distinct = written(rows.groupBy("node").agg(F.min("doc_id").alias("least")), "distinct")
+    return _rooted(rows, distinct, near_pairs(distinct.select(F.col("node").alias("fp"))))
+
+
+def alike(docs: DataFrame, size: int, least: float) -> DataFrame:
+    """Groups of links of at least `least` resemblance."""
+    rows = written(fingerprints(docs, size, True).withColumn("node", F.xxhash64("fp", "sketch")), "fingerprints")
+    distinct = written(rows.groupBy("node", "fp", "sketch").agg(F.min("doc_id").alias("least")), "distinct")
+    return _rooted(rows.drop("sketch"), distinct.select("node", "least"), alike_pairs(distinct, least))
 
 
 def near_duplicates(docs: DataFrame, size: int = 4) -> DataFrame:
@@ -237,9 +329,9 @@ def near_duplicates(docs: DataFrame, size: int = 4) -> DataFrame:
     return grouped(docs, size).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("least").alias("component_id"))
 
 
-def without_near_duplicates(docs: DataFrame, size: int) -> DataFrame:
-    """The rows of docs, all columns, one of each group: that of the smallest doc_id, then of the smallest hash of its text."""
-    first = grouped(docs, size).groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("first"))
+def without_near_duplicates(docs: DataFrame, size: int, least: float) -> DataFrame:
+    """The rows of docs, all columns, one of each group of texts alike in at least that share of their shingles: that of the smallest doc_id, then of the smallest hash of its text."""
+    first = alike(docs, size, least).groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("first"))
     first = first.select(F.col("first.doc_id").alias("first_id"), F.col("first.text_hash").alias("first_hash"))
     rows = docs.select(F.col("doc_id").cast("bigint").alias("id"), F.xxhash64("text").alias("hash"), F.struct("*").alias("row"))
     rows = rows.join(first, F.col("id").eqNullSafe(F.col("first_id")) & (F.col("hash") == F.col("first_hash")), "left_semi")
