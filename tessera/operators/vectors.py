@@ -66,11 +66,32 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
 
 
 def route(questions: DataFrame, utterances: DataFrame) -> DataFrame:
-    """id, label, distance: the label of the nearest utterance (label, vector) by Euclidean distance; utterances are a fixed small set."""
-    gap = F.aggregate(F.zip_with("vector", "u", lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, v: s + v)
-    u = utterances.select("label", F.col("vector").alias("u"))
-    pairs = questions.join(u).select("id", "label", F.round(F.sqrt(gap), 9).alias("distance"))
-    return pairs.groupBy("id").agg(F.min(F.struct("distance", "label")).alias("m")).select("id", "m.label", "m.distance")
+    """id, label, distance: the label of the nearest utterance (label, vector) by Euclidean distance, ties by label.
+
+    Utterances go out in blocks of QUERY_BLOCK, so a question gives one row for each block.
+    """
+    spark = questions.sparkSession
+    blocks = max(1, -(-utterances.count() // QUERY_BLOCK))
+    schema = pa.schema([("id", pa.int64()), ("label", pa.string()), ("distance", pa.float64())])
+    found = None
+    for b in range(blocks):
+        part = utterances if blocks == 1 else utterances.where(F.pmod(F.xxhash64("label", "vector"), F.lit(blocks)) == b)
+        known = sorted((str(r.label), r.vector) for r in part.select("label", "vector").collect())
+        shared = spark.sparkContext.broadcast(([x for x, _ in known], np.array([v for _, v in known], float)))
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            labels, u = shared.value
+            for batch in batches:
+                if not batch.num_rows or not len(labels):
+                    continue
+                v = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(batch.num_rows, -1)
+                gap = np.round(np.sqrt(np.stack([((v - x) ** 2).sum(axis=1) for x in u], axis=1)), 9)
+                at = gap.argmin(axis=1)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([labels[i] for i in at]), pa.array(gap[np.arange(len(at)), at])], schema=schema)
+
+        own = questions.select(F.col("id").cast("bigint"), "vector").where("vector is not null").mapInArrow(run, "id bigint, label string, distance double")
+        found = own if found is None else found.unionByName(own)
+    return found.groupBy("id").agg(F.min(F.struct("distance", "label")).alias("m")).select("id", "m.label", "m.distance")
 
 
 def gate(node_scores: DataFrame, edge_scores: DataFrame, threshold: float = 0.9) -> DataFrame:

@@ -448,12 +448,13 @@ def vec_top_k(spark: SparkSession, d: str) -> DataFrame:
 @query("""
 WITH u AS (SELECT label, arg_min(embedding, vec_id) AS v FROM embeddings GROUP BY label),
 s AS (SELECT e.vec_id AS id, u.label, round(list_distance(e.embedding::DOUBLE[], u.v::DOUBLE[]), 9) AS distance FROM embeddings e CROSS JOIN u)
-SELECT id, label, round(distance, 6) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY distance, label) AS r FROM s) WHERE r = 1
+SELECT id, label, round(distance, 6) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY distance, CAST(label AS VARCHAR)) AS r FROM s) WHERE r = 1
 """)
 def vec_route(spark: SparkSession, d: str) -> DataFrame:
     e = read(spark, d, "embeddings")
     first = e.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("vector"))
-    return vectors.route(e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")), first).withColumn("distance", F.round("distance", 6))
+    found = vectors.route(e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")), first)
+    return found.select("id", F.col("label").cast("int").alias("label"), F.round("distance", 6).alias("distance"))
 
 
 @query("""
