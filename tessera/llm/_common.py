@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import sys
 import tempfile
 import uuid
@@ -34,7 +35,23 @@ def ship(spark: SparkSession) -> None:
 
 
 #: Bytes of an Arrow batch between the JVM and Python; a longer row comes alone.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 4 << 20
+
+_STATE: dict[str, dict] = {}
+
+
+def worker_state(name: str) -> dict:
+    """What a worker keeps under this name between the tasks of stages that ask for it; others let it go."""
+    return _STATE.setdefault(name, {})
+
+
+def begin(keeps: tuple[str, ...]) -> None:
+    """At the start of a task: drop what earlier stages kept in this worker."""
+    for name, state in _STATE.items():
+        if name not in keeps and state:
+            state.clear()
+            gc.collect()
+            give_back()
 
 
 def give_back() -> None:
@@ -46,13 +63,14 @@ def give_back() -> None:
             trim(0)
 
 
-def arrow_stage(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
+def arrow_stage(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType, keeps: tuple[str, ...] = ()) -> DataFrame:
     """mapInArrow, with the package at hand on every executor and batches bounded in bytes."""
     spark = df.sparkSession
     ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
     def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin(keeps)
         yield from run(batches)
         give_back()
 

@@ -13,36 +13,36 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from itertools import chain
 
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from tessera.llm._common import arrow_stage, table
+from tessera.llm._common import arrow_stage, table, worker_state
 
 #: Unicode White_Space, which the tokenizer's pattern means by \s.
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 #: A text is cut here first; a cut never falls within a match of the tokenizer's pattern.
 CHUNK = re.compile(f"[{SPACE}]+(?![^{SPACE}])| ?[^{SPACE}]+|[{SPACE}]+")
-#: Entries a worker keeps of chunks, pieces and token pairs, in two generations: the older goes when the younger is full.
+#: Entries a worker keeps of chunks, in two generations: the older goes when the younger is full. Of prefixes and token pairs half as many, of pieces a quarter.
 CACHE = 250_000
 #: Bytes of a piece up to which its prefixes are kept for other pieces.
 SHORT = 96
 
 
 class Kept(dict):
-    """make(key) by key. Beyond CACHE entries these become the old generation; what is used of it comes back."""
+    """make(key) by key. Beyond `most` entries these become the old generation; what is used of it comes back."""
 
-    def __init__(self, make):
-        self.make, self.old = make, {}
+    def __init__(self, make: Callable, most: int):
+        self.make, self.old, self.most = make, {}, most
 
     def __missing__(self, key):
         out = self.old.get(key)
         if out is None:
             out = self.make(key)
-        if len(self) >= CACHE:
+        if len(self) >= self.most:
             self.old = dict(self)
             self.clear()
         self[key] = out
@@ -57,8 +57,8 @@ class Vocabulary:
         self.bytes = {v: k for k, v in self.rank.items()}
         self.longest = max(map(len, self.rank), default=1)
         self._split: dict[int, tuple[int, int] | None] = {}
-        self.pairs = Kept(lambda pair: self._apart(*pair))
-        self.last = Kept(self._last)
+        self.pairs = Kept(lambda pair: self._apart(*pair), CACHE // 2)
+        self.last = Kept(self._last, CACHE // 2)
 
     def merged(self, piece: bytes) -> list[int]:
         """BPE as defined: the adjacent pair of lowest rank merges first, the leftmost of equals. Used for single tokens."""
@@ -177,8 +177,8 @@ class Codec:
     def __init__(self, lines: bytes, pattern: str):
         self.vocabulary = Vocabulary(lines)
         self.pattern = regex.compile(pattern.replace(r"[^\s", f"[^{SPACE}").replace(r"(?!\S)", f"(?![^{SPACE}])").replace(r"\s", f"[{SPACE}]"))
-        self.pieces = Kept(self._piece)
-        self.chunks = Kept(self._chunk)
+        self.pieces = Kept(self._piece, CACHE // 4)
+        self.chunks = Kept(self._chunk, CACHE)
 
     def _piece(self, piece: bytes) -> tuple[int, ...]:
         whole = self.vocabulary.rank.get(piece)  # a piece that is a token stays whole, even if merges don't make it
@@ -196,7 +196,7 @@ class Codec:
         return b"".join(map(self.vocabulary.bytes.__getitem__, ids))
 
 
-_CODECS: dict[tuple[str, str], Codec] = {}
+_CODECS: dict[tuple[str, str], Codec] = worker_state("bpe")
 
 
 def codec_of(lines: bytes, pattern: str) -> Codec:
@@ -224,7 +224,7 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
         for b in batches:
             yield table({"doc_id": b.column(0), "ids": [codec.encode(x.as_py()) for x in b.column(1)]}, schema)
 
-    return arrow_stage(docs.selectExpr("cast(doc_id as bigint) doc_id", "text"), run, "doc_id bigint, ids array<int>")
+    return arrow_stage(docs.selectExpr("cast(doc_id as bigint) doc_id", "text"), run, "doc_id bigint, ids array<int>", ("bpe",))
 
 
 def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -237,7 +237,7 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
         for b in batches:
             yield table({"doc_id": b.column(0), "data": [codec.decode(x.as_py() or ()) for x in b.column(1)]}, schema)
 
-    return arrow_stage(encoded.select("doc_id", "ids"), run, "doc_id bigint, data binary")
+    return arrow_stage(encoded.select("doc_id", "ids"), run, "doc_id bigint, data binary", ("bpe",))
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -257,4 +257,4 @@ def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
                 decoded_sha.append(hashlib.sha256(codec.decode(ids)).hexdigest())
             yield table({"doc_id": b.column(0), "n_tokens": n, "ids_sha256": ids_sha, "decoded_sha256": decoded_sha}, schema)
 
-    return arrow_stage(docs.selectExpr("cast(doc_id as bigint) doc_id", "text"), run, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    return arrow_stage(docs.selectExpr("cast(doc_id as bigint) doc_id", "text"), run, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string", ("bpe",))

@@ -26,7 +26,7 @@ from tessera.llm._common import arrow_stage, slices, table
 BUCKETS = 1 << 16
 SAMPLE_DOCS = 20_000
 #: Bytes of text that go through Viterbi together.
-TOGETHER_BYTES = 6 << 20
+TOGETHER_BYTES = 4 << 20
 #: In nats.
 PENALTY = 8.0
 #: A language is a candidate for a script that has at least this share of its letters.

@@ -328,3 +328,28 @@ def test_simhash_crowds(spark, bucket, monkeypatch):
     for i, r in enumerate(root):
         theirs.setdefault(r, set()).add(i)
     assert sorted(map(sorted, mine.values())) == sorted(map(sorted, theirs.values()))
+
+
+def test_alike(spark):
+    """Texts with a few words changed are found, texts that share less are left alone."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    rows, family = [], {}
+    for f in range(60):
+        base = [word() for _ in range(300)]
+        for k in range(4):
+            w = base[:]
+            for i in rng.sample(range(300), k):  # each changed word changes five shingles
+                w[i] = word()
+            rows.append((len(rows), " ".join(w)))
+            family[len(rows) - 1] = f
+        half = base[:150] + [word() for _ in range(150)]
+        rows.append((len(rows), " ".join(half)))
+        family[len(rows) - 1] = -f - 1
+    rows += [(len(rows), None), (len(rows) + 1, "")]
+    got = {r.doc_id: r.root for r in simhash.alike(spark.createDataFrame(rows, "doc_id long, text string"), 5, 0.8).collect()}
+    assert got[300] == got[301]
+    linked = sum(got[i] == got[i - family_start] for i, family_start in ((i, i % 5) for i in range(300) if family[i] >= 0 and i % 5))
+    assert linked >= 0.95 * 180
+    assert all(got[i] != got[i - 4] for i in range(300) if family[i] < 0)
+    assert len({got[i] for i in range(0, 300, 5)}) == 60
