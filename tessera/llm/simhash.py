@@ -6,9 +6,12 @@ planes stand vertically, 64 fingerprints to a word, three carry-save counters ad
 all lanes at once, and a comparison ends when every lane of it is beyond the radius. A bucket gives a spanning
 forest of its links, not its pairs; buckets over BUCKET fingerprints are dealt out as pairs of chunks.
 
-Texts of a given resemblance of shingles may be further apart. `alike` compares fingerprints that share sampled bits
-in the same way up to WIDE_RADIUS and then holds their sketches (minima of SLOTS classes of shingle hashes) against
-each other. It finds most such pairs, not all: see the README for measured shares.
+Texts of a given resemblance (Jaccard of their distinct shingles) may be further apart. `alike` links them exactly, in
+two steps. First it compares fingerprints that share sampled bits, up to WIDE_RADIUS; this finds most links of large
+groups as a forest. Then two texts not yet together that share one of their rarest shingles (prefix filter: a pair alike
+enough must) are compared by length, place in the prefix and marks. Marks are parities of MARK_BITS classes of
+shingles: as many as differ, so many shingles at least differ, so no filter loses a pair. What is left is decided by the
+sets of shingles themselves.
 
 Words: runs of bytes other than [space, \\t-\\r], A-Z lower-cased; shingles of `size` words, repeats included; a shorter
 text is one shingle. Cases: a text without words (or null) has fingerprint zero and is linked as any other;
@@ -32,10 +35,12 @@ RADIUS = 4
 #: Fingerprints in a chunk of a large bucket; a task compares two chunks at a time.
 BUCKET = 4096
 
-#: Bytes in a sketch of a text's shingles.
-SLOTS = 128
-#: Bits apart up to which texts are candidates for a resemblance, and the share of candidates so far apart that sampled tables are to find.
-WIDE_RADIUS, FOUND = 14, 0.9
+#: Classes of shingles in a text's mark.
+MARK_BITS = 1024
+#: Bits apart up to which fingerprints are compared first, and the sampled tables for that. What they miss the prefixes find.
+WIDE_RADIUS, TABLES = 14, 8
+#: Texts whose shingles are counted to order all by frequency, and shingles of which the count is kept. Any order is exact.
+SAMPLE, COMMON = 4096, 1 << 16
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -78,37 +83,65 @@ def simhash(hashes: np.ndarray, upto: np.ndarray) -> np.ndarray:
     return out
 
 
-def fingerprints(docs: DataFrame, size: int, with_sketch: bool = False) -> DataFrame:
-    """doc_id, text_hash, fp, sketch: the fingerprint of every whole text, as the signed value of its bits, and the sketch of its shingles."""
-    schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("fp", pa.int64()), ("sketch", pa.binary())])
+def fingerprints(docs: DataFrame, size: int) -> DataFrame:
+    """doc_id, text_hash, fp: the fingerprint of every whole text, as the signed value of its bits."""
+    schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("fp", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for b in slices(batch):
+                yield table({"doc_id": b.column(0), "text_hash": b.column(1), "fp": simhash(*shingle_hashes(b.column(2), size)).view(np.int64)}, schema)
+
+    return arrow_stage(docs.select(F.col("doc_id").cast("bigint"), F.xxhash64("text").alias("text_hash"), "text"), run, "doc_id bigint, text_hash bigint, fp bigint")
+
+
+def marked(docs: DataFrame, size: int) -> DataFrame:
+    """fingerprints with node, a hash of the set of distinct shingles, and mark."""
+    schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("fp", pa.int64()), ("node", pa.int64()), ("mark", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for b in slices(batch):
                 hashes, upto = shingle_hashes(b.column(2), size)
-                marks = sketches(hashes, upto) if with_sketch else np.zeros((b.num_rows, 0), np.uint8)
-                yield table({"doc_id": b.column(0), "text_hash": b.column(1), "fp": simhash(hashes, upto).view(np.int64), "sketch": [x.tobytes() for x in marks]}, schema)
+                sets = distinct_hashes(hashes, upto)
+                yield table({"doc_id": b.column(0), "text_hash": b.column(1), "fp": simhash(hashes, upto).view(np.int64), "node": set_names(*sets), "mark": [x.tobytes() for x in marks(*sets)]}, schema)
+
+    return arrow_stage(docs.select(F.col("doc_id").cast("bigint"), F.xxhash64("text").alias("text_hash"), "text"), run, "doc_id bigint, text_hash bigint, fp bigint, node bigint, mark binary")
+
+
+def distinct_hashes(hashes: np.ndarray, upto: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct hashes of each row, ascending, and their number before each row, with the end."""
+    h, row = hashes.astype(np.uint64), np.repeat(np.arange(len(upto) - 1), np.diff(upto))
+    order = np.lexsort((h, row))
+    h, row = h[order], row[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
+    return h[new], np.searchsorted(row[new], np.arange(len(upto)))
 
-    return arrow_stage(docs.select(F.col("doc_id").cast("bigint"), F.xxhash64("text").alias("text_hash"), "text"), run, "doc_id bigint, text_hash bigint, fp bigint, sketch binary")
 
+def set_names(h: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return np.array([xxhash.xxh3_64_intdigest(h[a:b].tobytes()) for a, b in zip(at[:-1], at[1:], strict=True)], np.uint64).view(np.int64)
 
-def sketches(hashes: np.ndarray, upto: np.ndarray) -> np.ndarray:
-    """For each row SLOTS bytes: of the hashes of each of SLOTS classes one byte of the smallest, 1 to 255; 0 where there are none."""
-    h, n = hashes.astype(np.uint64), len(upto) - 1
-    least = np.full(n * SLOTS, np.iinfo(np.uint64).max, np.uint64)
-    at = np.repeat(np.arange(n), np.diff(upto)) * SLOTS + (h & np.uint64(SLOTS - 1)).astype(np.int64)
-    np.minimum.at(least, at, h >> np.uint64(8))
-    some = least != np.iinfo(np.uint64).max
-    mixed = least * _MIX
-    return np.where(some, 1 + (mixed >> np.uint64(40)) % np.uint64(255), 0).astype(np.uint8).reshape(n, SLOTS)
+
+def marks(h: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """For each row the size of its set and the parities of its MARK_BITS classes, as words of 64 bits."""
+    n = len(at) - 1
+    out = np.zeros((n, 1 + MARK_BITS // 64), np.uint64)
+    out[:, 0] = np.diff(at)
+    of = (((h * _MIX) >> np.uint64(32)) % np.uint64(MARK_BITS)).astype(np.int64)
+    for i in range(0, n, 1024):
+        j = min(n, i + 1024)
+        row = np.repeat(np.arange(j - i), np.diff(at[i : j + 1]))
+        odd = np.bincount(row * MARK_BITS + of[at[i] : at[j]], minlength=(j - i) * MARK_BITS) & 1
+        out[i:j, 1:] = np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64).reshape(j - i, -1)
+    return out
 
 
-def resemblance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The share of shingles in common (Jaccard) that two arrays of sketches let expect; rows without shingles are alike."""
-    some = (a > 0) | (b > 0)
-    n = some.sum(axis=1)
-    same = ((a == b) & some).sum(axis=1) / np.maximum(n, 1)
-    return np.where(n > 0, (same - 1 / 255) / (1 - 1 / 255), 1.0)
+def may_be_alike(a: np.ndarray, b: np.ndarray, least: float) -> np.ndarray:
+    """Pairs of marks whose sets may have that resemblance; false only where they can't."""
+    n, m = a[:, 0].astype(np.int64), b[:, 0].astype(np.int64)
+    apart = np.maximum(np.bitwise_count(a[:, 1:] ^ b[:, 1:]).sum(axis=1, dtype=np.int64), np.abs(n - m))
+    return apart * (1 + least) <= (n + m) * (1 - least) + 1e-6
 
 
 def bands(n: int) -> int:
@@ -212,14 +245,14 @@ def _join(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
 
 
 def _edges(radius: int, least: float):
-    """Rows of a partition (t, key, a, b, fp, node, sketch), sorted by bucket, to the links of each bucket, by node."""
+    """Rows of a partition (t, key, a, b, fp, node, mark), sorted by bucket, to the links of each bucket, by node."""
     schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
     def out(rows: np.ndarray, marks: np.ndarray) -> pa.RecordBatch:
         bucket = np.cumsum(np.append(True, (rows[1:, :4] != rows[:-1, :4]).any(axis=1)))
         crowd = np.bincount(bucket)[bucket] > 1
         bucket, fp, node, marks = bucket[crowd], np.ascontiguousarray(rows[crowd, 4]), rows[crowd, 5], marks[crowd]
-        alike = (lambda u, v: resemblance(marks[u], marks[v]) >= least) if least else None
+        alike = (lambda u, v: may_be_alike(marks[u], marks[v], least)) if least else None
         label = links(fp.view(np.uint64), bucket, radius, alike) if len(fp) else np.zeros(0, np.int64)
         linked = np.flatnonzero(label != np.arange(len(fp)))
         return table({"u": node[linked], "v": node[label[linked]]}, schema)
@@ -231,7 +264,7 @@ def _edges(radius: int, least: float):
             if not b.num_rows:
                 continue
             held.append(np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in b.columns[:6]], axis=1))
-            marks.append(np.frombuffer(b"".join(b.column(6).to_pylist()), np.uint8).reshape(b.num_rows, -1) if least else np.zeros((b.num_rows, 0), np.uint8))
+            marks.append(np.frombuffer(b"".join(b.column(6).to_pylist()), np.uint64).reshape(b.num_rows, -1) if least else np.zeros((b.num_rows, 0), np.uint64))
             if sum(map(len, held)) >= 4 * BUCKET:
                 rows, all_marks = np.concatenate(held), np.concatenate(marks)
                 cut = int(np.argmax((rows[:, :4] == rows[-1, :4]).all(axis=1)))  # the last bucket may go on
@@ -245,41 +278,187 @@ def _edges(radius: int, least: float):
 
 
 def _linked(rows: DataFrame, radius: int, least: float) -> DataFrame:
-    """u, v: the links in buckets (t, key) of rows with fp, node and sketch; large buckets are dealt out as pairs of chunks."""
+    """u, v: the links in buckets (t, key) of rows with fp, node and mark; large buckets are dealt out as pairs of chunks."""
     half = BUCKET // 2
     large = rows.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BUCKET).select("t", "key", F.ceil(F.col("n") / half).cast("int").alias("chunks"))
     dealt = rows.join(large, ["t", "key"], "left")
     own = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
     # a chunk meets itself and every other one; each pair of chunks is a bucket
     pairs = F.when(F.col("chunks").isNull(), F.array(F.struct(F.lit(0).alias("a"), F.lit(0).alias("b")))).otherwise(F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda x: F.struct(F.least(x, own).alias("a"), F.greatest(x, own).alias("b"))))
-    dealt = dealt.select("t", "key", "fp", "node", "sketch", F.inline(pairs))
-    ordered = dealt.repartition("t", "key", "a", "b").sortWithinPartitions("t", "key", "a", "b").select("t", "key", "a", "b", "fp", "node", "sketch")
+    dealt = dealt.select("t", "key", "fp", "node", "mark", F.inline(pairs))
+    ordered = dealt.repartition("t", "key", "a", "b").sortWithinPartitions("t", "key", "a", "b").select("t", "key", "a", "b", "fp", "node", "mark")
     return arrow_stage(ordered, _edges(radius, least), "u bigint, v bigint")
 
 
 def near_pairs(fps: DataFrame) -> DataFrame:
     """u, v: links whose closure holds every two of the distinct fingerprints in column fp that are at most RADIUS bits apart."""
     b = bands(fps.count())
-    return _linked(fps.select("fp", F.col("fp").alias("node"), F.lit(None).cast("binary").alias("sketch"), F.inline(bucket_keys(F.col("fp"), b))), RADIUS, 0.0)
+    return _linked(fps.select("fp", F.col("fp").alias("node"), F.lit(None).cast("binary").alias("mark"), F.inline(bucket_keys(F.col("fp"), b))), RADIUS, 0.0)
 
 
 def sampled_bits(n: int) -> list[list[int]]:
-    """Choices of bits such that buckets of n fingerprints stay small and FOUND of the pairs WIDE_RADIUS - 2 apart share one."""
-    k = max(12, (n >> 8).bit_length())
-    hit = (1 - (WIDE_RADIUS - 2) / 64) ** k
+    """TABLES choices of bits such that buckets of n fingerprints stay small."""
     rng = np.random.default_rng(64)
-    return [sorted(rng.choice(64, k, replace=False).tolist()) for _ in range(int(np.ceil(np.log(1 - FOUND) / np.log(1 - hit))))]
+    return [sorted(rng.choice(64, max(12, (n >> 8).bit_length()), replace=False).tolist()) for _ in range(TABLES)]
 
 
-def alike_pairs(nodes: DataFrame, least: float) -> DataFrame:
-    """u, v: links of nodes (node, fp, sketch) whose shingles' resemblance is at least `least` by their sketches, less one standard error of these, among those at most WIDE_RADIUS bits apart that share sampled bits."""
+def close_pairs(nodes: DataFrame, n: int, least: float) -> DataFrame:
+    """u, v: links of the n nodes (node, fp, mark) that may be alike, among those at most WIDE_RADIUS bits apart that share sampled bits."""
     keys = []
-    for t, bits in enumerate(sampled_bits(nodes.count())):
+    for t, bits in enumerate(sampled_bits(n)):
         key = F.lit(0).cast("bigint")
         for i in bits:
             key = F.shiftleft(key, 1).bitwiseOR(F.shiftrightunsigned("fp", i).bitwiseAND(F.lit(1)))
         keys.append(F.struct(F.lit(t).alias("t"), key.alias("key")))
-    return _linked(nodes.select("fp", "node", "sketch", F.inline(F.array(*keys))), WIDE_RADIUS, least - (least * (1 - least) / SLOTS) ** 0.5)
+    return _linked(nodes.select("fp", "node", "mark", F.inline(F.array(*keys))), WIDE_RADIUS, least)
+
+
+def common_shingles(docs: DataFrame, n: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes, ascending, of shingles that several of some SAMPLE texts have, and in how many they are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for b in slices(batch):
+                h, at = distinct_hashes(*shingle_hashes(b.column(0), size))
+                yield table({"node": np.repeat(set_names(h, at), np.diff(at)), "h": h.view(np.int64)}, pa.schema([("node", pa.int64()), ("h", pa.int64())]))
+
+    texts = docs.select("text").where(F.pmod(F.xxhash64("text"), F.lit(max(1, n // SAMPLE))) == 0)
+    found = arrow_stage(texts, run, "node bigint, h bigint").distinct().groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").orderBy(F.desc("n"), "h").limit(COMMON).toPandas()
+    h, c = found["h"].to_numpy(np.int64).view(np.uint64), found["n"].to_numpy(np.int64)
+    order = np.argsort(h)
+    return h[order], c[order]
+
+
+def shingle_prefixes(docs: DataFrame, size: int, least: float, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """node, n, prefix: of each text's n distinct shingles the rarest, so many that texts of at least that resemblance have one in common."""
+    schema = pa.schema([("node", pa.int64()), ("n", pa.int64()), ("prefix", pa.list_(pa.int64()))])
+    known, count = (np.append(x, x.dtype.type(0)) for x in common)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for b in slices(batch):
+                h, at = distinct_hashes(*shingle_hashes(b.column(0), size))
+                n = np.diff(at)
+                row, i = np.repeat(np.arange(len(n)), n), np.searchsorted(known[:-1], h)
+                order = np.lexsort((h, np.where(known[i] == h, count[i], 0), row))
+                p = np.where(n > 0, n - np.ceil(least * n - 1e-9).astype(np.int64) + 1, 0)
+                within = (np.arange(len(h)) - at[row] < p[row]) if len(h) else np.zeros(0, bool)
+                upto = np.append(0, np.cumsum(p)).astype(np.int32)
+                yield table({"node": set_names(h, at), "n": n, "prefix": pa.ListArray.from_arrays(pa.array(upto), pa.array(h[order][within].view(np.int64)))}, schema)
+
+    return arrow_stage(docs.select("text"), run, "node bigint, n bigint, prefix array<bigint>").groupBy("node").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+
+
+def _whole(batches: Iterator[pa.RecordBatch], n_keys: int, n_ints: int, rows_at_once: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Sorted rows in runs that end where one of their buckets (the first n_keys columns) does: the first n_ints columns, and the marks after them if there are any."""
+    held: list[np.ndarray] = []
+    kept: list[np.ndarray] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        held.append(np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in b.columns[:n_ints]], axis=1))
+        kept.append(np.frombuffer(b"".join(b.column(n_ints).to_pylist()), np.uint64).reshape(b.num_rows, -1) if b.num_columns > n_ints else np.zeros((b.num_rows, 0), np.uint64))
+        if sum(map(len, held)) >= rows_at_once:
+            rows, more = np.concatenate(held), np.concatenate(kept)
+            cut = int(np.argmax((rows[:, :n_keys] == rows[-1, :n_keys]).all(axis=1)))
+            held, kept = [rows[cut:]], [more[cut:]]
+            if cut:
+                yield rows[:cut], more[:cut]
+    if held:
+        yield np.concatenate(held), np.concatenate(kept)
+
+
+_SHARED = pa.schema([(k, pa.int64()) for k in ("token", "node", "root", "n", "place")])
+
+
+def _mixed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (token, node, root, n, place) sorted by token those whose token nodes of several roots have."""
+    for rows, _ in _whole(batches, 1, 5, 16 * BUCKET):
+        starts = np.flatnonzero(np.append(True, rows[1:, 0] != rows[:-1, 0]))
+        mixed = np.minimum.reduceat(rows[:, 2], starts) != np.maximum.reduceat(rows[:, 2], starts)
+        rows = rows[np.repeat(mixed, np.diff(np.append(starts, len(rows))))]
+        if len(rows):
+            yield table(dict(zip(_SHARED.names, np.ascontiguousarray(rows.T), strict=True)), _SHARED)
+
+
+def _apart(least: float):
+    """Rows (token, a, b, n, node, root, place, mark) sorted by the first four, to pairs of nodes of different roots that may be alike."""
+    schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
+
+    def pairs(rows: np.ndarray, mark: np.ndarray) -> np.ndarray:
+        n, node, root, left = rows[:, 3], rows[:, 4], rows[:, 5], rows[:, 3] - rows[:, 6]
+        starts = np.flatnonzero(np.append(True, (rows[1:, :3] != rows[:-1, :3]).any(axis=1)))
+        stops = np.repeat(np.append(starts[1:], len(rows)), np.diff(np.append(starts, len(rows))))
+        out, i, step = [np.zeros((0, 2), np.int64)], np.arange(len(rows)), 1
+        while len(i := i[i + step < stops[i]]):
+            i = i[n[i + step] * least <= n[i] + 1e-6]  # n ascends in a bucket, so none further on is short enough either
+            x, y = i, i + step
+            some = (root[x] != root[y]) & (np.minimum(left[x], left[y]) * (1 + least) >= (n[x] + n[y]) * least - 1e-6)
+            x, y = x[some], y[some]
+            same = may_be_alike(mark[x], mark[y], least)
+            x, y = node[x[same]], node[y[same]]
+            out.append(np.stack([np.maximum(x, y), np.minimum(x, y)], axis=1))
+            step += 1
+        return np.unique(np.concatenate(out), axis=0)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, mark in _whole(batches, 3, 7, 4 * BUCKET):
+            found = pairs(rows, mark)
+            yield table({"u": np.ascontiguousarray(found[:, 0]), "v": np.ascontiguousarray(found[:, 1])}, schema)
+
+    return run
+
+
+def prefix_pairs(docs: DataFrame, nodes: DataFrame, n: int, roots: DataFrame, size: int, least: float) -> DataFrame:
+    """u, v: all pairs of the n nodes (node, mark) of different roots that may be alike. roots: node, root; others are alone."""
+    rows = shingle_prefixes(docs, size, least, common_shingles(docs, n, size)).join(roots, "node", "left")
+    rows = rows.select("node", F.coalesce("root", "node").alias("root"), "n", F.posexplode("prefix").alias("place", "token")).select(*_SHARED.names)
+    rows = written(arrow_stage(rows.repartition("token").sortWithinPartitions("token"), _mixed, "token bigint, node bigint, root bigint, n bigint, place bigint"), "shared")
+    half = BUCKET // 2
+    large = rows.groupBy("token").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > BUCKET).select("token", F.ceil(F.col("rows") / half).cast("int").alias("chunks"))
+    own = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
+    chunks = F.when(F.col("chunks").isNull(), F.array(F.struct(F.lit(0).alias("a"), F.lit(0).alias("b")))).otherwise(F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda x: F.struct(F.least(x, own).alias("a"), F.greatest(x, own).alias("b"))))
+    dealt = rows.join(large, "token", "left").join(nodes.select("node", "mark"), "node").select("token", "n", "node", "root", "place", "mark", F.inline(chunks))
+    ordered = dealt.repartition("token", "a", "b").sortWithinPartitions("token", "a", "b", "n").select("token", "a", "b", "n", "node", "root", "place", "mark")
+    return arrow_stage(ordered, _apart(least), "u bigint, v bigint").distinct()
+
+
+def verified(docs: DataFrame, reps: DataFrame, pairs: DataFrame, size: int, least: float) -> DataFrame:
+    """The pairs (u, v) whose sets of shingles have at least that resemblance. reps: node and the text_hash of one of its texts."""
+    pairs = written(pairs.where("u <> v").select("u", "v").distinct(), "candidates")
+    wanted = written(reps.join(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct(), "node"), "wanted")
+    # most texts are in no pair; a bitmap of hashes keeps them out before anything is shuffled
+    n_bits = 1 << max(15, 3 + wanted.count().bit_length())
+    bit = F.pmod("text_hash", F.lit(n_bits)) + 1  # the engine's bitmaps begin at 1
+    parts = wanted.groupBy(F.bitmap_bucket_number(bit).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits")).collect()
+    bitmap = np.zeros(n_bits // 8, np.uint8)
+    for r in parts:
+        bitmap[(r.k - 1) * 4096 : r.k * 4096] |= np.frombuffer(r.bits, np.uint8)
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("text_hash", pa.int64()), ("shingles", pa.binary())])
+        for batch in batches:
+            at = batch.column(0).to_numpy() & (n_bits - 1)
+            for b in slices(batch.filter(pa.array((bitmap[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)))):
+                h, ends = distinct_hashes(*shingle_hashes(b.column(1), size))
+                yield table({"text_hash": b.column(0), "shingles": [h[x:y].tobytes() for x, y in zip(ends[:-1], ends[1:], strict=True)]}, schema)
+
+    texts = docs.select(F.xxhash64("text").alias("text_hash"), "text")
+    found = arrow_stage(texts, sets, "text_hash bigint, shingles binary").groupBy("text_hash").agg(F.first("shingles").alias("shingles"))
+    found = written(found.join(wanted, "text_hash").select("node", "shingles"), "sets")
+
+    def hold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            same = []
+            for x, y in zip(b.column(2), b.column(3), strict=True):
+                p, q = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
+                both = len(np.intersect1d(p, q, assume_unique=True))
+                same.append(both >= least * (len(p) + len(q) - both) - 1e-9)
+            kept = b.filter(pa.array(same, pa.bool_()))
+            yield table({"u": kept.column(0), "v": kept.column(1)}, pa.schema([("u", pa.int64()), ("v", pa.int64())]))
+
+    both = pairs.join(found.select(F.col("node").alias("u"), F.col("shingles").alias("p")), "u").join(found.select(F.col("node").alias("v"), F.col("shingles").alias("q")), "v")
+    return written(arrow_stage(both.select("u", "v", "p", "q"), hold, "u bigint, v bigint"), "links")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -318,10 +497,15 @@ def grouped(docs: DataFrame, size: int = 4) -> DataFrame:
 
 
 def alike(docs: DataFrame, size: int, least: float) -> DataFrame:
-    """Groups of links of at least `least` resemblance."""
-    rows = written(fingerprints(docs, size, True).withColumn("node", F.xxhash64("fp", "sketch")), "fingerprints")
-    distinct = written(rows.groupBy("node", "fp", "sketch").agg(F.min("doc_id").alias("least")), "distinct")
-    return _rooted(rows.drop("sketch"), distinct.select("node", "least"), alike_pairs(distinct, least))
+    """Groups of links of at least `least` resemblance of the sets of shingles; all of them, and no others."""
+    rows = written(marked(docs, size), "fingerprints")
+    distinct = written(rows.groupBy("node").agg(F.min("fp").alias("fp"), F.first("mark").alias("mark"), F.min("text_hash").alias("text_hash"), F.min("doc_id").alias("least")), "distinct")
+    n, reps = distinct.count(), distinct.select("node", "text_hash")
+    first = written(close_pairs(distinct, n, least), "close")
+    roots = components(first)
+    roots = roots.unionByName(roots.select(F.col("root").alias("u"), "root").distinct()).withColumnRenamed("u", "node")
+    rest = verified(docs, reps, prefix_pairs(docs, distinct, n, roots, size, least), size, least)
+    return _rooted(rows.drop("mark"), distinct.select("node", "least"), first.unionByName(rest))
 
 
 def near_duplicates(docs: DataFrame, size: int = 4) -> DataFrame:

@@ -353,3 +353,37 @@ def test_alike(spark):
     assert linked >= 0.95 * 180
     assert all(got[i] != got[i - 4] for i in range(300) if family[i] < 0)
     assert len({got[i] for i in range(0, 300, 5)}) == 60
+
+
+def resembling(seed: int) -> list[str]:
+    """Texts with 0 to 12 changed words of some base, most of them near a resemblance of 0.8, short and long; half have a common passage."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    passage, out = [word() for _ in range(12)], []
+    for f in range(25):
+        base = [word() for _ in range(rng.choice([3, 30, 60, 200, 400]))]
+        base = base[:20] + passage + base[20:] if f % 2 else base
+        for _ in range(12):
+            w = base[:]
+            for i in rng.sample(range(len(w)), min(len(w), rng.randint(0, 1 + len(w) // 25))):
+                w[i] = word()
+            out.append(" ".join(w))
+    return [*out, *out[:5], "", " "]
+
+
+def links_of(texts: list[str], size: int = 5, least: float = 0.8) -> list[tuple[int, int]]:
+    sets = []
+    for t in texts:
+        w = t.split()
+        sets.append({tuple(w[i : i + size]) for i in range(max(1, len(w) - size + 1))} if w else set())
+    return [(i, j) for j in range(len(sets)) for i in range(j) if not (sets[i] | sets[j]) or len(sets[i] & sets[j]) >= least * len(sets[i] | sets[j])]
+
+
+@pytest.mark.parametrize("bucket", [simhash.BUCKET, 16])
+def test_alike_finds_all(spark, bucket, monkeypatch):
+    """No pair of a resemblance of 0.8 or more stays apart, however far apart the fingerprints are."""
+    monkeypatch.setattr(simhash, "BUCKET", bucket)
+    texts = resembling(11)
+    got = {r.doc_id: r.root for r in simhash.alike(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 5, 0.8).collect()}
+    pairs = links_of(texts)
+    assert len(got) == len(texts) and [(i, j) for i, j in pairs if got[i] != got[j]] == []
