@@ -501,7 +501,7 @@ def alike(docs: DataFrame, size: int, least: float) -> DataFrame:
     rows = written(marked(docs, size), "fingerprints")
     distinct = written(rows.groupBy("node").agg(F.min("fp").alias("fp"), F.first("mark").alias("mark"), F.min("text_hash").alias("text_hash"), F.min("doc_id").alias("least")), "distinct")
     n, reps = distinct.count(), distinct.select("node", "text_hash")
-    first = written(close_pairs(distinct, n, least), "close")
+    first = verified(docs, reps, close_pairs(distinct, n, least), size, least)
     roots = components(first)
     roots = roots.unionByName(roots.select(F.col("root").alias("u"), "root").distinct()).withColumnRenamed("u", "node")
     rest = verified(docs, reps, prefix_pairs(docs, distinct, n, roots, size, least), size, least)

@@ -387,3 +387,14 @@ def test_alike_finds_all(spark, bucket, monkeypatch):
     got = {r.doc_id: r.root for r in simhash.alike(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 5, 0.8).collect()}
     pairs = links_of(texts)
     assert len(got) == len(texts) and [(i, j) for i, j in pairs if got[i] != got[j]] == []
+
+
+def test_alike_links_no_others(spark):
+    """Groups are those of the pairs of a resemblance of 0.8 or more, not a hundredth less."""
+    texts = resembling(12)
+    got = {r.doc_id: r.root for r in simhash.alike(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 5, 0.8).collect()}
+    root = list(range(len(texts)))
+    for i, j in links_of(texts):
+        a, b = root[i], root[j]
+        root = [min(a, b) if r in (a, b) else r for r in root]
+    assert len({(got[i], root[i]) for i in got}) == len(set(root)) == len(set(got.values()))
