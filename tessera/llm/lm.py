@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm._common import arrow_stage, slices, table, words, written
 
-#: In production; disk grows with it, as nearly every n-gram of three words is a new one.
+#: Of op4_lm_scores, as its SQL has it; op4_trigram_scores takes 3. Disk grows with it, as nearly every n-gram of three words is a new one.
 ORDER = 2
 BACKOFF = 0.4
 #: Bytes of text in a block.

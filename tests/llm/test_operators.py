@@ -398,3 +398,28 @@ def test_alike_links_no_others(spark):
         a, b = root[i], root[j]
         root = [min(a, b) if r in (a, b) else r for r in root]
     assert len({(got[i], root[i]) for i in got}) == len(set(root)) == len(set(got.values()))
+
+
+def test_trigram_scores(spark, sf_dir, docs):
+    """The registered query of three words against brute force: the longest context seen elsewhere, BACKOFF for each given up."""
+    import math
+    from collections import Counter
+
+    w = [brute.words(t) for _, t, _ in docs]
+    grams = lambda d: Counter(tuple(d[i : i + k]) for k in (1, 2, 3) for i in range(len(d) - k + 1))
+    every, total, expected = sum((grams(d) for d in w), Counter()), sum(map(len, w)), []
+    for (i, _, _), d in zip(docs, w, strict=True):
+        own, logs, back = grams(d), [], 0
+        left = lambda g: every[g] - own[g]  # noqa: B023, E731
+        for k, x in enumerate(d):
+            s = left((x,)) / (total - len(d)) if left((x,)) else 1 / (total - len(d) + 1)
+            for c in range(1, min(k, 2) + 1):
+                g = tuple(d[k - c : k + 1])
+                s = left(g) / left(g[:-1]) if left(g) else lm.BACKOFF * s
+            back += not any(left(tuple(d[k - c : k + 1])) for c in range(1, min(k, 2) + 1))
+            logs.append(math.log10(s))
+        expected.append((i is None, i, len(d), back, sum(logs) / len(d) if d else 9))
+    got = [(r.doc_id is None, r.doc_id, r.n_words, r.n_backed_off, 9 if r.lm_score is None else r.lm_score) for r in Q.QUERIES["op4_trigram_scores"](spark, sf_dir).collect()]
+    order = lambda x: repr(x[:4])
+    for a, b in zip(sorted(got, key=order), sorted(expected, key=order), strict=True):
+        assert a[:4] == b[:4] and a[4] == pytest.approx(b[4], abs=2e-6)
