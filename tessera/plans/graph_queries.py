@@ -469,15 +469,14 @@ def vec_gate(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def alg_betweenness(spark: SparkSession, d: str) -> DataFrame:
-    g = graph(spark, d, ("LOCATED_IN", "IN_REGION", "SUPPLIED_BY"))
-    small = G.subgraph(g, ["Supplier", "Nation", "Region"])
-    return algorithms.betweenness(small.nodes, small.edges)
+    g = graph(spark, d)
+    return algorithms.betweenness(g.nodes, g.edges)
 
 
 @query()
 def alg_closeness(spark: SparkSession, d: str) -> DataFrame:
     pairs = trade_pairs(spark, d)
-    both = pairs.select(F.col("a").alias("src"), F.col("b").alias("dst")).unionByName(pairs.select(F.col("b").alias("src"), F.col("a").alias("dst"))).where("src not like 'par%' and dst not like 'par%'")
+    both = pairs.select(F.col("a").alias("src"), F.col("b").alias("dst")).unionByName(pairs.select(F.col("b").alias("src"), F.col("a").alias("dst")))
     return algorithms.closeness(both.select(F.col("src").alias("id")).distinct(), both)
 
 

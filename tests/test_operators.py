@@ -169,3 +169,40 @@ def test_stream(spark, tmp_path):
         merge_edges(spark, str(tmp_path / "in"), str(tmp_path / "t"), str(tmp_path / "cp")).awaitTermination()
         got = {(r.src, r.dst): r.properties for r in current(spark, str(tmp_path / "t")).collect()}
         assert len(got) == i + 1 and got["a", "b"] == {"v": "1"}
+
+
+def test_kernels_against_brute_force(spark):
+    """Betweenness and closeness of a strongly connected random graph, by counting all shortest paths."""
+    import random
+    from collections import deque
+
+    rng = random.Random(5)
+    ids = [f"n{i:02}" for i in range(14)]
+    e = sorted({(ids[i], ids[(i + 1) % 14]) for i in range(14)} | {tuple(rng.sample(ids, 2)) for _ in range(25)})
+    to = {x: [b for a, b in e if a == x] for x in ids}
+    dist, count = {}, {}
+    for s in ids:
+        dist[s, s], count[s, s], queue = 0, 1, deque([s])
+        while queue:
+            v = queue.popleft()
+            for w in to[v]:
+                if (s, w) not in dist:
+                    dist[s, w], count[s, w] = dist[s, v] + 1, 0
+                    queue.append(w)
+                if dist[s, w] == dist[s, v] + 1:
+                    count[s, w] += count[s, v]
+    between = {v: sum(count[s, v] * count[v, t] / count[s, t] for s in ids for t in ids if len({s, t, v}) == 3 and dist[s, v] + dist[v, t] == dist[s, t]) / (13 * 12) for v in ids}
+    n, edges = spark.createDataFrame([(x,) for x in ids], "id string"), spark.createDataFrame(e, "src string, dst string")
+    assert {r.id: r.betweenness for r in A.betweenness(n, edges).collect()} == pytest.approx(between)
+    assert {r.id: r.closeness for r in A.closeness(n, edges).collect()} == pytest.approx({v: 13 / sum(dist[s, v] for s in ids) for v in ids})
+
+
+def test_kernels_see_the_whole_graph(spark):
+    """The registered queries leave out no kind of node."""
+    from tests.conftest import DATA
+    from tessera.plans import graph_queries, tables  # noqa: F401
+
+    kinds = lambda name, column: {r.id[:3]: r[column] for r in tables.QUERIES[name](spark, DATA).orderBy(column).collect()}
+    between = kinds("alg_betweenness", "betweenness")
+    assert set(between) == {"cus", "sup", "par", "nat", "reg", "ord"} and between["ord"] > 0  # nothing leads to a customer
+    assert set(kinds("alg_closeness", "closeness")) == {"par", "sup", "nat"}
