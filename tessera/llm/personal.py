@@ -37,7 +37,7 @@ KINDS = [
     Kind("phone", r"\+[0-9][ ().0-9-]+[0-9]", 0.6, r"phone|call|tel\b|mobile|fax|contact"),
     Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])", 0.9, r"iban|account|bank|transfer"),
     Kind("ssn", r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])", 0.4, r"ssn|social|security"),
-    Kind("secret", r"(?<![A-Za-z0-9_])(?:token|secret|password|passwd|api_key|apikey)[ ]{0,3}[=:][ ]{0,3}\"[^\"\n]{12,200}\"", 0.8, r"key|secret|login|auth"),
+    Kind("secret", r"(?<![A-Za-z0-9_])(?:token|secret|password|passwd|api_key|apikey)[ ]{0,3}[=:][ ]{0,3}\"[^\"\n]{12,}+\"", 0.8, r"key|secret|login|auth"),
 ]
 BASE = ("email", "ip", "card", "phone")
 

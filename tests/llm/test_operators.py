@@ -423,3 +423,10 @@ def test_trigram_scores(spark, sf_dir, docs):
     order = lambda x: repr(x[:4])
     for a, b in zip(sorted(got, key=order), sorted(expected, key=order), strict=True):
         assert a[:4] == b[:4] and a[4] == pytest.approx(b[4], abs=2e-6)
+
+
+def test_long_secrets(spark):
+    """A quoted secret is found at any length."""
+    rows = [(n, f'token = "{"aB3" * n}"') for n in (10, 66, 67, 500, 5000)]
+    found = personal.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: [x.kind for x in r.found] for r in found} == {n: ["secret"] for n, _ in rows}
