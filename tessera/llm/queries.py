@@ -54,18 +54,20 @@ def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bytes covered by 400-byte strings that occur again are removed from every text."""
+    """Bytes covered by 400-byte strings that occur again are removed from every text; n_passage tells the bytes in repeats of 256 or more."""
     docs = documents(spark, sf_dir)
-    rows = suffixes.with_spans(docs, suffixes.repeats(docs))
-    schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
+    rows = suffixes.with_spans(docs, suffixes.repeats(docs, (suffixes.PASSAGE, suffixes.LENGTH)))
+    schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("n_passage", pa.int64())])
 
     def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = [x.as_py() or b"" for x in b.column(1).cast(pa.large_binary())]
-            kept = [suffixes.without_spans(t, x.as_py()) for t, x in zip(texts, b.column(2), strict=True)]
-            yield table({"doc_id": b.column(0), "n_bytes": [len(t) for t in texts], "n_removed": [x[1] for x in kept], "n_spans": [x[2] for x in kept], "kept_sha256": [hashlib.sha256(x[0]).hexdigest() for x in kept]}, schema)
+            spans = [x.as_py() or [] for x in b.column(2)]
+            kept = [suffixes.without_spans(t, [x for x in each if x["length"] == suffixes.LENGTH]) for t, each in zip(texts, spans, strict=True)]
+            passages = [int(suffixes.covered(len(t), [x for x in each if x["length"] == suffixes.PASSAGE]).sum()) for t, each in zip(texts, spans, strict=True)]
+            yield table({"doc_id": b.column(0), "n_bytes": [len(t) for t in texts], "n_removed": [x[1] for x in kept], "n_spans": [x[2] for x in kept], "kept_sha256": [hashlib.sha256(x[0]).hexdigest() for x in kept], "n_passage": passages}, schema)
 
-    return arrow_stage(rows, digests, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
+    return arrow_stage(rows, digests, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, n_passage bigint")
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

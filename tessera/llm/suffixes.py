@@ -1,33 +1,44 @@
 """Removal of long repeated substrings, by suffix arrays over the places that can repeat.
 
-A LENGTH-byte string can only repeat where its smallest K-byte gram does (winnowing: the gram and its place depend on
-the string alone). So each run of window starts with one smallest gram, its anchor, gives one context: the bytes of
-those windows. Equal contexts are counted before anything moves; contexts that share an anchor's gram but differ
-are brought together in shards, and a suffix array of each shard tells which of their windows repeat: suffixes
-smaller than their successors are sorted directly, the others are induced by scanning buckets by first byte,
-and adjacent common prefixes of LENGTH bytes are repeats.
+A string can only repeat where its smallest K-byte gram does (winnowing: the gram and its place depend on the string
+alone). So each run of windows with one smallest gram, its anchor, gives one context: the bytes of those windows.
+Anchors are those of windows of the shortest length asked for; a longer window goes by the anchor of its beginning.
+
+Windows that are equal have their anchor at one place. Those whose anchor stands in their first half all hold the bytes to
+its right, those of the other half those to its left: such a core, by hash, tells before any bytes move which contexts can
+have a window in common. Equal contexts are counted. Contexts that differ but share a core are brought together, and a
+suffix array of each shard tells which of their windows repeat: suffixes smaller than their successors are
+sorted directly, the others are induced by scanning buckets by first byte, and adjacent common prefixes of a whole
+window are repeats. Where more contexts share a core than a shard takes, the places of the anchor are halved: the cores
+get longer, equal pieces are counted, pieces with a core of their own are done, and what is left is halved again. At one
+place the core is the window itself. So a group of any size is split, and each row goes on only with what is still open.
 
 Texts are UTF-8 bytes. Cases: null and empty texts have no bytes; overlapping repeats count, in one text too;
-repeated rows are repeats of each other; texts shorter than LENGTH lose nothing; an empty table gives an empty result.
+repeated rows are repeats of each other; texts shorter than the length lose nothing; of a very long text only the pieces in
+question are moved, and a slice of bytes at a time is read (a text over SLICE comes alone); columns other than doc_id
+and text are not looked at, whatever they are called; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm._common import arrow_stage, slices, table, text_bytes, written
 
 LENGTH = 400
+#: Bytes of a passage of some fifty words, whose repeats are told beside.
+PASSAGE = 256
 #: Bytes of the grams that anchor windows.
 GRAM = 32
-#: Contexts of one gram up to which they share a shard; those of more are taken apart into windows.
-SHARD_CONTEXTS = 1000
+#: Different pieces with one core that share a shard; more are halved first.
+SHARD_PIECES = 1000
 #: Bytes of contexts that a suffix array is made of at once.
 SHARD_BYTES = 1 << 19
 
@@ -75,23 +86,52 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndar
     return row[first], start[first], start[last], place[first], h[place[first]].view(np.int64)
 
 
-PLACES = "gram bigint, context bigint, doc_id bigint, text_hash bigint, start bigint, windows int, anchor int"
-_PLACES = pa.schema([("gram", pa.int64()), ("context", pa.int64()), ("doc_id", pa.int64()), ("text_hash", pa.int64()), ("start", pa.int64()), ("windows", pa.int32()), ("anchor", pa.int32())])
+_PLACES = pa.schema([(k, pa.int64()) for k in ("gram", "left", "right", "context", "doc_id", "text_hash", "start", "last")] + [(k, pa.int32()) for k in ("times", "windows", "size", "anchor")])
+PLACES = "gram bigint, left bigint, right bigint, context bigint, doc_id bigint, text_hash bigint, start bigint, last bigint, times int, windows int, size int, anchor int"
+#: A context by hashes of its bytes and of its cores (0: no window has that core).
+CONTEXT = ["left", "right", "context"]
 
 
-def places(docs: DataFrame, length: int) -> DataFrame:
-    """A row for each anchor: the hashes of its gram and of its context, where that starts, its number of windows, and the anchor's place in it."""
+def half(shortest: int) -> int:
+    """Bytes before the anchor up to which a window counts by the core to the right."""
+    return (shortest - GRAM) // 2
+
+
+def core_seed(length: int, low: int, high: int) -> int:
+    return (length << 40) | (low << 20) | high
+
+
+def places(docs: DataFrame, lengths: tuple[int, ...]) -> DataFrame:
+    """A row for each anchor: hashes of its gram, cores and context, where that starts, its windows (of the shortest length), bytes, and the anchor's place in it.
+
+    Places of a text one after another with equal contexts (a text that repeats itself) are one row: `times` of them, from `start` to `last`.
+    """
+    shortest, longest = min(lengths), max(lengths)
+    mid, span = half(shortest), shortest - GRAM
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digest = xxhash.xxh3_64_digest
         for batch in batches:
             for b in slices(batch, "text", SLICE):
                 data, offsets = text_bytes(b.column(2))
-                row, a, z, p, gram = anchors(data, offsets, length)
-                raw, digest = data.tobytes(), xxhash.xxh3_64_digest
-                seeds = (p - a).tolist()
-                context = b"".join([digest(raw[x:y], s) for x, y, s in zip(a.tolist(), (z + length).tolist(), seeds, strict=True)])
+                row, a, z, p, gram = anchors(data, offsets, shortest)
+                raw, stop = data.tobytes(), np.minimum(z + longest, offsets[row + 1])
+                seeds = ((p - a) << 20) | (z - a)
+                context = np.frombuffer(b"".join([digest(raw[x:y], s) for x, y, s in zip(a.tolist(), stop.tolist(), seeds.tolist(), strict=True)]), "<i8")
+                new = np.ones(len(a), bool)
+                new[1:] = (context[1:] != context[:-1]) | (gram[1:] != gram[:-1]) | (row[1:] != row[:-1])
+                first = np.flatnonzero(new)
+                last = a[np.append(first[1:], len(a)) - 1] if len(a) else a
+                times = np.diff(np.append(first, len(a)))
+                row, a, z, p, gram, stop, context = (x[first] for x in (row, a, z, p, gram, stop, context))
+                right, left = np.zeros(len(a), np.int64), np.zeros(len(a), np.int64)
+                for out, some, before, seed in ((right, p - z <= mid, 0, core_seed(shortest, 0, mid)), (left, p - a > mid, mid + 1, core_seed(shortest, mid + 1, span))):
+                    at = p[some] - before
+                    size = shortest - mid if not before else shortest - span + mid + 1
+                    out[some] = np.frombuffer(b"".join([digest(raw[x : x + size], seed) for x in at.tolist()]), "<i8")
                 ids, hashes = (b.column(i).take(pa.array(row)) for i in (0, 1))
-                yield table({"gram": gram, "context": np.frombuffer(context, "<i8"), "doc_id": ids, "text_hash": hashes, "start": a - offsets[row], "windows": (z - a + 1).astype(np.int32), "anchor": (p - a).astype(np.int32)}, _PLACES)
+                ints = {"times": times, "windows": z - a + 1, "size": stop - a, "anchor": p - a}
+                yield table({"gram": gram, "left": left, "right": right, "context": context, "doc_id": ids, "text_hash": hashes, "start": a - offsets[row], "last": last - offsets[row]} | {k: x.astype(np.int32) for k, x in ints.items()}, _PLACES)
 
     return arrow_stage(rows_of(docs), run, PLACES)
 
@@ -228,96 +268,157 @@ def ranges(hit: np.ndarray) -> list[dict[str, int]]:
     return [{"a": int(a), "b": int(b)} for a, b in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1), strict=True)]
 
 
-_SEGMENTS = pa.schema([("gram", pa.int64()), ("context", pa.int64()), ("single", pa.bool_()), ("windows", pa.int32()), ("segment", pa.binary()), ("window", pa.int32()), ("k1", pa.int64()), ("k2", pa.int64())])
-SEGMENTS = "gram bigint, context bigint, single boolean, windows int, segment binary, window int, k1 bigint, k2 bigint"
+#: A piece: the windows of a context whose anchor has `low` to `high` bytes before it, the hash of what they all hold and that of the
+#: whole piece. `shift` is its first window's place in the context, `lead` the bytes before the anchor there.
+_PIECES = pa.schema([("length", pa.int32()), ("low", pa.int32()), ("high", pa.int32()), ("core", pa.int64()), ("piece", pa.int64()), ("single", pa.bool_()), ("left", pa.int64()), ("right", pa.int64()), ("context", pa.int64()), ("shift", pa.int32()), ("windows", pa.int32()), ("lead", pa.int32()), ("bytes", pa.binary())])
+PIECES = "length int, low int, high int, core bigint, piece bigint, single boolean, left bigint, right bigint, context bigint, shift int, windows int, lead int, bytes binary"
+CORE = ["length", "low", "core"]
 
 
-def _cut(length: int):
-    """The bytes of the contexts asked for; of crowded grams a row for each window instead, with its 128-bit hash."""
+def piece(text: bytes, anchor: int, length: int, low: int, high: int, most: int, least: int) -> tuple[int, int, int, bytes] | None:
+    """Of text's windows whose anchor has `least` to `most` bytes before it those of `low` to `high`: core, piece, most, bytes."""
+    most, least = min(most, high), max(least, low, anchor + length - len(text))
+    if least > most:
+        return None
+    core = xxhash.xxh3_64_intdigest(text[anchor - low : anchor - high + length], core_seed(length, low, high))
+    own = text[anchor - most : anchor - least + length]
+    return _signed(core), _signed(xxhash.xxh3_64_intdigest(own, (most << 20) | (most - least))), most, own
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
+def _batches(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+    held: list[tuple] = []
+    size = 0
+    for r in rows:
+        held.append(r)
+        size += len(r[-1]) + 100
+        if size > SHARD_BYTES:
+            yield table(dict(zip(_PIECES.names, map(list, zip(*held, strict=True)), strict=True)), _PIECES)
+            held, size = [], 0
+    if held:
+        yield table(dict(zip(_PIECES.names, map(list, zip(*held, strict=True)), strict=True)), _PIECES)
+
+
+def _cut(lengths: tuple[int, ...]):
+    """Texts with the contexts asked for, to the pieces of those for each length."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in batches:
-            rows: list[tuple] = []
             for text, wanted in zip(batch.column(0).cast(pa.large_binary()), batch.column(1), strict=True):
                 raw = text.as_py()
                 for x in wanted.as_py():
-                    at, n = x["start"], x["windows"]
-                    if not x["crowded"]:
-                        rows.append((x["gram"], x["context"], x["single"], n, raw[at : at + n - 1 + length], None, None, None))
-                        continue
-                    for w in range(n):
-                        key = xxhash.xxh3_128_digest(raw[at + w : at + w + length])
-                        rows.append((x["gram"], x["context"], x["single"], n, None, w, int.from_bytes(key[:8], "little", signed=True), int.from_bytes(key[8:], "little", signed=True)))
-                if len(rows) > 20_000:
-                    yield table(dict(zip(_SEGMENTS.names, map(list, zip(*rows, strict=True)), strict=True)), _SEGMENTS)
-                    rows = []
-            if rows:
-                yield table(dict(zip(_SEGMENTS.names, map(list, zip(*rows, strict=True)), strict=True)), _SEGMENTS)
+                    own = raw[x["start"] : x["start"] + x["size"]]
+                    for length in lengths:
+                        if got := piece(own, x["anchor"], length, x["low"], x["high"], x["anchor"], x["anchor"] - x["windows"] + 1):
+                            core, name, most, part = got
+                            yield length, x["low"], x["high"], core, name, x["single"], x["left"], x["right"], x["context"], x["anchor"] - most, len(part) - length + 1, most, part
 
-    return run
+    return lambda batches: _batches(rows(batches))
 
 
-_RANGES = pa.schema([("gram", pa.int64()), ("context", pa.int64()), ("ranges", pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])))])
-RANGES = "gram bigint, context bigint, ranges array<struct<a:int,b:int>>"
+def _halved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each piece as two, by the bytes before the anchor."""
 
+    def rows() -> Iterator[tuple]:
+        for b in batches:
+            for x in b.to_pylist():
+                mid = (x["low"] + x["high"]) // 2
+                for low, high in ((x["low"], mid), (mid + 1, x["high"])):
+                    if got := piece(x["bytes"], x["lead"], x["length"], low, high, x["lead"], x["lead"] - x["windows"] + 1):
+                        core, name, most, part = got
+                        yield x["length"], low, high, core, name, x["single"], x["left"], x["right"], x["context"], x["shift"] + x["lead"] - most, len(part) - x["length"] + 1, most, part
 
-def _shards(length: int):
-    """Contexts sorted by gram, to the repeated windows of those that occur once. Grams stay whole within a shard."""
+    return _batches(rows())
 
-    def solve(rows: list[dict]) -> pa.RecordBatch:
-        hits = repeated_windows([x["segment"] for x in rows], np.array([x["windows"] for x in rows]), length)
-        mine = [(x, r) for x, hit in zip(rows, hits, strict=True) if x["single"] and (r := ranges(hit))]
-        return table({"gram": [x["gram"] for x, _ in mine], "context": [x["context"] for x, _ in mine], "ranges": [r for _, r in mine]}, _RANGES)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[dict] = []
-        size = 0
-        for batch in batches:
-            for x in batch.to_pylist():
-                if size > SHARD_BYTES and x["gram"] != held[-1]["gram"]:
-                    yield solve(held)
-                    held, size = [], 0
-                held.append(x)
-                size += len(x["segment"])
-        if held:
-            yield solve(held)
-
-    return run
-
-
-def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """doc_id, text_hash, spans: for each text with repeated strings, the byte ranges that they cover (may overlap)."""
-    docs = rows_of(docs)
-    placed = written(places(docs, length), "places")
-    whole = placed.groupBy("gram", "context").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "text_hash", "start", "windows")).alias("at"))
-    whole = written(whole, "contexts")
-    shared = whole.groupBy("gram").agg(F.count(F.lit(1)).alias("contexts")).where("contexts > 1")
-    wanted = whole.join(shared, "gram").select("at.doc_id", "at.text_hash", F.struct("gram", "context", (F.col("n") == 1).alias("single"), "at.start", "at.windows", (F.col("contexts") > SHARD_CONTEXTS).alias("crowded")).alias("x"))
-    wanted = wanted.groupBy(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash")).agg(F.collect_list("x").alias("wanted"))
-    cut = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("text_hash") == F.col("_hash"))).select("text", "wanted")
-    segments = written(arrow_stage(cut, _cut(length), SEGMENTS), "segments")
-    sharded = segments.where("segment is not null").select("gram", "context", "single", "windows", "segment").repartition("gram").sortWithinPartitions("gram", "context")
-    by_array = arrow_stage(sharded, _shards(length), RANGES)
-    windows = segments.where("segment is null").select("gram", "context", "single", "window", "k1", "k2")
-    again = windows.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    hits = windows.where("single").join(again, ["k1", "k2"]).select("gram", "context", "window").distinct()
-    runs = hits.withColumn("run", F.col("window") - F.row_number().over(Window.partitionBy("gram", "context").orderBy("window")))  # at most `length` rows each
-    runs = runs.groupBy("gram", "context", "run").agg(F.min("window").alias("a"), (F.max("window") + 1).alias("b"))
-    crowded = runs.groupBy("gram", "context").agg(F.collect_list(F.struct("a", "b")).alias("ranges"))
-    known = whole.where("n > 1").select("gram", "context", F.array(F.struct(F.lit(0).alias("a"), F.col("at.windows").alias("b"))).alias("ranges"))
-    found = known.unionByName(by_array).unionByName(crowded)
-    spans = placed.join(found, ["gram", "context"]).select("doc_id", "text_hash", F.inline(F.transform("ranges", lambda r: F.struct((F.col("start") + r["a"]).alias("a"), (F.col("start") + r["b"] - 1 + length).alias("b")))))
-    return spans.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
+_HITS = pa.schema([("left", pa.int64()), ("right", pa.int64()), ("context", pa.int64()), ("length", pa.int32()), ("a", pa.int32()), ("b", pa.int32())])
+HITS = "left bigint, right bigint, context bigint, length int, a int, b int"
+
+
+def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pieces sorted by core, to the repeated windows of those that occur once. Cores stay whole within a shard."""
+
+    def solve(rows: list[dict]) -> pa.RecordBatch:
+        out: list[tuple] = []
+        for length in {x["length"] for x in rows}:
+            own = [x for x in rows if x["length"] == length]
+            hits = repeated_windows([x["bytes"] for x in own], np.array([x["windows"] for x in own]), length)
+            out += [(x["left"], x["right"], x["context"], length, x["shift"] + r["a"], x["shift"] + r["b"]) for x, hit in zip(own, hits, strict=True) if x["single"] for r in ranges(hit)]
+        return table(dict(zip(_HITS.names, map(list, zip(*out, strict=True)), strict=True)) if out else {k: [] for k in _HITS.names}, _HITS)
+
+    held: list[dict] = []
+    size = 0
+    for batch in batches:
+        for x in batch.to_pylist():
+            if size > SHARD_BYTES and any(x[k] != held[-1][k] for k in CORE):
+                yield solve(held)
+                held, size = [], 0
+            held.append(x)
+            size += len(x["bytes"])
+    if held:
+        yield solve(held)
+
+
+def settled(pieces: DataFrame) -> DataFrame:
+    """The repeated windows (from a to before b) of each context that occurs once."""
+    found = []
+    while True:
+        pieces = written(pieces, "pieces")
+        own = F.struct("high", "left", "right", "context", "shift", "windows", "lead", "bytes")
+        distinct = pieces.groupBy(*CORE, "piece").agg(((F.count(F.lit(1)) == 1) & F.bool_and("single")).alias("single"), F.first(own).alias("own"))
+        distinct = written(distinct, "distinct")
+        open_cores = distinct.groupBy(*CORE).agg(F.count(F.lit(1)).alias("members"), F.bool_or("single").alias("open")).where("members > 1 and open").select(*CORE, "members")
+        open_cores = written(open_cores, "cores")
+        again = distinct.where("not single").select(*CORE, "piece")
+        found.append(pieces.where("single").join(again, [*CORE, "piece"]).select("left", "right", "context", "length", F.col("shift").alias("a"), (F.col("shift") + F.col("windows")).alias("b")))
+        few, many = (distinct.join(open_cores.where(which), CORE).select("length", "low", "own.high", "core", "piece", "single", *[f"own.{k}" for k in ("left", "right", "context", "shift", "windows", "lead", "bytes")]) for which in (F.col("members") <= SHARD_PIECES, F.col("members") > SHARD_PIECES))
+        found.append(arrow_stage(few.repartition(*CORE).sortWithinPartitions(*CORE), _shards, HITS))
+        if open_cores.where(F.col("members") > SHARD_PIECES).isEmpty():
+            break
+        pieces = arrow_stage(many, _halved, PIECES)
+    return reduce(DataFrame.unionByName, found)
+
+
+def repeats(docs: DataFrame, lengths: tuple[int, ...] = (LENGTH,)) -> DataFrame:
+    """doc_id, text_hash, spans: for each text with repeated strings of a length, that and the byte ranges that they cover (may overlap)."""
+    docs, shortest = rows_of(docs), min(lengths)
+    mid, span = half(shortest), shortest - GRAM
+    placed = written(places(docs, lengths), "places")
+    grams = placed.groupBy("gram").agg(F.sum("times").alias("n")).where("n > 1").select("gram")
+    placed = written(placed.join(grams, "gram").drop("gram"), "shared")
+    at = F.min(F.struct("doc_id", "text_hash", "start", "windows", "size", "anchor"))
+    whole = written(placed.groupBy(*CONTEXT).agg(F.sum("times").alias("n"), at.alias("at")), "contexts")
+    here = whole.select(*CONTEXT, (F.col("n") == 1).alias("single"), "at.*")
+    right = here.where(F.col("anchor") - F.col("windows") + 1 <= mid).select("*", F.col("right").alias("core"), F.lit(0).alias("low"), F.lit(mid).alias("high"))
+    left = here.where(F.col("anchor") > mid).select("*", F.col("left").alias("core"), F.lit(mid + 1).alias("low"), F.lit(span).alias("high"))
+    sides = right.unionByName(left)
+    contested = sides.groupBy("low", "core").agg(F.count(F.lit(1)).alias("members"), F.bool_or("single").alias("open")).where("members > 1 and open").select("low", "core")
+    wanted = sides.join(contested, ["low", "core"]).groupBy(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash")).agg(F.collect_list(F.struct("low", "high", "single", *CONTEXT, "start", "windows", "size", "anchor")).alias("wanted"))
+    cut = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("text_hash") == F.col("_hash"))).select("text", "wanted")  # a row that repeats has no context that occurs once
+    hits = settled(arrow_stage(cut, _cut(lengths), PIECES)).groupBy(*CONTEXT).agg(F.collect_list(F.struct("length", "a", "b")).alias("ranges"))
+    n_of = lambda length: F.least(F.col("at.windows"), F.col("at.size") - length + 1)
+    known = whole.where("n > 1").select(*CONTEXT, F.filter(F.array(*[F.struct(F.lit(x).alias("length"), F.lit(0).alias("a"), n_of(x).alias("b")) for x in lengths]), lambda r: r["b"] > 0).alias("ranges"))
+    found = known.unionByName(hits)
+    spans = placed.join(found, CONTEXT).select("doc_id", "text_hash", F.inline(F.transform("ranges", lambda r: F.struct(r["length"].alias("length"), (F.col("start") + r["a"]).alias("a"), (F.col("last") + r["b"] - 1 + r["length"]).alias("b")))))
+    return spans.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("length", "a", "b")).alias("spans"))
+
+
+def covered(n: int, spans: list[dict]) -> np.ndarray:
+    """Which of n bytes some span covers."""
+    edge = np.zeros(n + 1, np.int32)
+    np.add.at(edge, [x["a"] for x in spans], 1)
+    np.add.at(edge, [x["b"] for x in spans], -1)
+    return np.cumsum(edge[:-1]) > 0
 
 
 def without_spans(text: bytes, spans: list[dict] | None) -> tuple[bytes, int, int]:
     """What is left of a text, the number of bytes that go, and the number of maximal runs of them."""
     if not spans:
         return text, 0, 0
-    gone = np.zeros(len(text) + 1, np.int32)
-    np.add.at(gone, [x["a"] for x in spans], 1)
-    np.add.at(gone, [x["b"] for x in spans], -1)
-    gone = np.cumsum(gone[:-1]) > 0
+    gone = covered(len(text), spans)
     kept = np.frombuffer(text, np.uint8)[~gone].tobytes()
     return kept, len(text) - len(kept), int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
 

@@ -207,14 +207,35 @@ def test_licenses(spark, sf_dir):
     assert {r.doc_id: (r.labels, r.score) for r in licenses.scan(line).collect()} == {1: (["gpl-3"], 1.0), 2: ([], 0.0)}
 
 
-@pytest.mark.parametrize("crowd", [suffixes.SHARD_CONTEXTS, 1])
+@pytest.mark.parametrize("crowd", [suffixes.SHARD_PIECES, 3, 1])
 def test_suffixes(spark, sf_dir, docs, crowd, monkeypatch):
-    monkeypatch.setattr(suffixes, "SHARD_CONTEXTS", crowd)
-    got = [(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in Q.op6_suffix_dedup(spark, sf_dir).collect()]
-    expected = [(d[0], *x) for d, x in zip(docs, brute.repeats([t for _, t, _ in docs], 400), strict=True)]
+    monkeypatch.setattr(suffixes, "SHARD_PIECES", crowd)
+    got = [(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256, r.n_passage) for r in Q.op6_suffix_dedup(spark, sf_dir).collect()]
+    passages = [x[1] for x in brute.repeats([t for _, t, _ in docs], 256)]
+    expected = [(d[0], *x, n) for d, x, n in zip(docs, brute.repeats([t for _, t, _ in docs], 400), passages, strict=True)]
     assert multiset(got) == multiset(expected) and any(r[2] for r in got)
 
 
+@pytest.mark.parametrize("size", [90, 300, 600])
+def test_crowded_passage(spark, size):
+    """A passage that thousands of different texts share: below a window, between the two lengths, and above both."""
+    rng = random.Random(size)
+    passage = "".join(rng.choice("abcdefghij ") for _ in range(size))
+    body = lambda: "".join(rng.choice("klmnopqrst ") for _ in range(rng.randint(100, 300)))
+    docs = [(i, body() + passage + body()) for i in range(3000)]
+    rows = suffixes.repeats(spark.createDataFrame(docs, "doc_id long, text string"), (256, 400)).collect()
+    assert len(rows) == (len(docs) if size > 256 else 0)
+    at = {i: t.encode().index(passage.encode()) for i, t in docs}
+    for r in rows:
+        for length in (256, 400):
+            own = [x for x in r.spans if x["length"] == length]
+            lo, hi = (min(x["a"] for x in own), max(x["b"] for x in own)) if own else (0, 0)
+            if size < length:
+                assert not own
+            else:  # a neighbour may have a byte or two more in common by chance
+                assert at[r.doc_id] - 12 <= lo <= at[r.doc_id] and at[r.doc_id] + size <= hi <= at[r.doc_id] + size + 12
+
+
 def test_suffix_array():
     rng = np.random.default_rng(0)
     for _ in range(300):
