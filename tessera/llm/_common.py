@@ -12,8 +12,10 @@ from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import numpy as np
+import pyarrow.compute
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 #: Bytes of text that a vectorised step takes at once; its temporaries are some 60 times as large.
@@ -168,10 +170,43 @@ def words(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return packed, before
 
 
-
-
 def fresh(df: DataFrame, name: str) -> str:
     """The name, with underscores before it until no column of df has it."""
     while name.lower() in (c.lower() for c in df.columns):
         name = f"_{name}"
     return name
+
+
+#: Bits of a sieve at most: 8 MB, whatever the number of rows.
+SIEVE_BITS = 1 << 26
+
+
+def sieve(rows: DataFrame, column: str) -> tuple[object, int]:
+    """A bitmap of the hashes (bigint) in a column, and its number of bits: a hash whose bit isn't set isn't in the column.
+
+    It has SIEVE_BITS at most, so what is sent is bounded; with more rows it lets more through, and nothing else changes.
+    """
+    spark = rows.sparkSession
+    n_bits = min(SIEVE_BITS, 1 << max(15, 3 + rows.count().bit_length()))
+    bit = F.pmod(column, F.lit(n_bits)) + 1  # the engine's bitmaps begin at 1
+    parts = rows.groupBy(F.bitmap_bucket_number(bit).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits")).collect()
+    bitmap = np.zeros(n_bits // 8, np.uint8)
+    for r in parts:
+        bitmap[(r.k - 1) * 4096 : r.k * 4096] |= np.frombuffer(r.bits, np.uint8)
+    return spark.sparkContext.broadcast(bitmap), n_bits
+
+
+def sifted(df: DataFrame, column: str, by: tuple[object, int], inside: bool = True) -> DataFrame:
+    """The rows of df whose hash may be in the sieve, or the others; nulls are outside."""
+    bitmap, n_bits = by
+    place = df.columns.index(column)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = bitmap.value
+        for b in batches:
+            h = pa.compute.fill_null(b.column(place), 0).to_numpy(zero_copy_only=False)
+            at = h & (n_bits - 1)
+            there = (bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool) & ~b.column(place).is_null().to_numpy(zero_copy_only=False)
+            yield b.filter(pa.array(there if inside else ~there))
+
+    return arrow_stage(df, run, df.schema)

@@ -5,13 +5,14 @@ alone). So each run of windows with one smallest gram, its anchor, gives one con
 Anchors are those of windows of the shortest length asked for; a longer window goes by the anchor of its beginning.
 
 Windows that are equal have their anchor at one place. Those whose anchor stands in their first half all hold the bytes to
-its right, those of the other half those to its left: such a core, by hash, tells before any bytes move which contexts can
-have a window in common. Equal contexts are counted. Contexts that differ but share a core are brought together, and a
-suffix array of each shard tells which of their windows repeat: suffixes smaller than their successors are
-sorted directly, the others are induced by scanning buckets by first byte, and adjacent common prefixes of a whole
-window are repeats. Where more contexts share a core than a shard takes, the places of the anchor are halved: the cores
-get longer, equal pieces are counted, pieces with a core of their own are done, and what is left is halved again. At one
-place the core is the window itself. So a group of any size is split, and each row goes on only with what is still open.
+its right, those of the other half those to its left. So each context is two parts, and each part has a core. By hashes
+of both, before any bytes move: equal parts repeat, and a part whose core no other part has does not. Different parts with
+one core are brought together, and a suffix array of each shard tells which of their windows repeat: suffixes
+smaller than their successors are sorted directly, the others are induced by scanning buckets by first byte, and
+adjacent common prefixes of a whole window are repeats. Where more parts share a core than a shard takes, the places of
+the anchor are halved, for each length by itself: the cores get longer, equal pieces are counted, pieces with a core of
+their own are done, and what is left is halved again. At one place the core is the window itself. So a group of any size
+is split, and each row goes on only with what is still open.
 
 Texts are UTF-8 bytes. Cases: null and empty texts have no bytes; overlapping repeats count, in one text too;
 repeated rows are repeats of each other; texts shorter than the length lose nothing; of a very long text only the pieces in
@@ -30,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._common import arrow_stage, slices, table, text_bytes, written
+from tessera.llm._common import arrow_stage, sieve, sifted, slices, table, text_bytes, written
 
 LENGTH = 400
 #: Bytes of a passage of some fifty words, whose repeats are told beside.
@@ -86,10 +87,9 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndar
     return row[first], start[first], start[last], place[first], h[place[first]].view(np.int64)
 
 
-_PLACES = pa.schema([(k, pa.int64()) for k in ("gram", "left", "right", "context", "doc_id", "text_hash", "start", "last")] + [(k, pa.int32()) for k in ("times", "windows", "size", "anchor")])
-PLACES = "gram bigint, left bigint, right bigint, context bigint, doc_id bigint, text_hash bigint, start bigint, last bigint, times int, windows int, size int, anchor int"
-#: A context by hashes of its bytes and of its cores (0: no window has that core).
-CONTEXT = ["left", "right", "context"]
+_INT = ("times", "windows", "size", "anchor")
+_PLACES = pa.schema([(k, pa.int64()) for k in ("gram", "left_core", "right_core", "left_part", "right_part", "doc_id", "text_hash", "start", "last")] + [(k, pa.int32()) for k in _INT])
+PLACES = ", ".join(f"{f.name} {'int' if f.name in _INT else 'bigint'}" for f in _PLACES)
 
 
 def half(shortest: int) -> int:
@@ -102,40 +102,66 @@ def core_seed(length: int, low: int, high: int) -> int:
 
 
 def places(docs: DataFrame, lengths: tuple[int, ...]) -> DataFrame:
-    """A row for each anchor: hashes of its gram, cores and context, where that starts, its windows (of the shortest length), bytes, and the anchor's place in it.
+    """A row for each anchor: hashes of its gram and of its parts and their cores, where its windows (of the shortest length) start, their number, their bytes to the longest length, and the anchor's place in them.
 
-    Places of a text one after another with equal contexts (a text that repeats itself) are one row: `times` of them, from `start` to `last`.
+    Places of a text one after another with equal parts (a text that repeats itself) are one row: `times` of them, from `start` to `last`.
+    A part without windows has the hashes 0.
     """
     shortest, longest = min(lengths), max(lengths)
     mid, span = half(shortest), shortest - GRAM
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh3_64_digest
+
+        def hashed(raw: bytes, n: int, some: np.ndarray, begin: np.ndarray, end: np.ndarray, seed: np.ndarray) -> np.ndarray:
+            out = np.zeros(n, np.int64)
+            out[some] = np.frombuffer(b"".join([digest(raw[x:y], s) for x, y, s in zip(begin[some].tolist(), end[some].tolist(), seed[some].tolist(), strict=True)]), "<i8")
+            return out
+
         for batch in batches:
             for b in slices(batch, "text", SLICE):
                 data, offsets = text_bytes(b.column(2))
                 row, a, z, p, gram = anchors(data, offsets, shortest)
-                raw, stop = data.tobytes(), np.minimum(z + longest, offsets[row + 1])
-                seeds = ((p - a) << 20) | (z - a)
-                context = np.frombuffer(b"".join([digest(raw[x:y], s) for x, y, s in zip(a.tolist(), stop.tolist(), seeds.tolist(), strict=True)]), "<i8")
-                new = np.ones(len(a), bool)
-                new[1:] = (context[1:] != context[:-1]) | (gram[1:] != gram[:-1]) | (row[1:] != row[:-1])
+                n, raw, end = len(a), data.tobytes(), offsets[row + 1]
+                right, left = p - z <= mid, p - a > mid
+                begin, until = np.maximum(a, p - mid), np.minimum(z, p - mid - 1)  # first window of the right part, last one of the left
+                fixed = lambda low, high: np.full(n, core_seed(shortest, low, high))
+                places = lambda lead, windows: (lead << 20) | windows
+                hashes = {
+                    "gram": gram,
+                    "left_core": hashed(raw, n, left, p - mid - 1, p - span + shortest, fixed(mid + 1, span)),
+                    "right_core": hashed(raw, n, right, p, p - mid + shortest, fixed(0, mid)),
+                    "left_part": hashed(raw, n, left, a, np.minimum(until + longest, end), places(p - a, until - a)),
+                    "right_part": hashed(raw, n, right, begin, np.minimum(z + longest, end), places(p - begin, z - begin)),
+                }
+                new = np.ones(n, bool)
+                new[1:] = (row[1:] != row[:-1]) | np.any([x[1:] != x[:-1] for x in hashes.values()], axis=0)
                 first = np.flatnonzero(new)
-                last = a[np.append(first[1:], len(a)) - 1] if len(a) else a
-                times = np.diff(np.append(first, len(a)))
-                row, a, z, p, gram, stop, context = (x[first] for x in (row, a, z, p, gram, stop, context))
-                right, left = np.zeros(len(a), np.int64), np.zeros(len(a), np.int64)
-                for out, some, before, seed in ((right, p - z <= mid, 0, core_seed(shortest, 0, mid)), (left, p - a > mid, mid + 1, core_seed(shortest, mid + 1, span))):
-                    at = p[some] - before
-                    size = shortest - mid if not before else shortest - span + mid + 1
-                    out[some] = np.frombuffer(b"".join([digest(raw[x : x + size], seed) for x in at.tolist()]), "<i8")
-                ids, hashes = (b.column(i).take(pa.array(row)) for i in (0, 1))
-                ints = {"times": times, "windows": z - a + 1, "size": stop - a, "anchor": p - a}
-                yield table({"gram": gram, "left": left, "right": right, "context": context, "doc_id": ids, "text_hash": hashes, "start": a - offsets[row], "last": last - offsets[row]} | {k: x.astype(np.int32) for k, x in ints.items()}, _PLACES)
+                closing = np.append(first[1:], n) - 1 if n else first
+                last = (a - offsets[row])[closing]
+                ints = {"times": closing - first + 1, "windows": (z - a + 1)[first], "size": (np.minimum(z + longest, end) - a)[first], "anchor": (p - a)[first]}
+                row = row[first]
+                ids, texts = (b.column(i).take(pa.array(row)) for i in (0, 1))
+                yield table({k: x[first] for k, x in hashes.items()} | {"doc_id": ids, "text_hash": texts, "start": a[first] - offsets[row], "last": last} | {k: x.astype(np.int32) for k, x in ints.items()}, _PLACES)
 
     return arrow_stage(rows_of(docs), run, PLACES)
 
 
+def sides(placed: DataFrame, lengths: tuple[int, ...]) -> DataFrame:
+    """The parts of places, a row each: low and high (bytes before the anchor), core, part, times, where its first window starts, there and at the last time, its windows, bytes, and lead: bytes before the anchor in the first window."""
+    shortest, longest = min(lengths), max(lengths)
+    mid, span = half(shortest), shortest - GRAM
+    ahead = F.greatest(F.lit(0), F.col("anchor") - mid)  # windows of the left part
+    after = F.least(F.col("windows"), ahead)
+    at = lambda low, high, side, skip, windows, size: F.struct(
+        F.lit(low).alias("low"), F.lit(high).alias("high"), F.col(f"{side}_core").alias("core"), F.col(f"{side}_part").alias("part"), "times",
+        (F.col("start") + skip).alias("start"), (F.col("last") + skip).alias("last"), windows.cast("int").alias("windows"), size.cast("int").alias("size"), (F.col("anchor") - skip).cast("int").alias("lead"))
+    left = at(mid + 1, span, "left", F.lit(0), after, F.least(F.col("size"), after - 1 + longest))
+    right = at(0, mid, "right", ahead, F.col("windows") - ahead, F.col("size") - ahead)
+    both = F.filter(F.array(left, right), lambda x: x["windows"] > 0)
+    return placed.select("doc_id", "text_hash", F.inline(both))
+
+
 def rows_of(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
 
@@ -245,22 +271,25 @@ def common(text: np.ndarray, a: np.ndarray, b: np.ndarray, length: int) -> np.nd
     return out
 
 
-def repeated_windows(contexts: list[bytes], windows: np.ndarray, length: int) -> list[np.ndarray]:
-    """For each context, which of its windows begin a string that some other window begins too."""
-    text = np.frombuffer(b"".join(contexts), np.uint8)
-    sizes = np.array([len(x) for x in contexts])
+def repeated_windows(parts: list[bytes], windows: np.ndarray, lengths: tuple[int, ...]) -> dict[int, list[np.ndarray]]:
+    """For each length and part, which of its windows begin a string of that length that some other window begins too."""
+    text = np.frombuffer(b"".join(parts), np.uint8)
+    sizes = np.array([len(x) for x in parts])
     offset = np.cumsum(sizes) - sizes
-    is_window = np.zeros(len(text), bool)
-    for o, w in zip(offset.tolist(), windows.tolist(), strict=True):
-        is_window[o : o + w] = True
-    order = suffix_array(text, length, is_window)
-    order = order[is_window[order]]
-    hit = np.zeros(len(text), bool)
-    if len(order) > 1:
-        same = common(text, order[:-1], order[1:], length)
-        hit[order[1:][same]] = True
-        hit[order[:-1][same]] = True
-    return [hit[o : o + w] for o, w in zip(offset.tolist(), windows.tolist(), strict=True)]
+    left = np.zeros(len(text), np.int64)  # bytes to the part's end, at its windows
+    for o, w, n in zip(offset.tolist(), windows.tolist(), sizes.tolist(), strict=True):
+        left[o : o + w] = np.arange(n, n - w, -1)
+    order = suffix_array(text, max(lengths), left > 0)
+    out = {}
+    for length in lengths:
+        own = order[left[order] >= length]
+        hit = np.zeros(len(text), bool)
+        if len(own) > 1:
+            same = common(text, own[:-1], own[1:], length)
+            hit[own[1:][same]] = True
+            hit[own[:-1][same]] = True
+        out[length] = [hit[o : o + w] for o, w in zip(offset.tolist(), windows.tolist(), strict=True)]
+    return out
 
 
 def ranges(hit: np.ndarray) -> list[dict[str, int]]:
@@ -268,11 +297,12 @@ def ranges(hit: np.ndarray) -> list[dict[str, int]]:
     return [{"a": int(a), "b": int(b)} for a, b in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1), strict=True)]
 
 
-#: A piece: the windows of a context whose anchor has `low` to `high` bytes before it, the hash of what they all hold and that of the
-#: whole piece. `shift` is its first window's place in the context, `lead` the bytes before the anchor there.
-_PIECES = pa.schema([("length", pa.int32()), ("low", pa.int32()), ("high", pa.int32()), ("core", pa.int64()), ("piece", pa.int64()), ("single", pa.bool_()), ("left", pa.int64()), ("right", pa.int64()), ("context", pa.int64()), ("shift", pa.int32()), ("windows", pa.int32()), ("lead", pa.int32()), ("bytes", pa.binary())])
-PIECES = "length int, low int, high int, core bigint, piece bigint, single boolean, left bigint, right bigint, context bigint, shift int, windows int, lead int, bytes binary"
+#: Windows of a part whose anchor has `low` to `high` bytes before it, with the hash of what they all hold and of all their bytes.
+#: length 0: windows of every length. `of_low`, `of_core` and `part` name the part, `shift` is the first window's place in it.
+_PIECES = pa.schema([("length", pa.int32()), ("low", pa.int32()), ("high", pa.int32()), ("core", pa.int64()), ("piece", pa.int64()), ("single", pa.bool_()), ("of_low", pa.int32()), ("of_core", pa.int64()), ("part", pa.int64()), ("shift", pa.int32()), ("windows", pa.int32()), ("lead", pa.int32()), ("bytes", pa.binary())])
+PIECES = "length int, low int, high int, core bigint, piece bigint, single boolean, of_low int, of_core bigint, part bigint, shift int, windows int, lead int, bytes binary"
 CORE = ["length", "low", "core"]
+PART = ["of_low", "of_core", "part"]
 
 
 def piece(text: bytes, anchor: int, length: int, low: int, high: int, most: int, least: int) -> tuple[int, int, int, bytes] | None:
@@ -302,108 +332,109 @@ def _batches(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
         yield table(dict(zip(_PIECES.names, map(list, zip(*held, strict=True)), strict=True)), _PIECES)
 
 
-def _cut(lengths: tuple[int, ...]):
-    """Texts with the contexts asked for, to the pieces of those for each length."""
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts with the parts asked for, to those parts' bytes."""
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    def rows() -> Iterator[tuple]:
         for batch in batches:
             for text, wanted in zip(batch.column(0).cast(pa.large_binary()), batch.column(1), strict=True):
                 raw = text.as_py()
                 for x in wanted.as_py():
-                    own = raw[x["start"] : x["start"] + x["size"]]
-                    for length in lengths:
-                        if got := piece(own, x["anchor"], length, x["low"], x["high"], x["anchor"], x["anchor"] - x["windows"] + 1):
-                            core, name, most, part = got
-                            yield length, x["low"], x["high"], core, name, x["single"], x["left"], x["right"], x["context"], x["anchor"] - most, len(part) - length + 1, most, part
+                    yield 0, x["low"], x["high"], x["core"], x["part"], x["single"], x["low"], x["core"], x["part"], 0, x["windows"], x["lead"], raw[x["start"] : x["start"] + x["size"]]
 
-    return lambda batches: _batches(rows(batches))
+    return _batches(rows())
 
 
-def _halved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each piece as two, by the bytes before the anchor."""
+def _halved(lengths: tuple[int, ...]):
+    """Each piece as two for each length, by the bytes before the anchor."""
 
-    def rows() -> Iterator[tuple]:
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for b in batches:
             for x in b.to_pylist():
                 mid = (x["low"] + x["high"]) // 2
-                for low, high in ((x["low"], mid), (mid + 1, x["high"])):
-                    if got := piece(x["bytes"], x["lead"], x["length"], low, high, x["lead"], x["lead"] - x["windows"] + 1):
-                        core, name, most, part = got
-                        yield x["length"], low, high, core, name, x["single"], x["left"], x["right"], x["context"], x["shift"] + x["lead"] - most, len(part) - x["length"] + 1, most, part
+                for length in (x["length"],) if x["length"] else lengths:
+                    for low, high in ((x["low"], mid), (mid + 1, x["high"])):
+                        if got := piece(x["bytes"], x["lead"], length, low, high, x["lead"], x["lead"] - x["windows"] + 1):
+                            core, name, most, own = got
+                            yield length, low, high, core, name, x["single"], x["of_low"], x["of_core"], x["part"], x["shift"] + x["lead"] - most, len(own) - length + 1, most, own
 
-    return _batches(rows())
+    return lambda batches: _batches(rows(batches))
 
 
-_HITS = pa.schema([("left", pa.int64()), ("right", pa.int64()), ("context", pa.int64()), ("length", pa.int32()), ("a", pa.int32()), ("b", pa.int32())])
-HITS = "left bigint, right bigint, context bigint, length int, a int, b int"
+_HITS = pa.schema([("of_low", pa.int32()), ("of_core", pa.int64()), ("part", pa.int64()), ("length", pa.int32()), ("a", pa.int32()), ("b", pa.int32())])
+HITS = "of_low int, of_core bigint, part bigint, length int, a int, b int"
 
 
-def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _shards(lengths: tuple[int, ...]):
     """Pieces sorted by core, to the repeated windows of those that occur once. Cores stay whole within a shard."""
 
     def solve(rows: list[dict]) -> pa.RecordBatch:
         out: list[tuple] = []
-        for length in {x["length"] for x in rows}:
-            own = [x for x in rows if x["length"] == length]
-            hits = repeated_windows([x["bytes"] for x in own], np.array([x["windows"] for x in own]), length)
-            out += [(x["left"], x["right"], x["context"], length, x["shift"] + r["a"], x["shift"] + r["b"]) for x, hit in zip(own, hits, strict=True) if x["single"] for r in ranges(hit)]
+        for kind in {x["length"] for x in rows}:
+            own = [x for x in rows if x["length"] == kind]
+            for length, hits in repeated_windows([x["bytes"] for x in own], np.array([x["windows"] for x in own]), (kind,) if kind else lengths).items():
+                out += [(*(x[k] for k in PART), length, x["shift"] + r["a"], x["shift"] + r["b"]) for x, hit in zip(own, hits, strict=True) if x["single"] for r in ranges(hit)]
         return table(dict(zip(_HITS.names, map(list, zip(*out, strict=True)), strict=True)) if out else {k: [] for k in _HITS.names}, _HITS)
 
-    held: list[dict] = []
-    size = 0
-    for batch in batches:
-        for x in batch.to_pylist():
-            if size > SHARD_BYTES and any(x[k] != held[-1][k] for k in CORE):
-                yield solve(held)
-                held, size = [], 0
-            held.append(x)
-            size += len(x["bytes"])
-    if held:
-        yield solve(held)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[dict] = []
+        size = 0
+        for batch in batches:
+            for x in batch.to_pylist():
+                if size > SHARD_BYTES and any(x[k] != held[-1][k] for k in CORE):
+                    yield solve(held)
+                    held, size = [], 0
+                held.append(x)
+                size += len(x["bytes"])
+        if held:
+            yield solve(held)
+
+    return run
 
 
-def settled(pieces: DataFrame) -> DataFrame:
-    """The repeated windows (from a to before b) of each context that occurs once."""
+def settled(pieces: DataFrame, members: DataFrame, lengths: tuple[int, ...]) -> DataFrame:
+    """The repeated windows (from a to before b) of parts that occur once. pieces: different ones only; members: how many have each core."""
     found = []
     while True:
-        pieces = written(pieces, "pieces")
-        own = F.struct("high", "left", "right", "context", "shift", "windows", "lead", "bytes")
-        distinct = pieces.groupBy(*CORE, "piece").agg(((F.count(F.lit(1)) == 1) & F.bool_and("single")).alias("single"), F.first(own).alias("own"))
+        few, many = (pieces.join(members.where(which).select(*CORE), CORE) for which in (F.col("members") <= SHARD_PIECES, F.col("members") > SHARD_PIECES))
+        found.append(arrow_stage(few.repartition(*CORE).sortWithinPartitions(*CORE).select(*_PIECES.names), _shards(lengths), HITS))
+        if members.where(F.col("members") > SHARD_PIECES).isEmpty():
+            return reduce(DataFrame.unionByName, found)
+        halves = written(arrow_stage(many.select(*_PIECES.names), _halved(lengths), PIECES), "halves")
+        distinct = halves.groupBy(*CORE, "piece").agg(((F.count(F.lit(1)) == 1) & F.bool_and("single")).alias("alone"), F.min(F.struct(*PART)).alias("first"))
         distinct = written(distinct, "distinct")
-        open_cores = distinct.groupBy(*CORE).agg(F.count(F.lit(1)).alias("members"), F.bool_or("single").alias("open")).where("members > 1 and open").select(*CORE, "members")
-        open_cores = written(open_cores, "cores")
-        again = distinct.where("not single").select(*CORE, "piece")
-        found.append(pieces.where("single").join(again, [*CORE, "piece"]).select("left", "right", "context", "length", F.col("shift").alias("a"), (F.col("shift") + F.col("windows")).alias("b")))
-        few, many = (distinct.join(open_cores.where(which), CORE).select("length", "low", "own.high", "core", "piece", "single", *[f"own.{k}" for k in ("left", "right", "context", "shift", "windows", "lead", "bytes")]) for which in (F.col("members") <= SHARD_PIECES, F.col("members") > SHARD_PIECES))
-        found.append(arrow_stage(few.repartition(*CORE).sortWithinPartitions(*CORE), _shards, HITS))
-        if open_cores.where(F.col("members") > SHARD_PIECES).isEmpty():
-            break
-        pieces = arrow_stage(many, _halved, PIECES)
-    return reduce(DataFrame.unionByName, found)
+        again = distinct.where("not alone").select(*CORE, "piece")
+        found.append(halves.where("single").join(again, [*CORE, "piece"]).select(*PART, "length", F.col("shift").alias("a"), (F.col("shift") + F.col("windows")).alias("b")))
+        members = distinct.groupBy(*CORE).agg(F.count(F.lit(1)).alias("members"), F.bool_or("alone").alias("open")).where("members > 1 and open").select(*CORE, "members")
+        members = written(members, "members")
+        on = distinct.join(members.select(*CORE), CORE).select(*CORE, "piece", "alone", "first.*")  # one of each different piece goes on
+        pieces = written(halves.join(on, [*CORE, "piece", *PART]).withColumn("single", F.col("alone")).select(*_PIECES.names), "pieces")
 
 
 def repeats(docs: DataFrame, lengths: tuple[int, ...] = (LENGTH,)) -> DataFrame:
     """doc_id, text_hash, spans: for each text with repeated strings of a length, that and the byte ranges that they cover (may overlap)."""
-    docs, shortest = rows_of(docs), min(lengths)
-    mid, span = half(shortest), shortest - GRAM
+    docs = rows_of(docs)
     placed = written(places(docs, lengths), "places")
-    grams = placed.groupBy("gram").agg(F.sum("times").alias("n")).where("n > 1").select("gram")
-    placed = written(placed.join(grams, "gram").drop("gram"), "shared")
-    at = F.min(F.struct("doc_id", "text_hash", "start", "windows", "size", "anchor"))
-    whole = written(placed.groupBy(*CONTEXT).agg(F.sum("times").alias("n"), at.alias("at")), "contexts")
-    here = whole.select(*CONTEXT, (F.col("n") == 1).alias("single"), "at.*")
-    right = here.where(F.col("anchor") - F.col("windows") + 1 <= mid).select("*", F.col("right").alias("core"), F.lit(0).alias("low"), F.lit(mid).alias("high"))
-    left = here.where(F.col("anchor") > mid).select("*", F.col("left").alias("core"), F.lit(mid + 1).alias("low"), F.lit(span).alias("high"))
-    sides = right.unionByName(left)
-    contested = sides.groupBy("low", "core").agg(F.count(F.lit(1)).alias("members"), F.bool_or("single").alias("open")).where("members > 1 and open").select("low", "core")
-    wanted = sides.join(contested, ["low", "core"]).groupBy(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash")).agg(F.collect_list(F.struct("low", "high", "single", *CONTEXT, "start", "windows", "size", "anchor")).alias("wanted"))
-    cut = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("text_hash") == F.col("_hash"))).select("text", "wanted")  # a row that repeats has no context that occurs once
-    hits = settled(arrow_stage(cut, _cut(lengths), PIECES)).groupBy(*CONTEXT).agg(F.collect_list(F.struct("length", "a", "b")).alias("ranges"))
+    # what hot keys are joined to is written first, so that the engine can split their rows
+    grams = written(placed.groupBy("gram").agg(F.sum("times").alias("n")).where("n > 1").select("gram"), "grams")
+    parts = written(sides(placed.join(grams, "gram"), lengths), "parts")
+    key = ["low", "core", "part"]
+    at = F.min(F.struct("doc_id", "text_hash", "start", "high", "windows", "size", "lead"))
+    distinct = written(parts.groupBy(*key).agg((F.sum("times") == 1).alias("single"), at.alias("at")), "distinct")
+    members = distinct.groupBy("low", "core").agg(F.count(F.lit(1)).alias("members"), F.bool_or("single").alias("open")).where("members > 1 and open")
+    members = written(members.select(F.lit(0).alias("length"), "low", "core", "members"), "members")
+    wanted = distinct.join(members.select("low", "core"), ["low", "core"]).groupBy(F.col("at.doc_id").alias("_doc"), F.col("at.text_hash").alias("_hash"))
+    wanted = written(wanted.agg(F.collect_list(F.struct(*key, "single", "at.start", "at.high", "at.windows", "at.size", "at.lead")).alias("wanted")), "wanted")
+    may_be = sieve(wanted, "_hash")
+    cut = sifted(docs, "text_hash", may_be).join(wanted, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("text_hash") == F.col("_hash"))).select("text", "wanted")
+    # a row that repeats gives its pieces again; the second is not needed
+    pieces = written(arrow_stage(cut, _cut, PIECES), "pieces").dropDuplicates([*CORE, "piece"])
+    hits = settled(pieces, members, lengths).groupBy(*PART).agg(F.collect_list(F.struct("length", "a", "b")).alias("ranges"))
     n_of = lambda length: F.least(F.col("at.windows"), F.col("at.size") - length + 1)
-    known = whole.where("n > 1").select(*CONTEXT, F.filter(F.array(*[F.struct(F.lit(x).alias("length"), F.lit(0).alias("a"), n_of(x).alias("b")) for x in lengths]), lambda r: r["b"] > 0).alias("ranges"))
-    found = known.unionByName(hits)
-    spans = placed.join(found, CONTEXT).select("doc_id", "text_hash", F.inline(F.transform("ranges", lambda r: F.struct(r["length"].alias("length"), (F.col("start") + r["a"]).alias("a"), (F.col("last") + r["b"] - 1 + r["length"]).alias("b")))))
-    return spans.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("length", "a", "b")).alias("spans"))
+    whole = F.filter(F.array(*[F.struct(F.lit(x).alias("length"), F.lit(0).alias("a"), n_of(x).alias("b")) for x in lengths]), lambda r: r["b"] > 0)
+    found = distinct.where("not single").select(*key, whole.alias("ranges")).unionByName(hits.select(F.col("of_low").alias("low"), F.col("of_core").alias("core"), "part", "ranges"))
+    spans = parts.join(written(found, "found"), key).select("doc_id", "text_hash", F.inline(F.transform("ranges", lambda r: F.struct(r["length"].alias("length"), (F.col("start") + r["a"]).alias("a"), (F.col("last") + r["b"] - 1 + r["length"]).alias("b")))))
+    return written(spans.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("length", "a", "b")).alias("spans")), "spans")
 
 
 def covered(n: int, spans: list[dict]) -> np.ndarray:
@@ -424,6 +455,9 @@ def without_spans(text: bytes, spans: list[dict] | None) -> tuple[bytes, int, in
 
 
 def with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """doc_id, text and the spans of each row (null: none)."""
+    """doc_id, text and the spans of each row (null: none). Most rows without any are not shuffled."""
+    docs, may_be = rows_of(docs), sieve(spans, "text_hash")
     s = spans.select(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash"), "spans")
-    return rows_of(docs).join(s, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("text_hash") == F.col("_hash")), "left").select("doc_id", "text", "spans")
+    joined = sifted(docs, "text_hash", may_be).join(s, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("text_hash") == F.col("_hash")), "left").select("doc_id", "text", "spans")
+    rest = sifted(docs, "text_hash", may_be, False).select("doc_id", "text", F.lit(None).cast(spans.schema["spans"].dataType).alias("spans"))
+    return joined.unionByName(rest)
