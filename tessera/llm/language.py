@@ -8,7 +8,8 @@ The model comes from labelled rows, at most SAMPLE_DOCS document ids by the orde
 numbers per language and is broadcast.
 Cases: null texts and texts without letters are `und` with score 0 and have no spans, as are all texts if nothing was
 learned; letters of an unseen script leave all languages as candidates; ties go to the language first by name;
-rows without lang or doc_id are not learned from; repeated rows give repeated results.
+rows without lang or doc_id are not learned from; repeated rows give repeated results; very long texts are read whole (a
+text over SLICE_BYTES comes alone); other columns are not looked at, whatever they are called, and `known` carries them.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ SAMPLE_DOCS = 20_000
 TOGETHER_BYTES = 4 << 20
 #: In nats.
 PENALTY = 8.0
+#: A text is in a language that has at least this share of its letters; `known` lets others go.
+LEAST_SHARE = 0.5
 #: A language is a candidate for a script that has at least this share of its letters.
 SCRIPT_SHARE = 0.002
 
@@ -157,10 +160,11 @@ def viterbi(score: np.ndarray, before: np.ndarray, penalty: float) -> np.ndarray
     begins, lengths = before[:-1][order], n_words[order]
     longest = int(lengths[0]) if len(lengths) else 0
     active = np.searchsorted(-lengths, -np.arange(longest), side="left")  # texts with more than t words
-    came = np.zeros(score.shape, np.uint8)
-    label = np.zeros(len(score), np.uint8)
+    kind = np.min_scalar_type(max(0, n_lang - 1))  # as many languages as there may be
+    came = np.zeros(score.shape, kind)
+    label = np.zeros(len(score), kind)
     best = np.zeros((len(order), n_lang), np.float32)
-    own = np.arange(n_lang, dtype=np.uint8)
+    own = np.arange(n_lang, dtype=kind)
     for t in range(longest):
         k = active[t]
         at = begins[:k] + t
@@ -173,7 +177,7 @@ def viterbi(score: np.ndarray, before: np.ndarray, penalty: float) -> np.ndarray
             best[:k] = np.where(stay, now, change) + score[at]
         else:
             best[:k] = score[at]
-    state = best.argmax(axis=1).astype(np.uint8)
+    state = best.argmax(axis=1).astype(kind)
     for t in range(longest - 1, -1, -1):
         k = active[t]
         at = begins[:k] + t
@@ -195,7 +199,7 @@ def predictions(model: Model, column: pa.Array, penalty: float) -> tuple[list[st
     np.cumsum(n, out=before[1:])
     label = viterbi(np.concatenate([x[3] for x in kept]), before, penalty) if len(starts) else np.zeros(0, np.uint8)
     doc, k = np.repeat(np.arange(len(n)), n), max(1, len(model.languages))
-    letters = np.bincount(doc * k + label, weights=ends - starts, minlength=len(n) * k).reshape(-1, k)
+    letters = np.bincount(doc * k + label.astype(np.int64), weights=ends - starts, minlength=len(n) * k).reshape(-1, k)
     total, top = letters.sum(axis=1), letters.argmax(axis=1)
     begin = np.ones(len(label), bool)
     begin[1:] = (label[1:] != label[:-1]) | (doc[1:] != doc[:-1])
@@ -227,14 +231,21 @@ def identify(docs: DataFrame, model: Model, penalty: float = PENALTY, spans: boo
     return arrow_stage(docs.select(F.col("doc_id").cast("bigint"), "text"), run, out)
 
 
-def known(docs: DataFrame, model: Model, penalty: float = PENALTY) -> DataFrame:
-    """The rows of docs, all columns, whose text is not `und`."""
+def known(docs: DataFrame, model: Model, penalty: float = PENALTY, least_share: float = LEAST_SHARE) -> DataFrame:
+    """The rows of docs, all columns, whose text is in a language: not `und`, and that language has at least so much of its letters.
+
+    Where there is a column lang and it is null, it gets the language found.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
+    lang = docs.columns.index("lang") if dict(docs.dtypes).get("lang") == "string" else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for b in slices(batch, "text", TOGETHER_BYTES):
-                yield b.filter(pa.array([x != "und" for x in predictions(shared.value, b.column(at), penalty)[0]], pa.bool_()))
+                found, share, _ = predictions(shared.value, b.column(at), penalty)
+                if lang is not None:
+                    b = b.set_column(lang, b.schema.field(lang), pa.compute.coalesce(b.column(lang), pa.array(found, b.column(lang).type)))
+                yield b.filter(pa.array([x != "und" and y >= least_share for x, y in zip(found, share.tolist(), strict=True)], pa.bool_()))
 
     return arrow_stage(docs, run, docs.schema)

@@ -101,3 +101,25 @@ def groups(fps: list[int], radius: int = 4) -> list[int]:
                 a, b = find(i), find(j)
                 root[max(a, b)] = min(a, b)
     return [find(i) for i in range(len(fps))]
+
+
+def shingles(text: str | None, size: int) -> set[str]:
+    w = [x for x in re.split(r"[ \t\n\x0b\x0c\r]+", (text or "").translate(LOWER)) if x]
+    return {" ".join(w[i : i + size]) for i in range(max(1, len(w) - size + 1))} if w else set()
+
+
+def alike(texts: list[str | None], size: int, least: float) -> list[int]:
+    """The first text that links of at least that resemblance reach from each one."""
+    sets, root = [shingles(t, size) for t in texts], list(range(len(texts)))
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if a == b or len(a & b) >= least * len(a | b) - 1e-9:
+                x, y = find(i), find(j)
+                root[max(x, y)] = min(x, y)
+    return [find(i) for i in range(len(texts))]
