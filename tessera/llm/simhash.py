@@ -9,12 +9,14 @@ forest of its links, not its pairs; buckets over BUCKET fingerprints are dealt o
 Texts of a given resemblance (Jaccard of their distinct shingles) may be further apart. `alike` links them exactly, in
 two steps. First it compares fingerprints that share sampled bits, up to WIDE_RADIUS; this finds most links of large
 groups as a forest. Then two texts not yet together that share one of their rarest shingles (prefix filter: a pair alike
-enough must) are compared by length, place in the prefix and marks. Marks are parities of MARK_BITS classes of
+enough must) are compared by length, place in the prefix and marks. Prefixes travel packed, a block of texts to each
+part of the hashes, and only shingles that different texts share become rows. Marks are parities of MARK_BITS classes of
 shingles: as many as differ, so many shingles at least differ, so no filter loses a pair. What is left is decided by the
-sets of shingles themselves.
+texts' sets of shingles themselves. Nothing depends on how many texts there are but the number of parts.
 
 Words: runs of bytes other than [space, \\t-\\r], A-Z lower-cased; shingles of `size` words, repeats included; a shorter
-text is one shingle. Cases: a text without words (or null) has fingerprint zero and is linked as any other;
+text is one shingle. Cases: very long texts are read whole, a slice of bytes at a time (a text over SLICE_BYTES comes
+alone), and columns other than doc_id and text are not looked at, whatever they are called; a text without words (or null) has fingerprint zero and is linked as any other;
 equal fingerprints are one group; rows without doc_id take part but name no group; an empty table gives an empty result.
 """
 
@@ -29,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._common import arrow_stage, runs, slices, table, text_bytes, written
+from tessera.llm._common import arrow_stage, runs, sieve, sifted, slices, table, text_bytes, written
 
 RADIUS = 4
 #: Fingerprints in a chunk of a large bucket; a task compares two chunks at a time.
@@ -37,6 +39,10 @@ BUCKET = 4096
 
 #: Classes of shingles in a text's mark.
 MARK_BITS = 1024
+#: The same folded, for the comparison of fingerprints.
+SHORT_BITS = 512
+#: Prefix shingles that a task packs at once, and that a part is meant to hold.
+PACK, PART = 1 << 21, 1 << 20
 #: Bits apart up to which fingerprints are compared first, and the sampled tables for that. What they miss the prefixes find.
 WIDE_RADIUS, TABLES = 14, 8
 #: Texts whose shingles are counted to order all by frequency, and shingles of which the count is kept. Any order is exact.
@@ -96,17 +102,19 @@ def fingerprints(docs: DataFrame, size: int) -> DataFrame:
 
 
 def marked(docs: DataFrame, size: int) -> DataFrame:
-    """fingerprints with node, a hash of the set of distinct shingles, and mark."""
-    schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("fp", pa.int64()), ("node", pa.int64()), ("mark", pa.binary())])
+    """fingerprints with node, a hash of the set of n distinct shingles, its mark and that one folded."""
+    schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("fp", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("mark", pa.binary()), ("short", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for b in slices(batch):
                 hashes, upto = shingle_hashes(b.column(2), size)
                 sets = distinct_hashes(hashes, upto)
-                yield table({"doc_id": b.column(0), "text_hash": b.column(1), "fp": simhash(hashes, upto).view(np.int64), "node": set_names(*sets), "mark": [x.tobytes() for x in marks(*sets)]}, schema)
+                full = marks(*sets)
+                short = np.concatenate([full[:, :1], np.bitwise_xor.reduce(full[:, 1:].reshape(len(full), -1, SHORT_BITS // 64), axis=1)], axis=1)
+                yield table({"doc_id": b.column(0), "text_hash": b.column(1), "fp": simhash(hashes, upto).view(np.int64), "node": set_names(*sets), "n": np.diff(sets[1]), "mark": [x.tobytes() for x in full], "short": [x.tobytes() for x in short]}, schema)
 
-    return arrow_stage(docs.select(F.col("doc_id").cast("bigint"), F.xxhash64("text").alias("text_hash"), "text"), run, "doc_id bigint, text_hash bigint, fp bigint, node bigint, mark binary")
+    return arrow_stage(docs.select(F.col("doc_id").cast("bigint"), F.xxhash64("text").alias("text_hash"), "text"), run, "doc_id bigint, text_hash bigint, fp bigint, node bigint, n bigint, mark binary, short binary")
 
 
 def distinct_hashes(hashes: np.ndarray, upto: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -174,10 +182,11 @@ def within(counters: list[np.ndarray], over: np.ndarray, radius: int) -> np.ndar
     return ~more
 
 
-def links(fp: np.ndarray, bucket: np.ndarray, radius: int = RADIUS, alike: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None) -> np.ndarray:
+def links(fp: np.ndarray, bucket: np.ndarray, radius: int = RADIUS, alike: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None, taken: list[np.ndarray] | None = None) -> np.ndarray:
     """For each fingerprint, the place of the first one that it hangs together with inside its bucket. Buckets lie in runs.
 
     alike: whether two arrays of places are to be linked that are near enough; only pairs not yet together are asked for.
+    taken: gets the pairs themselves that brought places together.
     """
     n = len(fp)
     blocks = -(-n // 64)
@@ -223,6 +232,12 @@ def links(fp: np.ndarray, bucket: np.ndarray, radius: int = RADIUS, alike: Calla
                     u, v = u[apart], v[apart]
                     same = alike(u, v)
                     u, v = u[same], v[same]
+                while taken is not None and len(u):  # one pair of each row, then of those still apart
+                    first = np.unique(u, return_index=True)[1]
+                    taken.append(np.stack([u[first], v[first]], axis=1))
+                    _join(label, u[first], v[first])
+                    apart = label[u] != label[v]
+                    u, v = u[apart], v[apart]
                 _join(label, u, v)
         step += 1
     return label
@@ -245,15 +260,20 @@ def _join(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
 
 
 def _edges(radius: int, least: float):
-    """Rows of a partition (t, key, a, b, fp, node, mark), sorted by bucket, to the links of each bucket, by node."""
+    """Rows of a partition (t, key, a, b, fp, node, mark), sorted by bucket, to the links of each bucket, by node; with `least` pairs that may be alike."""
     schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
     def out(rows: np.ndarray, marks: np.ndarray) -> pa.RecordBatch:
         bucket = np.cumsum(np.append(True, (rows[1:, :4] != rows[:-1, :4]).any(axis=1)))
         crowd = np.bincount(bucket)[bucket] > 1
         bucket, fp, node, marks = bucket[crowd], np.ascontiguousarray(rows[crowd, 4]), rows[crowd, 5], marks[crowd]
-        alike = (lambda u, v: may_be_alike(marks[u], marks[v], least)) if least else None
-        label = links(fp.view(np.uint64), bucket, radius, alike) if len(fp) else np.zeros(0, np.int64)
+        if least:
+            taken = [np.zeros((0, 2), np.int64)]
+            if len(fp):
+                links(fp.view(np.uint64), bucket, radius, lambda u, v: may_be_alike(marks[u], marks[v], least), taken)
+            pairs = np.concatenate(taken)
+            return table({"u": node[pairs[:, 0]], "v": node[pairs[:, 1]]}, schema)
+        label = links(fp.view(np.uint64), bucket, radius) if len(fp) else np.zeros(0, np.int64)
         linked = np.flatnonzero(label != np.arange(len(fp)))
         return table({"u": node[linked], "v": node[label[linked]]}, schema)
 
@@ -303,14 +323,14 @@ def sampled_bits(n: int) -> list[list[int]]:
 
 
 def close_pairs(nodes: DataFrame, n: int, least: float) -> DataFrame:
-    """u, v: links of the n nodes (node, fp, mark) that may be alike, among those at most WIDE_RADIUS bits apart that share sampled bits."""
+    """u, v: links of the n nodes (node, fp, short) that may be alike, among those at most WIDE_RADIUS bits apart that share sampled bits."""
     keys = []
     for t, bits in enumerate(sampled_bits(n)):
         key = F.lit(0).cast("bigint")
         for i in bits:
             key = F.shiftleft(key, 1).bitwiseOR(F.shiftrightunsigned("fp", i).bitwiseAND(F.lit(1)))
         keys.append(F.struct(F.lit(t).alias("t"), key.alias("key")))
-    return _linked(nodes.select("fp", "node", "mark", F.inline(F.array(*keys))), WIDE_RADIUS, least)
+    return _linked(nodes.select("fp", "node", F.col("short").alias("mark"), F.inline(F.array(*keys))), WIDE_RADIUS, least)
 
 
 def common_shingles(docs: DataFrame, n: int, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -329,24 +349,79 @@ def common_shingles(docs: DataFrame, n: int, size: int) -> tuple[np.ndarray, np.
     return h[order], c[order]
 
 
-def shingle_prefixes(docs: DataFrame, size: int, least: float, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """node, n, prefix: of each text's n distinct shingles the rarest, so many that texts of at least that resemblance have one in common."""
-    schema = pa.schema([("node", pa.int64()), ("n", pa.int64()), ("prefix", pa.list_(pa.int64()))])
+def packed_prefixes(docs: DataFrame, size: int, least: float, common: tuple[np.ndarray, np.ndarray], bits: int) -> DataFrame:
+    """part, data: of each text's distinct shingles the rarest, so many that texts of at least that resemblance have one in common. A part has the hashes that begin with its bits."""
+    schema = pa.schema([("part", pa.int64()), ("data", pa.binary())])
     known, count = (np.append(x, x.dtype.type(0)) for x in common)
 
+    def packed(tokens: list[np.ndarray], nodes: list[np.ndarray], places: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        h, node, place = np.concatenate(tokens), np.concatenate(nodes), np.concatenate(places)
+        part = (h >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(h), np.int64)
+        order = np.argsort(part, kind="stable")
+        part, short, node, place = part[order], ((h >> np.uint64(32 - bits)) & np.uint64(0xFFFFFFFF)).astype(np.uint32)[order], node[order], place[order]
+        cuts = np.append(np.flatnonzero(np.append(True, part[1:] != part[:-1])), len(part))
+        for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+            planes = np.ascontiguousarray(place[i:j].astype("<u4").view(np.uint8).reshape(-1, 4).T)  # its upper bytes are mostly empty
+            yield table({"part": part[i : i + 1], "data": [short[i:j].tobytes() + node[i:j].tobytes() + planes.tobytes()]}, schema)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens, nodes, places, seen, held = [], [], [], set(), 0
         for batch in batches:
             for b in slices(batch):
                 h, at = distinct_hashes(*shingle_hashes(b.column(0), size))
-                n = np.diff(at)
+                n, names = np.diff(at), set_names(h, at)
+                new = np.zeros(len(n), bool)  # a set that this block has already is left out
+                new[np.unique(names, return_index=True)[1]] = True
+                new &= np.array([x not in seen for x in names.tolist()], bool)
+                seen.update(names[new].tolist())
                 row, i = np.repeat(np.arange(len(n)), n), np.searchsorted(known[:-1], h)
                 order = np.lexsort((h, np.where(known[i] == h, count[i], 0), row))
-                p = np.where(n > 0, n - np.ceil(least * n - 1e-9).astype(np.int64) + 1, 0)
-                within = (np.arange(len(h)) - at[row] < p[row]) if len(h) else np.zeros(0, bool)
-                upto = np.append(0, np.cumsum(p)).astype(np.int32)
-                yield table({"node": set_names(h, at), "n": n, "prefix": pa.ListArray.from_arrays(pa.array(upto), pa.array(h[order][within].view(np.int64)))}, schema)
+                p = np.where(new & (n > 0), n - np.ceil(least * n - 1e-9).astype(np.int64) + 1, 0)
+                place = np.arange(len(h)) - at[row]
+                within = place < p[row]
+                tokens.append(h[order][within])
+                nodes.append(names[row[within]])
+                places.append(place[within])
+                held += len(tokens[-1])
+                if held > PACK:
+                    yield from packed(tokens, nodes, places)
+                    tokens, nodes, places, seen, held = [], [], [], set(), 0
+        if held:
+            yield from packed(tokens, nodes, places)
+
+    return arrow_stage(docs.select("text"), run, "part bigint, data binary")
+
 
-    return arrow_stage(docs.select("text"), run, "node bigint, n bigint, prefix array<bigint>").groupBy("node").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+_SHARED = pa.schema([("token", pa.int64()), ("node", pa.int64()), ("place", pa.int64())])
+
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Packed prefixes sorted by part, to rows of the tokens that several nodes have."""
+
+    def solve(part: int, packs: list[bytes]) -> pa.RecordBatch:
+        sizes = [len(x) // 16 for x in packs]
+        token = np.concatenate([np.frombuffer(x, "<u4", n) for x, n in zip(packs, sizes, strict=True)])
+        node = np.concatenate([np.frombuffer(x, "<i8", n, 4 * n) for x, n in zip(packs, sizes, strict=True)])
+        place = np.concatenate([np.frombuffer(x, np.uint8, 4 * n, 12 * n).reshape(4, n).T.copy().view("<u4").ravel() for x, n in zip(packs, sizes, strict=True)])
+        order = np.lexsort((node, token))
+        token, node, place = token[order], node[order], place[order]
+        again = np.append(False, (token[1:] == token[:-1]) & (node[1:] == node[:-1]))  # from another block
+        token, node, place = token[~again], node[~again], place[~again]
+        starts = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
+        several = np.repeat(np.diff(np.append(starts, len(token))) > 1, np.diff(np.append(starts, len(token))))
+        return table({"token": (part << 32) + token[several].astype(np.int64), "node": node[several], "place": place[several].astype(np.int64)}, _SHARED)
+
+    held: list[bytes] = []
+    part = None
+    for b in batches:
+        for x, data in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+            if held and x != part:
+                yield solve(part, held)
+                held = []
+            part = x
+            held.append(data.as_py())
+    if held:
+        yield solve(part, held)
 
 
 def _whole(batches: Iterator[pa.RecordBatch], n_keys: int, n_ints: int, rows_at_once: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -368,19 +443,6 @@ def _whole(batches: Iterator[pa.RecordBatch], n_keys: int, n_ints: int, rows_at_
         yield np.concatenate(held), np.concatenate(kept)
 
 
-_SHARED = pa.schema([(k, pa.int64()) for k in ("token", "node", "root", "n", "place")])
-
-
-def _mixed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows (token, node, root, n, place) sorted by token those whose token nodes of several roots have."""
-    for rows, _ in _whole(batches, 1, 5, 16 * BUCKET):
-        starts = np.flatnonzero(np.append(True, rows[1:, 0] != rows[:-1, 0]))
-        mixed = np.minimum.reduceat(rows[:, 2], starts) != np.maximum.reduceat(rows[:, 2], starts)
-        rows = rows[np.repeat(mixed, np.diff(np.append(starts, len(rows))))]
-        if len(rows):
-            yield table(dict(zip(_SHARED.names, np.ascontiguousarray(rows.T), strict=True)), _SHARED)
-
-
 def _apart(least: float):
     """Rows (token, a, b, n, node, root, place, mark) sorted by the first four, to pairs of nodes of different roots that may be alike."""
     schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
@@ -410,54 +472,40 @@ def _apart(least: float):
 
 
 def prefix_pairs(docs: DataFrame, nodes: DataFrame, n: int, roots: DataFrame, size: int, least: float) -> DataFrame:
-    """u, v: all pairs of the n nodes (node, mark) of different roots that may be alike. roots: node, root; others are alone."""
-    rows = shingle_prefixes(docs, size, least, common_shingles(docs, n, size)).join(roots, "node", "left")
-    rows = rows.select("node", F.coalesce("root", "node").alias("root"), "n", F.posexplode("prefix").alias("place", "token")).select(*_SHARED.names)
-    rows = written(arrow_stage(rows.repartition("token").sortWithinPartitions("token"), _mixed, "token bigint, node bigint, root bigint, n bigint, place bigint"), "shared")
+    """u, v: all pairs of the n nodes (node, n, mark) of different roots that may be alike. roots: node, root; others are alone."""
+    tokens = nodes.agg(F.sum(F.col("n") - F.ceil(least * F.col("n") - 1e-9) + 1)).head()[0] or 0
+    bits = min(32, max(0, int(tokens) // PART).bit_length())
+    packed = packed_prefixes(docs, size, least, common_shingles(docs, n, size), bits)
+    rows = written(arrow_stage(packed.repartition("part").sortWithinPartitions("part"), _shared, "token bigint, node bigint, place bigint"), "shared")
+    rows = rows.join(nodes.select("node", "n"), "node").join(roots, "node", "left").select("token", "node", F.coalesce("root", "node").alias("root"), "n", "place")
+    rows = written(rows, "rooted")
     half = BUCKET // 2
-    large = rows.groupBy("token").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > BUCKET).select("token", F.ceil(F.col("rows") / half).cast("int").alias("chunks"))
+    mixed = rows.groupBy("token").agg(F.count(F.lit(1)).alias("rows"), F.min("root").alias("least"), F.max("root").alias("most")).where("least < most")
+    mixed = written(mixed.select("token", F.when(F.col("rows") > BUCKET, F.ceil(F.col("rows") / half).cast("int")).alias("chunks")), "mixed")
     own = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
     chunks = F.when(F.col("chunks").isNull(), F.array(F.struct(F.lit(0).alias("a"), F.lit(0).alias("b")))).otherwise(F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda x: F.struct(F.least(x, own).alias("a"), F.greatest(x, own).alias("b"))))
-    dealt = rows.join(large, "token", "left").join(nodes.select("node", "mark"), "node").select("token", "n", "node", "root", "place", "mark", F.inline(chunks))
+    dealt = rows.join(mixed, "token").join(nodes.select("node", "mark"), "node").select("token", "n", "node", "root", "place", "mark", F.inline(chunks))
     ordered = dealt.repartition("token", "a", "b").sortWithinPartitions("token", "a", "b", "n").select("token", "a", "b", "n", "node", "root", "place", "mark")
-    return arrow_stage(ordered, _apart(least), "u bigint, v bigint").distinct()
+    return arrow_stage(ordered, _apart(least), "u bigint, v bigint")
 
 
 def verified(docs: DataFrame, reps: DataFrame, pairs: DataFrame, size: int, least: float) -> DataFrame:
     """The pairs (u, v) whose sets of shingles have at least that resemblance. reps: node and the text_hash of one of its texts."""
-    pairs = written(pairs.where("u <> v").select("u", "v").distinct(), "candidates")
+    pairs = written(pairs.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "candidates")
     wanted = written(reps.join(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct(), "node"), "wanted")
-    # most texts are in no pair; a bitmap of hashes keeps them out before anything is shuffled
-    n_bits = 1 << max(15, 3 + wanted.count().bit_length())
-    bit = F.pmod("text_hash", F.lit(n_bits)) + 1  # the engine's bitmaps begin at 1
-    parts = wanted.groupBy(F.bitmap_bucket_number(bit).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits")).collect()
-    bitmap = np.zeros(n_bits // 8, np.uint8)
-    for r in parts:
-        bitmap[(r.k - 1) * 4096 : r.k * 4096] |= np.frombuffer(r.bits, np.uint8)
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("text_hash", pa.int64()), ("shingles", pa.binary())])
-        for batch in batches:
-            at = batch.column(0).to_numpy() & (n_bits - 1)
-            for b in slices(batch.filter(pa.array((bitmap[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)))):
-                h, ends = distinct_hashes(*shingle_hashes(b.column(1), size))
-                yield table({"text_hash": b.column(0), "shingles": [h[x:y].tobytes() for x, y in zip(ends[:-1], ends[1:], strict=True)]}, schema)
-
-    texts = docs.select(F.xxhash64("text").alias("text_hash"), "text")
-    found = arrow_stage(texts, sets, "text_hash bigint, shingles binary").groupBy("text_hash").agg(F.first("shingles").alias("shingles"))
-    found = written(found.join(wanted, "text_hash").select("node", "shingles"), "sets")
+    # most texts are in no pair and stay where they are; copies go once
+    texts = sifted(docs.select(F.xxhash64("text").alias("text_hash"), "text"), "text_hash", sieve(wanted, "text_hash")).groupBy("text_hash").agg(F.first("text").alias("text"))
+    texts = written(texts.join(wanted, "text_hash").select("node", "text"), "texts")
 
     def hold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            same = []
-            for x, y in zip(b.column(2), b.column(3), strict=True):
-                p, q = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
-                both = len(np.intersect1d(p, q, assume_unique=True))
-                same.append(both >= least * (len(p) + len(q) - both) - 1e-9)
-            kept = b.filter(pa.array(same, pa.bool_()))
-            yield table({"u": kept.column(0), "v": kept.column(1)}, pa.schema([("u", pa.int64()), ("v", pa.int64())]))
-
-    both = pairs.join(found.select(F.col("node").alias("u"), F.col("shingles").alias("p")), "u").join(found.select(F.col("node").alias("v"), F.col("shingles").alias("q")), "v")
+        for batch in batches:
+            for b in slices(batch, "p"):
+                (p, at), (q, to) = (distinct_hashes(*shingle_hashes(b.column(i), size)) for i in (2, 3))
+                both = np.array([len(np.intersect1d(p[a:z], q[x:y], assume_unique=True)) for a, z, x, y in zip(at[:-1], at[1:], to[:-1], to[1:], strict=True)], np.int64)
+                kept = b.filter(pa.array(both >= least * (np.diff(at) + np.diff(to) - both) - 1e-9))
+                yield table({"u": kept.column(0), "v": kept.column(1)}, pa.schema([("u", pa.int64()), ("v", pa.int64())]))
+
+    both = pairs.join(texts.select(F.col("node").alias("u"), F.col("text").alias("p")), "u").join(texts.select(F.col("node").alias("v"), F.col("text").alias("q")), "v")
     return written(arrow_stage(both.select("u", "v", "p", "q"), hold, "u bigint, v bigint"), "links")
 
 
@@ -467,7 +515,8 @@ def components(edges: DataFrame) -> DataFrame:
     mark = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        # written, so that the engine can split the rows of a star that are joined to it
+        least = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("x"), F.col("m").alias("y")), F.struct(F.col("u").alias("x"), F.col("m").alias("y")))).alias("e")).select(F.col("e.x").alias("u"), F.col("e.y").alias("v")).where("u <> v").distinct()
@@ -486,7 +535,7 @@ def _rooted(rows: DataFrame, distinct: DataFrame, edges: DataFrame) -> DataFrame
     group = linked.groupBy("root").agg(F.min("least").alias("group_least"))
     linked = linked.select("node", "root").join(group, "root")
     every = distinct.join(linked, "node", "left").select("node", F.coalesce("root", "node").alias("root"), F.when(F.col("root").isNull(), F.col("least")).otherwise(F.col("group_least")).alias("least"))
-    return rows.join(every, "node").select("doc_id", "text_hash", "fp", "root", "least")
+    return rows.join(written(every, "roots"), "node").select("doc_id", "text_hash", "fp", "root", "least")
 
 
 def grouped(docs: DataFrame, size: int = 4) -> DataFrame:
@@ -499,13 +548,14 @@ def grouped(docs: DataFrame, size: int = 4) -> DataFrame:
 def alike(docs: DataFrame, size: int, least: float) -> DataFrame:
     """Groups of links of at least `least` resemblance of the sets of shingles; all of them, and no others."""
     rows = written(marked(docs, size), "fingerprints")
-    distinct = written(rows.groupBy("node").agg(F.min("fp").alias("fp"), F.first("mark").alias("mark"), F.min("text_hash").alias("text_hash"), F.min("doc_id").alias("least")), "distinct")
+    one = F.first(F.struct("fp", "n", "mark", "short")).alias("one")  # the same of all that have the node, but for fp
+    distinct = written(rows.groupBy("node").agg(one, F.min("text_hash").alias("text_hash"), F.min("doc_id").alias("least")).select("node", "one.*", "text_hash", "least"), "distinct")
     n, reps = distinct.count(), distinct.select("node", "text_hash")
     first = verified(docs, reps, close_pairs(distinct, n, least), size, least)
     roots = components(first)
     roots = roots.unionByName(roots.select(F.col("root").alias("u"), "root").distinct()).withColumnRenamed("u", "node")
     rest = verified(docs, reps, prefix_pairs(docs, distinct, n, roots, size, least), size, least)
-    return _rooted(rows.drop("mark"), distinct.select("node", "least"), first.unionByName(rest))
+    return _rooted(rows.select("doc_id", "text_hash", "fp", "node"), distinct.select("node", "least"), first.unionByName(rest))
 
 
 def near_duplicates(docs: DataFrame, size: int = 4) -> DataFrame:
@@ -515,8 +565,18 @@ def near_duplicates(docs: DataFrame, size: int = 4) -> DataFrame:
 
 def without_near_duplicates(docs: DataFrame, size: int, least: float) -> DataFrame:
     """The rows of docs, all columns, one of each group of texts alike in at least that share of their shingles: that of the smallest doc_id, then of the smallest hash of its text."""
-    first = alike(docs, size, least).groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("first"))
-    first = first.select(F.col("first.doc_id").alias("first_id"), F.col("first.text_hash").alias("first_hash"))
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("id"), F.xxhash64("text").alias("hash"), F.struct("*").alias("row"))
-    rows = rows.join(first, F.col("id").eqNullSafe(F.col("first_id")) & (F.col("hash") == F.col("first_hash")), "left_semi")
-    return rows.dropDuplicates(["id", "hash"]).select("row.*")
+    rows = written(alike(docs, size, least).select("doc_id", "text_hash", "root"), "groups")
+    groups = rows.groupBy("root").agg(F.count(F.lit(1)).alias("rows"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("first")).where("rows > 1")
+    groups = written(groups.select("root", F.col("first.doc_id").alias("first_id"), F.col("first.text_hash").alias("first_hash")), "firsts")
+    may_be = sieve(written(rows.join(groups.select("root"), "root").select("text_hash").distinct(), "grouped"), "text_hash")
+    id_, hash_, row_ = "id", "hash", "row"
+    every = docs.select(F.col("doc_id").cast("bigint").alias(id_), F.xxhash64("text").alias(hash_), F.struct("*").alias(row_))
+    alone = sifted(every, hash_, may_be, False).select("row.*")  # in no group: not shuffled
+    crowd = sifted(every, hash_, may_be)
+    # of what came through by chance each row is in no group; the others are there if they are the first
+    known = rows.join(groups, "root").select("doc_id", "text_hash", (F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("text_hash") == F.col("first_hash"))).alias("is_first")).distinct()
+    known = written(known, "known")
+    joined = crowd.join(known, F.col(id_).eqNullSafe(F.col("doc_id")) & (F.col(hash_) == F.col("text_hash")), "left")
+    # rows that repeat are a group, so no other row goes by this
+    kept = joined.where("is_first is null or is_first").dropDuplicates([id_, hash_])
+    return alone.unionByName(kept.select("row.*"))
