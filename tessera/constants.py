@@ -25,6 +25,30 @@ EDGE_TYPES = {
 NODE_DENY = ["id", "name", "type", "source", "created_at", "last_updated", "enriched"]
 EDGE_DENY = ["source", "created_at", "type"]
 
+#: Patterns of wiki markup, with their flags.
+MARKUP = {
+    "template": r"\{\{[^}]+\}\}",
+    "innermost template": r"\{\{[^{}]*\}\}",
+    "reference": r"(?s:<ref[^>]*>.*?</ref>)",
+    "any reference": r"(?is:<ref[^>]*>.*?</ref>)",
+    "short reference": r"<ref[^>]*/?>",
+    "closed reference": r"(?i:<ref[^/>]*/>)",
+    "comment": r"(?s:<!--.*?-->)",
+    "size": r"(?i:\b\d+(?:x\d+)?px\b\s*)",
+    "layout": r"(?i:\b(?:border|thumb|link|frameless|upright|center|left|right|none)\b\s*)",
+    "layout and bar": r"(?i:\b(?:border|thumb|link|frameless|upright|center|left|right|none)\b\s*\|?\s*)",
+    "media": r"(?i:\[\[(?:Tập[_ ]?tin|File|Image|Hình):[^\]]+\]\])",
+    "summary media": r"(?i:\[\[(?:Tập tin|File|Hình|Image):[^\]]*\]\])",
+    "media link": r"(?i:\[\[[^\]]*(?:file:|image:|tập tin:|hình:)[^\]]*\]\])",
+    "address": r"(?i:https?://[^\s\]]+)",
+    "link": r"\[\[(?:[^\]]*\|)?\s*([^\]|]*?)\s*\]\]",
+    "summary link": r"\[\[(?:[^\]|]*\|)?([^\]]+)\]\]",
+    "labelled address": r"\[http[^\s\]]+\s+([^\]]+)\]",
+    "bare address": r"\[http[^\]]+\]",
+    "break or bullet": r"(?i:<br\s*/?\s*>)|\n\s*\*\s*|\*\s*",
+    "tag": r"<[^>]+>",
+}
+
 PRIORITY_TEMPLATES = [
     "viên chức", "Viên chức", "thông tin viên chức", "Thông tin viên chức", "infobox", "infobox viên chức", "infobox nhân vật",
     "infobox officeholder", "infobox officeholder 1", "infobox officeholder1", "thông tin nhân vật", "thông tin chính khách",

@@ -20,22 +20,19 @@ def src_events_json(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.sum(k).alias("total"))
 
 
-def _chain(x: str, steps: list[tuple[str, str, str]]) -> str:
-    for pattern, by, flags in steps:
-        x = f"regexp_replace({x}, '{pattern.replace(chr(39), chr(39) * 2)}', '{by}', '{flags}')"
+def _without(x: str, kinds: list[str], by: str = "") -> str:
+    """SQL that replaces each of these kinds of markup in turn."""
+    for kind in kinds:
+        pattern = C.MARKUP[kind].replace("'", "''")
+        x = f"regexp_replace({x}, '{pattern}', '{by}', 'g')"
     return x
 
 
-_STRIP = _chain("html", [
-    (r"\{\{[^}]+\}\}", "", "g"), (r"<ref[^>]*>.*?</ref>", "", "gs"), (r"<ref[^>]*/?>", "", "g"), (r"\b\d+(?:x\d+)?px\b\s*", "", "gi"),
-    (r"\b(?:border|thumb|link|frameless|upright|center|left|right|none)\b\s*\|?\s*", "", "gi"), (r"\[\[(?:Tập[_ ]?tin|File|Image|Hình):[^\]]+\]\]", "", "gi"),
-    (r"https?://[^\s\]]+", "", "gi"), (r"\[\[[^\]]*(?:file:|image:|tập tin:|hình:)[^\]]*\]\]", "", "gi"), (r"\[\[(?:[^\]]*\|)?\s*([^\]|]*?)\s*\]\]", r"\1", "g"),
-    (r"<br\s*/?\s*>", ", ", "gi"), (r"\n\s*\*\s*", ", ", "g"), (r"\*\s*", ", ", "g"), (r"<[^>]+>", "", "g"),
-])
+_FIELD = _without(_without(_without("html", ["template", "reference", "short reference", "size", "layout and bar", "media", "address", "media link"]), ["link"], r"\1"), ["break or bullet"], ", ")
 
 
 @query(f"""
-WITH a AS (SELECT page_id, trim(regexp_replace({_STRIP}, '\\s+', ' ', 'g')) AS x FROM pages),
+WITH a AS (SELECT page_id, trim(regexp_replace({_without(_FIELD, ["tag"])}, '\\s+', ' ', 'g')) AS x FROM pages),
 b AS (SELECT page_id, replace(replace(regexp_replace(regexp_replace(x, ',\\s*,+', ',', 'g'), '\\s*,\\s*', ', ', 'g'), '''''', ''), '||', '') AS x FROM a)
 SELECT page_id, length(trim(x, ', ')) AS n_chars, md5(trim(x, ', ')) AS digest FROM b
 """)
@@ -44,18 +41,23 @@ def txt_strip_markup(spark: SparkSession, d: str) -> DataFrame:
     return x.select("page_id", F.length("x").alias("n_chars"), F.md5("x").alias("digest"))
 
 
-_SUMMARY = _chain("html", [
-    (r"\[\[(Tập tin|File|Hình|Image):[^\]]*\]\]", "", "gi"), (r"<ref[^>]*>.*?</ref>", "", "gis"), (r"<ref[^/>]*/>", "", "gi"), (r"<!--.*?-->", "", "gs"), (r"<[^>]+>", "", "g"),
-    *[(r"\{\{[^\{\}]*\}\}", "", "g")] * text.TEMPLATE_DEPTH, (r"\[\[(?:[^\]|]*\|)?([^\]]+)\]\]", r"\1", "g"), (r"\[http[^\s\]]+\s+([^\]]+)\]", r"\1", "g"), (r"\[http[^\]]+\]", "", "g"),
-    (r"'{2,}", "", "g"), (r"\n\n+", ". ", "g"), (r"\s+", " ", "g"), (r"\.\s*\.+", ".", "g"),
-])
+#: Pages with nested templates in them, as deep as their number says.
+_NESTED = "replace(html, '<p>', repeat('{{a|', 1 + page_id % 40) || repeat('}}', 1 + page_id % 40) || ' [[' || page_id || '|<p>')"
 
 
 @query(f"""
-SELECT page_id, md5(trim(replace({_SUMMARY}, '"', ''))) AS digest FROM pages
+WITH RECURSIVE t AS (
+  SELECT page_id, {_without(_NESTED, ["summary media", "any reference", "closed reference", "comment", "tag"])} AS x, 0 AS i FROM pages
+  UNION ALL SELECT page_id, regexp_replace(x, '{C.MARKUP["innermost template"]}', '', 'g'), i + 1 FROM t WHERE regexp_matches(x, '{C.MARKUP["innermost template"]}')),
+u AS (SELECT page_id, arg_max(x, i) AS x FROM t GROUP BY page_id),
+v AS (SELECT page_id, {_without(_without(_without("x", ["summary link"], r"\1"), ["labelled address"], r"\1"), ["bare address"])} AS x FROM u),
+w AS (SELECT page_id, replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(x, '''{{2,}}', '', 'g'), '\\n\\n+', '. ', 'g'), '\\s+', ' ', 'g'), '\\.\\s*\\.+', '.', 'g'), '"', '') AS x FROM v)
+SELECT page_id, md5(trim(x)) AS digest FROM w
 """)
 def txt_clean_summary(spark: SparkSession, d: str) -> DataFrame:
-    return read(spark, d, "pages").select("page_id", F.md5(text.clean_summary(F.col("html"))).alias("digest"))
+    depth = (F.lit(1) + F.col("page_id") % 40).cast("int")
+    nested = F.replace("html", F.lit("<p>"), F.concat(F.repeat(F.lit("{{a|"), depth), F.repeat(F.lit("}}"), depth), F.lit(" [["), F.col("page_id").cast("string"), F.lit("|<p>")))
+    return read(spark, d, "pages").select("page_id", F.md5(text.clean_summary(nested)).alias("digest"))
 
 
 @query(r"""
