@@ -202,4 +202,39 @@ PLANS = {
 ALLOWED_ENTITY_TYPES = ["Politician", "Position", "Location", "Award", "MilitaryCareer", "MilitaryRank", "AcademicTitle", "AlmaMater", "Campaigns", "TermPeriod"]
 ALLOWED_RELATION_TYPES = ["PRECEDED", "SUCCEEDED", "BORN_AT", "DIED_AT", "SERVED_AS", "ALUMNUS_OF", "HAS_RANK", "HAS_ACADEMIC_TITLE", "AWARDED", "SERVED_IN", "FOUGHT_IN"]
 
+#: Edge type: true-false forwards and backwards, choice forwards and backwards.
+EDGE_PATTERNS = {
+    "BORN_AT": ("{subject} sinh ra ở {object}", "{object} là quê của {subject}", "{subject} sinh ra ở đâu?", "{object} là quê của ai?"),
+    "DIED_AT": ("{subject} mất tại {object}", "{object} là nơi mất của {subject}", "{subject} mất tại đâu?", "Ai mất tại {object}?"),
+    "SERVED_AS": ("{subject} từng giữ chức vụ {object}", "{object} là chức vụ mà {subject} từng giữ", "{subject} từng giữ chức vụ gì?", "Ai từng giữ chức vụ {object}?"),
+    "AWARDED": ("{subject} được trao tặng {object}", "{object} được trao tặng cho {subject}", "{subject} được trao tặng giải thưởng gì?", "Ai được trao tặng {object}?"),
+    "ALUMNUS_OF": ("{subject} tốt nghiệp tại {object}", "{object} là trường mà {subject} từng học", "{subject} tốt nghiệp tại trường nào?", "Ai tốt nghiệp tại {object}?"),
+    "HAS_ACADEMIC_TITLE": ("{subject} có học vị {object}", "{object} là học vị của {subject}", "{subject} có học vị gì?", "Ai có học vị {object}?"),
+    "FOUGHT_IN": ("{subject} tham gia trận {object}", "Trận {object} có sự tham gia của {subject}", "{subject} tham gia trận nào?", "Ai tham gia trận {object}?"),
+    "SERVED_IN": ("{subject} phục vụ trong {object}", "{object} có sự phục vụ của {subject}", "{subject} phục vụ trong đơn vị quân sự nào?", "Ai phục vụ trong {object}?"),
+    "HAS_RANK": ("{subject} có cấp bậc quân sự {object}", "{object} là cấp bậc quân sự của {subject}", "{subject} có cấp bậc quân sự gì?", "Ai có cấp bậc quân sự {object}?"),
+    "SUCCEEDED": ("{subject} kế nhiệm {object} trong chức vụ {position}", "{object} là tiền nhiệm của {subject} trong chức vụ {position}", "{subject} kế nhiệm ai trong chức vụ {position}?", "Ai kế nhiệm {object} trong chức vụ {position}?"),
+    "PRECEDED": ("{subject} là tiền nhiệm của {object} trong chức vụ {position}", "{object} kế nhiệm {subject} trong chức vụ {position}", "{subject} là tiền nhiệm của ai trong chức vụ {position}?", "Ai là tiền nhiệm của {object} trong chức vụ {position}?"),
+    "BORN_YEAR": ("{subject} sinh năm {object}", "Năm {object} là năm sinh của {subject}", "{subject} sinh năm nào?", "Ai sinh năm {object}?"),
+    "DIED_YEAR": ("{subject} mất năm {object}", "Năm {object} là năm mất của {subject}", "{subject} mất năm nào?", "Ai mất năm {object}?"),
+    "TERM_DURATION": ("{subject} giữ chức vụ {position} {object}", "Giai đoạn {object} là thời gian {subject} giữ chức vụ {position}", "{subject} giữ chức vụ {position} trong giai đoạn nào?", "Ai giữ chức vụ {position} trong giai đoạn {object}?"),
+}
+#: Edge types whose patterns name a position.
+NEEDS_POSITION = ["SUCCEEDED", "PRECEDED", "TERM_DURATION"]
+POSITIVE_ENDINGS = [
+    "Đúng hay sai?", "Đúng không?", "Đúng chưa?", "Phải không?", "Có đúng không?", "Có phải không?", "Có chính xác không?",
+    "Có đúng vậy không?", "Có phải vậy không?", "Có chính xác vậy không?", "Đúng vậy không?", "Sai hay đúng?",
+]
+NEGATIVE_ENDINGS = [
+    "Không đúng sao?", "Không phải sao?", "Không đúng à?", "Không phải à?", "Chẳng phải sao?", "Chẳng đúng sao?", "Chẳng phải à?",
+    "Chẳng đúng à?", "Chẳng phải vậy sao?", "Chẳng đúng vậy sao?", "Không chính xác à?", "Không chính xác sao?", "Chẳng chính xác à?",
+    "Chẳng chính xác sao?",
+]
+#: Types whose names stand in where a type has too few.
+FALLBACK_TYPES = {
+    "AcademicTitle": ["Position", "Politician"], "AlmaMater": ["Position", "Location"], "Location": ["Position", "Politician"],
+    "Position": ["Politician", "Location"], "Politician": ["Position", "Location"], "Award": ["Position", "Politician"],
+    "MilitaryRank": ["Position", "Politician"], "Campaigns": ["Location", "Politician"], "MilitaryCareer": ["Position", "Politician"],
+}
+
 TRUE_LABEL, FALSE_LABEL, NO_DATA_LABEL = "Đúng", "Sai", "Không có dữ kiện"

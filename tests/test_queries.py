@@ -3,7 +3,7 @@
 import pytest
 
 from tests.conftest import DATA, rows_of
-from tessera.plans import graph_queries, question_queries, tables, text_queries  # noqa: F401
+from tessera.plans import build_queries, graph_queries, question_queries, tables, text_queries  # noqa: F401
 
 
 @pytest.mark.parametrize("name", sorted(tables.SQL))
