@@ -32,7 +32,7 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(h.n_hit, 0) AS n_
 FROM d LEFT JOIN h ON h.r = d.r LEFT JOIN n ON n.r = d.r
 """
 
-_VALUES = ", ".join(f"({i}, '{label}', '{text}')" for i, (label, text) in enumerate(licenses.TEMPLATES))
+_VALUES = ", ".join(f"({i}, '{label}', '{text}', {licenses.span_of(text)})" for i, (label, text) in enumerate(licenses.TEMPLATES))
 _PHRASES = ", ".join(f"('{label}', '{phrase}')" for phrase, label in licenses.PHRASES)
 
 OP5 = rf"""
@@ -41,13 +41,15 @@ p(label, phrase) AS (VALUES {_PHRASES}),
 ph AS (SELECT label, string_split(phrase, ' ') AS ws FROM p),
 pl AS (SELECT r, label, i FROM (SELECT d.r, ph.label, ph.ws, d.w, unnest(range(1, len(d.w) - len(ph.ws) + 2)) AS i FROM d, ph WHERE len(d.w) >= len(ph.ws)) WHERE w[i] = ws[1] AND w[i:i + len(ws) - 1] = ws),
 b AS (SELECT r, count(*) AS n, min(i) - 1 AS lo, max(i) - 1 AS hi, list(DISTINCT label) AS ls FROM pl GROUP BY r),
-v(t, label, words) AS (VALUES {_VALUES}),
-tp AS (SELECT label, list_distinct(string_split(words, ' ')) AS ws FROM v),
-l AS (SELECT r, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS i FROM d),
-lw AS (SELECT r, i, list_distinct({_WORDS.format('line')}) AS ws FROM l),
-x AS (SELECT lw.r, lw.i, tp.label, len(list_intersect(tp.ws, lw.ws)) AS o, len(tp.ws) AS k FROM lw, tp WHERE len(lw.ws) >= ceil(round({licenses.THRESHOLD} * len(tp.ws), 9))),
-y AS (SELECT *, max(o / k) OVER (PARTITION BY r, i) AS best FROM x WHERE o >= ceil(round({licenses.THRESHOLD} * k, 9))),
-m AS (SELECT r, list(DISTINCT label) AS ls, max(best) AS c FROM y WHERE o / k = best GROUP BY r)
+v(t, label, words, span) AS (VALUES {_VALUES}),
+tp AS (SELECT t, label, span, list_distinct(string_split(words, ' ')) AS ws FROM v),
+tw AS (SELECT t, unnest(ws) AS word FROM tp),
+dw AS (SELECT r, unnest(w) AS word, unnest(range(len(w))) AS i FROM d),
+oc AS (SELECT r, t, i, word FROM dw JOIN tw USING (word)),
+full_enough AS (SELECT r, t FROM oc GROUP BY r, t HAVING count(DISTINCT word) >= (SELECT ceil(round({licenses.THRESHOLD} * len(ws), 9)) FROM tp WHERE tp.t = oc.t)),
+x AS (SELECT a.r, a.t, a.i AS s, count(DISTINCT z.word) AS o FROM oc a JOIN full_enough USING (r, t) JOIN tp ON tp.t = a.t JOIN oc z ON z.r = a.r AND z.t = a.t AND z.i >= a.i AND z.i < a.i + tp.span GROUP BY a.r, a.t, a.i),
+y AS (SELECT x.r, x.s, tp.label, tp.span, o / len(tp.ws) AS c FROM x JOIN tp ON tp.t = x.t WHERE o >= ceil(round({licenses.THRESHOLD} * len(tp.ws), 9))),
+m AS (SELECT r, list(DISTINCT label) AS ls, max(c) AS c FROM y WHERE NOT EXISTS (SELECT 1 FROM y q WHERE q.r = y.r AND q.c > y.c AND abs(q.s - y.s) < y.span) GROUP BY r)
 SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(b.n, 0) AS n_base, b.lo AS first_word, b.hi AS last_word,
        array_to_string(list_sort(coalesce(b.ls, [])), ',') AS base_labels,
        array_to_string(list_sort(list_distinct(list_concat(coalesce(b.ls, []), coalesce(m.ls, [])))), ',') AS labels,

@@ -207,6 +207,26 @@ def test_licenses(spark, sf_dir):
     assert {r.doc_id: (r.labels, r.score) for r in licenses.scan(line).collect()} == {1: (["gpl-3"], 1.0), 2: ([], 0.0)}
 
 
+def test_wrapped_notices(spark):
+    """Whole notices over many lines, with words lost, in long texts; words alone or far apart are none."""
+    from tessera.llm import licenses
+
+    rng = random.Random(2)
+    wrap = lambda words: "\n# ".join(" ".join(words[i : i + 9]) for i in range(0, len(words), 9))
+    notice = {label: text for label, text in licenses.TEMPLATES if len(text.split()) > 30}
+    prose = lambda n: [rng.choice(["alpha", "beta", "gamma", "delta", "the", "of"]) for _ in range(n)]
+    rows, expected = [], {}
+    for i, (label, text) in enumerate(sorted(notice.items())):
+        words = text.split()
+        distinct = sorted(set(words))
+        lost = set(rng.sample([w for w in distinct if not w.isdigit() and w != "lesser"], len(distinct) // 12))  # what tells versions apart stays
+        half = set(distinct[::2])
+        rows += [(3 * i, wrap(prose(500) + words + prose(500)).upper()), (3 * i + 1, wrap([w for w in words if w not in lost])), (3 * i + 2, wrap([w for w in words if w in half] + prose(2000) + [w for w in words if w not in half]))]
+        expected |= {3 * i: ([label], 1.0), 3 * i + 1: ([label], (len(distinct) - len(lost)) / len(distinct)), 3 * i + 2: ([], 0.0)}
+    got = {r.doc_id: (r.labels, r.score) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {k: (labels, round(score, 9)) for k, (labels, score) in got.items()} == {k: (labels, round(score, 9)) for k, (labels, score) in expected.items()}
+
+
 @pytest.mark.parametrize("crowd", [suffixes.SHARD_PIECES, 3, 1])
 def test_suffixes(spark, sf_dir, docs, crowd, monkeypatch):
     monkeypatch.setattr(suffixes, "SHARD_PIECES", crowd)
