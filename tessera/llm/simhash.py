@@ -8,8 +8,8 @@ forest of its links, not its pairs; buckets over BUCKET fingerprints are dealt o
 
 Texts of a given resemblance (Jaccard of their distinct shingles) may be further apart. `alike` links them exactly, in
 two steps. First it compares fingerprints that share sampled bits, up to WIDE_RADIUS; this finds most links of large
-groups as a forest. Then two texts not yet together that share one of their rarest shingles (prefix filter: a pair alike
-enough must) are compared by length, place in the prefix and marks. Prefixes travel packed, a block of texts to each
+groups as a forest. Then two texts not yet together that share enough of their rarest shingles (prefix filter: a pair alike
+enough must share one, and as many more as both prefixes are longer than for one) are compared by length and marks. Prefixes travel packed, a block of texts to each
 part of the hashes, and only shingles that different texts share become rows. Marks are parities of MARK_BITS classes of
 shingles: as many as differ, so many shingles at least differ, so no filter loses a pair. What is left is decided by the
 texts' sets of shingles themselves. Nothing depends on how many texts there are but the number of parts.
@@ -41,6 +41,8 @@ BUCKET = 4096
 MARK_BITS = 1024
 #: The same folded, for the comparison of fingerprints.
 SHORT_BITS = 512
+#: Of a text's distinct shingles, the share that its prefix is longer by; two texts must share so many of the shorter one's, and one, in their prefixes.
+LONGER = 0.02
 #: Prefix shingles that a task packs at once, and that a part is meant to hold.
 PACK, PART = 1 << 21, 1 << 20
 #: Bits apart up to which fingerprints are compared first, and the sampled tables for that. What they miss the prefixes find.
@@ -349,23 +351,27 @@ def common_shingles(docs: DataFrame, n: int, size: int) -> tuple[np.ndarray, np.
     return h[order], c[order]
 
 
+def shared(n: np.ndarray) -> np.ndarray:
+    """How many shingles texts of n distinct ones must have in common in their prefixes: the least of the two counts."""
+    return 1 + np.floor(LONGER * n).astype(np.int64)
+
+
 def packed_prefixes(docs: DataFrame, size: int, least: float, common: tuple[np.ndarray, np.ndarray], bits: int) -> DataFrame:
-    """part, data: of each text's distinct shingles the rarest, so many that texts of at least that resemblance have one in common. A part has the hashes that begin with its bits."""
+    """part, data: of each text's distinct shingles the rarest, so many that texts of at least that resemblance have shared() in common. A part has the hashes that begin with its bits."""
     schema = pa.schema([("part", pa.int64()), ("data", pa.binary())])
     known, count = (np.append(x, x.dtype.type(0)) for x in common)
 
-    def packed(tokens: list[np.ndarray], nodes: list[np.ndarray], places: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        h, node, place = np.concatenate(tokens), np.concatenate(nodes), np.concatenate(places)
+    def packed(tokens: list[np.ndarray], nodes: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        h, node = np.concatenate(tokens), np.concatenate(nodes)
         part = (h >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(h), np.int64)
         order = np.argsort(part, kind="stable")
-        part, short, node, place = part[order], ((h >> np.uint64(32 - bits)) & np.uint64(0xFFFFFFFF)).astype(np.uint32)[order], node[order], place[order]
+        part, short, node = part[order], ((h >> np.uint64(32 - bits)) & np.uint64(0xFFFFFFFF)).astype(np.uint32)[order], node[order]
         cuts = np.append(np.flatnonzero(np.append(True, part[1:] != part[:-1])), len(part))
         for i, j in zip(cuts[:-1], cuts[1:], strict=True):
-            planes = np.ascontiguousarray(place[i:j].astype("<u4").view(np.uint8).reshape(-1, 4).T)  # its upper bytes are mostly empty
-            yield table({"part": part[i : i + 1], "data": [short[i:j].tobytes() + node[i:j].tobytes() + planes.tobytes()]}, schema)
+            yield table({"part": part[i : i + 1], "data": [short[i:j].tobytes() + node[i:j].tobytes()]}, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, nodes, places, seen, held = [], [], [], set(), 0
+        tokens, nodes, seen, held = [], [], set(), 0
         for batch in batches:
             for b in slices(batch):
                 h, at = distinct_hashes(*shingle_hashes(b.column(0), size))
@@ -376,40 +382,37 @@ def packed_prefixes(docs: DataFrame, size: int, least: float, common: tuple[np.n
                 seen.update(names[new].tolist())
                 row, i = np.repeat(np.arange(len(n)), n), np.searchsorted(known[:-1], h)
                 order = np.lexsort((h, np.where(known[i] == h, count[i], 0), row))
-                p = np.where(new & (n > 0), n - np.ceil(least * n - 1e-9).astype(np.int64) + 1, 0)
-                place = np.arange(len(h)) - at[row]
-                within = place < p[row]
+                p = np.where(new & (n > 0), n - np.ceil(least * n - 1e-9).astype(np.int64) + shared(n), 0)
+                within = np.arange(len(h)) - at[row] < p[row] if len(h) else np.zeros(0, bool)
                 tokens.append(h[order][within])
                 nodes.append(names[row[within]])
-                places.append(place[within])
                 held += len(tokens[-1])
                 if held > PACK:
-                    yield from packed(tokens, nodes, places)
-                    tokens, nodes, places, seen, held = [], [], [], set(), 0
+                    yield from packed(tokens, nodes)
+                    tokens, nodes, seen, held = [], [], set(), 0
         if held:
-            yield from packed(tokens, nodes, places)
+            yield from packed(tokens, nodes)
 
     return arrow_stage(docs.select("text"), run, "part bigint, data binary")
 
 
-_SHARED = pa.schema([("token", pa.int64()), ("node", pa.int64()), ("place", pa.int64())])
+_SHARED = pa.schema([("token", pa.int64()), ("node", pa.int64())])
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Packed prefixes sorted by part, to rows of the tokens that several nodes have."""
 
     def solve(part: int, packs: list[bytes]) -> pa.RecordBatch:
-        sizes = [len(x) // 16 for x in packs]
+        sizes = [len(x) // 12 for x in packs]
         token = np.concatenate([np.frombuffer(x, "<u4", n) for x, n in zip(packs, sizes, strict=True)])
         node = np.concatenate([np.frombuffer(x, "<i8", n, 4 * n) for x, n in zip(packs, sizes, strict=True)])
-        place = np.concatenate([np.frombuffer(x, np.uint8, 4 * n, 12 * n).reshape(4, n).T.copy().view("<u4").ravel() for x, n in zip(packs, sizes, strict=True)])
         order = np.lexsort((node, token))
-        token, node, place = token[order], node[order], place[order]
+        token, node = token[order], node[order]
         again = np.append(False, (token[1:] == token[:-1]) & (node[1:] == node[:-1]))  # from another block
-        token, node, place = token[~again], node[~again], place[~again]
+        token, node = token[~again], node[~again]
         starts = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
         several = np.repeat(np.diff(np.append(starts, len(token))) > 1, np.diff(np.append(starts, len(token))))
-        return table({"token": (part << 32) + token[several].astype(np.int64), "node": node[several], "place": place[several].astype(np.int64)}, _SHARED)
+        return table({"token": (part << 32) + token[several].astype(np.int64), "node": node[several]}, _SHARED)
 
     held: list[bytes] = []
     part = None
@@ -444,49 +447,52 @@ def _whole(batches: Iterator[pa.RecordBatch], n_keys: int, n_ints: int, rows_at_
 
 
 def _apart(least: float):
-    """Rows (token, a, b, n, node, root, place, mark) sorted by the first four, to pairs of nodes of different roots that may be alike."""
-    schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
+    """Rows (token, a, b, n, node, root, mark) sorted by the first four, to pairs of nodes of different roots that may be alike: how many tokens they share here, and must share in all."""
+    schema = pa.schema([("u", pa.int64()), ("v", pa.int64()), ("need", pa.int64()), ("have", pa.int64())])
 
-    def pairs(rows: np.ndarray, mark: np.ndarray) -> np.ndarray:
-        n, node, root, left = rows[:, 3], rows[:, 4], rows[:, 5], rows[:, 3] - rows[:, 6]
+    def pairs(rows: np.ndarray, mark: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        n, node, root = rows[:, 3], rows[:, 4], rows[:, 5]
+        need = shared(n)
         starts = np.flatnonzero(np.append(True, (rows[1:, :3] != rows[:-1, :3]).any(axis=1)))
         stops = np.repeat(np.append(starts[1:], len(rows)), np.diff(np.append(starts, len(rows))))
-        out, i, step = [np.zeros((0, 2), np.int64)], np.arange(len(rows)), 1
+        out, i, step = [np.zeros((0, 3), np.int64)], np.arange(len(rows)), 1
         while len(i := i[i + step < stops[i]]):
             i = i[n[i + step] * least <= n[i] + 1e-6]  # n ascends in a bucket, so none further on is short enough either
             x, y = i, i + step
-            some = (root[x] != root[y]) & (np.minimum(left[x], left[y]) * (1 + least) >= (n[x] + n[y]) * least - 1e-6)
+            some = root[x] != root[y]
             x, y = x[some], y[some]
             same = may_be_alike(mark[x], mark[y], least)
-            x, y = node[x[same]], node[y[same]]
-            out.append(np.stack([np.maximum(x, y), np.minimum(x, y)], axis=1))
+            x, y = x[same], y[same]
+            out.append(np.stack([np.maximum(node[x], node[y]), np.minimum(node[x], node[y]), np.minimum(need[x], need[y])], axis=1))
             step += 1
-        return np.unique(np.concatenate(out), axis=0)
+        return np.unique(np.concatenate(out), axis=0, return_counts=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, mark in _whole(batches, 3, 7, 4 * BUCKET):
-            found = pairs(rows, mark)
-            yield table({"u": np.ascontiguousarray(found[:, 0]), "v": np.ascontiguousarray(found[:, 1])}, schema)
+        for rows, mark in _whole(batches, 3, 6, 4 * BUCKET):
+            found, have = pairs(rows, mark)
+            u, v, need = np.ascontiguousarray(found.T)
+            yield table({"u": u, "v": v, "need": need, "have": have.astype(np.int64)}, schema)
 
     return run
 
 
 def prefix_pairs(docs: DataFrame, nodes: DataFrame, n: int, roots: DataFrame, size: int, least: float) -> DataFrame:
     """u, v: all pairs of the n nodes (node, n, mark) of different roots that may be alike. roots: node, root; others are alone."""
-    tokens = nodes.agg(F.sum(F.col("n") - F.ceil(least * F.col("n") - 1e-9) + 1)).head()[0] or 0
+    tokens = nodes.agg(F.sum(F.col("n") - F.ceil(least * F.col("n") - 1e-9) + 1 + F.floor(LONGER * F.col("n")))).head()[0] or 0
     bits = min(32, max(0, int(tokens) // PART).bit_length())
     packed = packed_prefixes(docs, size, least, common_shingles(docs, n, size), bits)
-    rows = written(arrow_stage(packed.repartition("part").sortWithinPartitions("part"), _shared, "token bigint, node bigint, place bigint"), "shared")
-    rows = rows.join(nodes.select("node", "n"), "node").join(roots, "node", "left").select("token", "node", F.coalesce("root", "node").alias("root"), "n", "place")
+    rows = written(arrow_stage(packed.repartition("part").sortWithinPartitions("part"), _shared, "token bigint, node bigint"), "shared")
+    rows = rows.join(nodes.select("node", "n"), "node").join(roots, "node", "left").select("token", "node", F.coalesce("root", "node").alias("root"), "n")
     rows = written(rows, "rooted")
     half = BUCKET // 2
     mixed = rows.groupBy("token").agg(F.count(F.lit(1)).alias("rows"), F.min("root").alias("least"), F.max("root").alias("most")).where("least < most")
     mixed = written(mixed.select("token", F.when(F.col("rows") > BUCKET, F.ceil(F.col("rows") / half).cast("int")).alias("chunks")), "mixed")
     own = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
     chunks = F.when(F.col("chunks").isNull(), F.array(F.struct(F.lit(0).alias("a"), F.lit(0).alias("b")))).otherwise(F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda x: F.struct(F.least(x, own).alias("a"), F.greatest(x, own).alias("b"))))
-    dealt = rows.join(mixed, "token").join(nodes.select("node", "mark"), "node").select("token", "n", "node", "root", "place", "mark", F.inline(chunks))
-    ordered = dealt.repartition("token", "a", "b").sortWithinPartitions("token", "a", "b", "n").select("token", "a", "b", "n", "node", "root", "place", "mark")
-    return arrow_stage(ordered, _apart(least), "u bigint, v bigint")
+    dealt = rows.join(mixed, "token").join(nodes.select("node", "mark"), "node").select("token", "n", "node", "root", "mark", F.inline(chunks))
+    ordered = dealt.repartition("token", "a", "b").sortWithinPartitions("token", "a", "b", "n").select("token", "a", "b", "n", "node", "root", "mark")
+    found = arrow_stage(ordered, _apart(least), "u bigint, v bigint, need bigint, have bigint")
+    return found.groupBy("u", "v", "need").agg(F.sum("have").alias("have")).where(F.col("have") >= F.greatest(F.col("need") - 1, F.lit(1))).select("u", "v")  # less one, as two hashes of a text may begin alike
 
 
 def verified(docs: DataFrame, reps: DataFrame, pairs: DataFrame, size: int, least: float) -> DataFrame:
