@@ -1,5 +1,5 @@
 """Graph analytics. Iterations are joins and aggregations over written frontiers; kernels that need a whole graph in one
-place (betweenness, closeness, communities, null models) take graphs of at most KERNEL_EDGES edges and say so else."""
+place (betweenness, closeness, communities, null models) take graphs of at most KERNEL_EDGES edges and KERNEL_NODES nodes and say so else."""
 
 from __future__ import annotations
 
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tessera.operators.graph import cut, undirected
 
 KERNEL_EDGES = 2_000_000
+KERNEL_NODES = 4_000_000
 
 
 def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -69,12 +70,13 @@ def hits(nodes: DataFrame, edges: DataFrame, iterations: int = 100, tolerance: f
 
 def triangles(pairs: DataFrame) -> DataFrame:
     """id, triangles, degree in a simple undirected graph (a < b). Edges go from the end of lower degree, so hubs make no large joins."""
+    pairs = cut(pairs)  # read for the degrees, for both sides of the fork and to close it
     ends = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id")))
-    degree = ends.groupBy("id").agg(F.count(F.lit(1)).alias("degree"))
+    degree = cut(ends.groupBy("id").agg(F.count(F.lit(1)).alias("degree")))
     da, db = degree.select(F.col("id").alias("a"), F.col("degree").alias("da")), degree.select(F.col("id").alias("b"), F.col("degree").alias("db"))
     first = F.col("da") < F.col("db")
     first = first | ((F.col("da") == F.col("db")) & (F.col("a") < F.col("b")))
-    e = pairs.join(da, "a").join(db, "b").select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("u"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("v"))
+    e = cut(pairs.join(da, "a").join(db, "b").select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("u"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("v")))
     fork = e.join(e.withColumnRenamed("v", "w"), "u").where("v < w")
     closed = fork.join(pairs, (F.col("v") == pairs["a"]) & (F.col("w") == pairs["b"]))
     t = closed.select(F.explode(F.array("u", "v", "w")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("triangles"))
@@ -94,7 +96,8 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     before = None
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        # written, so that the engine can split the rows of a star that are joined to it
+        least = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         pairs = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("p"))
@@ -155,13 +158,18 @@ class Adjacency:
         return out
 
 
+def _bounded(nodes: DataFrame, edges: DataFrame) -> list[str]:
+    """The ids of a graph that a kernel can take; nothing is collected before both counts are known."""
+    ids = nodes.select("id").distinct()
+    if edges.limit(KERNEL_EDGES + 1).count() > KERNEL_EDGES or ids.limit(KERNEL_NODES + 1).count() > KERNEL_NODES:
+        raise ValueError(f"this kernel takes graphs of at most {KERNEL_EDGES} edges and {KERNEL_NODES} nodes")
+    return sorted(r.id for r in ids.collect())
+
+
 def gathered(nodes: DataFrame, edges: DataFrame, directed: bool) -> Adjacency:
-    """The graph on the driver, for a broadcast; refused beyond KERNEL_EDGES edges."""
+    """The graph on the driver, for a broadcast; refused beyond KERNEL_EDGES edges or KERNEL_NODES nodes."""
     e = edges.select("src", "dst").distinct()
-    n = e.limit(KERNEL_EDGES + 1).count()
-    if n > KERNEL_EDGES:
-        raise ValueError(f"this kernel takes graphs of at most {KERNEL_EDGES} edges")
-    ids = sorted(r.id for r in nodes.select("id").distinct().collect())
+    ids = _bounded(nodes, e)
     number = {x: i for i, x in enumerate(ids)}
     t = e.toPandas()
     src, dst = (t[c].map(number).to_numpy(np.int64) for c in ("src", "dst"))
@@ -346,10 +354,8 @@ def louvain(nodes: DataFrame, pairs: DataFrame, resolution: float = 1.0, seed: i
 
     Communities below `smallest` members are merged into the one with most links to them, else into the largest, smallest first.
     """
-    t = pairs.select("a", "b", "weight").limit(KERNEL_EDGES + 1).toPandas()
-    if len(t) > KERNEL_EDGES:
-        raise ValueError(f"this kernel takes graphs of at most {KERNEL_EDGES} edges")
-    ids = sorted(r.id for r in nodes.select("id").distinct().collect())
+    ids = _bounded(nodes, pairs)
+    t = pairs.select("a", "b", "weight").toPandas()
     number = {x: i for i, x in enumerate(ids)}
     links: list[dict[int, float]] = [{} for _ in ids]
     for a, b, w in zip(t["a"].map(number), t["b"].map(number), t["weight"], strict=True):
@@ -421,10 +427,16 @@ def _merged(member: list[int], links: list[dict[int, float]], smallest: int) ->
         member = [into if x == c else x for x in member]
 
 
-def eigenvector(pairs: DataFrame, community: DataFrame, iterations: int = 1000, tolerance: float = 1e-6) -> DataFrame:
-    """id, community, eigenvector: weighted, inside each community; degree centrality where it doesn't settle."""
+def eigenvector(pairs: DataFrame, community: DataFrame, iterations: int = 1000, tolerance: float = 1e-6, kernel_edges: int = 200_000) -> DataFrame:
+    """id, community, eigenvector: weighted, inside each community; degree centrality where it doesn't settle.
+
+    A community of at most `kernel_edges` links is done in one task; larger ones go together, by a join for each iteration.
+    """
     c = community.select("id", "community")
     e = pairs.join(c.select(F.col("id").alias("a"), "community"), "a").join(c.select(F.col("id").alias("b"), F.col("community").alias("cb")), "b").where("community = cb").select("community", "a", "b", "weight")
+    e = cut(e)
+    sizes = e.groupBy("community").agg(F.count(F.lit(1)).alias("links"))
+    large = cut(sizes.where(F.col("links") > kernel_edges).select("community"))
 
     def one(f: pd.DataFrame) -> pd.DataFrame:
         ids = sorted({*f["a"], *f["b"]})
@@ -441,4 +453,28 @@ def eigenvector(pairs: DataFrame, community: DataFrame, iterations: int = 1000,
             y = (np.bincount(a, minlength=n) + np.bincount(b, minlength=n)) / max(n - 1, 1)
         return pd.DataFrame({"id": ids, "community": f["community"].iloc[0], "eigenvector": y})
 
-    return e.groupBy("community").applyInPandas(one, "id string, community int, eigenvector double")
+    done = e.join(large, "community", "left_anti").groupBy("community").applyInPandas(one, "id string, community int, eigenvector double")
+    return done if large.isEmpty() else done.unionByName(_eigenvector_joins(e.join(large, "community", "left_semi"), iterations, tolerance))
+
+
+def _eigenvector_joins(links: DataFrame, iterations: int, tolerance: float) -> DataFrame:
+    """The same by joins. A community leaves the iteration when it has settled."""
+    both = cut(links.select("community", F.col("a").alias("id"), F.col("b").alias("near"), "weight").unionByName(links.select("community", F.col("b").alias("id"), F.col("a").alias("near"), "weight")))
+    degree = cut(both.groupBy("community", "id").agg(F.count(F.lit(1)).alias("degree")))
+    size = degree.groupBy("community").agg(F.count(F.lit(1)).alias("n"))
+    x = cut(degree.join(size, "community").select("community", "id", "n", (1.0 / F.col("n")).alias("x")))
+    out = None
+    for _ in range(iterations):
+        came = x.select("community", F.col("id").alias("near"), F.col("x").alias("v")).join(both, ["community", "near"]).groupBy("community", "id").agg(F.sum(F.col("weight") * F.col("v")).alias("came"))
+        y = cut(x.join(came, ["community", "id"]).select("community", "id", "n", "x", (F.col("x") + F.col("came")).alias("y")))
+        norm = y.groupBy("community").agg(F.sqrt(F.sum(F.col("y") * F.col("y"))).alias("norm"))
+        y = y.join(norm, "community").select("community", "id", "n", "x", (F.col("y") / F.col("norm")).alias("y"))
+        moved = y.groupBy("community", "n").agg(F.sum(F.abs(F.col("y") - F.col("x"))).alias("moved")).select("community", (F.col("moved") < F.col("n") * tolerance).alias("settled"))
+        y = cut(y.join(moved, "community"))
+        settled = y.where("settled").select("id", "community", F.col("y").alias("eigenvector"))
+        out = settled if out is None else out.unionByName(settled)
+        x = y.where("not settled").select("community", "id", "n", F.col("y").alias("x"))
+        if x.isEmpty():
+            return out
+    rest = x.join(degree, ["community", "id"]).select("id", "community", (F.col("degree") / F.greatest(F.col("n") - 1, F.lit(1))).alias("eigenvector"))
+    return rest if out is None else out.unionByName(rest)

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import contains_ci, name_key, node_code
+from tessera.session import shared_dir
 
 
 @dataclass(frozen=True)
@@ -110,7 +111,7 @@ def named(graph: PropertyGraph, edges: DataFrame | None = None) -> DataFrame:
 
 def co_members(edges: DataFrame) -> DataFrame:
     """Pairs a < b of sources that share a target, with the number of targets."""
-    m = edges.select("src", "dst").distinct()
+    m = cut(edges.select("src", "dst").distinct())  # read as written, so that the engine can split the rows of a popular target
     pairs = m.withColumnRenamed("src", "a").join(m.withColumnRenamed("src", "b"), "dst").where("a < b")
     return pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("weight"))
 
@@ -138,9 +139,29 @@ def valid_successions(edges: DataFrame, served: DataFrame) -> DataFrame:
     return edges.join(s, (F.col("src") == s["holder"]) & (F.col("position_id") == s["position"]), "left_semi").join(s, (F.col("dst") == s["holder"]) & (F.col("position_id") == s["position"]), "left_semi")
 
 
+def grams(text: Column, size: int) -> Column:
+    """The distinct runs of `size` characters of a lower-cased text."""
+    low = F.lower(text)
+    return F.when(F.length(low) >= size, F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(low) - size + 1, F.lit(1))), lambda i: F.substr(low, i, F.lit(size))))).otherwise(F.array().cast("array<string>"))
+
+
 def succession_by_name(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Edges (src, dst_name, type) to every node whose name contains the name."""
-    return edges.join(nodes.select("id", "name"), contains_ci(F.col("name"), F.col("dst_name"))).select("src", F.col("id").alias("dst"), "type")
+    """Edges (src, dst_name, type) to every node whose name contains the name.
+
+    A name that holds another holds all its runs of three characters (of two or one, if it is so short), so the two meet at
+    the run that fewest nodes have; then the whole decides. Cases: an empty name is in none; nodes without name have no edge.
+    """
+    lengths = (1, 2, 3)
+    have = F.flatten(F.array(*[grams(F.col("name"), k) for k in lengths]))
+    keyed = cut(nodes.where("name is not null").select("id", "name", F.explode(F.array_distinct(have)).alias("gram")))
+    often = cut(keyed.groupBy("gram").agg(F.count(F.lit(1)).alias("n")))
+    size = F.least(F.length("dst_name"), F.lit(max(lengths)))
+    own = F.when(size == 3, grams(F.col("dst_name"), 3)).when(size == 2, grams(F.col("dst_name"), 2)).otherwise(grams(F.col("dst_name"), 1))
+    wanted = edges.select("dst_name").where("dst_name <> ''").distinct()
+    rarest = wanted.select("dst_name", F.explode(own).alias("gram")).join(often, "gram", "left")
+    rarest = cut(rarest.groupBy("dst_name").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("m")).where("m.n > 0").select("dst_name", "m.gram"))
+    found = rarest.join(keyed, "gram").where(contains_ci(F.col("name"), F.col("dst_name"))).select("dst_name", "id")
+    return edges.join(cut(found), "dst_name").select("src", F.col("id").alias("dst"), "type")
 
 
 def merged_text(values: Column) -> Column:
@@ -167,14 +188,5 @@ def expand(seeds: DataFrame, refs: DataFrame, allowed: DataFrame, depth: int) ->
 
 def cut(df: DataFrame) -> DataFrame:
     """A checkpoint in the folder that spark.checkpoint.dir names (a local session without one gets its own)."""
-    import tempfile
-
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        at = sc.getConf().get("spark.checkpoint.dir")
-        if not at:
-            if not sc.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-            at = tempfile.mkdtemp(prefix="tessera-checkpoints-")
-        sc.setCheckpointDir(at)
+    shared_dir(df.sparkSession)
     return df.checkpoint()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -73,6 +75,23 @@ def choices(questions: DataFrame, pool: DataFrame, pick: Column, wrong: int = 3)
     return others.select("id", F.zip_with(F.slice(letters, F.lit(1), F.size(ordered)), ordered, lambda a, b: F.concat(a, F.lit(". "), b)).alias("choices"), F.element_at(letters, (at + 1).cast("int")).alias("letter"))
 
 
+def with_fallbacks(pool: DataFrame, wrong: int = 3) -> DataFrame:
+    """nodes (id, type, name) for choices(): a type with too few names gets those of its fallback types too, after its own."""
+    named = pool.where(F.length("name") > 2).groupBy("type", "name").agg(F.min("id").alias("id"))
+    have = {r.type: r.n for r in named.groupBy("type").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row per type
+    out = named.select("id", "type", "name")
+    for kind, others in C.FALLBACK_TYPES.items():
+        if have.get(kind, 0) <= wrong:
+            out = out.unionByName(named.where(F.col("type").isin(*others)).select("id", F.lit(kind).alias("type"), "name"))
+    return out
+
+
+def distinct_questions(rows: DataFrame, order: list[str]) -> DataFrame:
+    """Of questions with one text the first by the order."""
+    first = rows.groupBy("question").agg(F.min(F.struct(*order)).alias("_first")).select(F.col("question").alias("_q"), "_first")
+    return rows.join(first, (F.col("question") == F.col("_q")) & (F.struct(*order) == F.col("_first")), "left_semi").dropDuplicates(["question"])
+
+
 def six_questions(edges: DataFrame) -> DataFrame:
     """Each edge (edge_id, src_name, type, dst_name) as true, false and choice questions, forwards and backwards."""
     kinds = F.array(*[F.struct(F.lit(d).alias("direction"), F.lit(k).alias("kind")) for d in ("forward", "backward") for k in ("TF_TRUE", "TF_FALSE", "MCQ")])
@@ -95,31 +114,40 @@ def multi_hop_text(names: Column, types: Column, choice: bool) -> Column:
     return F.concat(F.array_join(F.transform(types, part), ", "), F.lit(". Đúng hay sai?"))
 
 
+def ranked(rows: DataFrame, keys: list[str], order: list[Column], column: str) -> DataFrame:
+    """rows with their place (from 0) in their group, by counts over ranges: no task sorts a whole group."""
+    by = [f"_by{i}" for i in range(len(order))]
+    numbered = renumbered(rows.select("*", *[c.alias(b) for c, b in zip(_plain(order), by, strict=True)]), [*keys, *by], column="_rank")
+    first = numbered.groupBy(*keys).agg(F.min("_rank").alias("_first")).select(*[F.col(k).alias(f"_{i}") for i, k in enumerate(keys)], "_first")
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{i}")) for i, k in enumerate(keys)])
+    return numbered.join(cut(first), same).withColumn(column, F.col("_rank") - F.col("_first")).drop("_rank", "_first", *by, *[f"_{i}" for i in range(len(keys))])
+
+
+def _plain(order: list[Column | str]) -> list[Column]:
+    return [F.col(x) if isinstance(x, str) else x for x in order]
+
+
 def balanced(questions: DataFrame, keys: list[str], order: list[Column], n: int) -> DataFrame:
     """slot 0 to n - 1 for each question, in turn within its group: true and false, or the place of the answer, come out even."""
-    at = F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1
-    return questions.withColumn("slot", F.pmod(at, F.lit(n)))
+    return ranked(questions, keys, order, "_at").withColumn("slot", F.pmod("_at", F.lit(n))).drop("_at")
 
 
 def stratified(rows: DataFrame, targets: dict[tuple, int], keys: list[str], order: list[Column]) -> DataFrame:
     """As many rows of each stratum as its target says, by the given order; strata without a target go."""
     spark = rows.sparkSession
     t = spark.createDataFrame([(*k, n) for k, n in targets.items()], ", ".join(f"{k} {dict(rows.dtypes)[k]}" for k in keys) + ", _target int")
-    n = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    return rows.join(F.broadcast(t), keys).withColumn("_n", n).where("_n <= _target").drop("_n", "_target")
+    return ranked(rows.join(F.broadcast(t), keys), keys, order, "_n").where("_n < _target").drop("_n", "_target")
 
 
 def filled(rows: DataFrame, hop: int, special: dict[str, int], total: int, order: list[Column]) -> DataFrame:
     """The sample of one hop count: special variants up to their counts, then Normal ones up to the total. rows: hop_count, variant_type."""
-    mine = rows.where(F.col("hop_count") == hop)
-    n = F.row_number().over(Window.partitionBy("variant_type").orderBy(*order))
+    numbered = ranked(rows.where(F.col("hop_count") == hop), ["variant_type"], order, "_n")
     limit = F.lit(0)
     for v, k in special.items():
         limit = F.when(F.col("variant_type") == v, k).otherwise(limit)
-    ranked = mine.withColumn("_n", n)
-    chosen = ranked.where(F.col("variant_type").isin(*special) & (F.col("_n") <= limit))
+    chosen = numbered.where(F.col("variant_type").isin(*special) & (F.col("_n") < limit))
     have = chosen.agg(F.count(F.lit(1)).alias("_have"))
-    rest = ranked.where("variant_type = 'Normal'").join(F.broadcast(have)).where(F.col("_n") <= total - F.col("_have"))  # one row
+    rest = numbered.where("variant_type = 'Normal'").join(F.broadcast(have)).where(F.col("_n") < total - F.col("_have"))  # one row
     return chosen.drop("_n").unionByName(rest.drop("_n", "_have"))
 
 

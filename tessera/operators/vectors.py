@@ -9,8 +9,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Query vectors that are broadcast at once.
-QUERY_BLOCK = 4096
+from tessera.operators.graph import cut
+
+#: Query vectors that are broadcast at once, and rows that a worker compares them to at once.
+QUERY_BLOCK, ROW_BLOCK = 4096, 512
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -30,7 +32,7 @@ def cosine(a: Column, b: Column) -> Column:
 def top_k(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """query_id, id, score, rank: the k rows most like each query by cosine, ties by id. rows and queries: id, vector.
 
-    Queries go out in blocks of QUERY_BLOCK. Each partition keeps its own best k of a query, so at most k rows for
+    Queries go out in blocks of QUERY_BLOCK, one after another, against ROW_BLOCK rows at once. Each partition keeps its own best k of a query, so at most k rows for
     each query and partition are shuffled.
     """
     spark = rows.sparkSession
@@ -48,8 +50,8 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             q, m = shared.value
             best_id, best = np.zeros((len(q), 0), np.int64), np.zeros((len(q), 0))
-            for batch in batches:
-                if not batch.num_rows or not len(q):
+            for batch in (x.slice(i, ROW_BLOCK) for x in batches for i in range(0, x.num_rows, ROW_BLOCK)):
+                if not len(q):
                     continue
                 v = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(batch.num_rows, -1)
                 v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
@@ -60,6 +62,9 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q, best.shape[1])), pa.array(best_id.ravel()), pa.array(best.ravel())], schema=schema)
 
         own = rows.select(F.col("id").cast("bigint"), "vector").where("vector is not null").mapInArrow(run, "query_id bigint, id bigint, score double")
+        if blocks > 1:  # one block at a time is held, by the driver and the workers
+            own = cut(own)
+            shared.unpersist()
         found = own if found is None else found.unionByName(own)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 12)), "id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
@@ -90,6 +95,9 @@ def route(questions: DataFrame, utterances: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([labels[i] for i in at]), pa.array(gap[np.arange(len(at)), at])], schema=schema)
 
         own = questions.select(F.col("id").cast("bigint"), "vector").where("vector is not null").mapInArrow(run, "id bigint, label string, distance double")
+        if blocks > 1:
+            own = cut(own)
+            shared.unpersist()
         found = own if found is None else found.unionByName(own)
     return found.groupBy("id").agg(F.min(F.struct("distance", "label")).alias("m")).select("id", "m.label", "m.distance")
 

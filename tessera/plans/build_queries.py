@@ -175,7 +175,7 @@ def gen_all_facts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _trade(spark: SparkSession, d: str) -> G.PropertyGraph:
-    return graph(spark, d, ("LOCATED_IN", "IN_REGION", "PLACED", "SUCCEEDED"))
+    return graph(spark, d, ("LOCATED_IN", "IN_REGION", "PLACED", "CONTAINS", "SUPPLIED_BY", "SUCCEEDED"))
 
 
 @query()

@@ -213,43 +213,44 @@ def ord_top_by_type(spark: SparkSession, d: str) -> DataFrame:
     return t.withColumn("r", F.row_number().over(Window.partitionBy("type").orderBy(F.desc("total"), "id"))).where("r <= 10").select("type", "id", "total")
 
 
-_RANK_EDGES = "('LOCATED_IN', 'IN_REGION', 'PLACED', 'SUCCEEDED')"
-
-
 def _pagerank_sql(steps: int) -> str:
     out = f"""
 WITH {N}, {E},
-w AS (SELECT src, dst, count(*) AS w FROM e WHERE type IN {_RANK_EDGES} GROUP BY src, dst),
+w AS (SELECT src, dst, count(*) AS w FROM e GROUP BY src, dst),
 s AS (SELECT src, dst, w / sum(w) OVER (PARTITION BY src) AS share FROM w), c AS (SELECT count(*) AS n FROM n),
 ends AS (SELECT id FROM n WHERE id NOT IN (SELECT src FROM w)),
 r0 AS (SELECT id, 1.0::DOUBLE / c.n AS rank FROM n, c)"""
     for i in range(steps):
         out += f""",
-g{i} AS (SELECT s.dst AS id, sum(r.rank * s.share) AS got FROM r{i} r JOIN s ON s.src = r.id GROUP BY s.dst),
-l{i} AS (SELECT coalesce(sum(rank), 0) AS lost FROM r{i} WHERE id IN (SELECT id FROM ends)),
-r{i + 1} AS (SELECT n.id, 0.15 / c.n + 0.85 * (coalesce(g.got, 0) + l.lost / c.n) AS rank FROM n CROSS JOIN c CROSS JOIN l{i} l LEFT JOIN g{i} g ON g.id = n.id)"""
+g{i} AS MATERIALIZED (SELECT s.dst AS id, sum(r.rank * s.share) AS got FROM r{i} r JOIN s ON s.src = r.id GROUP BY s.dst),
+l{i} AS MATERIALIZED (SELECT coalesce(sum(rank), 0) AS lost FROM r{i} WHERE id IN (SELECT id FROM ends)),
+r{i + 1} AS MATERIALIZED (SELECT n.id, 0.15 / c.n + 0.85 * (coalesce(g.got, 0) + l.lost / c.n) AS rank FROM n CROSS JOIN c CROSS JOIN l{i} l LEFT JOIN g{i} g ON g.id = n.id)"""
     return out + f"\nSELECT id, round(rank, 9) AS rank FROM r{steps}"
 
 
-@query(_pagerank_sql(5))
+#: Rounds after which both have settled to the digits compared.
+_ROUNDS = 20
+
+
+@query(_pagerank_sql(_ROUNDS))
 def alg_pagerank(spark: SparkSession, d: str) -> DataFrame:
-    g = graph(spark, d, ("LOCATED_IN", "IN_REGION", "PLACED", "SUCCEEDED"))
-    return algorithms.pagerank(g.nodes, g.edges, iterations=5, tolerance=None).withColumn("rank", F.round("rank", 9))
+    g = graph(spark, d)
+    return algorithms.pagerank(g.nodes, g.edges, iterations=_ROUNDS, tolerance=None).withColumn("rank", F.round("rank", 9))
 
 
 def _hits_sql(steps: int) -> str:
-    out = f"WITH {N}, {E}, w AS (SELECT src, dst, count(*) AS w FROM e WHERE type IN ('LOCATED_IN', 'IN_REGION') GROUP BY src, dst), h0 AS (SELECT id, 1.0::DOUBLE AS v FROM n)"
+    out = f"WITH {N}, {E}, w AS (SELECT src, dst, count(*) AS w FROM e GROUP BY src, dst), h0 AS (SELECT id, 1.0::DOUBLE AS v FROM n)"
     for i in range(steps):
         out += f""",
-x{i} AS (SELECT n.id, coalesce(q.v, 0) AS v FROM n LEFT JOIN (SELECT w.dst AS id, sum(h.v * w.w) AS v FROM h{i} h JOIN w ON w.src = h.id GROUP BY w.dst) q ON q.id = n.id), a{i + 1} AS (SELECT id, v / (SELECT sum(v) FROM x{i}) AS v FROM x{i}),
-y{i} AS (SELECT n.id, coalesce(q.v, 0) AS v FROM n LEFT JOIN (SELECT w.src AS id, sum(a.v * w.w) AS v FROM a{i + 1} a JOIN w ON w.dst = a.id GROUP BY w.src) q ON q.id = n.id), h{i + 1} AS (SELECT id, v / (SELECT sum(v) FROM y{i}) AS v FROM y{i})"""
+x{i} AS MATERIALIZED (SELECT n.id, coalesce(q.v, 0) AS v FROM n LEFT JOIN (SELECT w.dst AS id, sum(h.v * w.w) AS v FROM h{i} h JOIN w ON w.src = h.id GROUP BY w.dst) q ON q.id = n.id), a{i + 1} AS MATERIALIZED (SELECT id, v / (SELECT sum(v) FROM x{i}) AS v FROM x{i}),
+y{i} AS MATERIALIZED (SELECT n.id, coalesce(q.v, 0) AS v FROM n LEFT JOIN (SELECT w.src AS id, sum(a.v * w.w) AS v FROM a{i + 1} a JOIN w ON w.dst = a.id GROUP BY w.src) q ON q.id = n.id), h{i + 1} AS MATERIALIZED (SELECT id, v / (SELECT sum(v) FROM y{i}) AS v FROM y{i})"""
     return out + f"\nSELECT h.id, round(h.v, 9) AS hub, round(a.v, 9) AS authority FROM h{steps} h JOIN a{steps} a ON a.id = h.id"
 
 
-@query(_hits_sql(4))
+@query(_hits_sql(_ROUNDS))
 def alg_hits(spark: SparkSession, d: str) -> DataFrame:
-    g = graph(spark, d, ("LOCATED_IN", "IN_REGION"))
-    return algorithms.hits(g.nodes, g.edges, iterations=4, tolerance=None).select("id", F.round("hub", 9).alias("hub"), F.round("authority", 9).alias("authority"))
+    g = graph(spark, d)
+    return algorithms.hits(g.nodes, g.edges, iterations=_ROUNDS, tolerance=None).select("id", F.round("hub", 9).alias("hub"), F.round("authority", 9).alias("authority"))
 
 
 _PAIRS = "u AS (SELECT DISTINCT least('par' || x.l_partkey, 'sup' || x.l_suppkey) AS a, greatest('par' || x.l_partkey, 'sup' || x.l_suppkey) AS b FROM lineitem x UNION SELECT DISTINCT 'nat' || s_nationkey, 'sup' || s_suppkey FROM supplier UNION SELECT DISTINCT 'par' || p_partkey, 'sup' || (p_partkey % (SELECT count(*) FROM supplier)) FROM part UNION SELECT DISTINCT 'nat' || n.n_nationkey, 'par' || l.l_partkey FROM lineitem l JOIN supplier s ON s.s_suppkey = l.l_suppkey JOIN nation n ON n.n_nationkey = s.s_nationkey)"
@@ -489,3 +490,21 @@ def alg_louvain(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def alg_eigenvector(spark: SparkSession, d: str) -> DataFrame:
     return algorithms.eigenvector(*trade(spark, d))
+
+
+@query()
+def alg_path_lengths(spark: SparkSession, d: str) -> DataFrame:
+    """Path lengths of the largest component of who trades what (tested against brute force)."""
+    pairs = trade_pairs(spark, d)
+    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+    return algorithms.path_lengths(ids, pairs.select(F.col("a").alias("src"), F.col("b").alias("dst")))
+
+
+@query()
+def alg_small_world(spark: SparkSession, d: str) -> DataFrame:
+    """Nations, suppliers and regions against graphs of the same degrees: 20 samples of three swaps an edge (tested against its invariants)."""
+    e = edges(spark, d, ("LOCATED_IN", "IN_REGION")).where("src not like 'cus%'").select("src", "dst")
+    ids = e.select(F.col("src").alias("id")).unionByName(e.select(F.col("dst").alias("id"))).distinct()
+    own = algorithms.clustering(ids, G.undirected(e)).agg(F.avg("clustering").alias("c")).head().c
+    length = algorithms.path_lengths(ids, e).head().mean_length
+    return algorithms.small_world(algorithms.null_model(ids, e, 20, 100), own, length)

@@ -278,6 +278,7 @@ def snk_import_script(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""
 SELECT 'nodes' AS part, 'Politician' AS type, '{"id":"cus' || c_custkey || '","type":"Politician","name":"' || c_name || '","properties":{"segment":"' || c_mktsegment || '"}}' AS json FROM customer
+UNION ALL SELECT 'edges', 'SERVED_AS', '{"from":"cus' || o_custkey || '","to":"ord' || o_orderkey || '","type":"SERVED_AS","properties":{"term_start":"' || strftime(o_orderdate, '%Y-%m-%d') || '","status":"' || o_orderstatus || '"}}' FROM orders
 """)
 def snk_export_lines(spark: SparkSession, d: str) -> DataFrame:
     from tessera.sources.writers import exported, graph_lines
@@ -285,7 +286,7 @@ def snk_export_lines(spark: SparkSession, d: str) -> DataFrame:
     c = read(spark, d, "customer")
     props = F.create_map(F.lit("segment"), F.col("c_mktsegment"), F.lit("source"), F.lit("x"), F.lit("enriched"), F.lit("true"))
     n = c.select(key("cus", "c_custkey").alias("id"), F.lit("Politician").alias("type"), F.col("c_name").alias("name"), props.alias("properties"))
-    e = edges(spark, d, ("LOCATED_IN",)).limit(0)
+    e = edges(spark, d, ("PLACED",)).withColumn("type", F.lit("SERVED_AS")).withColumn("properties", F.map_concat("properties", F.create_map(F.lit("source"), F.lit("x"))))
     return graph_lines(exported(G.PropertyGraph(n, e)))
 
 

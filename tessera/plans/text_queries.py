@@ -106,9 +106,17 @@ def src_page_links(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "pages").select("page_id", found.alias("l")).select("page_id", F.size("l").alias("n_links"), F.array_join("l", " ").alias("links"))
 
 
-@query()
+@query(r"""
+WITH l AS (SELECT page_id, regexp_extract_all(html, '<a href="([^"]*)"', 1) AS l FROM pages)
+SELECT page_id, 'Row ' || page_id AS name FROM pages UNION ALL SELECT page_id, 'Item ' || i FROM l CROSS JOIN range(3) r(i) WHERE i < len(l)
+""")
 def src_list_links(spark: SparkSession, d: str) -> DataFrame:
-    return read(spark, d, "pages").select("page_id", F.explode(wikitext.list_links(F.col("html"))).alias("href")).select("page_id", text.page_name(F.col("href")).alias("name"))
+    """Pages with a table and an ordered list put before their text: as many items as the page has links, three at most."""
+    n = F.least(F.size(F.regexp_extract_all("html", F.lit(r'<a href="([^"]*)"'), 1)), F.lit(3))
+    cell = F.concat(F.lit('<table class="wikitable"><tr><td><a href="/wiki/No">1</a></td><td><a href="/wiki/Row_'), F.col("page_id").cast("string"), F.lit('">x</a></td></tr></table><ol>'))
+    items = F.array_join(F.transform(F.filter(F.sequence(F.lit(0), F.lit(2)), lambda i: i < n), lambda i: F.concat(F.lit('<li><b><a href="/wiki/Item_'), i.cast("string"), F.lit('">y</a></b> and <a href="/wiki/No">z</a></li>'))), "")
+    page = F.concat(cell, items, F.lit("</ol>"), "html")
+    return read(spark, d, "pages").select("page_id", F.explode(wikitext.list_links(page)).alias("href")).select("page_id", text.page_name(F.col("href")).alias("name"))
 
 
 @query(r"""

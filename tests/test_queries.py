@@ -1,5 +1,7 @@
 """Every registered query of the library against its SQL."""
 
+from collections import Counter, defaultdict
+
 import pytest
 
 from tests.conftest import DATA, rows_of
@@ -16,9 +18,121 @@ def test_against_sql(spark, duck, name):
     assert rows_of(sorted(columns), [r.asDict() for r in frame.collect()]) == rows_of(sorted(columns), expected)
 
 
+def graph_of(duck, sql):
+    """Out-neighbours by node."""
+    near = defaultdict(set)
+    for a, b in duck.execute(sql).fetchall():
+        near[a].add(b)
+    return near
+
+
+def distances(near, start):
+    found, front = {start: 0}, [start]
+    for v in front:
+        for w in near.get(v, ()):
+            if w not in found:
+                found[w] = found[v] + 1
+                front.append(w)
+    return found
+
+
+def edges_sql(where="true"):
+    return f"WITH {tables.E} SELECT src, dst FROM e WHERE {where}"
+
+
+def trade_sql():
+    return f"WITH {graph_queries._PAIRS} SELECT a, b FROM u UNION SELECT b, a FROM u"
+
+
+def check_ga_sample(rows, duck):
+    assert len({r.id for r in rows}) == 10 and {r.type for r in rows} == {"Customer"}
+
+
+def check_alg_betweenness(rows, duck):
+    """A shortest path of k edges has k - 1 nodes inside, so the sum over all nodes is that over all pairs."""
+    near = graph_of(duck, edges_sql())
+    nodes = [i for (i,) in duck.execute(f"WITH {tables.N} SELECT id FROM n").fetchall()]
+    total = sum(d - 1 for s in nodes for d in distances(near, s).values() if d > 0)
+    n = len(nodes)
+    assert len(rows) == n and sum(r.betweenness for r in rows) * (n - 1) * (n - 2) == pytest.approx(total)
+
+
+def check_alg_closeness(rows, duck):
+    near = graph_of(duck, trade_sql())
+    part = max((set(distances(near, s)) for s in near), key=len)
+    expected = {}
+    for s in part:
+        d = [x for x in distances(near, s).values() if x]
+        expected[s] = len(d) / sum(d) * len(d) / (len(part) - 1)
+    assert {r.id: r.closeness for r in rows} == pytest.approx(expected)
+
+
+def check_alg_path_lengths(rows, duck):
+    near = graph_of(duck, trade_sql())
+    part = max((set(distances(near, s)) for s in near), key=len)
+    d = [x for s in part for x in distances(near, s).values() if x]
+    (r,) = rows
+    assert (r.nodes, r.shortest, r.longest) == (len(part), min(d), max(d)) and r.mean_length == pytest.approx(sum(d) / len(d))
+
+
+def check_alg_small_world(rows, duck):
+    """Regions, nations and suppliers have no triangles, so every sample has as many; the 95 % ranges hold the means."""
+    (r,) = rows
+    assert r.c_ratio == 0 and r.sigma == 0 and r.p_clustering == 1 and 0 <= r.p_length <= 1
+    assert all(r[f"range_{k}"][0] <= r[f"mean_{k}"] <= r[f"range_{k}"][1] for k in ("clustering", "mean_length"))
+
+
+def check_alg_eigenvector(rows, duck):
+    """Of each community A x = c x, where it has settled."""
+    x = {r.id: r.eigenvector for r in rows}
+    of = {r.id: r.community for r in rows}
+    links = duck.execute(f"WITH {graph_queries._TRADE} SELECT w.a, w.b, weight, p.community FROM w JOIN c p ON p.id = w.a JOIN c q ON q.id = w.b WHERE p.community = q.community").fetchall()
+    assert set(x) == {y for a, b, _, _ in links for y in (a, b)} and all(of[a] == of[b] == c for a, b, _, c in links)
+    image = defaultdict(float)
+    for a, b, w, _ in links:
+        image[a] += w * x[b]
+        image[b] += w * x[a]
+    for c in set(of.values()):
+        ids = [i for i in x if of[i] == c]
+        norm = sum(image[i] ** 2 for i in ids) ** 0.5
+        assert max(abs(image[i] / norm - x[i]) for i in ids) < 0.02 or sum(x[i] ** 2 for i in ids) != pytest.approx(1)
+
+
+def check_alg_louvain(rows, duck):
+    """A partition in groups of ten and more, better than one group and than the nations."""
+    of = {r.id: r.community for r in rows}
+    sizes = Counter(of.values())
+    assert len(of) == duck.execute("SELECT (SELECT count(*) FROM customer) + (SELECT count(*) FROM supplier)").fetchone()[0] and min(sizes.values()) >= 10
+    links = duck.execute(f"WITH {graph_queries._TRADE} SELECT a, b, weight FROM w").fetchall()
+    nation = dict(duck.execute(f"WITH {graph_queries._TRADE} SELECT id, community FROM c").fetchall())
+
+    def modularity(part):
+        m, inner, ends = sum(w for _, _, w in links), Counter(), Counter()
+        for a, b, w in links:
+            inner[part[a]] += w * (part[a] == part[b])
+            ends[part[a]] += w
+            ends[part[b]] += w
+        return sum(inner[c] / m - 1.5 * (ends[c] / (2 * m)) ** 2 for c in ends)
+
+    assert modularity(of) > max(modularity(nation), modularity(dict.fromkeys(of, 0)))
+
+
+def check_gen_shortest_candidates(rows, duck):
+    """Each path is one of edges that are there, has no shorter one, and 2 to 4 edges; most customers have some."""
+    typed = set(duck.execute(f"WITH {tables.E} SELECT src, type, dst FROM e WHERE type <> 'PRECEDED'").fetchall())
+    near = defaultdict(set)
+    for a, _, b in typed:
+        near[a].add(b)
+    assert len(rows) > 100 and len({r.path for r in rows}) == len(rows)
+    for r in rows:
+        p = r.path.split("|")
+        assert all((p[i], p[i + 1], p[i + 2]) in typed for i in range(0, len(p) - 2, 2))
+        assert 2 <= r.hop_count <= 4 and distances(near, p[0])[p[-1]] == r.hop_count == len(p) // 2
+
+
 @pytest.mark.parametrize("name", sorted(set(tables.QUERIES) - set(tables.SQL)))
-def test_without_sql(spark, name):
-    assert tables.QUERIES[name](spark, DATA).count() >= 0
+def test_without_sql(spark, duck, name):
+    globals()[f"check_{name}"](tables.QUERIES[name](spark, DATA).collect(), duck)
 
 
 def test_entry(spark):
