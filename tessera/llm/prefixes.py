@@ -5,7 +5,8 @@ and one product, so span equality is answered at once and a longest common exten
 A fingerprint holds the hash of the whole text and, for SLOTS classes of its WINDOW-character spans, the smallest
 span hash of the class; likeness estimates the share of spans that two texts have in common.
 
-Characters are code points. Cases: null text is the empty text; a text shorter than WINDOW is its own only span; the
+Characters are code points. Cases: texts are hashed whole, however long, in some 100 times their size; columns other than
+doc_id and text are not looked at, whatever they are called; null text is the empty text; a text shorter than WINDOW is its own only span; the
 empty text has none and is like itself only; equal doc_ids follow each other by text; rows without doc_id come last;
 a single row is followed by itself; an empty table gives an empty result.
 """
@@ -23,7 +24,9 @@ from pyspark.sql import functions as F
 from tessera.llm._common import arrow_stage, table
 
 WINDOW = 24
-SLOTS = 64
+#: Classes of spans, by so many bits of their hash.
+SLOT_BITS = 8
+SLOTS = 1 << SLOT_BITS
 #: Primes below 2^31, a base of each, and the bases' inverses.
 PRIMES = ((2147483647, 1000003, pow(1000003, -1, 2147483647)), (2147483629, 1299721, pow(1299721, -1, 2147483629)))
 
@@ -93,9 +96,9 @@ def fingerprint(hashes: PrefixHashes) -> str:
         mixed = spans * np.uint64(0x9E3779B97F4A7C15)
         mixed ^= mixed >> np.uint64(32)
         mixed *= np.uint64(0xD6E8FEB86659FD93)
-        slot = (mixed >> np.uint64(58)).astype(np.int64)
+        slot = (mixed >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
         least = np.full(SLOTS, np.iinfo(np.uint64).max, np.uint64)
-        np.minimum.at(least, slot, mixed << np.uint64(6))
+        np.minimum.at(least, slot, mixed << np.uint64(SLOT_BITS))
         filled = np.bincount(slot, minlength=SLOTS) > 0
         least *= np.uint64(0xBF58476D1CE4E5B9)  # the smallest values have few bits left at their upper end
         least ^= least >> np.uint64(29)

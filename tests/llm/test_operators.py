@@ -207,6 +207,37 @@ def test_licenses(spark, sf_dir):
     assert {r.doc_id: (r.labels, r.score) for r in licenses.scan(line).collect()} == {1: (["gpl-3"], 1.0), 2: ([], 0.0)}
 
 
+def test_likeness_against_spans(spark, sf_dir, docs):
+    """near_edited and near_next against the share of spans that the texts really have in common."""
+    rows = {(r.doc_id, r.n_chars, r.edited_sha256): r for r in Q.op2_fingerprints(spark, sf_dir).collect()}
+    ordered = sorted(docs, key=lambda d: (d[0] is None, -(d[0] or 0), d[1] or ""))
+    spans = lambda t: {t[i : i + prefixes.WINDOW] for i in range(max(1, len(t) - prefixes.WINDOW + 1))} if t else set()
+    dice = lambda a, b: 1.0 if a == b else 2 * len(spans(a) & spans(b)) / max(1, len(spans(a)) + len(spans(b)))
+    errors = []
+    for (i, t, _), (_, following, _) in zip(ordered, ordered[1:] + ordered[:1], strict=True):
+        t, following = t or "", following or ""
+        half = len(t) // 2
+        edited = t[: len(t) - half] + following[:half]
+        r = rows.get((i, len(t), brute.sha(edited)))
+        if r is not None and len(t) > 300:  # rows of one id may follow each other otherwise
+            errors += [abs(r.near_edited - dice(t, edited)), abs(r.near_next - dice(t, following))]
+    assert len(errors) > 40 and sum(errors) / len(errors) < 0.03 and max(errors) < 0.16
+
+
+def test_language_query_takes_text_alone(spark, sf_dir, tmp_path):
+    """held_out is that of the ids, and neither lang nor source of held-out documents nor anything but text tells on a prediction."""
+    import zlib
+
+    frame = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 3 == 1
+    before = Q.op1_language(spark, sf_dir).collect()
+    assert all(r.held_out == held(r.doc_id) and 0 <= r.score <= 1 for r in before) and any(r.held_out for r in before)
+    other = frame.withColumn("lang", F.when(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit("xx")).otherwise(F.col("lang"))).withColumn("source", F.lit("other"))
+    other.write.parquet(f"{tmp_path}/documents.parquet")
+    after = Q.op1_language(spark, str(tmp_path)).collect()
+    assert multiset(before) == multiset(after)
+
+
 def test_wrapped_notices(spark):
     """Whole notices over many lines, with words lost, in long texts; words alone or far apart are none."""
     from tessera.llm import licenses
