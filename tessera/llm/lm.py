@@ -4,13 +4,16 @@ Every document is scored by the counts of all other documents: c(g) is the corpu
 document's own. A word's value is c(context word) / c(context) for the longest context for which c(context word) > 0,
 times BACKOFF for each context given up; without any, its share of all words, or 1 / (words + 1) if it occurs nowhere else.
 
-The relations are packed. A row of `blocks` holds the words of some documents as numbers. Each block sends its
+`score_rows` says this in plain relations: a count table by hash, joined to the exploded distinct n-grams of each document
+and summed per document. Each n-gram is a row there, which takes more disk than is allowed (README), so `score` packs
+the same relations. A row of `blocks` holds the words of some documents as numbers. Each block sends its
 distinct n-grams with their counts to the partitions of the count table, by hash; there the lists are joined to the
 sums over all blocks and go back as what the other blocks have; the block then sums per document. A block sends an
 n-gram once however often it occurs, so frequent ones make no partition large.
 
 Words: A-Z lower-cased, then runs of digits, letters and non-ASCII characters. n-grams are 64-bit hashes.
-Cases: documents without words (or null) have score null; repeated rows count as documents of their own; a corpus of
+Cases: texts are read whole, however long (one over BLOCK_BYTES is a block of its own); columns other than doc_id and text
+are not looked at, whatever they are called; documents without words (or null) have score null; repeated rows count as documents of their own; a corpus of
 one document scores each of its words 1 / 1; an empty table gives an empty result.
 """
 
@@ -22,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm._common import arrow_stage, slices, table, words, written
@@ -213,3 +216,28 @@ def score(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF) -> Data
     back = answered.select("part", "block", "data", *[F.lit(None).cast(t).alias(k) for k, t in (("doc_ids", "array<bigint>"), ("first_words", "array<int>"), ("vocabulary", "binary"), ("codes", "binary"))])
     rows = own.unionByName(back).repartition("block").sortWithinPartitions("block", "part")
     return arrow_stage(rows, _sum(order, all_words, backoff), SCORES)
+
+
+def score_rows(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF) -> DataFrame:
+    """score() with a row for each n-gram, by the engine's own joins and aggregations."""
+    low = F.translate(F.coalesce("text", F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    texts = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("bigint").alias("doc_id"), F.regexp_extract_all(low, F.lit(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"), 0).alias("w"))
+    texts = written(texts, "texts")
+    all_words = texts.agg(F.sum(F.size("w"))).head()[0] or 0
+    gram = lambda at, k: F.when(at >= k, F.xxhash64(F.array_join(F.slice("w", at - k + 1, k + 1), " ")))  # noqa: E731  of k + 1 words that end at `at`
+    ends = F.transform("w", lambda _, at: F.array(*[gram(at, F.lit(k)) for k in range(order)]))
+    grams = texts.select("row", F.posexplode(ends).alias("at", "hs")).select("row", "at", F.posexplode("hs").alias("k", "h")).where("h is not null")
+    own = grams.groupBy("row", "k", "h").agg(F.count(F.lit(1)).alias("own"))
+    counts = own.groupBy("k", "h").agg(F.sum("own").alias("total"))
+    others = own.join(written(counts, "counts"), ["k", "h"]).select("row", "k", "h", (F.col("total") - F.col("own")).alias("others"))
+    each = grams.join(others, ["row", "k", "h"]).groupBy("row", "at").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "others"))), lambda x: x["others"]).alias("e"))
+    each = each.withColumn("before", F.lag("e").over(Window.partitionBy("row").orderBy("at"))).join(texts.select("row", F.size("w").alias("n")), "row")  # a document's words
+    got = lambda c, k: F.coalesce(F.get(c, F.lit(k)), F.lit(0))
+    left = F.lit(all_words) - F.col("n")
+    value, seen = F.when(got("e", 0) > 0, got("e", 0) / F.greatest(left, F.lit(1))).otherwise(1 / (left + 1)), F.lit(False)
+    for k in range(1, order):
+        longer = got("e", k) > 0
+        value = F.when(longer, got("e", k) / F.greatest(got("before", k - 1), F.lit(1))).when(F.col("at") >= k, backoff * value).otherwise(value)
+        seen = seen | longer
+    scores = each.groupBy("row").agg(F.avg(F.log10(value)).alias("lm_score"), F.count_if(~seen).alias("n_backed_off"))
+    return texts.join(scores, "row", "left").select("doc_id", F.size("w").cast("bigint").alias("n_words"), F.coalesce("n_backed_off", F.lit(0)).alias("n_backed_off"), "lm_score")

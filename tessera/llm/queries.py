@@ -47,6 +47,11 @@ def op4_trigram_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(documents(spark, sf_dir), 3).withColumn("lm_score", F.round("lm_score", 6))
 
 
+def op4_relational_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of op4_lm_scores with a row for each n-gram on the way."""
+    return lm.score_rows(documents(spark, sf_dir)).withColumn("lm_score", F.round("lm_score", 6))
+
+
 def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """License phrases and lines like license templates in every text."""
     found = licenses.scan(documents(spark, sf_dir))
@@ -103,4 +108,4 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir), 4)
 
 
-QUERIES = {"op1_language": op1_language, "op2_fingerprints": op2_fingerprints, "op3_personal_data": op3_personal_data, "op4_lm_scores": op4_lm_scores, "op4_trigram_scores": op4_trigram_scores, "op5_licenses": op5_licenses, "op6_suffix_dedup": op6_suffix_dedup, "op7_line_dedup": op7_line_dedup, "op8_decontamination": op8_decontamination, "op9_bpe": op9_bpe, "op10_simhash": op10_simhash}
+QUERIES = {"op1_language": op1_language, "op2_fingerprints": op2_fingerprints, "op3_personal_data": op3_personal_data, "op4_lm_scores": op4_lm_scores, "op4_trigram_scores": op4_trigram_scores, "op4_relational_scores": op4_relational_scores, "op5_licenses": op5_licenses, "op6_suffix_dedup": op6_suffix_dedup, "op7_line_dedup": op7_line_dedup, "op8_decontamination": op8_decontamination, "op9_bpe": op9_bpe, "op10_simhash": op10_simhash}

@@ -75,4 +75,4 @@ s AS (SELECT r, avg(log10(s)) AS score, count(*) FILTER (WHERE NOT seen) AS back
 SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(s.back, 0) AS n_backed_off, round(s.score, 6) AS lm_score FROM d LEFT JOIN s ON s.r = d.r
 """
 
-SQL: dict[str, str] = {"op4_lm_scores": OP4, "op5_licenses": OP5, "op7_line_dedup": OP7, "op8_decontamination": OP8}
+SQL: dict[str, str] = {"op4_lm_scores": OP4, "op4_relational_scores": OP4, "op5_licenses": OP5, "op7_line_dedup": OP7, "op8_decontamination": OP8}

@@ -207,6 +207,14 @@ def test_licenses(spark, sf_dir):
     assert {r.doc_id: (r.labels, r.score) for r in licenses.scan(line).collect()} == {1: (["gpl-3"], 1.0), 2: ([], 0.0)}
 
 
+@pytest.mark.parametrize("order", [1, 2, 3])
+def test_scores_by_rows(spark, sf_dir, order):
+    """The packed relations and the plain ones give the same."""
+    frame = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    plain = lambda df: multiset((r.doc_id, r.n_words, r.n_backed_off, None if r.lm_score is None else round(r.lm_score, 9)) for r in df.collect())
+    assert plain(lm.score(frame, order)) == plain(lm.score_rows(frame, order))
+
+
 def test_likeness_against_spans(spark, sf_dir, docs):
     """near_edited and near_next against the share of spans that the texts really have in common."""
     rows = {(r.doc_id, r.n_chars, r.edited_sha256): r for r in Q.op2_fingerprints(spark, sf_dir).collect()}
