@@ -4,14 +4,14 @@ place (betweenness, closeness, communities, null models) take graphs of at most
 from __future__ import annotations
 
 from collections import defaultdict, deque
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.operators.graph import cut, undirected
+from tessera.operators.graph import cut
 
 KERNEL_EDGES = 2_000_000
 KERNEL_NODES = 4_000_000
@@ -90,23 +90,28 @@ def clustering(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     return nodes.select("id").join(t.select("id", value.alias("clustering")), "id", "left").select("id", F.coalesce("clustering", F.lit(0.0)).alias("clustering"))
 
 
-def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """id, component: the smallest id that a node hangs together with, by alternating large and small stars."""
-    e = cut(undirected(edges).select(F.col("b").alias("u"), F.col("a").alias("v")))
+def together(edges: DataFrame, keep: Callable[[DataFrame], DataFrame] = cut) -> DataFrame:
+    """u, root: the smallest node that each other node of the edges (u, v) hangs together with, by alternating large and small stars. keep: writes a frontier and reads it."""
+    edges = keep(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     before = None
     while True:
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        # written, so that the engine can split the rows of a star that are joined to it
-        least = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        # kept, so that the engine can split the rows of a star that are joined to it
+        least = keep(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         pairs = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("p"))
-        e = cut(pairs.select("p.u", "p.v").where("u <> v").distinct())
-        now = e.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")), F.lit(0))).head()
+        edges = keep(pairs.select("p.u", "p.v").where("u <> v").distinct())
+        now = edges.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")), F.lit(0))).head()
         if now == before:
-            break
+            return edges.select("u", F.col("v").alias("root"))
         before = now
-    return nodes.select("id").distinct().join(e.select(F.col("u").alias("id"), "v"), "id", "left").select("id", F.coalesce("v", "id").alias("component"))
+
+
+def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """id, component: the smallest id that a node hangs together with."""
+    roots = together(edges.select(F.col("src").alias("u"), F.col("dst").alias("v"))).withColumnRenamed("u", "id")
+    return nodes.select("id").distinct().join(roots, "id", "left").select("id", F.coalesce("root", "id").alias("component"))
 
 
 def modularity(pairs: DataFrame, community: DataFrame, resolution: float = 1.0) -> DataFrame:
