@@ -1,15 +1,12 @@
-"""What the corpus operators share: shipping the package, Arrow stages, the shared folder."""
+"""What the corpus operators share: Arrow stages, written tables, sieves, words."""
 
 from __future__ import annotations
 
 import ctypes
 import gc
 import sys
-import tempfile
 import uuid
-import zipfile
 from collections.abc import Callable, Iterator
-from pathlib import Path
 
 import numpy as np
 import pyarrow.compute
@@ -18,24 +15,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from tessera.session import shared_dir, ship
+
 #: Bytes of text that a vectorised step takes at once; its temporaries are some 60 times as large.
 SLICE_BYTES = 1 << 20
 
 
-def ship(spark: SparkSession) -> None:
-    """Send this package to the executors once per application."""
-    sc = spark.sparkContext
-    if getattr(sc, "_tessera_shipped", False):
-        return
-    root = Path(__file__).resolve().parents[1]
-    to = Path(tempfile.mkdtemp(prefix="tessera-")) / "tessera_code.zip"
-    with zipfile.ZipFile(to, "w") as z:
-        for p in sorted(root.rglob("*.py")):
-            z.write(p, f"{root.name}/{p.relative_to(root)}")
-    sc.addPyFile(str(to))
-    sc._tessera_shipped = True
-
-
 #: Bytes of an Arrow batch between the JVM and Python; a longer row comes alone.
 BATCH_BYTES = 4 << 20
 
@@ -79,28 +64,46 @@ def arrow_stage(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterato
     return df.mapInArrow(held, schema)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one of a local session."""
-    at = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", "")
-    if not at:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        at = tempfile.mkdtemp(prefix="tessera-shared-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(at)
-    return at
-
-
 def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
-    """df as a Parquet table in the shared folder; it goes when the application ends. This cuts the lineage."""
+    """df as a Parquet table in the shared folder. This cuts the lineage. It goes when the application ends, or by `dropped`."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tessera-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path, compression=compression)
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._tessera_path = path
+    _paths(spark).append(path)
+    return out
+
+
+def _paths(spark: SparkSession) -> list[str]:
+    """The tables that this application has written and not dropped."""
+    sc = spark.sparkContext
+    if not hasattr(sc, "_tessera_written"):
+        sc._tessera_written = []
+    return sc._tessera_written
+
+
+def n_written(spark: SparkSession) -> int:
+    return len(_paths(spark))
+
+
+def written_since(spark: SparkSession, n: int) -> list[str]:
+    return _paths(spark)[n:]
+
+
+def dropped(spark: SparkSession, tables: list[str], keep: tuple[DataFrame, ...] = ()) -> None:
+    """Delete these written tables, but for those that frames in `keep` are or read from."""
+    if not tables:
+        return
+    used = [x for df in keep for x in ([df._tessera_path] if hasattr(df, "_tessera_path") else df.inputFiles())]
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in tables:
+        if not any(path.rsplit("/", 1)[-1] in x for x in used):
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(conf).delete(at, True)
+            _paths(spark).remove(path)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

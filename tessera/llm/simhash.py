@@ -31,7 +31,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._common import arrow_stage, runs, sieve, sifted, slices, table, text_bytes, written
+from tessera.llm._common import arrow_stage, dropped, n_written, runs, sieve, sifted, slices, table, text_bytes, written, written_since
+from tessera.operators.algorithms import together
 
 RADIUS = 4
 #: Fingerprints in a chunk of a large bucket; a task compares two chunks at a time.
@@ -517,20 +518,7 @@ def verified(docs: DataFrame, reps: DataFrame, pairs: DataFrame, size: int, leas
 
 def components(edges: DataFrame) -> DataFrame:
     """u, root: the smallest node that each node of the edges hangs together with, by alternating large and small stars."""
-    edges = written(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    mark = None
-    while True:
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        # written, so that the engine can split the rows of a star that are joined to it
-        least = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("x"), F.col("m").alias("y")), F.struct(F.col("u").alias("x"), F.col("m").alias("y")))).alias("e")).select(F.col("e.x").alias("u"), F.col("e.y").alias("v")).where("u <> v").distinct()
-        edges = written(small, "edges")
-        now = edges.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")), F.lit(0))).head()
-        if now == mark:
-            return edges.select("u", F.col("v").alias("root"))
-        mark = now
+    return together(edges, lambda df: written(df, "edges"))
 
 
 def _rooted(rows: DataFrame, distinct: DataFrame, edges: DataFrame) -> DataFrame:
@@ -556,11 +544,14 @@ def alike(docs: DataFrame, size: int, least: float) -> DataFrame:
     rows = written(marked(docs, size), "fingerprints")
     one = F.first(F.struct("fp", "n", "mark", "short")).alias("one")  # the same of all that have the node, but for fp
     distinct = written(rows.groupBy("node").agg(one, F.min("text_hash").alias("text_hash"), F.min("doc_id").alias("least")).select("node", "one.*", "text_hash", "least"), "distinct")
-    n, reps = distinct.count(), distinct.select("node", "text_hash")
+    spark = docs.sparkSession
+    n, reps, begun = distinct.count(), distinct.select("node", "text_hash"), n_written(spark)
     first = verified(docs, reps, close_pairs(distinct, n, least), size, least)
+    dropped(spark, written_since(spark, begun), (first,))  # links are decided, what led to them can go
     roots = components(first)
     roots = roots.unionByName(roots.select(F.col("root").alias("u"), "root").distinct()).withColumnRenamed("u", "node")
     rest = verified(docs, reps, prefix_pairs(docs, distinct, n, roots, size, least), size, least)
+    dropped(spark, written_since(spark, begun), (first, rest))
     return _rooted(rows.select("doc_id", "text_hash", "fp", "node"), distinct.select("node", "least"), first.unionByName(rest))
 
 
