@@ -25,8 +25,6 @@ from pyspark.sql import functions as F
 from tessera.llm._common import arrow_stage, fresh, table, written
 
 STRIPPED = b" \t\n\x0b\x0c\r"
-#: Into so many shares the lines of a key are dealt whose total comes from several partitions.
-SHARES = 32
 #: Stands for a missing doc_id in comparisons.
 NO_DOC = -(1 << 63)
 
@@ -104,10 +102,9 @@ def drops(docs: DataFrame, least: int = 40, least_docs: int = 5) -> DataFrame:
     ordered = lines.repartitionByRange("h1", "h2", "doc").sortWithinPartitions("h1", "h2", "doc", "text_hash", "line")
     found = written(arrow_stage(ordered, _settle(least_docs), f"{LINES}, kind int, n bigint"), "lines-found")
     total = found.where("kind = 2").groupBy("h1", "h2").agg(F.sum("n").alias("n"), F.max("doc").alias("kept")).where(F.col("n") >= least_docs)
-    # an open key may have a large part of all lines: they are dealt out, and its total goes to each share
-    total = total.select("h1", "h2", "kept", F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1))).alias("share"))
-    opened = found.where("kind = 1").withColumn("share", F.pmod(F.xxhash64("doc"), F.lit(SHARES)).cast("int"))
-    late = opened.join(total, ["h1", "h2", "share"]).where("doc <> kept")
+    # an open key may have a large part of all lines: its total is written first, so that the engine can split the lines that meet it
+    total = written(total, "totals")
+    late = found.where("kind = 1").join(total.select("h1", "h2", "kept"), ["h1", "h2"]).where("doc <> kept")
     return found.where("kind = 0").select("doc", "text_hash", "line").unionByName(late.select("doc", "text_hash", "line"))
 
 
