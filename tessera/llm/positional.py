@@ -7,12 +7,14 @@ costs each block only its own postings and nothing is shuffled.
 
 Words: A-Z lower-cased, then runs of bytes that are digits, letters or not ASCII.
 Cases: null or wordless texts have no words and are never hit; null items have none; an item without id is hit but
-not named; repeated rows are each reported; an empty index or no items give no matches.
+not named; repeated rows are each reported; a very long text is a block of its own; columns other than doc_id and text (item_id
+and text) are not looked at, whatever they are called; an empty index or no items give no matches.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -137,7 +139,7 @@ def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[Block]:
 
 
 class Queries:
-    """Test items as windows of term numbers; small enough to broadcast."""
+    """Test items as distinct windows of term numbers, each with the items that have it; small enough to broadcast."""
 
     def __init__(self, items: list[tuple[int | None, str | None]], length: int):
         packed, before = words(pa.array([t for _, t in items], pa.large_string()))
@@ -145,14 +147,19 @@ class Queries:
         self.vocabulary, codes = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
         self.ids = [i for i, _ in items]
         self.terms = [codes[before[i] : before[i + 1]] for i in range(len(items))]
-        self.windows: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        self.windows: dict[int, tuple[np.ndarray, list[list[int]]]] = {}
         by: dict[int, list[tuple[int, np.ndarray]]] = {}
         for i, t in enumerate(self.terms):
             if len(t):
                 by.setdefault(min(len(t), length), []).append((i, t))
         for k, found in by.items():
             rows = [np.lib.stride_tricks.sliding_window_view(t, k) for _, t in found]
-            self.windows[k] = np.concatenate(rows), np.repeat([i for i, _ in found], [len(x) for x in rows])
+            distinct, which = np.unique(np.concatenate(rows), axis=0, return_inverse=True)
+            names: list[set[int]] = [set() for _ in distinct]
+            for w, i in zip(which.ravel().tolist(), np.repeat([i for i, _ in found], [len(x) for x in rows]).tolist(), strict=True):
+                if self.ids[i] is not None:
+                    names[w].add(self.ids[i])
+            self.windows[k] = distinct, [sorted(x) for x in names]
 
 
 MATCHES = "row_id bigint, doc_id bigint, n_words bigint, spans array<struct<start:int,end:int>>, items array<bigint>"
@@ -168,13 +175,12 @@ def _search(index: DataFrame, queries: Queries) -> DataFrame:
             spans: list[list] = [[] for _ in block.row_ids]
             items: list[set] = [set() for _ in block.row_ids]
             numbers = block.numbers(q.vocabulary)
-            for k, (windows, item) in q.windows.items():
+            for k, (windows, named) in q.windows.items():
                 which, start = block.phrases(numbers[windows])
-                for d, s, i in sorted(set(zip(block.doc_of(start).tolist(), start.tolist(), item[which].tolist(), strict=True))):
+                for d, s, w in zip(block.doc_of(start).tolist(), start.tolist(), which.tolist(), strict=True):
                     s -= int(block.first_words[d])
                     spans[d].append((s, s + k))
-                    if q.ids[i] is not None:
-                        items[d].add(q.ids[i])
+                    items[d].update(named[w])
             yield table({"row_id": block.row_ids, "doc_id": block.doc_ids, "n_words": np.diff(block.first_words), "spans": [[{"start": a, "end": b} for a, b in union(x)] for x in spans], "items": [sorted(x) for x in items]}, _MATCHES)
 
     return arrow_stage(index, run, MATCHES)
@@ -190,23 +196,24 @@ def union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _parts(items: DataFrame) -> Iterator[list[tuple[int | None, str | None]]]:
-    """The items in lists that may be broadcast. Only their texts' lengths decide how many lists there are."""
+def _parts(items: DataFrame) -> Iterator[tuple[list[tuple[int | None, str | None]], bool]]:
+    """The items in lists that may be broadcast, one after another, and whether a list is the last. Only their texts' lengths decide how many there are."""
     total = items.agg(F.sum(F.length("text"))).head()[0] or 0
     n = 1 + total // (4 * BROADCAST_WORDS)
     rows = items.select(F.col("item_id").cast("bigint"), "text")
     for i in range(n):
-        yield [tuple(r) for r in (rows if n == 1 else rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i)).collect()]
+        yield [tuple(r) for r in (rows if n == 1 else rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i)).collect()], i == n - 1
 
 
 def windows(index: DataFrame, items: DataFrame, length: int = 10) -> DataFrame:
     """Per document: row_id, doc_id, n_words, the stretches of words that windows of items cover, and those items' ids."""
-    found = [_search(index, Queries(part, length)) for part in _parts(items)]
+    found = []
+    for part, last in _parts(items):
+        own = _search(index, Queries(part, length))
+        found.append(own if last and not found else written(own, "matches"))  # the driver and the workers hold one part at a time
     if len(found) == 1:
         return found[0]
-    every = found[0]
-    for x in found[1:]:
-        every = every.unionByName(x)
+    every = reduce(DataFrame.unionByName, found)
     merged = every.groupBy("row_id", "doc_id", "n_words").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,7 +229,7 @@ def proximity(index: DataFrame, items: DataFrame, span: int) -> DataFrame:
     out = "row_id bigint, doc_id bigint, item_id bigint, start int, end int"
     schema = pa.schema([("row_id", pa.int64()), ("doc_id", pa.int64()), ("item_id", pa.int64()), ("start", pa.int32()), ("end", pa.int32())])
     found = []
-    for part in _parts(items):
+    for part, last in _parts(items):
         shared = index.sparkSession.sparkContext.broadcast(Queries(part, 1))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -236,8 +243,6 @@ def proximity(index: DataFrame, items: DataFrame, span: int) -> DataFrame:
                         rows.append((block.row_ids[d], block.doc_ids[d], q.ids[i], a - w, b - w))
                 yield table(dict(zip(schema.names, map(list, zip(*rows, strict=True)), strict=True)) if rows else {k: [] for k in schema.names}, schema)
 
-        found.append(arrow_stage(index, run, out))
-    every = found[0]
-    for x in found[1:]:
-        every = every.unionByName(x)
-    return every
+        own = arrow_stage(index, run, out)
+        found.append(own if last and not found else written(own, "near"))
+    return reduce(DataFrame.unionByName, found)
