@@ -5,7 +5,8 @@ token for each prefix length: appending bytes only adds entries, and an edit kee
 A token t may follow the last token s of the prefix before it iff BPE leaves s and t apart, which their
 derivations decide (`Vocabulary.apart`).
 
-Cases: null text is the empty text and has no ids; repeated rows give repeated results; an empty table an empty one.
+Cases: null text is the empty text and has no ids; repeated rows give repeated results; texts are encoded whole, however long;
+columns other than doc_id and text are not looked at, whatever they are called; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ import re
 from collections.abc import Callable, Iterable, Iterator
 from itertools import chain
 
+import public_tokenizers
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -24,7 +26,7 @@ from tessera.llm._common import arrow_stage, table, worker_state
 
 #: Unicode White_Space, which the tokenizer's pattern means by \s.
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-#: A text is cut here first; a cut never falls within a match of the tokenizer's pattern.
+#: A text is cut here first; a cut never falls within a match of the public tokenizers' pattern. For other patterns it isn't cut.
 CHUNK = re.compile(f"[{SPACE}]+(?![^{SPACE}])| ?[^{SPACE}]+|[{SPACE}]+")
 #: Entries a worker keeps of chunks, in two generations: the older goes when the younger is full. Of prefixes and token pairs half as many, of pieces a quarter.
 CACHE = 250_000
@@ -177,6 +179,7 @@ class Codec:
     def __init__(self, lines: bytes, pattern: str):
         self.vocabulary = Vocabulary(lines)
         self.pattern = regex.compile(pattern.replace(r"[^\s", f"[^{SPACE}").replace(r"(?!\S)", f"(?![^{SPACE}])").replace(r"\s", f"[{SPACE}]"))
+        self.cut = pattern == public_tokenizers.PATTERN
         self.pieces = Kept(self._piece, CACHE // 4)
         self.chunks = Kept(self._chunk, CACHE)
 
@@ -190,7 +193,7 @@ class Codec:
         return tuple(chain.from_iterable([self.pieces[x.encode()] for x in self.pattern.findall(chunk)]))
 
     def encode(self, text: str | None) -> list[int]:
-        return list(chain.from_iterable(map(self.chunks.__getitem__, CHUNK.findall(text or ""))))
+        return list(chain.from_iterable(map(self.chunks.__getitem__, CHUNK.findall(text or "")))) if self.cut else list(self._chunk(text or ""))
 
     def decode(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.vocabulary.bytes.__getitem__, ids))
