@@ -32,6 +32,28 @@ def graph_tables(graph: PropertyGraph, path: str) -> None:
     metadata(graph).write.mode("overwrite").json(f"{path}/metadata")
 
 
+#: Nodes and edges up to which a graph may be written as one document.
+DOCUMENT_ROWS = 2_000_000
+
+
+def graph_document(graph: PropertyGraph, path: str) -> None:
+    """The whole graph as one JSON document, in the form that readers.graph_document takes; refused beyond DOCUMENT_ROWS rows, as one task writes it."""
+    if graph.nodes.limit(DOCUMENT_ROWS + 1).count() + graph.edges.limit(DOCUMENT_ROWS + 1).count() > DOCUMENT_ROWS:
+        raise ValueError(f"a document takes at most {DOCUMENT_ROWS} nodes and edges; write tables")
+    n = graph.nodes.groupBy("type").agg(F.array_sort(F.collect_list(F.struct("id", "type", "name", F.map_entries("properties").alias("p")))).alias("xs"))
+    n = n.agg(F.map_from_entries(F.collect_list(F.struct("type", F.transform("xs", lambda x: F.struct(x["id"], x["type"], x["name"], F.map_from_entries(x["p"]).alias("properties"))).alias("xs")))).alias("nodes"))
+    order = "ord" if "ord" in graph.edges.columns else "src"
+    e = graph.edges.groupBy("type").agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), "src", "dst", "type", F.map_entries("properties").alias("p")))).alias("xs"))
+    e = e.agg(F.map_from_entries(F.collect_list(F.struct("type", F.transform("xs", lambda x: F.struct(x["src"].alias("from"), x["dst"].alias("to"), x["type"], F.map_from_entries(x["p"]).alias("properties"))).alias("xs")))).alias("edges"))
+    m = metadata(graph).select(F.struct(F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss").alias("created_at"), "total_nodes", "total_edges", "node_types", "edge_types").alias("metadata"))
+    m.join(n).join(e).coalesce(1).write.mode("overwrite").json(path)  # one row each
+
+
+def truncated(graph_path: str, like: PropertyGraph) -> None:
+    """Empties a written graph; its tables keep their columns."""
+    graph_tables(PropertyGraph(like.nodes.limit(0), like.edges.limit(0)), graph_path)
+
+
 def replace_edges(edges: DataFrame, path: str) -> None:
     """The edge types in `edges` replace those in a written graph; other types stay."""
     edges.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("type").parquet(f"{path}/edges")
@@ -112,3 +134,19 @@ def report(sections: dict[str, DataFrame], top: int = 10) -> str:
         out += ["  " + ", ".join(f"{k}: {v}" for k, v in r.asDict().items()) for r in frame.limit(top).collect()]
         out.append("")
     return "\n".join(out)
+
+
+def rankings(rows: DataFrame, graph: PropertyGraph, path: str) -> None:
+    """A ranking document: metadata and, for each measure and kind of node, the best ones in order. rows: profiles.rankings."""
+    item = F.struct("rank", "id", "name", "type", "score")
+    lists = rows.groupBy("measure", "of").agg(F.array_sort(F.collect_list(item)).alias("best"))
+    by = lists.groupBy("measure").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("of", "best")))).alias("lists"))
+    doc = by.agg(F.map_from_entries(F.collect_list(F.struct("measure", "lists"))).alias("rankings"), F.array_sort(F.collect_list("measure")).alias("algorithms"))
+    m = metadata(graph).select("total_nodes", "total_edges", F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss").alias("timestamp"))
+    both = m.join(doc)  # one row each
+    both.select(F.struct("timestamp", "total_nodes", "total_edges", "algorithms").alias("metadata"), "rankings").coalesce(1).write.mode("overwrite").json(path)
+
+
+def text_report(spark, text: str, path: str) -> None:
+    """A report as one text file in a folder."""
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)

@@ -122,3 +122,39 @@ def test_stream_parts(spark, tmp_path):
     (incoming / "3.json").write_text(json.dumps({"src": "d", "dst": "e", "type": "T", "properties": {}, "ord": 6}))
     ingest.merge_edges(spark, str(incoming), table, str(tmp_path / "checkpoint")).awaitTermination()
     assert ingest.current(spark, table).count() == 4
+
+
+def test_documents_and_reports(spark, records, tmp_path):
+    """A graph as one document and as tables comes back as it was; rankings and the report of communities say what is there."""
+    from tessera.operators import profiles
+    from tessera.sources import readers, writers
+
+    g = build.build(records)
+    g = G.PropertyGraph(g.nodes, g.edges.withColumn("ord", F.monotonically_increasing_id()))
+    plain = lambda x, keys: sorted(str([r[k] if not isinstance(r[k], dict) else sorted(r[k].items()) for k in keys]) for r in x.collect())
+    writers.graph_document(g, str(tmp_path / "doc"))
+    writers.graph_tables(g, str(tmp_path / "tables"))
+    for back in (readers.graph_document(spark, str(tmp_path / "doc")), readers.graph_tables(spark, str(tmp_path / "tables"))):
+        assert plain(back.nodes.withColumn("properties", F.map_filter("properties", lambda _, v: v.isNotNull())), ["id", "type", "name"]) == plain(g.nodes, ["id", "type", "name"])
+        assert plain(back.edges, ["src", "dst", "type", "properties"]) == plain(g.edges, ["src", "dst", "type", "properties"])
+    writers.truncated(str(tmp_path / "tables"), g)
+    assert spark.read.schema(g.nodes.schema).parquet(str(tmp_path / "tables" / "nodes")).count() == 0
+    d = algorithms.degrees(g.nodes, g.edges)
+    writers.rankings(profiles.rankings(g.nodes, {"degree": (d, "total")}, 2), g, str(tmp_path / "rank"))
+    doc = spark.read.json(str(tmp_path / "rank")).head()
+    assert doc.metadata.total_nodes == 8 and [x.id for x in doc.rankings.degree["all"]] == ["pol1", "pol2"] and [x.rank for x in doc.rankings.degree.Position] == [1, 2]
+    members = frame(spark, [(0, "pol1", "An", "X", "1950-01-02"), (0, "pol2", "Bình", None, None), (1, "pol3", "Cường", "X", None)], "community int, id string, name string, party string, date string")
+    pairs = frame(spark, [("pol1", "pol2", 2)], "a string, b string, weight long")
+    text = profiles.report(members, algorithms.community_profile(pairs, members.select("community", "id")), profiles.distribution(members, "party", "none"), profiles.connected(members, g.edges, g.nodes), algorithms.eigenvector(pairs, members.select("id", "community")), profiles.years(members), profiles.years(members.limit(0)), profiles.central_members(pairs, members))
+    for said in ("Communities: 2", "COMMUNITY #1 (0)", "Members: 2", "X: 1 (50.00%)", "Position  1 of 2: Chủ tịch A: 2 (100.00%)", "1950-1950 (span: 0 years), mean 1950.0, 1", "No data", " 1. An: 1"):
+        assert said in text, said
+    writers.text_report(spark, text, str(tmp_path / "report"))
+    assert "\n".join(r.value for r in spark.read.text(str(tmp_path / "report")).collect()) == text
+
+
+def test_context(spark):
+    rows = frame(spark, [(1, k, f"line {k}") for k in range(1, 9)] + [(2, 1, "x" * 2000)], "id int, rank int, text string")
+    from tessera.operators import access
+
+    got = {r.id: r.context for r in access.context(rows, "id", "text").collect()}
+    assert got == {1: "line 1\nline 2\nline 3\nline 4\nline 5", 2: "x" * 1000}
