@@ -22,8 +22,9 @@ EXTRACTION = (
 
 
 def pages(spark: SparkSession, path: str) -> DataFrame:
-    """title, id, text of a MediaWiki dump's pages."""
-    rows = spark.read.format("xml").option("rowTag", "page").schema(PAGE).load(path)
+    """title, id, text of a MediaWiki dump's pages; files may be parts of a dump, without its root element."""
+    # the other parser takes one root element a file and stops after it
+    rows = spark.read.format("xml").option("rowTag", "page").option("useLegacyXMLParser", "true").schema(PAGE).load(path)
     return rows.select("title", "id", F.col("revision.text._VALUE").alias("text"))
 
 
@@ -38,8 +39,10 @@ def infobox_records(spark: SparkSession, path: str) -> DataFrame:
 
 
 def records(spark: SparkSession, path: str) -> DataFrame:
-    """Records of a JSON array or of JSON lines."""
-    return spark.read.schema(RECORD).json(path, multiLine=True)
+    """Records of a JSON array or of JSON lines: lines are told by a first one that is a whole object."""
+    first = spark.read.text(path).select(F.trim("value").alias("v")).where("v <> ''").head()
+    lines = first is not None and first.v.startswith("{") and first.v.endswith("}")
+    return spark.read.schema(RECORD).json(path, multiLine=not lines)
 
 
 def graph_document(spark: SparkSession, path: str) -> PropertyGraph:

@@ -158,3 +158,18 @@ def test_context(spark):
 
     got = {r.id: r.context for r in access.context(rows, "id", "text").collect()}
     assert got == {1: "line 1\nline 2\nline 3\nline 4\nline 5", 2: "x" * 1000}
+
+
+def test_record_files(spark, tmp_path):
+    """Records as an array over lines, as an array in one line, and as lines; parts of a dump without a root."""
+    from tessera.sources import readers
+
+    one, two = '{"title": "A", "id": "1", "infobox": {"k": "v"}}', '{"title": "B", "id": "2"}'
+    for name, text in (("array.json", f"[\n{one},\n{two}\n]"), ("line.json", f"[{one}, {two}]"), ("lines.json", f"{one}\n{two}\n")):
+        (tmp_path / name).write_text(text)
+        assert sorted((r.title, r.id) for r in readers.records(spark, str(tmp_path / name)).collect()) == [("A", "1"), ("B", "2")], name
+    page = "<page><title>{0}</title><id>1</id><revision><id>9</id><text bytes='3'>{{{{infobox|name={0}}}}}</text></revision></page>\n"
+    (tmp_path / "part.xml").write_text(page.format("A") + page.format("B"))
+    (tmp_path / "whole.xml").write_text("<mediawiki>" + page.format("A") + page.format("B") + "</mediawiki>")
+    for name in ("part.xml", "whole.xml"):
+        assert sorted(r.infobox["name"] for r in readers.infobox_records(spark, str(tmp_path / name)).collect()) == ["A", "B"], name

@@ -5,7 +5,7 @@ from collections import Counter, defaultdict
 import pytest
 
 from tests.conftest import DATA, rows_of
-from tessera.plans import build_queries, graph_queries, profile_queries, question_queries, tables, text_queries  # noqa: F401
+from tessera.plans import build_queries, graph_queries, io_queries, profile_queries, question_queries, tables, text_queries  # noqa: F401
 
 
 @pytest.mark.parametrize("name", sorted(tables.SQL))
