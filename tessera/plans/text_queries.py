@@ -163,6 +163,42 @@ def txt_domain_values(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("s_suppkey", "kind", out.alias("result"))
 
 
+_PLACES = ", ".join(f"({i}, '{k}', '{v}')" for i, (k, v) in enumerate(C.PROVINCES))
+_SPACED = r"' ' || trim(regexp_replace(lower({0}), '[^\p{{L}}\p{{N}}]+', ' ', 'g')) || ' '"
+
+
+@query(f"""
+WITH p(i, k, v) AS (VALUES {_PLACES}),
+c AS (SELECT c_custkey, n_name || ', phường ' || p.k || ' cũ' AS place FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN p ON p.i = ((c_custkey * 2654435761) % 4294967296) % {len(C.PROVINCES)}),
+m AS (SELECT c_custkey, arg_min(p.v, p.i) AS province FROM c JOIN p ON contains({_SPACED.format('place')}, {_SPACED.format('k')}) GROUP BY c_custkey)
+SELECT c_custkey, province FROM m
+""")
+def txt_provinces(spark: SparkSession, d: str) -> DataFrame:
+    """Places of every customer that name one of all the places known."""
+    from tessera.plans.tables import mixed
+
+    c = read(spark, d, "customer").join(read(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    known = F.array(*[F.lit(k) for k, _ in C.PROVINCES])
+    place = F.concat("n_name", F.lit(", phường "), F.get(known, (mixed("c_custkey") % len(C.PROVINCES)).cast("int")), F.lit(" cũ"))
+    return c.select("c_custkey", text.province(place).alias("province"))
+
+
+@query(r"""
+WITH o AS (SELECT o_orderkey, year(o_orderdate) AS y, o_custkey % 9 AS n, o_orderpriority AS p, o_orderstatus AS s FROM orders)
+SELECT o_orderkey, y AS year_start, CASE WHEN n < 8 THEN y + n END AS year_end, CASE WHEN p LIKE '1%' THEN 'bị cách chức' WHEN p LIKE '2%' OR p LIKE '3%' THEN 'miễn nhiệm' ELSE '' END AS status, s = 'F' AS ignored FROM o
+""")
+def txt_terms(spark: SparkSession, d: str) -> DataFrame:
+    """Years of service, how an office ended and whether there was one, by the text that each order's columns make."""
+    y = F.year("o_orderdate")
+    o = read(spark, d, "orders")
+    said = F.concat(y.cast("string"), F.when(F.col("o_custkey") % 2 == 0, " – ").otherwise("-"), F.when(F.col("o_custkey") % 9 < 8, (y + F.col("o_custkey") % 9).cast("string")).otherwise("nay"))
+    p = F.col("o_orderpriority")
+    ended = F.concat(p, F.when(p.startswith("1"), " Bị cách chức, từ chức").when(p.startswith("2"), " từ chức năm 1990").when(p.startswith("3"), " MIỄN NHIỆM").otherwise(" giữ chức"))
+    years = text.service_years(said)
+    office = F.when(F.col("o_orderstatus") == "F", " Đương nhiệm ").otherwise(p)
+    return o.select("o_orderkey", years["year_start"].cast("bigint").alias("year_start"), years["year_end"].cast("bigint").alias("year_end"), text.office_status(ended).alias("status"), text.ignored(office).alias("ignored"))
+
+
 @query(r"""
 SELECT w.word, count(*) AS n, min(p_partkey) AS first FROM part p JOIN (VALUES ('RING'), ('hot'), ('Gear'), ('blue b'), ('zzz')) w(word) ON contains(lower(p.p_name), lower(w.word)) GROUP BY w.word
 """)

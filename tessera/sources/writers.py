@@ -113,11 +113,10 @@ def communities(members: DataFrame, path: str) -> None:
 
 def questions(rows: DataFrame, path: str) -> None:
     """Questions and answers as CSV, by type, numbered from 1 in each; true and false get their labels. rows: q_type, question, hop_count, reasoning_path, variant_type, answer."""
-    from pyspark.sql import Window
+    from tessera.operators.questions import ranked
 
-    n = F.row_number().over(Window.partitionBy("q_type").orderBy("question", "reasoning_path"))
     label = F.when(F.col("answer") == "True", C.TRUE_LABEL).when(F.col("answer") == "False", C.FALSE_LABEL).otherwise(F.col("answer"))
-    numbered = rows.withColumn("id", n).withColumn("answer", label)
+    numbered = ranked(rows, ["q_type"], ["question", "reasoning_path"], "id").withColumns({"id": F.col("id") + 1, "answer": label})
     for name, columns in (("questions", ["id", "question", "hop_count", "reasoning_path", "variant_type"]), ("answers", ["id", "answer"])):
         numbered.select("q_type", *columns).write.mode("overwrite").partitionBy("q_type").csv(f"{path}/{name}", header=True, escape='"')
 
