@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, language, licenses, lines, lm, personal, positional, prefixes, simhash, suffixes
+from tessera.llm import bpe, codes, language, ledger, licenses, lines, lm, personal, positional, prefixes, ranked, simhash, suffixes
 from tessera.llm._common import arrow_stage, documents, table
 
 
@@ -108,4 +108,22 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir), 4)
 
 
-QUERIES = {"op1_language": op1_language, "op2_fingerprints": op2_fingerprints, "op3_personal_data": op3_personal_data, "op4_lm_scores": op4_lm_scores, "op4_trigram_scores": op4_trigram_scores, "op4_relational_scores": op4_relational_scores, "op5_licenses": op5_licenses, "op6_suffix_dedup": op6_suffix_dedup, "op7_line_dedup": op7_line_dedup, "op8_decontamination": op8_decontamination, "op9_bpe": op9_bpe, "op10_simhash": op10_simhash}
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 documents of highest score for each benchmark item."""
+    return ranked.search(ranked.build(documents(spark, sf_dir)), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), 10)
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector as four indexes of codebooks of 256 entries, fitted in four rounds."""
+    return codes.compressed(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op13_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every text, each distinct text scanned once."""
+    found = ledger.scan(documents(spark, sf_dir))
+    of = lambda k: F.size(F.filter("spans", lambda x: x["kind"] == k)).cast("bigint").alias(f"n_{k}")
+    base = F.filter("spans", lambda x: x["kind"].isin(*ledger.BASE))
+    return found.select(F.col("path").alias("doc_id"), *[of(k) for k in ledger.BASE], F.sha2(ledger.joined(base), 256).alias("base_sha256"), ledger.joined(F.col("spans")).alias("spans"))
+
+
+QUERIES = {"op1_language": op1_language, "op2_fingerprints": op2_fingerprints, "op3_personal_data": op3_personal_data, "op4_lm_scores": op4_lm_scores, "op4_trigram_scores": op4_trigram_scores, "op4_relational_scores": op4_relational_scores, "op5_licenses": op5_licenses, "op6_suffix_dedup": op6_suffix_dedup, "op7_line_dedup": op7_line_dedup, "op8_decontamination": op8_decontamination, "op9_bpe": op9_bpe, "op10_simhash": op10_simhash, "op11_ranked_search": op11_ranked_search, "op12_vector_codes": op12_vector_codes, "op13_secrets": op13_secrets}

@@ -1,6 +1,6 @@
 """DuckDB SQL for the registered queries that SQL can express."""
 
-from tessera.llm import licenses, lm
+from tessera.llm import codes, ledger, licenses, lm
 
 _LOWER = "translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = r"regexp_extract_all(" + _LOWER + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -75,4 +75,55 @@ s AS (SELECT r, avg(log10(s)) AS score, count(*) FILTER (WHERE NOT seen) AS back
 SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(s.back, 0) AS n_backed_off, round(s.score, 6) AS lm_score FROM d LEFT JOIN s ON s.r = d.r
 """
 
-SQL: dict[str, str] = {"op4_lm_scores": OP4, "op4_relational_scores": OP4, "op5_licenses": OP5, "op7_line_dedup": OP7, "op8_decontamination": OP8}
+OP11 = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS.format('text')} AS w FROM documents),
+s AS (SELECT count(*) AS n, CAST(coalesce(sum(len(w)), 0) AS BIGINT) AS l FROM d WHERE len(w) > 0),
+m AS (SELECT r, doc_id, 25 + (75 * len(w) * s.n) // s.l AS m FROM d, s WHERE len(w) > 0),
+p AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(w) AS term FROM d) GROUP BY r, term),
+f AS (SELECT term, CAST(floor(1000 * ln((2.0::DOUBLE * s.n + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM p, s GROUP BY term, s.n),
+b AS (SELECT row_number() OVER () AS i, item_id, {_WORDS.format('text')} AS w FROM benchmark),
+q AS (SELECT i, item_id, term, count(*) AS n FROM (SELECT i, item_id, unnest(w) AS term FROM b) GROUP BY ALL),
+x AS (SELECT q.i, q.item_id, p.r, m.doc_id, CAST(sum(q.n * f.w * ((1000000000 * p.tf) // (1000 * p.tf + 8 * m.m))) AS BIGINT) AS score
+      FROM q JOIN f USING (term) JOIN p USING (term) JOIN m ON m.r = p.r GROUP BY ALL HAVING score > 0),
+k AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank, doc_id, score FROM x)
+SELECT item_id, rank, doc_id, score FROM k WHERE rank <= 10
+"""
+
+_FINITE = "embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+_CODE_ROUND = """
+a{0} AS MATERIALIZED (SELECT r, p, v, arg_min(e, (d, e)) AS e, min(d) AS d FROM (SELECT x.r, x.p, x.v, c.e, list_inner_product(x.v, x.v) - 2 * list_inner_product(x.v, c.v) + list_inner_product(c.v, c.v) AS d FROM x JOIN c{0} c ON c.p = x.p) GROUP BY r, p, v)"""
+_CODE_MOVE = """,
+c{1} AS MATERIALIZED (SELECT c.p, c.e, coalesce(n.v, c.v) AS v FROM c{0} c LEFT JOIN (SELECT p, e, list(floor(s / n) ORDER BY j) AS v FROM (SELECT p, e, j, sum(y) AS s, count(*) AS n FROM (SELECT p, e, unnest(v) AS y, unnest(range(len(v))) AS j FROM a{0}) GROUP BY p, e, j) GROUP BY p, e) n ON n.p = c.p AND n.e = c.e),"""
+
+#: Whole numbers as doubles: exact, as all of them are far below 2^53.
+OP12 = f"""
+WITH k AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id NULLS LAST) AS r, vec_id, label, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS v FROM embeddings WHERE {_FINITE}),
+x AS MATERIALIZED (SELECT r, p, v[p * (len(v) // {codes.PARTS}) + 1:(p + 1) * (len(v) // {codes.PARTS})] AS v FROM (SELECT r, v, unnest(range({codes.PARTS})) AS p FROM k)),
+c0 AS MATERIALIZED (SELECT p, r - 1 AS e, v FROM x WHERE r <= {codes.ENTRIES}),{"".join(_CODE_ROUND.format(i) + _CODE_MOVE.format(i, i + 1) for i in range(codes.ROUNDS))}{_CODE_ROUND.format(codes.ROUNDS)},
+f AS (SELECT r, string_agg(printf('%02x', CAST(e AS INTEGER)), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error FROM a{codes.ROUNDS} GROUP BY r),
+b AS (SELECT sha256(string_agg(s, ',' ORDER BY p, e)) AS codebooks_sha256 FROM (SELECT p, e, array_to_string(list_transform(v, lambda x: CAST(CAST(x AS BIGINT) AS VARCHAR)), ',') AS s FROM c{codes.ROUNDS}))
+SELECT k.vec_id, f.code, f.error, CAST(sum(f.error) OVER (PARTITION BY k.label) AS BIGINT) AS label_error, b.codebooks_sha256 FROM k JOIN f ON f.r = k.r, b
+"""
+
+
+def _secret_kinds() -> str:
+    """A relation with the matches of each kind: r, kind, its place among kinds, start and end. A match starts after the pieces and matches before it."""
+    out = []
+    for i, (kind, pattern, group, least) in enumerate(ledger.RULES):
+        p = pattern.replace("'", "''")
+        out.append(f"""SELECT r, '{kind}' AS kind, {i} AS k, CAST(list_sum(list_transform(pieces[1:j], lambda x: length(x))) + coalesce(list_sum(list_transform(ms[1:j - 1], lambda x: length(x))), 0) AS BIGINT) AS s, length(ms[j]) AS n
+FROM (SELECT r, pieces, ms, unnest(range(1, len(ms) + 1)) AS j FROM (SELECT r, string_split_regex(text, '{p}') AS pieces, regexp_extract_all(text, '{p}') AS ms FROM d)) WHERE length(regexp_extract(ms[j], '{p}', {group})) >= {least}""")
+    return "\nUNION ALL ".join(out)
+
+
+_SPAN_TEXT = "string_agg(kind || ':' || s || ':' || (s + n), ',' ORDER BY s, k)"
+_BASE = "kind IN (" + ", ".join(f"'{k}'" for k in ledger.BASE) + ")"
+
+OP13 = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+m AS ({_secret_kinds()}),
+g AS (SELECT r, {", ".join(f"count(*) FILTER (WHERE kind = '{k}') AS n_{k}" for k in ledger.BASE)}, {_SPAN_TEXT} FILTER (WHERE {_BASE}) AS base, {_SPAN_TEXT} AS spans FROM m GROUP BY r)
+SELECT d.doc_id, {", ".join(f"coalesce(g.n_{k}, 0) AS n_{k}" for k in ledger.BASE)}, sha256(coalesce(g.base, '')) AS base_sha256, coalesce(g.spans, '') AS spans FROM d LEFT JOIN g ON g.r = d.r
+"""
+
+SQL: dict[str, str] = {"op4_lm_scores": OP4, "op4_relational_scores": OP4, "op5_licenses": OP5, "op7_line_dedup": OP7, "op8_decontamination": OP8, "op11_ranked_search": OP11, "op12_vector_codes": OP12, "op13_secrets": OP13}
