@@ -73,6 +73,10 @@ LOCAL_WORDS = [
     "vũng tàu", "long an", "tiền giang", "bến tre", "vĩnh long", "an giang", "kiên giang", "cà mau", "bạc liêu", "sóc trăng",
     "cộng hòa xã hội chủ nghĩa việt nam", "việt nam dân chủ cộng hòa", "việt nam cộng hòa",
     "bắc kỳ", "trung kỳ", "nam kỳ", "bắc bộ", "trung bộ", "nam bộ",
+    "bà rịa - vũng tàu", "bắc giang", "bắc kạn", "bình định", "bình phước", "bình thuận", "cao bằng", "đắk lắk", "đắk nông", "điện biên",
+    "đồng tháp", "gia lai", "hà giang", "hà nam", "hà tĩnh", "hậu giang", "tp. hồ chí minh", "hòa bình", "hưng yên", "khánh hòa",
+    "kon tum", "lai châu", "lâm đồng", "lạng sơn", "lào cai", "ninh bình", "ninh thuận", "phú thọ", "phú yên", "quảng bình",
+    "quảng ninh", "quảng trị", "sơn la", "tây ninh", "thái nguyên", "thừa thiên - huế", "trà vinh", "tuyên quang", "vĩnh phúc", "yên bái",
 ]
 FOREIGN_WORDS = [
     "thái lan", "thailand", "bangkok", "brunei", "bandar seri begawan", "singapore", "singapo", "malaysia", "kuala lumpur",

@@ -1,10 +1,8 @@
-"""Graph analytics. Iterations are joins and aggregations over written frontiers; kernels that need a whole graph in one
-place (betweenness, closeness, communities, null models) take graphs of at most KERNEL_EDGES edges and KERNEL_NODES nodes and say so else."""
+"""Graph analytics. Iterations are joins and aggregations over written frontiers."""
 
 from __future__ import annotations
 
-from collections import defaultdict, deque
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -13,9 +11,6 @@ from pyspark.sql import functions as F
 
 from tessera.operators.graph import cut
 
-KERNEL_EDGES = 2_000_000
-KERNEL_NODES = 4_000_000
-
 
 def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """id, in_degree, out_degree, total; parallel edges count."""
@@ -139,299 +134,6 @@ def community_profile(pairs: DataFrame, community: DataFrame) -> DataFrame:
     return out.select("community", "nodes", F.coalesce("edges", F.lit(0)).alias("edges"), F.when(size > 1, 2.0 * F.coalesce("edges", F.lit(0)) / (size * (size - 1))).otherwise(0.0).alias("density"), "top_id", F.when(size > 1, F.coalesce("top_degree", F.lit(0)) / (size - 1)).otherwise(0.0).alias("top_centrality"))
 
 
-class Adjacency:
-    """A graph of bounded size as arrays: ids in order, neighbours of node i at to[at[i]:at[i + 1]]."""
-
-    def __init__(self, ids: list[str], src: np.ndarray, dst: np.ndarray):
-        order = np.argsort(src, kind="stable")
-        self.ids, self.to = ids, dst[order]
-        self.at = np.searchsorted(src[order], np.arange(len(ids) + 1))
-
-    def neighbours(self, i: int) -> np.ndarray:
-        return self.to[self.at[i] : self.at[i + 1]]
-
-    def distances(self, start: int) -> np.ndarray:
-        """Edges to each node; -1 out of reach."""
-        out = np.full(len(self.ids), -1)
-        out[start] = 0
-        front, d = np.array([start]), 0
-        while len(front):
-            d += 1
-            near = np.unique(np.concatenate([self.neighbours(i) for i in front.tolist()]))
-            front = near[out[near] < 0]
-            out[front] = d
-        return out
-
-
-def _bounded(nodes: DataFrame, edges: DataFrame) -> list[str]:
-    """The ids of a graph that a kernel can take; nothing is collected before both counts are known."""
-    ids = nodes.select("id").distinct()
-    if edges.limit(KERNEL_EDGES + 1).count() > KERNEL_EDGES or ids.limit(KERNEL_NODES + 1).count() > KERNEL_NODES:
-        raise ValueError(f"this kernel takes graphs of at most {KERNEL_EDGES} edges and {KERNEL_NODES} nodes")
-    return sorted(r.id for r in ids.collect())
-
-
-def gathered(nodes: DataFrame, edges: DataFrame, directed: bool) -> Adjacency:
-    """The graph on the driver, for a broadcast; refused beyond KERNEL_EDGES edges or KERNEL_NODES nodes."""
-    e = edges.select("src", "dst").distinct()
-    ids = _bounded(nodes, e)
-    number = {x: i for i, x in enumerate(ids)}
-    t = e.toPandas()
-    src, dst = (t[c].map(number).to_numpy(np.int64) for c in ("src", "dst"))
-    if not directed:
-        a, b = np.concatenate([src, dst]), np.concatenate([dst, src])
-        keep = a != b
-        both = np.unique(np.stack([a[keep], b[keep]], axis=1), axis=0)
-        src, dst = both[:, 0], both[:, 1]
-    return Adjacency(ids, src, dst)
-
-
-def _per_source(nodes: DataFrame, graph: Adjacency, work, schema: str) -> DataFrame:
-    """work(graph, source number) -> rows, over all sources in parallel."""
-    spark = nodes.sparkSession
-    shared = spark.sparkContext.broadcast(graph)
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [c.split()[0] for c in schema.split(", ")]
-        for f in frames:
-            yield pd.DataFrame([r for i in f["id"] for r in work(shared.value, int(i))], columns=names)
-
-    return spark.range(len(graph.ids)).mapInPandas(run, schema)
-
-
-def _dependencies(g: Adjacency, s: int) -> list[tuple[str, float]]:
-    """What the pairs from s add to each node's betweenness."""
-    n = len(g.ids)
-    paths, dist, order, before = np.zeros(n), np.full(n, -1), [], defaultdict(list)
-    paths[s], dist[s] = 1.0, 0
-    queue = deque([s])
-    while queue:
-        v = queue.popleft()
-        order.append(v)
-        for w in g.neighbours(v).tolist():
-            if dist[w] < 0:
-                dist[w] = dist[v] + 1
-                queue.append(w)
-            if dist[w] == dist[v] + 1:
-                paths[w] += paths[v]
-                before[w].append(v)
-    add = np.zeros(n)
-    for w in reversed(order):
-        for v in before[w]:
-            add[v] += paths[v] / paths[w] * (1 + add[w])
-    return [(g.ids[v], float(add[v])) for v in order if v != s and add[v]]
-
-
-def betweenness(nodes: DataFrame, edges: DataFrame, normalized: bool = True) -> DataFrame:
-    """id, betweenness: exact, directed."""
-    g = gathered(nodes, edges, True)
-    n = len(g.ids)
-    scale = 1.0 / ((n - 1) * (n - 2)) if normalized and n > 2 else 1.0
-    sums = _per_source(nodes, g, _dependencies, "id string, value double").groupBy("id").agg(F.sum("value").alias("value"))
-    return nodes.select("id").distinct().join(sums, "id", "left").select("id", (F.coalesce("value", F.lit(0.0)) * scale).alias("betweenness"))
-
-
-def strong_components(g: Adjacency) -> np.ndarray:
-    """A number for each node's strongly connected component: two passes of depth-first search, without recursion."""
-    n = len(g.ids)
-    back = Adjacency(g.ids, g.to, np.repeat(np.arange(n), np.diff(g.at)))
-    done, order = np.zeros(n, bool), []
-    for s in range(n):
-        stack = [(s, 0)] if not done[s] else []
-        done[s] = True
-        while stack:
-            v, i = stack.pop()
-            near = g.neighbours(v)
-            while i < len(near) and done[near[i]]:
-                i += 1
-            if i == len(near):
-                order.append(v)
-            else:
-                stack += [(v, i + 1), (int(near[i]), 0)]
-                done[near[i]] = True
-    out, c = np.full(n, -1), 0
-    for s in reversed(order):
-        if out[s] < 0:
-            stack = [s]
-            out[s] = c
-            while stack:
-                for w in back.neighbours(stack.pop()).tolist():
-                    if out[w] < 0:
-                        out[w] = c
-                        stack.append(w)
-            c += 1
-    return out
-
-
-def closeness(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """id, closeness by incoming distances; of the largest strongly connected component if the graph isn't one."""
-    g = gathered(nodes, edges, True)
-    part = strong_components(g)
-    size = np.bincount(part) if len(part) else np.zeros(0, int)
-    keep = part == int(size.argmax()) if len(size) else np.zeros(0, bool)
-    place = np.cumsum(keep) - 1
-    src = np.repeat(np.arange(len(g.ids)), np.diff(g.at))
-    inner = keep[src] & keep[g.to]
-    back = Adjacency([x for x, k in zip(g.ids, keep, strict=True) if k], place[g.to[inner]], place[src[inner]])
-
-    def one(h: Adjacency, i: int) -> list[tuple[str, float]]:
-        d = h.distances(i)
-        total, seen = int(d[d > 0].sum()), int((d > 0).sum())
-        return [(h.ids[i], seen / total * seen / (len(h.ids) - 1) if total else 0.0)]
-
-    return _per_source(nodes, back, one, "id string, closeness double")
-
-
-def path_lengths(nodes: DataFrame, edges: DataFrame, exact_up_to: int = 5000, sources: int = 1000, seed: int = 42) -> DataFrame:
-    """One row of the largest component: nodes, mean, shortest and longest path; over all sources if it is small enough, else over a seeded sample."""
-    comp = components(nodes, edges)
-    largest = comp.groupBy("component").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "component").limit(1)
-    members = comp.join(largest, "component").select("id")
-    inner = edges.join(members.select(F.col("id").alias("src")), "src", "left_semi")
-    g = gathered(members, inner, False)
-    chosen = np.arange(len(g.ids)) if len(g.ids) <= exact_up_to else np.sort(np.random.default_rng(seed).choice(len(g.ids), sources, replace=False))
-    wanted = set(chosen.tolist())
-
-    def one(h: Adjacency, i: int) -> list[tuple[int, int, int, int]]:
-        if i not in wanted:
-            return []
-        d = h.distances(i)
-        d = d[d > 0]
-        return [(int(d.sum()), len(d), int(d.min()), int(d.max()))] if len(d) else []
-
-    each = _per_source(members, g, one, "total bigint, n bigint, low bigint, high bigint")
-    return each.agg(F.lit(len(g.ids)).cast("bigint").alias("nodes"), (F.sum("total") / F.sum("n")).alias("mean_length"), F.min("low").alias("shortest"), F.max("high").alias("longest"))
-
-
-def null_model(nodes: DataFrame, edges: DataFrame, samples: int = 300, sources: int = 500, swaps: int = 3, seed: int = 42) -> DataFrame:
-    """sample, clustering, mean_length of graphs with the same degrees: `swaps` swaps of edge ends for each edge, at most 10 tries each."""
-    g = gathered(nodes, edges, False)
-    src = np.repeat(np.arange(len(g.ids)), np.diff(g.at))
-    pairs = np.stack([src, g.to], axis=1)[src < g.to]
-    n = len(g.ids)
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            rows = []
-            for k in f["id"]:
-                rng = np.random.default_rng(seed + int(k))
-                e = pairs.copy()
-                known = {(int(a), int(b)) for a, b in e}
-                done = tries = 0
-                while done < swaps * len(e) and tries < 10 * swaps * len(e) and len(e) > 1:
-                    tries += 1
-                    i, j = rng.integers(0, len(e), 2)
-                    (a, b), (c, d) = e[i].tolist(), e[j].tolist()
-                    if rng.integers(2):
-                        c, d = d, c
-                    p, q = (min(a, d), max(a, d)), (min(c, b), max(c, b))
-                    if len({a, b, c, d}) < 4 or p in known or q in known:
-                        continue
-                    known -= {tuple(e[i].tolist()), tuple(e[j].tolist())}
-                    known |= {p, q}
-                    e[i], e[j] = p, q
-                    done += 1
-                h = Adjacency(g.ids, np.concatenate([e[:, 0], e[:, 1]]), np.concatenate([e[:, 1], e[:, 0]]))
-                near = [set(h.neighbours(v).tolist()) for v in range(n)]
-                c = [sum(len(near[x] & s) for x in s) / (len(s) * (len(s) - 1)) if len(s) > 1 else 0.0 for s in near]
-                d = [h.distances(int(s)) for s in rng.choice(n, min(sources, n), replace=False)]
-                d = np.concatenate([x[x > 0] for x in d])
-                rows.append((int(k), float(np.mean(c)), float(d.mean()) if len(d) else 0.0))
-            yield pd.DataFrame(rows, columns=["sample", "clustering", "mean_length"])
-
-    return nodes.sparkSession.range(samples).mapInPandas(run, "sample bigint, clustering double, mean_length double")
-
-
-def small_world(samples: DataFrame, clustering: float, length: float) -> DataFrame:
-    """One row: means, deviations and 95 % ranges of the null model, p-values, ratios and sigma."""
-    r = samples.agg(
-        *[f(c).alias(f"{k}_{c}") for c in ("clustering", "mean_length") for k, f in (("mean", F.avg), ("std", F.stddev_pop))],
-        *[F.percentile(c, F.array(F.lit(0.025), F.lit(0.975))).alias(f"range_{c}") for c in ("clustering", "mean_length")],
-        F.avg((F.col("clustering") >= clustering).cast("double")).alias("p_clustering"),
-        F.avg((F.col("mean_length") <= length).cast("double")).alias("p_length"),
-    )
-    c, l = F.lit(clustering) / F.col("mean_clustering"), F.lit(length) / F.col("mean_mean_length")
-    return r.withColumns({"c_ratio": c, "l_ratio": l, "sigma": c / l})
-
-
-def louvain(nodes: DataFrame, pairs: DataFrame, resolution: float = 1.0, seed: int = 42, smallest: int = 0) -> DataFrame:
-    """id, community of a weighted simple graph (a, b, weight): nodes move to the neighbouring community of highest gain, communities become nodes, until nothing gains.
-
-    Communities below `smallest` members are merged into the one with most links to them, else into the largest, smallest first.
-    """
-    ids = _bounded(nodes, pairs)
-    t = pairs.select("a", "b", "weight").toPandas()
-    number = {x: i for i, x in enumerate(ids)}
-    links: list[dict[int, float]] = [{} for _ in ids]
-    for a, b, w in zip(t["a"].map(number), t["b"].map(number), t["weight"], strict=True):
-        links[a][b] = links[a].get(b, 0.0) + float(w)
-        links[b][a] = links[b].get(a, 0.0) + float(w)
-    member = _louvain(links, resolution, np.random.default_rng(seed))
-    if smallest:
-        member = _merged(member, links, smallest)
-    rank = {c: i for i, c in enumerate(sorted(set(member), key=lambda c: (-member.count(c), member.index(c))))}
-    return nodes.sparkSession.createDataFrame(pd.DataFrame({"id": ids, "community": [rank[c] for c in member]}), "id string, community int")
-
-
-def _louvain(links: list[dict[int, float]], resolution: float, rng: np.random.Generator) -> list[int]:
-    n = len(links)
-    own = [x.pop(i, 0.0) for i, x in enumerate(x.copy() for x in links)]
-    near = [{j: w for j, w in x.items() if j != i} for i, x in enumerate(links)]
-    strength = [sum(x.values()) + 2 * s for x, s in zip(near, own, strict=True)]
-    m2 = sum(strength)
-    member, total = list(range(n)), strength[:]
-    if not m2:
-        return member
-    moved = anything = True
-    while moved:
-        moved = False
-        for i in rng.permutation(n).tolist():
-            to: dict[int, float] = defaultdict(float)
-            for j, w in near[i].items():
-                to[member[j]] += w
-            total[member[i]] -= strength[i]
-            gain = lambda c, i=i, to=to: to.get(c, 0.0) - resolution * total[c] * strength[i] / m2
-            best = max(sorted({*to, member[i]}), key=lambda c: (round(gain(c), 12), c == member[i]))
-            total[best] += strength[i]
-            if best != member[i]:
-                member[i], moved = best, True
-    names = {c: k for k, c in enumerate(dict.fromkeys(member))}
-    anything = len(names) < n
-    member = [names[c] for c in member]
-    if not anything:
-        return member
-    up: list[dict[int, float]] = [defaultdict(float) for _ in names]
-    for i, x in enumerate(near):
-        up[member[i]][member[i]] += own[i]
-        for j, w in x.items():
-            if member[j] != member[i]:
-                up[member[i]][member[j]] += w
-            elif i < j:
-                up[member[i]][member[i]] += w
-    above = _louvain([dict(x) for x in up], resolution, rng)
-    return [above[c] for c in member]
-
-
-def _merged(member: list[int], links: list[dict[int, float]], smallest: int) -> list[int]:
-    member = member[:]
-    while True:
-        sizes = defaultdict(int)
-        for c in member:
-            sizes[c] += 1
-        small = [c for c in sizes if sizes[c] < smallest]
-        if not small or len(sizes) == 1:
-            return member
-        c = min(small, key=lambda x: (sizes[x], x))
-        to: dict[int, int] = defaultdict(int)
-        for i, x in enumerate(links):
-            if member[i] == c:
-                for j in x:
-                    if member[j] != c:
-                        to[member[j]] += 1
-        into = max(to, key=lambda x: (to[x], -x)) if to else max((x for x in sizes if x != c), key=lambda x: (sizes[x], -x))
-        member = [into if x == c else x for x in member]
-
-
 def eigenvector(pairs: DataFrame, community: DataFrame, iterations: int = 1000, tolerance: float = 1e-6, kernel_edges: int = 200_000) -> DataFrame:
     """id, community, eigenvector: weighted, inside each community; degree centrality where it doesn't settle.
 

@@ -84,21 +84,30 @@ def slots(records: DataFrame) -> DataFrame:
 
 
 def mentions(records: DataFrame) -> DataFrame:
-    """record_id, edge, label, name, properties, ord: every value of a record that is a node, in the order of its fields. Expects with_lists()."""
+    """record_id, edge, label, name, properties, ord: every value of a record that is a node, in the order of its fields. Expects with_lists().
+
+    A field is read under its other names too, the first that is there; awards of the infobox count where there is no list of them.
+    """
     plain = lambda x: text.strip_value_markup(x)
     none = F.expr("cast(map() as map<string,string>)")
     office = slots(records)
     terms = F.map_filter(F.create_map(F.lit("term_start"), plain(F.col("term_start")), F.lit("term_end"), plain(F.col("term_end")), F.lit("status"), text.office_status(F.col("office"))), lambda _, v: v != "")
     out = office.select("record_id", F.lit("SERVED_AS").alias("edge"), F.lit("Position").alias("label"), plain(F.col("office")).alias("name"), terms.alias("properties"), F.col("slot").alias("ord"))
     box = F.col("infobox")
-    years = text.service_years(plain(F.coalesce(box["serviceyears"], box["years_of_service"], F.lit(""))))
+    field = lambda *names: F.coalesce(*[box[k] for k in names])
+    none_of = F.array().cast("array<string>")
+    lines = lambda k: F.coalesce(F.split(box[k], "<br>"), none_of)
+    years = text.service_years(plain(F.coalesce(field("serviceyears", "years_of_service", "năm_phục_vụ"), F.lit(""))))
     service = F.map_filter(F.create_map(F.lit("year_start"), years["year_start"].cast("string"), F.lit("year_end"), years["year_end"].cast("string")), lambda _, v: v.isNotNull())
-    singles = [("BORN_AT", "Location", box["birth_place"], none, 100), ("DIED_AT", "Location", box["death_place"], none, 101), ("SERVED_IN", "MilitaryCareer", box["branch"], service, 300), ("HAS_RANK", "MilitaryRank", F.when(box["branch"].isNotNull(), F.coalesce(box["rank"], box["military_rank"])), none, 301)]
+    singles = [("BORN_AT", "Location", field("birth_place", "nơi_sinh"), none, 100), ("DIED_AT", "Location", field("death_place", "nơi_chết"), none, 101), ("SERVED_IN", "MilitaryCareer", box["branch"], service, 300), ("HAS_RANK", "MilitaryRank", F.when(box["branch"].isNotNull(), field("rank", "military_rank", "cấp_bậc")), none, 301)]
     for edge, label, value, props, at in singles:
         out = out.unionByName(records.select(F.col("id").alias("record_id"), F.lit(edge).alias("edge"), F.lit(label).alias("label"), plain(value).alias("name"), props.alias("properties"), F.lit(at).alias("ord")))
-    many = [("AWARDED", "Award", F.col("awards"), 200), ("FOUGHT_IN", "Campaigns", F.col("battles"), 400), ("ALUMNUS_OF", "AlmaMater", F.col("alma_mater"), 500), ("HAS_ACADEMIC_TITLE", "AcademicTitle", F.col("education"), 600), ("HAS_ACADEMIC_TITLE", "AcademicTitle", F.split(box["honorific_prefix"], ","), 700)]
+    awards = F.when(F.size("awards") > 0, F.col("awards")).otherwise(F.array(box["awards"], box["giải_thưởng"], box["khen_thưởng"]))
+    schools = F.concat(F.coalesce("alma_mater", none_of), lines("trường"), lines("nơi_đào_tạo"))
+    titles = F.coalesce(F.col("education"), lines("trình_độ"))
+    many = [("AWARDED", "Award", awards, 200), ("FOUGHT_IN", "Campaigns", F.col("battles"), 400), ("ALUMNUS_OF", "AlmaMater", schools, 500), ("HAS_ACADEMIC_TITLE", "AcademicTitle", titles, 600), ("HAS_ACADEMIC_TITLE", "AcademicTitle", F.split(box["honorific_prefix"], ","), 700)]
     for edge, label, values, at in many:
-        out = out.unionByName(records.select(F.col("id").alias("record_id"), F.lit(edge).alias("edge"), F.lit(label).alias("label"), F.posexplode(values).alias("i", "v")).select("record_id", "edge", "label", plain(F.col("v")).alias("name"), none.alias("properties"), (F.lit(at * 1000) + F.col("i")).alias("ord")))
+        out = out.unionByName(records.select(F.col("id").alias("record_id"), F.lit(edge).alias("edge"), F.lit(label).alias("label"), F.posexplode(values).alias("i", "v")).select("record_id", "edge", "label", F.trim(plain(F.col("v"))).alias("name"), none.alias("properties"), (F.lit(at * 1000) + F.col("i")).alias("ord")))
     return out.where("name is not null and name <> ''")
 
 

@@ -62,6 +62,39 @@ def gb_build_nodes(spark: SparkSession, d: str) -> DataFrame:
     return g.nodes.select("id", "type", "name", F.try_element_at("properties", F.lit("party")).alias("party"))
 
 
+#: What a customer's record says, as a column each: half of the records use the other names of the fields.
+_SAID = [
+    ("birth_place", "nơi_sinh", "n_name"), ("death_place", "nơi_chết", "concat('Town ', c_nationkey)"), ("branch", "branch", "c_mktsegment"), ("military_rank", "cấp_bậc", "concat('Rank ', n_regionkey)"),
+    ("years_of_service", "năm_phục_vụ", "concat(1940 + c_nationkey, ' – ', 1960 + n_regionkey)"), ("awards", "khen_thưởng", "concat('Order ', c_mktsegment)"), ("alma_mater", "trường", "concat('School of ', n_name)"),
+    ("education", "trình_độ", "concat('Doctor ', c_mktsegment)"), ("honorific_prefix", "honorific_prefix", "concat('General ', n_regionkey, ', Sir')"), ("battles", "battles", "concat('Battle of ', n_name)"), ("office", "office", "concat('Office of ', c_mktsegment)"),
+]
+
+
+@query("""
+WITH c AS (SELECT *, 'pol' || c_custkey AS id FROM customer JOIN nation ON n_nationkey = c_nationkey)
+SELECT id AS src, 'BORN_AT' AS type, n_name AS name, CAST(NULL AS VARCHAR) AS year_start, CAST(NULL AS VARCHAR) AS year_end FROM c
+UNION ALL SELECT id, 'DIED_AT', 'Town ' || c_nationkey, NULL, NULL FROM c
+UNION ALL SELECT id, 'SERVED_IN', c_mktsegment, CAST(1940 + c_nationkey AS VARCHAR), CAST(1960 + n_regionkey AS VARCHAR) FROM c
+UNION ALL SELECT id, 'HAS_RANK', 'Rank ' || n_regionkey, NULL, NULL FROM c
+UNION ALL SELECT id, 'AWARDED', 'Order ' || c_mktsegment, NULL, NULL FROM c
+UNION ALL SELECT id, 'ALUMNUS_OF', 'School of ' || n_name, NULL, NULL FROM c
+UNION ALL SELECT id, 'HAS_ACADEMIC_TITLE', unnest(['Doctor ' || c_mktsegment, 'General ' || n_regionkey, 'Sir']), NULL, NULL FROM c
+UNION ALL SELECT id, 'FOUGHT_IN', 'Battle of ' || n_name, NULL, NULL FROM c
+UNION ALL SELECT id, 'SERVED_AS', 'Office of ' || c_mktsegment, NULL, NULL FROM c
+UNION ALL SELECT p.id, x.type, s.c_name, NULL, NULL FROM c p CROSS JOIN (VALUES ('SUCCEEDED', 7), ('PRECEDED', 3)) x(type, f) JOIN customer s ON s.c_custkey = (p.c_custkey * x.f + 1) % 200
+""")
+def gb_all_edges(spark: SparkSession, d: str) -> DataFrame:
+    """Every type of edge, from records whose fields have either of their names."""
+    c = read(spark, d, "customer").join(read(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    other = F.col("c_custkey") % 2 == 1
+    fields = [F.struct(F.when(other, b).otherwise(a).alias("k"), F.expr(x).cast("string").alias("v")) for a, b, x in _SAID]
+    fields += [F.struct(F.lit(k).alias("k"), _name((F.col("c_custkey") * f + 1) % 200).alias("v")) for k, f in (("predecessor", 7), ("successor", 3))]
+    records = c.select(F.col("c_name").alias("title"), F.col("c_custkey").alias("id"), F.lit("officeholder").alias("template"), F.map_from_entries(F.array(*fields)).alias("infobox"))
+    g = build.build(R.with_lists(records))
+    of = lambda k: F.try_element_at("properties", F.lit(k)).alias(k)
+    return g.edges.join(g.nodes.select(F.col("id").alias("dst"), "name"), "dst").select("src", "type", "name", of("year_start"), of("year_end"))
+
+
 def _extractions(spark: SparkSession, d: str) -> DataFrame:
     """What a model could have found: each supplier's region as an award, and its parts' brands as positions."""
     l = read(spark, d, "lineitem").join(read(spark, d, "part").select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey")).select("l_suppkey", "p_brand").distinct()

@@ -61,10 +61,10 @@ def agg_grouping_sets(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""
 WITH s AS (SELECT l_discount AS x, l_tax AS y FROM lineitem)
-SELECT round(avg(x), 9) AS mean_clustering, round(stddev_pop(x), 9) AS std_clustering, round(quantile_cont(x, 0.025), 9) AS low, round(quantile_cont(x, 0.975), 9) AS high, round(avg(CAST(x >= 0.07 AS INT)), 9) AS p_clustering, round(avg(CAST(y <= 0.02 AS INT)), 9) AS p_length, round((0.07 / avg(x)) / (0.02 / avg(y)), 9) AS sigma FROM s
+SELECT round(avg(x), 9) AS mean_clustering, round(stddev_pop(x), 9) AS std_clustering, round(quantile_cont(x, 0.025), 9) AS low, round(quantile_cont(x, 0.975), 9) AS high, round(avg(CAST(x >= 0.07 AS INT)), 9) AS p_clustering, round(avg(CAST(abs(y - 0.02) >= abs(0.02 - (SELECT avg(y) FROM s)) AS INT)), 9) AS p_length, round((0.07 / avg(x)) / (0.02 / avg(y)), 9) AS sigma FROM s
 """)
 def agg_null_model(spark: SparkSession, d: str) -> DataFrame:
-    from tessera.operators.algorithms import small_world
+    from tessera.operators.rewiring import small_world
 
     s = read(spark, d, "lineitem").select(F.col("l_discount").alias("clustering"), F.col("l_tax").alias("mean_length"))
     r = small_world(s, 0.07, 0.02)

@@ -163,6 +163,27 @@ def txt_domain_values(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("s_suppkey", "kind", out.alias("result"))
 
 
+_WORD_LIST = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
+_PERSON_PLACES = f"""
+WITH c AS (SELECT c_custkey, {_WORD_LIST(C.LOCAL_WORDS)}[c_custkey % {len(C.LOCAL_WORDS)} + 1] AS here, {_WORD_LIST(C.FOREIGN_WORDS)}[c_custkey % {len(C.FOREIGN_WORDS)} + 1] AS there, c_nationkey AS k FROM customer)"""
+
+
+@query(f"""{_PERSON_PLACES},
+b AS (SELECT c_custkey, CASE WHEN k % 4 = 0 THEN here || 'x, ' || there WHEN k % 4 = 1 THEN there || ' – (' || upper(here) || ')' WHEN k % 4 = 2 THEN 'Xã ' || c_custkey ELSE 'Bx ' || here || ' ' || there END AS place, k FROM c),
+s AS (SELECT c_custkey, ' ' || regexp_replace(lower(place), '[,()–-]+', ' ', 'g') || ' ' AS t FROM b)
+SELECT c_custkey, CASE WHEN len(list_filter({_WORD_LIST([w.replace("-", " ").replace("   ", "  ") for w in C.LOCAL_WORDS])}, lambda w: contains(regexp_replace(t, ' +', ' ', 'g'), ' ' || regexp_replace(w, ' +', ' ', 'g') || ' '))) > 0 THEN true
+  WHEN len(list_filter({_WORD_LIST(C.FOREIGN_WORDS)}, lambda w: contains(t, ' ' || w || ' '))) > 0 THEN false ELSE true END AS local FROM s
+""")
+def txt_local(spark: SparkSession, d: str) -> DataFrame:
+    """Whether each customer is local by what its birth place and nationality say: all local and foreign words, in any case, whole or as part of a longer one."""
+    n, m = len(C.LOCAL_WORDS), len(C.FOREIGN_WORDS)
+    word = lambda words, k: F.array(*[F.lit(w) for w in words])[F.col("c_custkey").cast("int") % k]
+    here, there, k = word(C.LOCAL_WORDS, n), word(C.FOREIGN_WORDS, m), F.col("c_nationkey") % 4
+    place = F.when(k == 0, F.concat(here, F.lit("x, "), there)).when(k == 1, F.concat(there, F.lit(" – ("), F.upper(here), F.lit(")"))).when(k == 2, F.concat(F.lit("Xã "), F.col("c_custkey").cast("string"))).otherwise(F.concat(F.lit("Bx "), here, F.lit(" "), there))
+    field = F.when(F.col("c_custkey") % 3 == 0, "nơi_sinh").when(F.col("c_custkey") % 3 == 1, "nationality").otherwise("birth_place")
+    return read(spark, d, "customer").select("c_custkey", text.is_local_person(F.create_map(field, place)).alias("local"))
+
+
 _PLACES = ", ".join(f"({i}, '{k}', '{v}')" for i, (k, v) in enumerate(C.PROVINCES))
 _SPACED = r"' ' || trim(regexp_replace(lower({0}), '[^\p{{L}}\p{{N}}]+', ' ', 'g')) || ' '"
 

