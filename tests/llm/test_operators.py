@@ -52,13 +52,14 @@ def sf_dir(spark, docs, tmp_path_factory):
     w = brute.words(docs[12][1])
     items = [(1, " ".join(w[3:20])), (2, None), (3, ""), (None, " ".join(w[5:15])), (5, "Zz qq"), (6, " ".join(w[0:3])), (6, "ab ab"), (7, "ab " * 12)]
     spark.createDataFrame(items, "item_id long, text string").withColumn("terms", F.lit(1)).write.parquet(f"{d}/benchmark.parquet")
+    spark.createDataFrame([(1, [0.5, 0.25, 0.0, -1.0], 1)], "vec_id long, embedding array<float>, label int").withColumn("v", F.lit("clash")).write.parquet(f"{d}/embeddings.parquet")
     return d
 
 
 @pytest.fixture(scope="module")
 def empty_dir(spark, sf_dir, tmp_path_factory):
     d = str(tmp_path_factory.mktemp("none"))
-    for t in ("documents", "benchmark"):
+    for t in ("documents", "benchmark", "embeddings"):
         spark.read.parquet(f"{sf_dir}/{t}.parquet").limit(0).write.parquet(f"{d}/{t}.parquet")
     return d
 
