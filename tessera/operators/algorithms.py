@@ -29,11 +29,12 @@ def pagerank(nodes: DataFrame, edges: DataFrame, alpha: float = 0.85, iterations
     weight = edges.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("w"))
     out = weight.groupBy("src").agg(F.sum("w").alias("total"))
     share = cut(weight.join(out, "src").select("src", "dst", (F.col("w") / F.col("total")).alias("share")))
-    ranks = cut(nodes.select("id").distinct().join(out.select(F.col("src").alias("id"), F.lit(True).alias("leads")), "id", "left").select("id", F.col("leads").isNull().alias("ends"), F.lit(1.0 / max(n, 1)).alias("rank")))
+    ranks = table = cut(nodes.select("id").distinct().join(out.select(F.col("src").alias("id"), F.lit(True).alias("leads")), "id", "left").select("id", F.col("leads").isNull().alias("ends"), F.lit(1.0 / max(n, 1)).alias("rank")))
     for _ in range(iterations):
         lost = ranks.where("ends").agg(F.coalesce(F.sum("rank"), F.lit(0.0))).head()[0]
         got = ranks.join(share, ranks["id"] == share["src"]).groupBy("dst").agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
-        new = cut(ranks.join(got, ranks["id"] == got["dst"], "left").select("id", "ends", (F.lit((1 - alpha) / n) + alpha * (F.coalesce("got", F.lit(0.0)) + lost / n)).alias("rank"), F.col("rank").alias("before")))
+        new = cut(ranks.join(got, ranks["id"] == got["dst"], "left").select("id", "ends", (F.lit((1 - alpha) / n) + alpha * (F.coalesce("got", F.lit(0.0)) + lost / n)).alias("rank"), F.col("rank").alias("before")), instead_of=table)
+        table = new
         ranks = new.select("id", "ends", "rank")
         if tolerance is not None and new.agg(F.sum(F.abs(F.col("rank") - F.col("before")))).head()[0] < n * tolerance:
             break

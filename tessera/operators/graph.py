@@ -5,6 +5,7 @@ nodes: id, type, name, properties (map); edges: src, dst, type, properties (map)
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -186,7 +187,22 @@ def expand(seeds: DataFrame, refs: DataFrame, allowed: DataFrame, depth: int) ->
     return found
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """A checkpoint in the folder that spark.checkpoint.dir names (a local session without one gets its own)."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+def cut(df: DataFrame, instead_of: DataFrame | None = None) -> DataFrame:
+    """df as a table in the folder that spark.checkpoint.dir names (a local session without one gets its own), read again.
+
+    A table has a size that Spark knows; a checkpoint keeps the estimate of the plan that made it, which an iteration that
+    joins its state with itself squares in each round. The table goes when the application ends; that of `instead_of`, what
+    an earlier call returned, goes now, as an iteration doesn't read it any more.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/tessera-cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(conf).deleteOnExit(at)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._tessera_cut = path
+    if instead_of is not None and hasattr(instead_of, "_tessera_cut"):
+        old = jvm.org.apache.hadoop.fs.Path(instead_of._tessera_cut)
+        old.getFileSystem(conf).delete(old, True)
+    return out

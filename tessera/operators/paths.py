@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -65,6 +67,43 @@ def shortest(starts: DataFrame, ends: DataFrame, edges: DataFrame, longest: int,
     return out
 
 
+def between(pairs: DataFrame, edges: DataFrame, longest: int, directed: bool = True) -> DataFrame:
+    """For each pair (start, end) the least of its shortest paths of at most `longest` edges in array order, as `shortest` has it. start, end, length, path.
+
+    Two searches for each pair, from its start and against the edges from its end. In a round the side with fewer nodes at
+    its edge grows (of equal ones the start), by one edge; where the two sides meet the pair is found and leaves. So a round has
+    rows of pairs that are still open alone, about the square root of what a search from one side reaches. Of each side a
+    node keeps the least path, as least parts make the least whole. Cases: a pair of one node twice has no path; pairs that
+    come more than once are one; null ends lead nowhere.
+    """
+    e = cut((edges.select("src", "dst", "type") if directed else both_ways(edges).select("src", "dst", "type")).groupBy("src", "dst").agg(F.min("type").alias("type")))
+    pair = ["start", "end"]
+    p = pairs.select(*pair).where("start <> end").distinct()
+    side = lambda forth, node: p.select(*pair, F.lit(forth).alias("forth"), F.col(node).alias("node"), F.array(node).alias("path"))
+    front = cut(side(True, "start").unionByName(side(False, "end")))
+    seen, found = front.select(*pair, "forth", "node"), []
+    on, back = e.select(F.col("src").alias("node"), F.col("dst").alias("to"), "type"), e.select(F.col("dst").alias("node"), F.col("src").alias("to"), "type")
+    for length in range(1, longest + 1):
+        sizes = front.groupBy(*pair).agg(F.count_if("forth").alias("f"), F.count_if(~F.col("forth")).alias("b")).where("f > 0 and b > 0").select(*pair, (F.col("f") <= F.col("b")).alias("turn"))
+        live = front.join(sizes, pair)
+        grow, stay = live.where("forth = turn"), live.where("forth <> turn").select(*pair, "forth", "node", "path")
+        ahead = grow.where("forth").join(on, "node").select(*pair, "forth", F.col("to").alias("node"), F.concat("path", F.array("type", "to")).alias("path"))
+        behind = grow.where("not forth").join(back, "node").select(*pair, "forth", F.col("to").alias("node"), F.concat(F.array("to", "type"), F.col("path")).alias("path"))
+        step = ahead.unionByName(behind).join(seen, [*pair, "forth", "node"], "left_anti")
+        new = cut(step.groupBy(*pair, "forth", "node").agg(F.min("path").alias("path")))
+        if new.isEmpty():
+            break
+        other = stay.select(*pair, "node", F.col("path").alias("other"))
+        met = new.join(other, [*pair, "node"])
+        whole = F.when(F.col("forth"), F.concat("path", F.slice("other", F.lit(2), F.size("other")))).otherwise(F.concat("other", F.slice("path", F.lit(2), F.size("path"))))
+        met = cut(met.groupBy(*pair).agg(F.min(whole).alias("path")))
+        found.append(met.select(*pair, F.lit(length).alias("length"), "path"))
+        if length < longest:
+            seen = seen.unionByName(new.select(*pair, "forth", "node"))
+            front = cut(stay.unionByName(new).join(met.select(*pair), pair, "left_anti"))
+    return reduce(DataFrame.unionByName, found) if found else p.select(*pair, F.lit(0).alias("length"), F.array("start").alias("path")).limit(0)
+
+
 def simple_paths(starts: DataFrame, ends: DataFrame, edges: DataFrame, least: int, longest: int) -> DataFrame:
     """All simple directed paths of least to longest edges. start, end, length, path."""
     e = edges.select("src", "dst", "type")

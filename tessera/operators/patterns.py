@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tessera.functions.text import contains_ci
 from tessera.operators import paths
 from tessera.operators.graph import PropertyGraph, named
+from tessera.operators.names import contained
 
 
 @dataclass(frozen=True)
@@ -165,6 +166,7 @@ def any_persons(graph: PropertyGraph, source: str = "Politician", limit: int = 5
 
 
 def column_search(frame: DataFrame, column: str, words: DataFrame) -> DataFrame:
-    """Rows whose column contains a word, with the word; words are few."""
-    return frame.join(words, contains_ci(F.col(column), F.col("word")))
+    """Rows whose column contains a word, in any case, with the word."""
+    pairs = contained(frame.select(F.col(column).alias("text")), words.select(F.col("word").alias("part")))
+    return frame.join(pairs.select(F.col("text").alias(column), F.col("part").alias("word")), column)
 

@@ -9,8 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera import constants as C
-from tessera.functions.text import contains_ci
-from tessera.operators import patterns
+from tessera.operators import names, patterns
 from tessera.operators.graph import PropertyGraph
 
 
@@ -65,11 +64,8 @@ def plan(pattern: Column) -> Column:
 
 
 def dictionary_entities(questions: DataFrame, nodes: DataFrame) -> DataFrame:
-    """id, text, type: the nodes whose whole name stands in a question. Names are matched by their first word, then whole."""
-    word = F.explode(F.array_distinct(F.split(F.lower("question"), r"[^\p{L}\p{N}#]+")))
-    keyed = nodes.where("name <> ''").select("name", "type", F.split(F.lower("name"), r"[^\p{L}\p{N}#]+")[0].alias("w"))
-    near = questions.select("id", "question", word.alias("w")).join(keyed, "w")
-    return near.where(contains_ci(F.col("question"), F.col("name"))).select("id", F.col("name").alias("text"), "type").distinct()
+    """id, text, type: the nodes whose whole name stands in a question, in whole words."""
+    return names.standing(questions, nodes).select("id", F.col("name").alias("text"), "type")
 
 
 @dataclass

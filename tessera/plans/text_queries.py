@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera import constants as C
 from tessera.functions import answers, dates, text, wikitext
-from tessera.operators import patterns, records
+from tessera.operators import names, patterns, records
 from tessera.operators.graph import merged_text
 from tessera.plans.tables import query, read
 
@@ -225,7 +225,41 @@ SELECT w.word, count(*) AS n, min(p_partkey) AS first FROM part p JOIN (VALUES (
 """)
 def txt_contains(spark: SparkSession, d: str) -> DataFrame:
     words = spark.createDataFrame([(w,) for w in ("RING", "hot", "Gear", "blue b", "zzz")], "word string")
-    return patterns.column_search(read(spark, d, "part"), "p_name", F.broadcast(words)).groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.min("p_partkey").alias("first"))
+    return patterns.column_search(read(spark, d, "part"), "p_name", words).groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.min("p_partkey").alias("first"))
+
+
+@query("""
+WITH q AS (SELECT p_partkey AS id, 'Which Brand sells a ' || p_name || ', ' || lower(p_type) || ' or ' || p_name || 's?' AS question FROM part),
+n AS (SELECT DISTINCT p_name AS name, 'Part' AS type FROM part UNION SELECT DISTINCT p_type, 'Type' FROM part UNION SELECT DISTINCT p_type || ' or ' || split_part(p_name, ' ', 1), 'Both' FROM part UNION SELECT DISTINCT p_brand, 'Brand' FROM part UNION SELECT 'brand SELLS a', 'Brand')
+SELECT q.id, n.name, n.type FROM q JOIN n ON contains(' ' || regexp_replace(lower(question), '[^a-z0-9#]+', ' ', 'g') || ' ', ' ' || lower(n.name) || ' ')
+""")
+def jon_names_standing(spark: SparkSession, d: str) -> DataFrame:
+    """Which names stand in questions: names of one to three words, many of which begin with the same word."""
+    p = read(spark, d, "part")
+    q = p.select(F.col("p_partkey").alias("id"), F.concat(F.lit("Which Brand sells a "), "p_name", F.lit(", "), F.lower("p_type"), F.lit(" or "), "p_name", F.lit("s?")).alias("question"))
+    named = [("p_name", "Part"), ("p_type", "Type"), ("concat(p_type, ' or ', split_part(p_name, ' ', 1))", "Both"), ("p_brand", "Brand"), ("'brand SELLS a'", "Brand")]
+    every = p.select(F.explode(F.array(*[F.struct(F.expr(x).alias("name"), F.lit(t).alias("type")) for x, t in named])).alias("n")).select("n.*").distinct()
+    return names.standing(q, every)
+
+
+@query("""
+WITH w AS (SELECT DISTINCT substr(p_name, 2, 4) AS part FROM part UNION SELECT DISTINCT upper(p_type) FROM part UNION SELECT 'e')
+SELECT t.text, w.part FROM (SELECT DISTINCT p_name || ' ' || lower(p_type) AS text FROM part) t JOIN w ON contains(lower(t.text), lower(w.part))
+""")
+def jon_contained(spark: SparkSession, d: str) -> DataFrame:
+    """Which texts hold which parts, inside words too."""
+    p = read(spark, d, "part")
+    parts = p.select(F.explode(F.array(F.substr("p_name", F.lit(2), F.lit(4)), F.upper("p_type"), F.lit("e"))).alias("part"))
+    return names.contained(p.select(F.concat("p_name", F.lit(" "), F.lower("p_type")).alias("text")), parts)
+
+
+@query()
+def jon_similar_names(spark: SparkSession, d: str) -> DataFrame:
+    """Names of parts with their types, and the same with letters doubled or left out, that are alike in 0.9 (tested against all pairs)."""
+    p = read(spark, d, "part")
+    left = p.select(F.concat("p_name", F.lit(" of the kind "), F.lower("p_type")).alias("name"))
+    right = p.select(F.concat(F.replace("p_name", F.lit("e"), F.lit("ee")), F.lit(" of a kind "), "p_type").alias("name"))
+    return names.similar(left.distinct(), right.distinct(), 0.9)
 
 
 _REPLIES = [
