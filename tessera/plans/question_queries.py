@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.operators import evaluation, graph as G, paths, questions as Q
+from tessera.operators import evaluation, graph as G, paths, patterns, questions as Q
 from tessera.plans.tables import edges, graph, key, mixed, nodes, query, read
 
 _H = "(({0} * 2654435761) % 4294967296)"
@@ -300,6 +300,23 @@ def str_windowed_counts(spark: SparkSession, d: str) -> DataFrame:
     return w.select(F.col("window.start").alias("window_start"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
+@query("""
+SELECT 'c' || c_custkey AS id, 1 AS hop, CAST(row_number() OVER (PARTITION BY c_custkey ORDER BY strftime(o_orderdate, '%Y-%m-%d'), 'Order#' || o_orderkey) AS INTEGER) AS place, c_name AS source, 'Order#' || o_orderkey AS target FROM customer JOIN orders ON o_custkey = c_custkey QUALIFY place <= 20
+UNION ALL SELECT 'n' || q.n_nationkey, 1, CAST(row_number() OVER (PARTITION BY q.n_nationkey ORDER BY c_name, n.n_name) AS INTEGER) AS place, c_name, n.n_name FROM nation q JOIN nation n ON contains(lower(n.n_name), lower(q.n_name)) JOIN customer ON c_nationkey = n.n_nationkey QUALIFY place <= 20
+""")
+def wf_answered(spark: SparkSession, d: str) -> DataFrame:
+    """A question for each customer (what did they order?) and each nation (who lives there?), answered together."""
+    from tessera.operators.answering import Answers
+
+    placed = patterns.Pattern("PLACED", "Order", ("term_start", "status"), ("term_start",), (50, 20, 50), source="Customer", as_target="position")
+    lives = patterns.Pattern("LOCATED_IN", "Nation", limits=(5, 5, 20), source="Customer", as_target="birth_place")
+    entity = lambda text, kind: F.array(F.struct(F.col(text).alias("text"), F.lit(kind).alias("type"))).alias("entities")
+    ask = lambda t, prefix, k, text, kind, intent: read(spark, d, t).select(key(prefix, k).alias("id"), F.lit("?").alias("question"), entity(text, kind), F.lit(intent).alias("intent"), F.lit("aggregation").alias("pattern"))
+    asked = ask("customer", "c", "c_custkey", "c_name", "Customer", "PLACED").unionByName(ask("nation", "n", "n_nationkey", "n_name", "Nation", "LOCATED_IN"))
+    found = Answers(graph(spark, d, ("PLACED", "LOCATED_IN")), "Customer", relations={"PLACED": placed, "LOCATED_IN": lives}).answered(asked)
+    return found.select("id", "hop", "place", F.col("names")[0].alias("source"), F.col("names")[1].alias("target"))
+
+
 @query("""
 SELECT id, text, type FROM (SELECT c_custkey AS id, n_name AS text, 'Nation' AS type, 'Is ' || n_name || ' where ' || c_name || ' lives?' AS q FROM customer JOIN nation ON n_nationkey = c_nationkey) x
 UNION ALL SELECT c_custkey, c_name, 'Customer' FROM customer
