@@ -86,6 +86,20 @@ def with_fallbacks(pool: DataFrame, wrong: int = 3) -> DataFrame:
     return out
 
 
+#: What a question without an answer in the data is answered by.
+NOT_GIVEN, LETTERS = "Not Given", "ABCD"
+
+
+def unanswerable(rows: DataFrame, pick: Column) -> DataFrame:
+    """Questions (q_type, choices, answer, and more) that the data doesn't answer: true-false ones are not given, of four choices the one at
+    pick modulo 4 becomes that there are no data and the answer. Without four choices the answer is D, and choices stay as they are."""
+    full, at = F.coalesce(F.size("choices") == len(LETTERS), F.lit(False)), F.pmod(pick, F.lit(len(LETTERS))).cast("int")
+    letter = F.array(*[F.lit(c) for c in LETTERS])
+    truth = F.col("q_type") == "TRUE_FALSE"
+    placed = F.transform("choices", lambda c, i: F.when(i == at, F.concat(F.get(letter, at), F.lit(f") {C.NO_DATA_LABEL}"))).otherwise(c))
+    return rows.withColumns({"choices": F.when(~truth & full, placed).otherwise(F.col("choices")), "answer": F.when(truth, NOT_GIVEN).when(full, F.get(letter, at)).otherwise("D")})
+
+
 def distinct_questions(rows: DataFrame, order: list[str]) -> DataFrame:
     """Of questions with one text the first by the order."""
     first = rows.groupBy("question").agg(F.min(F.struct(*order)).alias("_first")).select(F.col("question").alias("_q"), "_first")

@@ -300,6 +300,19 @@ def str_windowed_counts(spark: SparkSession, d: str) -> DataFrame:
     return w.select(F.col("window.start").alias("window_start"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
+@query("""
+SELECT p_partkey AS id, CASE WHEN p_size % 3 = 0 THEN 'Not Given' WHEN p_size % 3 = 1 THEN substr('ABCD', CAST(p_partkey % 4 + 1 AS INTEGER), 1) ELSE 'D' END AS answer,
+       CASE WHEN p_size % 3 = 0 THEN '' WHEN p_size % 3 = 1 THEN array_to_string(list_transform(['A. ' || p_name, 'B. ' || p_type, 'C. ' || p_brand, 'D. none'], lambda c, i: CASE WHEN i = p_partkey % 4 + 1 THEN substr(c, 1, 1) || ') Không có dữ kiện' ELSE c END), '|') ELSE 'A. ' || p_name || '|B. ' || p_type END AS choices
+FROM part
+""")
+def gen_no_data(spark: SparkSession, d: str) -> DataFrame:
+    """Questions about parts that the data doesn't answer: true-false, four choices, and two."""
+    kind = F.col("p_size") % 3
+    four = F.array(F.concat(F.lit("A. "), "p_name"), F.concat(F.lit("B. "), "p_type"), F.concat(F.lit("C. "), "p_brand"), F.lit("D. none"))
+    rows = read(spark, d, "part").select(F.col("p_partkey").alias("id"), F.when(kind == 0, "TRUE_FALSE").otherwise("MCQ").alias("q_type"), F.when(kind == 1, four).when(kind == 2, F.slice(four, 1, 2)).alias("choices"), F.lit("A").alias("answer"))
+    return Q.unanswerable(rows, F.col("id")).select("id", "answer", F.coalesce(F.array_join("choices", "|"), F.lit("")).alias("choices"))
+
+
 @query("""
 SELECT 'c' || c_custkey AS id, 1 AS hop, CAST(row_number() OVER (PARTITION BY c_custkey ORDER BY strftime(o_orderdate, '%Y-%m-%d'), 'Order#' || o_orderkey) AS INTEGER) AS place, c_name AS source, 'Order#' || o_orderkey AS target FROM customer JOIN orders ON o_custkey = c_custkey QUALIFY place <= 20
 UNION ALL SELECT 'n' || q.n_nationkey, 1, CAST(row_number() OVER (PARTITION BY q.n_nationkey ORDER BY c_name, n.n_name) AS INTEGER) AS place, c_name, n.n_name FROM nation q JOIN nation n ON contains(lower(n.n_name), lower(q.n_name)) JOIN customer ON c_nationkey = n.n_nationkey QUALIFY place <= 20

@@ -4,6 +4,8 @@ from collections import Counter, defaultdict
 
 import pytest
 
+from tessera.functions.answers import similarity_match
+from tests import brute_graphs
 from tests.conftest import DATA, rows_of
 from tessera.plans import build_queries, graph_queries, io_queries, profile_queries, question_queries, tables, text_queries  # noqa: F401
 
@@ -49,12 +51,34 @@ def check_ga_sample(rows, duck):
 
 
 def check_alg_betweenness(rows, duck):
-    """A shortest path of k edges has k - 1 nodes inside, so the sum over all nodes is that over all pairs."""
-    near = graph_of(duck, edges_sql())
     nodes = [i for (i,) in duck.execute(f"WITH {tables.N} SELECT id FROM n").fetchall()]
-    total = sum(d - 1 for s in nodes for d in distances(near, s).values() if d > 0)
-    n = len(nodes)
-    assert len(rows) == n and sum(r.betweenness for r in rows) * (n - 1) * (n - 2) == pytest.approx(total)
+    expected = brute_graphs.betweenness(nodes, duck.execute(edges_sql()).fetchall())
+    assert {r.id: r.betweenness for r in rows} == pytest.approx(expected)
+
+
+def check_alg_reach_sketched(rows, duck):
+    """Numbers and sums of distances within 3 standard errors of the sketches, and none where nothing leads."""
+    near, total, count = graph_of(duck, edges_sql()), Counter(), Counter()
+    for s in list(near):
+        for v, d in distances(near, s).items():
+            total[v] += d
+            count[v] += d > 0
+    assert len(rows) == duck.execute(f"WITH {tables.N} SELECT count(*) FROM n").fetchone()[0]
+    for r in rows:
+        assert r.sources == pytest.approx(count[r.id], rel=3 * 1.04 / 64) and r.total == pytest.approx(total[r.id], rel=3 * 1.04 / 64)
+
+
+def check_vec_index(rows, duck):
+    v = {i: [x / sum(y * y for y in e) ** 0.5 for x in e] for i, e in duck.execute("SELECT vec_id, embedding FROM embeddings").fetchall()}
+    exact = {(q, i) for q in v if q % 100 == 0 for i in sorted(v, key=lambda j: (-round(sum(a * b for a, b in zip(v[q], v[j], strict=True)), 12), j))[:10]}
+    assert len(rows) == len(exact) and len(exact & {(r.query_id, r.id) for r in rows}) >= 0.9 * len(exact)
+
+
+def check_jon_similar_names(rows, duck):
+    left = [x for (x,) in duck.execute("SELECT DISTINCT p_name || ' of the kind ' || lower(p_type) FROM part").fetchall()]
+    right = [x for (x,) in duck.execute("SELECT DISTINCT replace(p_name, 'e', 'ee') || ' of a kind ' || p_type FROM part").fetchall()]
+    expected = {(a, b) for a in left for b in right if similarity_match(a, b, 0.9)}
+    assert {(r.left, r.right) for r in rows} == expected and len(rows) == len(expected) > 50
 
 
 def check_alg_closeness(rows, duck):
@@ -76,9 +100,9 @@ def check_alg_path_lengths(rows, duck):
 
 
 def check_alg_small_world(rows, duck):
-    """Regions, nations and suppliers have no triangles, so every sample has as many; the 95 % ranges hold the means."""
+    """Places are more clustered than graphs of their degrees, all in one component or several; the 95 % ranges hold the means."""
     (r,) = rows
-    assert r.c_ratio == 0 and r.sigma == 0 and r.p_clustering == 1 and 0 <= r.p_length <= 1
+    assert r.c_ratio > 1 and r.sigma > 0 and r.p_clustering < 0.05 and 0 <= r.p_length <= 1 and r.small_world == (r.sigma > 1)
     assert all(r[f"range_{k}"][0] <= r[f"mean_{k}"] <= r[f"range_{k}"][1] for k in ("clustering", "mean_length"))
 
 
@@ -115,6 +139,8 @@ def check_alg_louvain(rows, duck):
         return sum(inner[c] / m - 1.5 * (ends[c] / (2 * m)) ** 2 for c in ends)
 
     assert modularity(of) > max(modularity(nation), modularity(dict.fromkeys(of, 0)))
+    usual = [brute_graphs.merged(brute_graphs.louvain(sorted(of), links, 1.5, s), [x[:2] for x in links], 10) for s in range(5)]
+    assert modularity(of) >= 0.98 * sum(map(modularity, usual)) / 5
 
 
 def check_gen_shortest_candidates(rows, duck):
