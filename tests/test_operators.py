@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.operators import algorithms as A
-from tessera.operators import communities, distances, evaluation, paths, patterns, questions, records, rewiring, workflow
+from tessera.operators import communities, distances, evaluation, paths, patterns, questions, records, workflow
 from tessera.operators import graph as G
 from tessera.sources import readers, writers
 
@@ -81,14 +81,11 @@ def test_analytics(spark):
     assert (prof.density, prof.top_id, prof.top_centrality) == (pytest.approx(2 / 3), "c", 1.0)
     length = distances.path_lengths(n, e).head()
     assert (length.nodes, length.mean_length, length.longest) == (4, pytest.approx(8 / 6), 2)
-    assert rewiring.null_model(n.where("id <> 'e'"), e, samples=2, sources=4).count() == 2
     cliques = [(f"{g}{i}", f"{g}{j}", 1) for g in "xy" for i in range(4) for j in range(i)] + [("x0", "y0", 1)]
     w = spark.createDataFrame([(min(a, b), max(a, b), v) for a, b, v in cliques], "a string, b string, weight int")
     ids = w.select(F.col("a").alias("id")).union(w.select("b")).distinct()
     found = {r.id: r.community for r in communities.louvain(ids, w).collect()}
     assert len({v for k, v in found.items() if k[0] == "x"}) == 1 and found["x1"] != found["y1"]
-    assert len({r.community for r in communities.louvain(ids, w, smallest=5).collect()}) == 1
-    assert A.modularity(w, communities.louvain(ids, w)).head()[0] > 0.3
 
 
 def test_metrics(spark):
