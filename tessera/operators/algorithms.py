@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.operators.graph import cut
+from tessera.operators.graph import bucketed, cut
 
 
 def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -20,24 +20,36 @@ def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.select("id").join(d, "id", "left").select("id", zero(F.col("i")).alias("in_degree"), zero(F.col("o")).alias("out_degree"), zero(F.col("i") + F.col("o")).alias("total"))
 
 
+#: Edges of a node in one bucket, about: the rank of a node with more goes out in copies, one to each of its buckets.
+HUB = 100_000
+
+
 def pagerank(nodes: DataFrame, edges: DataFrame, alpha: float = 0.85, iterations: int = 100, tolerance: float | None = 1e-6) -> DataFrame:
     """id, rank. Parallel edges add weight; the rank of nodes without out-edges is spread over all; ranks sum to 1.
 
-    Ends when the ranks move by less than nodes x tolerance in total (None: after all iterations).
+    Ends when the ranks move by less than nodes x tolerance in total (None: after all iterations). The edges are written in buckets
+    once; a round shuffles the ranks, and what edges bring after it is summed by bucket.
     """
-    n = nodes.count()
+    ids = nodes.select("id").distinct()
+    n = ids.count()
     weight = edges.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("w"))
-    out = weight.groupBy("src").agg(F.sum("w").alias("total"))
-    share = cut(weight.join(out, "src").select("src", "dst", (F.col("w") / F.col("total")).alias("share")))
-    ranks = table = cut(nodes.select("id").distinct().join(out.select(F.col("src").alias("id"), F.lit(True).alias("leads")), "id", "left").select("id", F.col("leads").isNull().alias("ends"), F.lit(1.0 / max(n, 1)).alias("rank")))
-    for _ in range(iterations):
-        lost = ranks.where("ends").agg(F.coalesce(F.sum("rank"), F.lit(0.0))).head()[0]
-        got = ranks.join(share, ranks["id"] == share["src"]).groupBy("dst").agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
-        new = cut(ranks.join(got, ranks["id"] == got["dst"], "left").select("id", "ends", (F.lit((1 - alpha) / n) + alpha * (F.coalesce("got", F.lit(0.0)) + lost / n)).alias("rank"), F.col("rank").alias("before")), instead_of=table)
-        table = new
-        ranks = new.select("id", "ends", "rank")
-        if tolerance is not None and new.agg(F.sum(F.abs(F.col("rank") - F.col("before")))).head()[0] < n * tolerance:
-            break
+    out = cut(weight.groupBy("src").agg(F.sum("w").alias("total"), F.ceil(F.count(F.lit(1)) / HUB).cast("int").alias("copies")))
+    share = weight.join(out, "src").select("src", F.pmod(F.hash("dst"), F.col("copies")).alias("copy"), "dst", (F.col("w") / F.col("total")).alias("share"))
+    share, name = bucketed(share, ["src", "copy"])
+    try:
+        ranks = cut(ids.join(out.select(F.col("src").alias("id"), "copies"), "id", "left").select("id", "copies", F.lit(1.0 / max(n, 1)).alias("rank"), F.lit(0.0).alias("before")))
+        lost = F.coalesce(F.sum(F.when(F.col("copies").isNull(), F.col("rank"))), F.lit(0.0))
+        ends = ranks.agg(lost).head()[0]
+        for _ in range(iterations):
+            given = ranks.where("copies is not null").select("id", "rank", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"))
+            got = given.join(share, (F.col("id") == F.col("src")) & (given["copy"] == share["copy"])).groupBy("dst").agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
+            new = F.lit((1 - alpha) / n) + alpha * (F.coalesce("got", F.lit(0.0)) + ends / n)
+            ranks = cut(ranks.join(got, ranks["id"] == got["dst"], "left").select("id", "copies", new.alias("rank"), F.col("rank").alias("before")), instead_of=ranks)
+            ends, moved = ranks.agg(lost, F.sum(F.abs(F.col("rank") - F.col("before")))).head()
+            if tolerance is not None and moved < n * tolerance:
+                break
+    finally:
+        nodes.sparkSession.sql(f"DROP TABLE {name}")
     return ranks.select("id", "rank")
 
 

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from itertools import chain
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera import constants as C
 from tessera.functions import text
 from tessera.operators import graph as G
 from tessera.operators import records as R
+from tessera.sources import readers
 
 EDGES = ["src", "dst", "type", "properties"]
 
@@ -89,7 +90,26 @@ LEAST_SUMMARY = 50
 
 def worth_extracting(records: DataFrame) -> DataFrame:
     """Records whose summary is long enough to be sent to a model."""
-    return records.where(F.length(F.trim(F.coalesce("summary", F.lit("")))) >= LEAST_SUMMARY)
+    return records.where(long_enough(F.col("summary")))
+
+
+def long_enough(summary: Column) -> Column:
+    return F.length(F.trim(F.coalesce(summary, F.lit("")))) >= LEAST_SUMMARY
+
+
+def extraction_stage(records: DataFrame, responses: DataFrame) -> DataFrame:
+    """id, status, attempts, answer of records (id, summary, and more): what a model's responses give for each.
+
+    responses: record_id, attempt, reply (null where the call failed). The first attempt whose reply holds an extraction counts, as a
+    call is made again after a quota error or a reply that isn't JSON. status: short (the summary isn't sent), waiting (no response yet),
+    failed (no attempt holds one), extracted. Each record has a row, so that a later run takes those that wait or failed.
+    """
+    tried = responses.withColumn("_answer", readers.extracted(F.col("reply")))
+    best = tried.groupBy("record_id").agg(F.count(F.lit(1)).alias("attempts"), F.min_by("_answer", F.when(F.col("_answer").isNotNull(), F.col("attempt"))).alias("answer"))
+    rows = records.select("id", long_enough(F.col("summary")).alias("_sent")).join(best, F.col("id") == F.col("record_id"), "left")
+    status = F.when(~F.col("_sent"), "short").when(F.col("attempts").isNull(), "waiting").when(F.col("answer").isNull(), "failed").otherwise("extracted")
+    answer = F.when(F.col("_sent"), F.col("answer"))
+    return rows.select("id", status.alias("status"), F.when(F.col("_sent"), F.coalesce("attempts", F.lit(0))).otherwise(0).alias("attempts"), answer.alias("answer"))
 
 
 def extracted_mentions(extractions: DataFrame) -> DataFrame:

@@ -187,6 +187,18 @@ def expand(seeds: DataFrame, refs: DataFrame, allowed: DataFrame, depth: int) ->
     return found
 
 
+def bucketed(df: DataFrame, by: list[str]) -> tuple[DataFrame, str]:
+    """df as a table in as many buckets by these columns as spark.sql.shuffle.partitions, and its name: joins on them read it without a
+    shuffle. The table is dropped by its name when its use is over; its files go when the application ends."""
+    spark = df.sparkSession
+    n, name = int(spark.conf.get("spark.sql.shuffle.partitions")), f"tessera_buckets_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}"
+    df.repartition(n, *by).write.bucketBy(n, *by).option("path", path).format("parquet").saveAsTable(name)
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return spark.table(name), name
+
+
 def cut(df: DataFrame, instead_of: DataFrame | None = None) -> DataFrame:
     """df as a table in the folder that spark.checkpoint.dir names (a local session without one gets its own), read again.
 

@@ -142,6 +142,27 @@ def comparison(graph: PropertyGraph, edge: str, names: list[str]) -> DataFrame |
     return per_entity(graph, edge, names).orderBy(F.desc("n"), "name") if len(names) > 1 else None
 
 
+def compared(graph: PropertyGraph, names: list[str], attribute: str, edge: str | None = None, source: str = "Politician") -> DataFrame | None:
+    """The sources that match two or more names by one of their properties: name, the attribute under its name, and with a relation
+    their total of it and items, most first; without one in the attribute's order, missing ones last. None for fewer than two names.
+
+    A row is a node, so that two of one name stay two.
+    """
+    if len(names) < 2:
+        return None
+    match = F.lit(False)
+    for n in names:
+        match = match | contains_ci(F.col("name"), n)
+    rows = graph.nodes.where((F.col("type") == source) & match).select("id", "name", F.try_element_at("properties", F.lit(attribute)).alias(attribute))
+    if edge is None:
+        return rows.orderBy(F.col(attribute).asc_nulls_last(), "name", "id").drop("id")
+    to = graph.edges.where(F.col("type") == edge).select(F.col("src").alias("id"), "dst").join(rows.select("id"), "id", "left_semi")
+    named_to = to.join(graph.nodes.select(F.col("id").alias("dst"), F.col("name").alias("target")), "dst")
+    per = named_to.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list("target")).alias("got"))
+    none = F.expr("cast(array() as array<string>)")
+    return rows.join(per, "id", "left").select("id", "name", attribute, F.coalesce("n", F.lit(0)).alias("total"), F.coalesce("got", none).alias("items")).orderBy(F.desc("total"), "name", "id").drop("id")
+
+
 #: The columns that name entities in earlier results.
 ENTITY_KEYS = ("name", "politician", "source_entity", "predecessor", "successor")
 

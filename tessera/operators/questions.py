@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -69,10 +70,66 @@ def choices(questions: DataFrame, pool: DataFrame, pick: Column, wrong: int = 3)
     each = q.select("id", "number", "answer_type", "answer", F.explode(F.transform(F.sequence(F.lit(0), F.lit(wrong)), lambda i: F.pmod(pick + i, F.col("size")))).alias("place"))
     drawn = each.join(numbered.select(F.col("type").alias("answer_type"), "place", "name"), ["answer_type", "place"]).where("name <> answer")
     others = drawn.groupBy("id", "number", "answer").agg(F.slice(F.array_sort(F.collect_set("name")), 1, wrong).alias("others"))
+    return lettered(others, wrong)
+
+
+def lettered(rows: DataFrame, wrong: int) -> DataFrame:
+    """id, choices (A. to D.), letter of rows (id, number, answer, others): the answer stands at a place that goes round by number."""
     at = F.pmod("number", F.lit(wrong + 1))
     ordered = F.concat(F.slice("others", F.lit(1), at), F.array("answer"), F.slice("others", at + 1, F.lit(wrong)))
     letters = F.array(*[F.lit(c) for c in "ABCDEFGH"[: wrong + 1]])
-    return others.select("id", F.zip_with(F.slice(letters, F.lit(1), F.size(ordered)), ordered, lambda a, b: F.concat(a, F.lit(". "), b)).alias("choices"), F.element_at(letters, (at + 1).cast("int")).alias("letter"))
+    return rows.select("id", F.zip_with(F.slice(letters, F.lit(1), F.size(ordered)), ordered, lambda a, b: F.concat(a, F.lit(". "), b)).alias("choices"), F.element_at(letters, (at + 1).cast("int")).alias("letter"))
+
+
+#: How far wrong years and wrong durations are from the answer, at most.
+YEAR_SPREAD, DURATION_SPREAD = 20, 10
+
+
+def time_choices(questions: DataFrame, pick: Callable[[Column], Column], wrong: int = 3) -> DataFrame:
+    """id, choices, letter of questions for a year or a duration, among others near it. questions: id, number, answer_type (Year, Duration), answer.
+
+    pick(offset): the order of a question's offsets, of which the first `wrong` are taken; a duration's years move together, its
+    length stays. Cases: a Year that isn't a whole number and a Duration without four digits have no row; a Duration with one
+    year is answered among such with one year, whatever its end says.
+    """
+    year = F.col("answer_type") == "Year"
+    years = F.when(year, F.array(F.col("answer").try_cast("int"))).when(F.col("answer_type") == "Duration", F.transform(F.regexp_extract_all("answer", F.lit(r"(\d{4})"), 1), lambda y: y.cast("int")))
+    q = questions.withColumn("_years", years).where(F.get("_years", F.lit(0)).isNotNull())
+    spread = F.when(year, YEAR_SPREAD).otherwise(DURATION_SPREAD)
+    offsets = F.filter(F.sequence(-spread, spread), lambda o: o != 0)
+    taken = F.slice(F.array_sort(F.transform(offsets, lambda o: F.struct(pick(o).alias("by"), o.alias("o")))), 1, wrong)
+    first, last = F.get("_years", F.lit(0)), F.get("_years", F.lit(1))
+    said = lambda o: F.when(year, (first + o).cast("string")).otherwise(F.concat(F.lit("từ "), (first + o).cast("string"), F.coalesce(F.concat(F.lit(" đến "), (last + o).cast("string")), F.lit(""))))
+    return lettered(q.withColumn("others", F.transform(taken, lambda x: said(x["o"]))), wrong)
+
+
+def with_office(question: Column, offices: Column) -> Column:
+    """A question about who followed whom, with the office in brackets where the path has one. offices: the names along the path.
+
+    Cases: a question that asks for no succession or a path without offices stays as it is; with several offices, or one that
+    the question names, only the end is made a question mark.
+    """
+    asks = F.contains(question, F.lit("kế nhiệm")) | F.contains(question, F.lit("tiền nhiệm"))
+    one = (F.size(offices) == 1) & ~F.exists(offices, lambda o: F.contains(question, o))
+    said = F.concat(F.regexp_replace(question, r"[?.]+$", ""), F.when(one, F.concat(F.lit(" (trong chức vụ "), F.get(offices, F.lit(0)), F.lit(")"))).otherwise(""), F.lit("?"))
+    return F.when(asks & (F.size(offices) > 0), said).otherwise(question)
+
+
+def in_context(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """rows (id, question, types, offices: each edge's position_id or null, and more) with the question made specific by its offices' names."""
+    each = rows.select("id", F.posexplode(F.zip_with("types", "offices", lambda t, o: F.when(t.isin("PRECEDED", "SUCCEEDED"), o))).alias("at", "office")).where("office is not null")
+    named = each.join(nodes.select(F.col("id").alias("office"), "name").where("name <> ''"), "office").groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "name"))), lambda x: x["name"]).alias("_offices"))
+    known = F.coalesce("_offices", F.expr("cast(array() as array<string>)"))
+    return rows.join(named, "id", "left").withColumn("question", with_office(F.col("question"), known)).drop("_offices")
+
+
+def statistics(questions: DataFrame, by: tuple[str, ...] = ("q_type", "hop_count")) -> DataFrame:
+    """section, label, n, percent of the section: questions by each column of `by`, true-false ones by answer, the others by letter. One aggregation of small counts."""
+    kinds = [F.struct(F.lit(c).alias("section"), F.col(c).cast("string").alias("label")) for c in by]
+    answer = F.struct(F.when(F.col("q_type") == "TRUE_FALSE", "truth").otherwise("letter").alias("section"), F.col("answer").alias("label"))
+    n = questions.select(F.inline(F.array(*kinds, answer))).where("label is not null").groupBy("section", "label").agg(F.count(F.lit(1)).alias("n"))
+    total = n.groupBy("section").agg(F.sum("n").alias("_total"))
+    return n.join(total, "section").select("section", "label", "n", (100.0 * F.col("n") / F.col("_total")).alias("percent"))
 
 
 def with_fallbacks(pool: DataFrame, wrong: int = 3) -> DataFrame:

@@ -137,3 +137,16 @@ def path_entities(rows: DataFrame, nodes: DataFrame) -> DataFrame:
     rels = text.path_relations(F.col("path"))
     once = F.filter(rels, lambda x, i: (i == 0) | (x != F.get(rels, i - 1)))
     return rows.select("id", once.alias("intent_relation")).join(entities, "id", "left")
+
+
+def with_days(rows: DataFrame, columns: list[str], this_year: int) -> DataFrame:
+    """rows with each column's date template or text as YYYY-MM-DD, null where it names no day that exists."""
+    return rows.withColumns({c: dates.valid(dates.from_template(F.col(c), this_year)) for c in columns})
+
+
+def day_counts(rows: DataFrame, columns: list[str], this_year: int) -> DataFrame:
+    """column, normalized, failed, absent: in how many rows a column gives a day, names one that doesn't exist, or names none. One pass over all columns."""
+    each = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("said")) for c in columns])
+    found = rows.select(F.inline(each)).select("column", dates.from_template(F.col("said"), this_year).alias("date")).select("column", F.col("date").isNotNull().alias("named"), dates.valid(F.col("date")).isNotNull().alias("is_day"))
+    n = lambda c: F.count_if(c)
+    return found.groupBy("column").agg(n(F.col("is_day")).alias("normalized"), n(F.col("named") & ~F.col("is_day")).alias("failed"), n(~F.col("named")).alias("absent"))

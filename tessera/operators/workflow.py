@@ -63,6 +63,23 @@ def plan(pattern: Column) -> Column:
     return out
 
 
+#: The route of what isn't answered, and what is said then.
+OUT_OF_SCOPE = "out_of_scope"
+REFUSAL = "Xin lỗi, tôi chỉ có thể trả lời các câu hỏi liên quan đến chính trị gia Việt Nam. Vui lòng hỏi về chủ đề này."
+
+
+def intents(routed: DataFrame, gated: DataFrame) -> DataFrame:
+    """id, intent, confirmed, score, reply of questions: the router decides, and what it sends out of scope is answered at once.
+
+    routed: id, label (null: out of scope); gated: query_id, best, passes, the graph's own say, which is kept beside the intent and
+    is null for questions out of scope, as nothing asks it there. A question without a gate's row isn't confirmed, at a score of 1.
+    """
+    intent = F.coalesce("label", F.lit(OUT_OF_SCOPE))
+    inside = F.col("intent") != OUT_OF_SCOPE
+    rows = routed.select("id", intent.alias("intent")).join(gated.select(F.col("query_id").alias("id"), "best", "passes"), "id", "left")
+    return rows.select("id", "intent", F.when(inside, F.coalesce("passes", F.lit(False))).alias("confirmed"), F.when(inside, F.coalesce("best", F.lit(1.0))).alias("score"), F.when(~inside, REFUSAL).alias("reply"))
+
+
 def dictionary_entities(questions: DataFrame, nodes: DataFrame) -> DataFrame:
     """id, text, type: the nodes whose whole name stands in a question, in whole words."""
     return names.standing(questions, nodes).select("id", F.col("name").alias("text"), "type")

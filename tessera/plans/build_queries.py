@@ -265,3 +265,21 @@ def gen_quota_mix(spark: SparkSession, d: str) -> DataFrame:
     every = candidates.gathered([candidates.one_hop(g), chains], 7)
     out = candidates.quota_mix(every, 500)
     return out.groupBy("hop_count").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("kind") == "MCQ").alias("choice"))
+
+
+@query("""
+WITH x AS (SELECT s_suppkey AS k, s_suppkey % 7 = 0 AS short, s_suppkey % 5 = 1 AS none, s_suppkey % 5 = 2 AS bad, CASE WHEN s_suppkey % 5 = 1 THEN 0 WHEN s_suppkey % 5 = 2 THEN 2 ELSE 1 + s_suppkey % 3 END AS tries FROM supplier),
+y AS (SELECT CASE WHEN short THEN 'short' WHEN none THEN 'waiting' WHEN bad THEN 'failed' ELSE 'extracted' END AS status, CASE WHEN short THEN 0 ELSE tries END AS attempts FROM x)
+SELECT status, attempts, count(*) AS records, count(*) FILTER (WHERE status = 'extracted') AS awards FROM y GROUP BY status, attempts
+""")
+def gb_extraction_stage(spark: SparkSession, d: str) -> DataFrame:
+    """Each supplier's summary, and the responses for it: none, failed calls and broken replies, or a good one after up to two of those."""
+    k = F.col("s_suppkey")
+    s = read(spark, d, "supplier").join(read(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    records = s.select(k.alias("id"), F.when(k % 7 == 0, "short").otherwise(F.concat("s_name", F.lit(" was given the award of "), "n_name", F.lit(" in the year 1999."))).alias("summary"))
+    good = F.concat(F.lit("```json\n{\"awards\": [{\"name\": \""), "n_name", F.lit("\", \"year\": \"1999\"},]}\n```"))
+    tries = F.when(k % 5 == 1, 0).when(k % 5 == 2, 2).otherwise(1 + k % 3).cast("int")
+    attempts = s.where(tries > 0).select("*", tries.alias("tries"), F.explode(F.sequence(F.lit(1), tries)).alias("attempt"))
+    reply = F.when((F.col("attempt") == F.col("tries")) & (k % 5 != 2), good).when(F.col("attempt") == 1, None).otherwise("I can't say.")
+    found = build.extraction_stage(records, attempts.select(k.alias("record_id"), "attempt", reply.alias("reply")))
+    return found.groupBy("status", "attempts").agg(F.count(F.lit(1)).alias("records"), F.coalesce(F.sum(F.size("answer.awards")), F.lit(0)).alias("awards"))

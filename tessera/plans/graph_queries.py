@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.operators import algorithms, communities, distances, evaluation, graph as G, paths, patterns, rewiring, summaries, vectors
+from tessera.operators import algorithms, communities, distances, evaluation, graph as G, paths, patterns, rewiring, summaries, vectors, workflow
 from tessera.plans.tables import E, N, O, edges, graph, key, mixed, nodes, query, read
 from tessera.session import shared_dir
 
@@ -103,6 +103,29 @@ def agg_comparison(spark: SparkSession, d: str) -> DataFrame:
     return patterns.comparison(graph(spark, d, ("PLACED",)), "PLACED", ["Customer#000000001", "Customer#00000002"]).select("name", "n")
 
 
+_SEGMENTS = "contains(c_name, 'Customer#000000001') OR contains(c_name, 'Customer#00000002')"
+
+
+def _customers(spark: SparkSession, d: str) -> G.PropertyGraph:
+    """Customers with their segment as a property, and what they placed."""
+    c = read(spark, d, "customer").select(key("cus", "c_custkey").alias("id"), F.lit("Customer").alias("type"), F.col("c_name").alias("name"), F.create_map(F.lit("segment"), F.col("c_mktsegment")).alias("properties"))
+    o = nodes(spark, d).where("type = 'Order'").withColumn("properties", F.expr("cast(map() as map<string,string>)"))
+    return G.PropertyGraph(c.unionByName(o), edges(spark, d, ("PLACED",)))
+
+
+@query(f"""
+SELECT c_name AS name, c_mktsegment AS segment, count(o_orderkey) AS total, coalesce(string_agg('Order#' || o_orderkey, ',' ORDER BY 'Order#' || o_orderkey), '') AS items FROM customer LEFT JOIN orders ON o_custkey = c_custkey WHERE {_SEGMENTS} GROUP BY c_custkey, c_name, c_mktsegment
+""")
+def agg_compared(spark: SparkSession, d: str) -> DataFrame:
+    found = patterns.compared(_customers(spark, d), ["Customer#000000001", "Customer#00000002"], "segment", "PLACED", source="Customer")
+    return found.withColumn("items", F.array_join("items", ","))
+
+
+@query(f"SELECT c_name AS name, c_mktsegment AS segment FROM customer WHERE {_SEGMENTS}")
+def agg_compared_attribute(spark: SparkSession, d: str) -> DataFrame:
+    return patterns.compared(_customers(spark, d), ["Customer#000000001", "Customer#00000002"], "segment", source="Customer")
+
+
 @query("""
 WITH m AS (SELECT 'Name' AS label, p_name AS name, p_size AS source_id, p_partkey * 2 AS ord FROM part UNION ALL SELECT 'Norm', upper(p_name), p_size, p_partkey * 2 + 1 FROM part UNION ALL SELECT 'Type', p_type, p_size, p_partkey * 2 FROM part),
 k AS (SELECT *, lower(trim(regexp_replace(name, '\\s+', ' ', 'g'))) AS name_key FROM m),
@@ -231,6 +254,18 @@ r{i + 1} AS MATERIALIZED (SELECT n.id, 0.15 / c.n + 0.85 * (coalesce(g.got, 0) +
     return out + f"\nSELECT id, round(rank, 9) AS rank FROM r{steps}"
 
 
+#: Below what mean move of a rank, and after how many rounds at most, the ranks have settled.
+_STILL, _MOST = 1e-5, 30
+
+
+def _settled_sql() -> str:
+    """The ranks of the first round that moves them by less than nodes x _STILL."""
+    every, _ = _pagerank_sql(_MOST).rsplit("\nSELECT", 1)
+    moved = "\nUNION ALL ".join(f"SELECT {i} AS i, sum(abs(a.rank - b.rank)) AS m FROM r{i - 1} a JOIN r{i} b ON b.id = a.id" for i in range(1, _MOST + 1))
+    ranks = "\nUNION ALL ".join(f"SELECT {i} AS i, id, rank FROM r{i}" for i in range(1, _MOST + 1))
+    return f"{every},\nm AS ({moved}),\nk AS (SELECT coalesce(min(i) FILTER (WHERE m < (SELECT n FROM c) * {_STILL}), {_MOST}) AS i FROM m),\na AS ({ranks})\nSELECT a.id, round(a.rank, 9) AS rank FROM a JOIN k ON k.i = a.i"
+
+
 #: Rounds after which both have settled to the digits compared.
 _ROUNDS = 20
 
@@ -241,6 +276,13 @@ def alg_pagerank(spark: SparkSession, d: str) -> DataFrame:
     return algorithms.pagerank(g.nodes, g.edges, iterations=_ROUNDS, tolerance=None).withColumn("rank", F.round("rank", 9))
 
 
+@query(_settled_sql())
+def alg_pagerank_settled(spark: SparkSession, d: str) -> DataFrame:
+    """Ranks by their stopping rule."""
+    g = graph(spark, d)
+    return algorithms.pagerank(g.nodes, g.edges, iterations=_MOST, tolerance=_STILL).withColumn("rank", F.round("rank", 9))
+
+
 def _hits_sql(steps: int) -> str:
     out = f"WITH {N}, {E}, w AS (SELECT src, dst, count(*) AS w FROM e GROUP BY src, dst), h0 AS (SELECT id, 1.0::DOUBLE AS v FROM n)"
     for i in range(steps):
@@ -523,6 +565,30 @@ def vec_gate(spark: SparkSession, d: str) -> DataFrame:
     return g.withColumn("best", F.round("best", 6))
 
 
+_ROUTES = "CASE label % 3 WHEN 0 THEN 'out_of_scope' WHEN 1 THEN 'politician_tf' ELSE 'politician_mpc' END"
+
+
+@query(f"""
+WITH u AS (SELECT label, {_ROUTES} AS route, arg_min(embedding, vec_id)::DOUBLE[] AS first, arg_max(embedding, vec_id)::DOUBLE[] AS last FROM embeddings GROUP BY label),
+s AS (SELECT e.vec_id AS id, u.route, round(list_distance(e.embedding::DOUBLE[], u.first), 9) AS a, round(list_distance(e.embedding::DOUBLE[], u.last), 9) AS b FROM embeddings e CROSS JOIN u),
+r AS (SELECT id, route FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY a, route) AS k FROM s) WHERE k = 1),
+g AS (SELECT id, min(least(a, b)) AS best FROM s GROUP BY id)
+SELECT r.id, route AS intent, CASE WHEN route <> 'out_of_scope' THEN best <= 1.2 END AS confirmed, CASE WHEN route <> 'out_of_scope' THEN round(best, 6) END AS score,
+  CASE WHEN route = 'out_of_scope' THEN 'Xin lỗi, tôi chỉ có thể trả lời các câu hỏi liên quan đến chính trị gia Việt Nam. Vui lòng hỏi về chủ đề này.' END AS reply FROM r JOIN g ON g.id = r.id
+""")
+def wf_intents(spark: SparkSession, d: str) -> DataFrame:
+    """All vectors as questions: routed by the first vector of each label, and gated by the first as nodes and the last as edges."""
+    e = read(spark, d, "embeddings")
+    ends = e.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("first"), F.max_by("embedding", "vec_id").alias("last"))
+    route = F.when(F.col("label") % 3 == 0, "out_of_scope").when(F.col("label") % 3 == 1, "politician_tf").otherwise("politician_mpc")
+    q = e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    near = lambda c: vectors.route(q, ends.select(route.alias("label"), F.col(c).alias("vector")))
+    nodes_of = G.cut(near("first"))
+    score = lambda x: x.select(F.col("id").alias("query_id"), "distance")
+    found = workflow.intents(nodes_of, vectors.gate(score(nodes_of), score(near("last")), 1.2))
+    return found.withColumn("score", F.round("score", 6))
+
+
 @query()
 def alg_betweenness(spark: SparkSession, d: str) -> DataFrame:
     g = graph(spark, d)
@@ -655,3 +721,16 @@ def alg_small_world(spark: SparkSession, d: str) -> DataFrame:
     own = algorithms.clustering(ids, pairs).agg(F.avg("clustering").alias("c")).head().c
     length = distances.path_lengths(ids, e).head().mean_length
     return rewiring.small_world(rewiring.null_model(ids, e, 100, 500), own, length)
+
+
+@query(f"""
+WITH {_PAIRS}, b AS (SELECT a, b FROM u UNION SELECT b, a FROM u), n AS (SELECT DISTINCT a AS id FROM b), k AS (SELECT a AS id, count(*) AS k FROM b GROUP BY a),
+t AS (SELECT x.a AS id, count(*) AS t FROM b x JOIN b y ON y.a = x.a AND x.b < y.b JOIN b z ON z.a = x.b AND z.b = y.b GROUP BY x.a)
+SELECT (SELECT count(*) FROM n) AS nodes, (SELECT count(*) FROM b) // 2 AS edges, round((SELECT count(*) FROM b) / (SELECT count(*) FROM n), 6) AS mean_degree, round((SELECT sum(coalesce(2.0 * t / (k * (k - 1)), 0)) FROM k LEFT JOIN t ON t.id = k.id WHERE k > 1) / (SELECT count(*) FROM n), 9) AS clustering
+""")
+def alg_observed(spark: SparkSession, d: str) -> DataFrame:
+    """What the small-world report says of the graph itself; its path lengths are those of alg_path_lengths."""
+    e = trade_pairs(spark, d).select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    ids = e.select(F.col("src").alias("id")).unionByName(e.select(F.col("dst").alias("id")))
+    r = rewiring.observed(ids, e)
+    return r.select("nodes", "edges", F.round("mean_degree", 6).alias("mean_degree"), F.round("clustering", 9).alias("clustering"))

@@ -149,3 +149,25 @@ def _register() -> None:
 
 
 _register()
+
+
+_RESULTS = "SELECT CASE WHEN o_custkey % 3 = 0 THEN 'TRUE_FALSE' ELSE 'MCQ' END AS q_type, 1 + o_custkey % 4 AS hop, CASE o_orderpriority WHEN '5-LOW' THEN 'Paraphrase' ELSE 'Normal' END AS variant, o_orderstatus AS y_true, CASE WHEN o_totalprice % 7 >= 6 THEN NULL WHEN o_totalprice % 7 >= 4 THEN 'F' ELSE o_orderstatus END AS y_pred FROM orders"
+
+
+@query(f"""
+WITH r AS ({_RESULTS}), c AS (SELECT *, CAST(y_true = y_pred AS INTEGER) AS ok FROM r),
+h AS (SELECT q_type, hop, count(*) AS n, coalesce(sum(ok), 0) AS k FROM c GROUP BY ALL), v AS (SELECT q_type, variant, count(*) AS n, coalesce(sum(ok), 0) AS k FROM c GROUP BY ALL)
+SELECT q_type, count(*) AS total, sum(ok) AS correct, count(*) FILTER (WHERE ok = 0) AS incorrect, count(*) FILTER (WHERE y_pred IS NULL) AS no_response, round(100.0 * sum(ok) / count(*), 6) AS accuracy, round(100.0 * sum(ok) / count(y_pred), 6) AS answered_accuracy,
+  (SELECT string_agg(hop || ':' || n || ':' || CAST(k AS BIGINT), ',' ORDER BY hop) FROM h WHERE h.q_type = c.q_type) AS by_hop, (SELECT string_agg(variant || ':' || n || ':' || CAST(k AS BIGINT), ',' ORDER BY variant) FROM v WHERE v.q_type = c.q_type) AS by_variant
+FROM c GROUP BY q_type
+""")
+def snk_evaluation(spark: SparkSession, d: str) -> DataFrame:
+    """The statistics of an evaluation's files, read back."""
+    at, rest = scratch(spark), F.col("o_totalprice") % 7
+    pred = F.when(rest >= 6, None).when(rest >= 4, "F").otherwise(F.col("o_orderstatus"))
+    variant = F.when(F.col("o_orderpriority") == "5-LOW", "Paraphrase").otherwise("Normal")
+    writers.evaluation(read(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.when(F.col("o_custkey") % 3 == 0, "TRUE_FALSE").otherwise("MCQ").alias("q_type"), (1 + F.col("o_custkey") % 4).alias("hop_count"), variant.alias("variant_type"), F.col("o_orderstatus").alias("y_true"), pred.alias("y_pred")), at)
+    cell = "array<struct<key:string,total:bigint,correct:bigint>>"
+    s = spark.read.schema(f"q_type string, total bigint, correct bigint, incorrect bigint, no_response bigint, accuracy double, metrics struct<accuracy:double>, by_hop {cell}, by_variant {cell}").json(f"{at}/statistics")
+    flat = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws(":", x["key"], x["total"].cast("string"), x["correct"].cast("string"))), ",")
+    return s.select("q_type", "total", "correct", "incorrect", "no_response", F.round("accuracy", 6).alias("accuracy"), F.round("metrics.accuracy", 6).alias("answered_accuracy"), flat("by_hop").alias("by_hop"), flat("by_variant").alias("by_variant"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators import evaluation, graph as G, paths, patterns, questions as Q
-from tessera.plans.tables import edges, graph, key, mixed, nodes, query, read
+from tessera.plans.tables import O, edges, graph, key, mixed, nodes, query, read
 
 _H = "(({0} * 2654435761) % 4294967296)"
 
@@ -341,3 +341,55 @@ def wf_entities(spark: SparkSession, d: str) -> DataFrame:
     found = dictionary_entities(q, nodes(spark, d).where("type in ('Nation', 'Customer')"))
     longest = found.groupBy("id", "type").agg(F.max_by("text", F.length("text")).alias("text"))
     return longest.select("id", "text", "type")
+
+
+_TIMES = """
+WITH q AS (SELECT o_orderkey AS id, CAST(year(o_orderdate) AS INTEGER) AS y, o_custkey % 4 + 1 AS len, o_orderkey % 3 AS kind FROM orders),
+o AS (SELECT q.*, r.o, ((id * 100 + r.o + 50) * 2654435761) % 4294967296 AS pick FROM q CROSS JOIN range(-20, 21) r(o) WHERE r.o <> 0 AND (kind = 0 OR abs(r.o) <= 10)),
+said AS (SELECT id, kind, pick, CASE kind WHEN 0 THEN '' || (y + o) WHEN 1 THEN 'từ ' || (y + o) || ' đến ' || (y + len + o) ELSE 'từ ' || (y + o) END AS other FROM o),
+w AS (SELECT id, list(other ORDER BY pick)[1:3] AS l FROM said GROUP BY id),
+z AS (SELECT w.id, l[1:w.id % 4] || [CASE kind WHEN 0 THEN '' || y WHEN 1 THEN 'từ ' || y || ' đến ' || (y + len) ELSE 'từ ' || y || ' đến nay' END] || l[w.id % 4 + 1:3] AS l FROM w JOIN q ON q.id = w.id)
+SELECT id, 'A. ' || l[1] || '|B. ' || l[2] || '|C. ' || l[3] || '|D. ' || l[4] AS choices, ['A', 'B', 'C', 'D'][id % 4 + 1] AS letter FROM z
+"""
+
+
+@query(_TIMES)
+def gen_time_choices(spark: SparkSession, d: str) -> DataFrame:
+    """When each order was placed: a year, a duration with two years, or one that lasts."""
+    kind, y = F.col("o_orderkey") % 3, F.year("o_orderdate")
+    said = F.when(kind == 0, y.cast("string")).otherwise(F.concat(F.lit("từ "), y.cast("string"), F.lit(" đến "), F.when(kind == 1, (y + F.col("o_custkey") % 4 + 1).cast("string")).otherwise("nay")))
+    q = read(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderkey").alias("number"), F.when(kind == 0, "Year").otherwise("Duration").alias("answer_type"), said.alias("answer"))
+    return Q.time_choices(q, lambda o: mixed(F.col("id") * 100 + o + 50)).withColumn("choices", F.array_join("choices", "|"))
+
+
+@query(f"""
+WITH {O}, s AS (SELECT o.*, c_name FROM o JOIN customer ON c_custkey = o_custkey)
+SELECT 'SUCCEEDED:' || o_orderkey AS id, 'Order#' || o_orderkey || ' kế nhiệm ai' || CASE WHEN o_orderkey % 2 = 0 THEN ' (trong chức vụ ' || c_name || ')' ELSE ' ở ' || c_name END || '?' AS question FROM s WHERE b IS NOT NULL
+UNION ALL SELECT 'PRECEDED:' || o_orderkey, 'Order#' || o_orderkey || ' là tiền nhiệm của ai' || CASE WHEN o_orderkey % 2 = 0 THEN ' (trong chức vụ ' || c_name || ')' ELSE ' ở ' || c_name END || '?' FROM s WHERE a IS NOT NULL
+UNION ALL SELECT '2:' || s.o_orderkey, 'Order#' || s.o_orderkey || ' kế nhiệm ai, và người/thực thể đó kế nhiệm ai?' FROM s JOIN o t ON t.o_orderkey = s.b WHERE t.b IS NOT NULL
+""")
+def gen_in_context(spark: SparkSession, d: str) -> DataFrame:
+    """Questions about who followed whom; odd orders' name the office already, and two steps have two offices."""
+    n = nodes(spark, d).select("id", "name")
+    e = edges(spark, d, ("SUCCEEDED", "PRECEDED")).select("src", "dst", "type", F.col("properties")["position_id"].alias("office"), "edge_id")
+    named = e.join(n.withColumnRenamed("id", "src"), "src").join(n.select(F.col("id").alias("office"), F.col("name").alias("said")), "office")
+    tail = F.when(F.substring("src", 4, 20).cast("bigint") % 2 == 0, "?").otherwise(F.concat(F.lit(" ở "), "said", F.lit("?")))
+    text = F.replace(Q.multi_hop_text(F.array("name"), F.array("type"), True), F.lit("?"), tail)
+    one = named.select(F.col("edge_id").alias("id"), text.alias("question"), F.array("type").alias("types"), F.array("office").alias("offices"))
+    s = e.where("type = 'SUCCEEDED'")
+    two = s.join(s.select(F.col("src").alias("dst"), F.col("type").alias("type2"), F.col("office").alias("office2")), "dst").join(n.withColumnRenamed("id", "src"), "src")
+    types = F.array("type", "type2")
+    two = two.select(F.concat(F.lit("2:"), F.substring("src", 4, 20)).alias("id"), Q.multi_hop_text(F.array("name"), types, True).alias("question"), types.alias("types"), F.array("office", "office2").alias("offices"))
+    return Q.in_context(one.unionByName(two), n).select("id", "question")
+
+
+@query("""
+WITH q AS (SELECT CASE WHEN p_size % 3 = 0 THEN 'TRUE_FALSE' ELSE 'MCQ' END AS q_type, 1 + p_size % 4 AS hop_count, CASE WHEN p_size % 3 > 0 THEN substr('ABCD', CAST(p_partkey % 4 + 1 AS INTEGER), 1) WHEN p_retailprice > 1000 THEN 'Đúng' ELSE 'Sai' END AS answer FROM part),
+s AS (SELECT 'q_type' AS section, q_type AS label FROM q UNION ALL SELECT 'hop_count', '' || hop_count FROM q UNION ALL SELECT CASE q_type WHEN 'MCQ' THEN 'letter' ELSE 'truth' END, answer FROM q)
+SELECT section, label, count(*) AS n, round(100.0 * count(*) / sum(count(*)) OVER (PARTITION BY section), 6) AS percent FROM s GROUP BY section, label
+""")
+def agg_question_statistics(spark: SparkSession, d: str) -> DataFrame:
+    truth = F.col("p_size") % 3 == 0
+    letter = F.substring(F.lit("ABCD"), (F.col("p_partkey") % 4 + 1).cast("int"), F.lit(1))
+    q = read(spark, d, "part").select(F.when(truth, "TRUE_FALSE").otherwise("MCQ").alias("q_type"), (1 + F.col("p_size") % 4).alias("hop_count"), F.when(~truth, letter).when(F.col("p_retailprice") > 1000, "Đúng").otherwise("Sai").alias("answer"))
+    return Q.statistics(q).withColumn("percent", F.round("percent", 6))

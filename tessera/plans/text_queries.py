@@ -9,7 +9,7 @@ from tessera import constants as C
 from tessera.functions import answers, dates, text, wikitext
 from tessera.operators import names, patterns, records
 from tessera.operators.graph import merged_text
-from tessera.plans.tables import query, read
+from tessera.plans.tables import E, N, graph, query, read
 
 
 @query(r"""
@@ -392,25 +392,28 @@ _KEYS = [(p, w) for p, ws in C.PATTERN_KEYWORDS.items() for w in ws]
 _QUESTIONS = ["Ai là người kế nhiệm A?", "A và B có mối quan hệ gì?", "So sánh A hay B, ai nhiều hơn", "Có bao nhiêu người", "A sinh ở đâu, đúng không?", "Chọn: A. x B. y"]
 
 
-def _score_sql() -> str:
+def _score_sql(source: str, keys: str) -> str:
+    """The pattern of each row of source (keys, question, q in lower case, n, intent)."""
     hit = lambda p: " OR ".join(f"regexp_matches(q, '{w}')" for w in C.PATTERN_KEYWORDS[p])
     has = lambda *ws: "(" + " OR ".join(f"contains(q, '{w}')" for w in ws) + ")"
-    values = ", ".join(f"({i}, '{q}')" for i, q in enumerate(_QUESTIONS))
     return f"""
-WITH v(i, question) AS (VALUES {values}),
-x AS (SELECT c.conv_id, c.turn, v.question, lower(v.question) AS q, c.turn % 4 AS n, CASE c.conv_id % 3 WHEN 0 THEN 'SUCCEEDED' WHEN 1 THEN 'BORN_AT' END AS intent FROM conversations c JOIN v ON (c.conv_id + c.turn) % {len(_QUESTIONS)} = v.i),
+WITH {source},
 s AS (SELECT *, CASE WHEN {hit('path')} THEN 0.3 ELSE 0 END + CASE WHEN n = 2 THEN 0.1 ELSE 0 END + CASE WHEN {has('giữa', 'mối quan hệ', 'liên kết')} THEN 0.14 ELSE 0 END AS s_path,
-  CASE WHEN {hit('chain')} THEN 0.3 ELSE 0 END + CASE WHEN intent = 'SUCCEEDED' THEN 0.3 ELSE 0 END AS s_chain,
+  CASE WHEN {hit('chain')} THEN 0.3 ELSE 0 END + CASE WHEN intent IN ('SUCCEEDED', 'PRECEDED') THEN 0.3 ELSE 0 END AS s_chain,
   CASE WHEN {hit('comparison')} THEN 0.3 ELSE 0 END + CASE WHEN n = 2 THEN 0.1 ELSE 0 END + CASE WHEN {has(' hay ', ' hoặc ')} THEN 0.12 ELSE 0 END AS s_cmp,
-  CASE WHEN {hit('aggregation')} THEN 0.3 ELSE 0 END AS s_agg, CASE WHEN n = 1 THEN 0.2 ELSE 0 END + CASE WHEN intent = 'BORN_AT' THEN 0.3 ELSE 0 END AS s_simple,
+  CASE WHEN {hit('aggregation')} THEN 0.3 ELSE 0 END AS s_agg, CASE WHEN n = 1 THEN 0.2 ELSE 0 END + CASE WHEN intent IN ('BORN_AT', 'DIED_AT', 'SERVED_AS', 'ALUMNUS_OF', 'AWARDED') THEN 0.3 ELSE 0 END AS s_simple,
   CASE WHEN n >= 3 THEN 0.2 ELSE 0 END + CASE WHEN {has(' và ', ', ')} THEN 0.12 ELSE 0 END + CASE WHEN {has('đúng hay sai', 'đúng không', 'có phải', 'có đúng')} THEN 0.16 ELSE 0 END + CASE WHEN regexp_matches(question, '[A-D][.)]\\s+') THEN 0.16 ELSE 0 END AS s_exp FROM x),
 t AS (SELECT *, CASE WHEN greatest(s_path, s_chain, s_cmp, s_agg, s_simple, s_exp) < 0.3 THEN s_exp + 0.5 ELSE s_exp END AS e2 FROM s),
 b AS (SELECT *, greatest(s_path, s_chain, s_cmp, s_agg, s_simple, e2) AS top FROM t)
-SELECT conv_id, turn, CASE top WHEN s_simple THEN 'simple' WHEN s_chain THEN 'chain' WHEN s_path THEN 'path' WHEN s_cmp THEN 'comparison' WHEN s_agg THEN 'aggregation' ELSE 'explore' END AS pattern, round(CAST(top AS DOUBLE), 6) AS score FROM b
+SELECT {keys}, CASE top WHEN s_simple THEN 'simple' WHEN s_chain THEN 'chain' WHEN s_path THEN 'path' WHEN s_cmp THEN 'comparison' WHEN s_agg THEN 'aggregation' ELSE 'explore' END AS pattern, round(CAST(top AS DOUBLE), 6) AS score FROM b
 """
 
 
-@query(_score_sql())
+_FIXED_QUESTIONS = f"""v(i, question) AS (VALUES {", ".join(f"({i}, '{q}')" for i, q in enumerate(_QUESTIONS))}),
+x AS (SELECT c.conv_id, c.turn, v.question, lower(v.question) AS q, c.turn % 4 AS n, CASE c.conv_id % 3 WHEN 0 THEN 'SUCCEEDED' WHEN 1 THEN 'BORN_AT' END AS intent FROM conversations c JOIN v ON (c.conv_id + c.turn) % {len(_QUESTIONS)} = v.i)"""
+
+
+@query(_score_sql(_FIXED_QUESTIONS, "conv_id, turn"))
 def wf_pattern(spark: SparkSession, d: str) -> DataFrame:
     from tessera.operators.workflow import best_pattern, pattern_scores
 
@@ -420,3 +423,73 @@ def wf_pattern(spark: SparkSession, d: str) -> DataFrame:
     s = pattern_scores(F.col("question"), F.col("turn") % 4, intent)
     best = best_pattern(s)
     return rows.select("conv_id", "turn", best["pattern"].alias("pattern"), F.round(best["score"], 6).alias("score"))
+
+
+_EDGE_QUESTIONS = f"""{N}, {E},
+p(kind, said, ask, intent) AS (VALUES ('LOCATED_IN', 'sinh tại', 'sinh ở đâu', 'BORN_AT'), ('PLACED', 'đã từng giữ chức vụ', 'giữ chức vụ gì', 'SERVED_AS'), ('SUCCEEDED', 'kế nhiệm', 'kế nhiệm ai', 'SUCCEEDED')),
+w AS (SELECT e.edge_id, a.name AS a, b.name AS b, p.* FROM e JOIN p ON p.kind = e.type JOIN n a ON a.id = e.src JOIN n b ON b.id = e.dst),
+y AS (SELECT edge_id, 'truth' AS form, a || ' ' || said || ' ' || b || '. Đúng hay sai?' AS question, 2 AS n, intent FROM w UNION ALL SELECT edge_id, 'choice', a || ' ' || ask || '?', 1, intent FROM w),
+x AS (SELECT *, lower(question) AS q FROM y)"""
+
+
+@query(_score_sql(_EDGE_QUESTIONS, "edge_id, form"))
+def wf_edge_patterns(spark: SparkSession, d: str) -> DataFrame:
+    """The pattern of a true-false and a choice question about each edge of three relations."""
+    from tessera.operators.graph import named
+    from tessera.operators.questions import multi_hop_text
+    from tessera.operators.workflow import best_pattern, pattern_scores
+
+    relation = F.create_map(*[F.lit(x) for x in ("LOCATED_IN", "BORN_AT", "PLACED", "SERVED_AS", "SUCCEEDED", "SUCCEEDED")])[F.col("type")]
+    e = named(graph(spark, d, ("LOCATED_IN", "PLACED", "SUCCEEDED"))).select("edge_id", F.array("src_name", "dst_name").alias("names"), F.array(relation).alias("types"))
+    form = lambda f, choice, n: F.struct(F.lit(f).alias("form"), multi_hop_text(F.col("names"), F.col("types"), choice).alias("question"), F.lit(n).alias("n"))
+    q = e.select("edge_id", F.col("types")[0].alias("intent"), F.inline(F.array(form("truth", False, 2), form("choice", True, 1))))
+    best = best_pattern(pattern_scores(F.col("question"), F.col("n"), F.col("intent")))
+    return q.select("edge_id", "form", best["pattern"].alias("pattern"), F.round(best["score"], 6).alias("score"))
+
+
+@query("""
+SELECT p_partkey, p_name || ' ' || p_brand || ' hạng I|' || p_name || ' ' || p_brand || ' hạng II|' || p_type AS awards, (1930 + p_size) || '-' || CASE WHEN p_partkey % 3 > 0 THEN '' || CAST(1930 + p_size + p_partkey % 9 AS INTEGER) ELSE '' END AS years,
+  CASE p_partkey % 4 WHEN 0 THEN 'bị cách chức' WHEN 1 THEN 'miễn nhiệm' WHEN 2 THEN 'bị cách chức' ELSE '' END AS status, CASE WHEN p_partkey % 2 = 0 THEN 'Đảng Cộng sản Việt Nam|Đảng ' || p_type ELSE 'Đảng ' || p_type END AS parties
+FROM part
+""")
+def txt_record_values(spark: SparkSession, d: str) -> DataFrame:
+    """Awards, years of service, ends of offices and parties that are said with each part's own names and numbers."""
+    k, size = F.col("p_partkey"), F.col("p_size")
+    award = F.concat(F.lit(". "), "p_name", F.lit(" "), "p_brand", F.lit(" hạng I, II, "), "p_type", F.lit(" (3), "), "p_type")
+    years = F.concat(F.lit("quân đội "), (1930 + size).cast("string"), F.when(k % 2 == 0, " – ").otherwise(" - "), F.when(k % 3 == 0, "nay").otherwise((1930 + size + k % 9).cast("string")))
+    office = F.concat("p_name", F.when(k % 4 == 0, ", bị cách chức năm ").when(k % 4 == 1, " từ chức năm ").when(k % 4 == 2, ", bị cách chức và miễn nhiệm ").otherwise(" từ "), (1930 + size).cast("string"))
+    party = F.concat(F.when(k % 2 == 0, "ĐCSVN; ").otherwise(""), F.lit("Đảng "), "p_type", F.lit(", Đảng  "), "p_type")
+    y = text.service_years(years)
+    return read(spark, d, "part").select("p_partkey", F.array_join(text.split_awards(award), "|").alias("awards"), F.concat(y["year_start"].cast("string"), F.lit("-"), F.coalesce(y["year_end"].cast("string"), F.lit(""))).alias("years"), text.office_status(office).alias("status"), F.array_join(text.split_parties(party), "|").alias("parties"))
+
+
+@query("""
+SELECT o_orderkey, substr('ABCD', CAST(o_custkey % 4 + 1 AS INTEGER), 1) AS letter, CASE WHEN o_custkey % 5 = 0 THEN 'Không có dữ kiện' WHEN o_totalprice > 250000 THEN 'Đúng' ELSE 'Sai' END AS truth FROM orders
+""")
+def txt_order_replies(spark: SparkSession, d: str) -> DataFrame:
+    """Replies that settle on a letter and on a truth that come from each order, in the forms that models use."""
+    o, form = read(spark, d, "orders"), F.substring("o_orderpriority", 1, 1).cast("int")
+    letter = F.substring(F.lit("ABCD"), (F.col("o_custkey") % 4 + 1).cast("int"), F.lit(1))
+    low = F.lower(letter)
+    name = F.concat(F.lit("Order#"), F.col("o_orderkey").cast("string"))
+    reply = F.when(form == 1, F.concat(letter, F.lit(". "), name)).when(form == 2, F.concat(F.lit("Theo "), name, F.lit(" là ["), low, F.lit("]"))).when(form == 3, F.concat(name, F.lit("\nĐáp án: "), low)).when(form == 4, F.concat(F.lit("Vì "), name, F.lit(" nên chọn "), letter)).otherwise(low)
+    said = F.when(F.col("o_custkey") % 5 == 0, "Không có dữ kiện").when(F.col("o_totalprice") > 250000, "Đúng").otherwise("Sai")
+    truth = F.when(form == 1, said).when(form == 2, F.concat(name, F.lit("\nKết luận: "), F.lower(said))).when(form == 3, F.concat(F.lit("Câu trả lời là "), F.lower(said), F.lit(", theo "), name)).otherwise(F.concat(F.lit("Với "), name, F.lit(" thì "), F.lower(said)))
+    return o.select("o_orderkey", answers.choice(reply).alias("letter"), answers.truth(truth).alias("truth"))
+
+
+@query("""
+WITH x AS (SELECT year(o_orderdate) AS y, 1 + o_custkey % 13 AS m, 1 + o_orderkey % 31 AS d, o_orderkey % 4 AS form FROM orders),
+k AS (SELECT form, try_cast(printf('%04d-%02d-%02d', y, m, d) AS DATE) IS NOT NULL AS ok FROM x)
+SELECT 'birth_date' AS "column", count(*) FILTER (WHERE form < 3 AND ok) AS normalized, count(*) FILTER (WHERE form < 3 AND NOT ok) AS failed, count(*) FILTER (WHERE form = 3) AS absent FROM k
+UNION ALL SELECT 'death_date', count(*) FILTER (WHERE form = 1 AND ok), count(*) FILTER (WHERE form = 1 AND NOT ok), count(*) FILTER (WHERE form <> 1) FROM k
+""")
+def dat_day_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Days in templates and texts, a part of which don't exist."""
+    from tessera.operators.records import day_counts
+
+    form = F.col("o_orderkey") % 4
+    y, m, day = F.year("o_orderdate").cast("string"), (1 + F.col("o_custkey") % 13).cast("string"), (1 + F.col("o_orderkey") % 31).cast("string")
+    birth = F.when(form == 0, F.concat(F.lit("{{ngày sinh và tuổi|"), F.concat_ws("|", y, m, day), F.lit("}}"))).when(form == 1, F.concat_ws("/", day, m, y)).when(form == 2, F.concat(F.lit("{{birth date|df=yes|"), F.concat_ws("|", y, m, day), F.lit("}}"))).otherwise("không rõ")
+    death = F.when(form == 0, None).when(form == 1, F.concat(F.lit("{{ngày mất|"), F.concat_ws("|", y, m, day), F.lit("}}"))).otherwise("")
+    return day_counts(read(spark, d, "orders").select(birth.alias("birth_date"), death.alias("death_date")), ["birth_date", "death_date"], 2024)

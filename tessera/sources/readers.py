@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import text, wikitext
@@ -95,7 +95,12 @@ def preferred_files(spark: SparkSession, path: str, suffix: str = "_cleaned") ->
 
 def extractions(replies: DataFrame, column: str = "reply") -> DataFrame:
     """Model replies with their extraction against the declared schema."""
-    return replies.withColumn("extraction", parsed(F.col(column), EXTRACTION))
+    return replies.withColumn("extraction", extracted(F.col(column)))
+
+
+def extracted(reply: Column) -> Column:
+    """The extraction in a model's reply against the declared schema; null where there is none."""
+    return parsed(reply, EXTRACTION)
 
 
 def remaining(rows: DataFrame, done: DataFrame, limit: int | None = None) -> DataFrame:

@@ -149,3 +149,12 @@ def rankings(rows: DataFrame, graph: PropertyGraph, path: str) -> None:
 def text_report(spark, text: str, path: str) -> None:
     """A report as one text file in a folder."""
     spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def evaluation(results: DataFrame, path: str) -> None:
+    """An evaluation's files: results and statistics as JSON lines by q_type, and the metrics as text. results: evaluation.statistics, with more columns."""
+    from tessera.operators.evaluation import statistics, summary
+
+    results.write.mode("overwrite").partitionBy("q_type").json(f"{path}/results")
+    statistics(results).coalesce(1).write.mode("overwrite").partitionBy("q_type").json(f"{path}/statistics")  # a row for each type
+    text_report(results.sparkSession, summary(results), f"{path}/metrics")
