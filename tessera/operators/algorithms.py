@@ -31,13 +31,13 @@ def pagerank(nodes: DataFrame, edges: DataFrame, alpha: float = 0.85, iterations
     once; a round shuffles the ranks, and what edges bring after it is summed by bucket.
     """
     ids = nodes.select("id").distinct()
-    n = ids.count()
-    weight = edges.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("w"))
+    n = max(ids.count(), 1)
+    weight = cut(edges.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("w")))
     out = cut(weight.groupBy("src").agg(F.sum("w").alias("total"), F.ceil(F.count(F.lit(1)) / HUB).cast("int").alias("copies")))
     share = weight.join(out, "src").select("src", F.pmod(F.hash("dst"), F.col("copies")).alias("copy"), "dst", (F.col("w") / F.col("total")).alias("share"))
     share, name = bucketed(share, ["src", "copy"])
     try:
-        ranks = cut(ids.join(out.select(F.col("src").alias("id"), "copies"), "id", "left").select("id", "copies", F.lit(1.0 / max(n, 1)).alias("rank"), F.lit(0.0).alias("before")))
+        ranks = cut(ids.join(out.select(F.col("src").alias("id"), "copies"), "id", "left").select("id", "copies", F.lit(1.0 / n).alias("rank"), F.lit(0.0).alias("before")))
         lost = F.coalesce(F.sum(F.when(F.col("copies").isNull(), F.col("rank"))), F.lit(0.0))
         ends = ranks.agg(lost).head()[0]
         for _ in range(iterations):
@@ -45,7 +45,7 @@ def pagerank(nodes: DataFrame, edges: DataFrame, alpha: float = 0.85, iterations
             got = given.join(share, (F.col("id") == F.col("src")) & (given["copy"] == share["copy"])).groupBy("dst").agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
             new = F.lit((1 - alpha) / n) + alpha * (F.coalesce("got", F.lit(0.0)) + ends / n)
             ranks = cut(ranks.join(got, ranks["id"] == got["dst"], "left").select("id", "copies", new.alias("rank"), F.col("rank").alias("before")), instead_of=ranks)
-            ends, moved = ranks.agg(lost, F.sum(F.abs(F.col("rank") - F.col("before")))).head()
+            ends, moved = ranks.agg(lost, F.coalesce(F.sum(F.abs(F.col("rank") - F.col("before"))), F.lit(0.0))).head()
             if tolerance is not None and moved < n * tolerance:
                 break
     finally:
