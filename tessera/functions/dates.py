@@ -24,7 +24,10 @@ TEMPLATE_DATES = [
     (r"\b(\d{1,2})[/-](\d{1,2})[/-](\d{4})\b", (3, 2, 1)),
     (r"\b(\d{4})-(\d{1,2})-(\d{1,2})\b", (1, 2, 3)),
 ]
+#: The keys of dates, a year that stands alone, and a year of birth.
 DATE_KEY = r"(?iU)^(term_start\d*|term_end\d*|.*_date|.*date)$"
+YEAR_ALONE = r"\{\{(\d{4})\}\}|\b(\d{4})\b"
+BIRTH_YEAR = r"\b(18\d{2}|19\d{2}|20\d{2})\b"
 
 
 def normalized(x: Column) -> Column:
@@ -47,7 +50,7 @@ def from_template(x: Column, this_year: int) -> Column:
     for pattern, (y, m, d) in TEMPLATE_DATES:
         part = lambda g, pattern=pattern: found(x, pattern, g, "iU").cast("int")
         out.append(F.when(part(y).isNotNull(), F.struct(part(y).alias("y"), part(m).alias("m"), part(d).alias("d"))))
-    year = F.coalesce(found(x, r"\{\{(\d{4})\}\}|\b(\d{4})\b", 1), found(x, r"\{\{(\d{4})\}\}|\b(\d{4})\b", 2)).cast("int")
+    year = F.coalesce(found(x, YEAR_ALONE, 1), found(x, YEAR_ALONE, 2)).cast("int")
     out.append(F.when(year.between(1900, this_year), F.struct(year.alias("y"), F.lit(1).alias("m"), F.lit(1).alias("d"))))
     return F.coalesce(*out)
 
@@ -59,7 +62,7 @@ def valid(date: Column) -> Column:
 
 
 def birth_year(x: Column) -> Column:
-    return found(x, r"\b(18\d{2}|19\d{2}|20\d{2})\b").try_cast("int")
+    return found(x, BIRTH_YEAR).try_cast("int")
 
 
 def first_year(x: Column) -> Column:

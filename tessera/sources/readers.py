@@ -38,11 +38,19 @@ def infobox_records(spark: SparkSession, path: str) -> DataFrame:
     return rows.where("x.template <> 'NOT_FOUND' and size(x.infobox) > 0").select("title", "id", "x.template", "x.infobox")
 
 
-def records(spark: SparkSession, path: str) -> DataFrame:
-    """Records of a JSON array or of JSON lines: lines are told by a first one that is a whole object."""
-    first = spark.read.text(path).select(F.trim("value").alias("v")).where("v <> ''").head()
-    lines = first is not None and first.v.startswith("{") and first.v.endswith("}")
-    return spark.read.schema(RECORD).json(path, multiLine=not lines)
+def records(spark: SparkSession, path: str, lines: bool | None = None) -> DataFrame:
+    """Records of JSON lines, or of a JSON array a file. Without `lines` each file is told by its first line that isn't blank, in a pass
+    over the texts: a whole object begins lines, all else an array; a folder may hold both. No file or blank ones give no records."""
+    read = lambda at, lines: spark.read.schema(RECORD).json(at, multiLine=not lines)
+    if lines is not None:
+        return read(path, lines)
+    texts = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("at"), F.trim("value").alias("v")).where("v <> ''")
+    first = texts.groupBy("file").agg(F.min_by("v", "at").alias("v"))
+    told = first.select(F.try_url_decode(F.replace("file", F.lit("+"), F.lit("%2B"))).alias("file"), F.col("v").rlike(r"^\{.*\}$").alias("lines")).collect()  # a row per file
+    files = {kind: [r.file for r in told if r.lines == kind] for kind in (True, False)}
+    if files[True] and files[False]:
+        return read(files[True], True).unionByName(read(files[False], False))
+    return read(path, bool(files[True]))
 
 
 def graph_document(spark: SparkSession, path: str) -> PropertyGraph:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import dates
 from tessera.operators import algorithms, build, evaluation, graph as G, patterns, questions as Q, records, rewiring, workflow
-from tessera.sources import writers
+from tessera.sources import readers, writers
 
 
 def test_time_choices(spark):
@@ -126,3 +126,17 @@ def test_pagerank_of_hubs(spark, monkeypatch):
     assert [r.rank for r in algorithms.pagerank(nodes, edges.limit(0)).collect()] == pytest.approx([1 / 61] * 61)
     assert algorithms.pagerank(nodes.limit(0), edges.limit(0)).collect() == []
     assert not [t for t in spark.catalog.listTables() if t.name.startswith("tessera_buckets")]
+
+
+def test_records_of_both_forms(spark, tmp_path):
+    """A folder of lines and arrays: each file is read by its own form."""
+    a, b, c, none = tmp_path / "a b+c.json", tmp_path / "b.json", tmp_path / "c.json", tmp_path / "none"
+    one = lambda i: '{"id": "%d", "title": "t%d"}' % (i, i)
+    a.write_text("\n" + one(1) + "\n" + one(2) + "\n")
+    b.write_text("[\n" + one(3) + ",\n" + one(4) + "\n]")
+    c.write_text(f"[{one(5)}]")
+    titles = lambda path, **how: sorted(r.title for r in readers.records(spark, str(path), **how).collect() if r.title)
+    assert titles(tmp_path) == ["t1", "t2", "t3", "t4", "t5"] and titles(a) == titles(a, lines=True) == ["t1", "t2"] and titles(b) == titles(b, lines=False) == ["t3", "t4"]
+    none.mkdir()
+    (none / "x.json").write_text("\n")
+    assert titles(none) == []
