@@ -7,7 +7,7 @@ the first n - o + 1: only the words around such a prefix word are looked at, as
 the number of words (length filter), the words left after the common one (positional filter), the intersection with all
 those words and at last that of each block decide. Blocks begin at a word of the template, as others have no more of it.
 No block that meets a template is missed. Where two templates are met, by blocks that begin closer than a block is long,
-the one that is met better counts.
+the one that is met better counts; templates that are met equally well all count.
 
 Words: A-Z lower-cased, then runs of digits, letters and non-ASCII characters. Cases: null text is empty; a phrase
 that occurs several times counts each time; repeated rows give repeated results; texts are read whole, however long, and

@@ -8,7 +8,8 @@ comes back is a bitmap of kept lines per document, not text.
 A line's key is the line without [space, \\t-\\r] at its ends, A-Z lower-cased. Keys shorter than `least` code points
 stay everywhere. Keys of at least `least_docs` documents stay only in the largest doc_id that has them, with all their lines there.
 Cases: null or empty text is one empty line; rows of one doc_id are one document, rows without doc_id together
-another, smaller than all; repeated rows share their bitmap; an empty table gives empty results.
+another, smaller than all; repeated rows share their bitmap; a very long text is split whole, in the task that has it; further columns
+are carried along in `row`, whatever they are called; an empty table gives empty results.
 """
 
 from __future__ import annotations

@@ -6,7 +6,9 @@ score; the added kinds iban, ssn and secret need LEAST_SCORE.
 
 Positions come from the text between matches: split and regexp_extract_all cut at the same places. Groups repeat
 possessively, so that long matches need no deep stack, and patterns begin only where a run begins.
-Cases: null text is empty; positions are code points, ends exclusive; repeated rows give repeated results.
+Cases: null text is empty; positions are code points, ends exclusive; repeated rows give repeated results; a very long text is
+processed whole, as one value; columns other than doc_id and text are not looked at, whatever they are called; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
