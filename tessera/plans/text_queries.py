@@ -201,7 +201,9 @@ def txt_provinces(spark: SparkSession, d: str) -> DataFrame:
     c = read(spark, d, "customer").join(read(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     known = F.array(*[F.lit(k) for k, _ in C.PROVINCES])
     place = F.concat("n_name", F.lit(", phường "), F.get(known, (mixed("c_custkey") % len(C.PROVINCES)).cast("int")), F.lit(" cũ"))
-    return c.select("c_custkey", text.province(place).alias("province"))
+    # as many tasks as a shuffle has: a small file is read by one, and that has all the matching to do
+    spread = c.select("c_custkey", place.alias("place")).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return spread.select("c_custkey", text.province(F.col("place")).alias("province"))
 
 
 @query(r"""
