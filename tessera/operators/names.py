@@ -49,18 +49,27 @@ def standing(questions: DataFrame, names: DataFrame) -> DataFrame:
     return said.join(keyed, "key").where(F.contains(F.lower("question"), F.lower("name"))).select("id", "name", "type").distinct()
 
 
+#: Characters of the runs that texts and what stands in them meet at: of those a part is long enough for, the longest.
+RUNS = (1, 2, 3, 8, 16)
+
+
 def contained(texts: DataFrame, parts: DataFrame) -> DataFrame:
     """text, part: the distinct parts that stand in the distinct texts, in any case, inside words too. texts: text; parts: part.
 
-    A text that holds a part holds all its runs of three characters (of two or one, if it is so short), so they meet at the
-    part's run that the fewest texts have; then the whole decides. Only runs of some part are looked for in texts. An empty part is in none.
+    A text that holds a part holds all its runs of RUNS characters, so they meet at the part's run that the fewest texts have; then the whole
+    decides. Runs of three alone would be shared by a fixed share of all numbered names. Only runs of some part are looked for
+    in texts, and only of the lengths that some part has. An empty part is in none.
     """
-    sizes = (1, 2, 3)
     wanted = parts.select("part").where("part <> ''").distinct()
-    size = F.least(F.length("part"), F.lit(max(sizes)))
-    own = F.when(size == 3, grams(F.col("part"), 3)).when(size == 2, grams(F.col("part"), 2)).otherwise(grams(F.col("part"), 1))
+    size = F.greatest(*[F.when(F.length(F.lower("part")) >= k, k).otherwise(1) for k in RUNS])
+    own = F.array().cast("array<string>")
+    for k in RUNS:
+        own = F.when(size == k, grams(F.col("part"), k)).otherwise(own)
     asked = cut(wanted.select("part", F.explode(own).alias("gram")))
-    have = F.array_distinct(F.flatten(F.array(*[grams(F.col("text"), k) for k in sizes])))
+    used = sorted(r.k for r in asked.select(F.length("gram").alias("k")).distinct().collect())  # as many as RUNS
+    if not used:
+        return texts.select("text", F.col("text").alias("part")).limit(0)
+    have = F.array_distinct(F.flatten(F.array(*[grams(F.col("text"), k) for k in used])))
     held = texts.select("text").where("text is not null").distinct().select("text", F.explode(have).alias("gram"))
     held = cut(held.join(asked.select("gram").distinct(), "gram", "left_semi"))
     often = held.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
