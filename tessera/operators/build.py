@@ -31,7 +31,7 @@ def mention_edges(records: DataFrame, people: DataFrame) -> tuple[DataFrame, Dat
     """Nodes of all that records mention (id, type, name, name_key), and an edge for each mention, with record_id and slot."""
     said = R.mentions(records).select("record_id", "edge", "label", "name", "properties", F.col("record_id").alias("source_id"), F.struct("record_id", "ord").alias("ord"))
     said = G.cut(said)  # read for the nodes and for the edges
-    nodes = G.intern(said, prefixes())
+    nodes = G.cut(G.intern(said, prefixes()))  # a table: mentions aren't shuffled for few names
     linked = G.link(said, nodes).join(people_of(records, people), "record_id")
     return nodes, linked.select(F.col("person").alias("src"), F.col("node_id").alias("dst"), F.col("edge").alias("type"), "properties", "record_id", F.col("ord.ord").alias("slot"))
 
@@ -42,24 +42,31 @@ def succession_edges(records: DataFrame, people: DataFrame, served: DataFrame, l
     Names are those of links; without links those of the plain text, unless `links_only`. served: record_id, slot, dst, the
     position of each office, which becomes the edge's position_id. Persons are known whatever the order of the records.
     """
-    slots = R.slots(records).select("record_id", "slot", F.explode(F.array(F.struct(F.lit("SUCCEEDED").alias("type"), F.col("predecessor").alias("said")), F.struct(F.lit("PRECEDED").alias("type"), F.col("successor").alias("said")))).alias("x")).select("record_id", "slot", "x.*")
-    slots = slots.where(F.col("said").isNotNull() & ~text.ignored(F.col("said")))
-    linked = text.link_targets(F.col("said"))
-    names = linked if links_only else F.when(F.size(linked) > 0, linked).otherwise(text.plain_names(F.col("said")))
-    each = slots.select("record_id", "slot", "type", F.explode(names).alias("name")).withColumn("name_key", text.name_key(F.col("name")))
-    found = each.join(people.select("name_key", F.col("id").alias("dst")), "name_key").join(people_of(records, people).withColumnRenamed("person", "src"), "record_id")
+    names = lambda said: F.when(said.isNotNull() & ~text.ignored(said), _names(said, links_only))
+    each = lambda kind, said: F.transform(F.coalesce(names(F.col(said)), F.array().cast("array<string>")), lambda n: F.struct(F.lit(kind).alias("type"), n.alias("name")))
+    slots = R.slots(records).select("record_id", "slot", F.concat(each("SUCCEEDED", "predecessor"), each("PRECEDED", "successor")).alias("said"))
+    # an office's person and position are found before it becomes a row for each name; inline would have its list made twice, for a filter before the joins
     at = served.select("record_id", "slot", F.col("dst").alias("position_id"))
-    found = found.join(at, ["record_id", "slot"], "left")
+    slots = slots.join(people_of(records, people).withColumnRenamed("person", "src"), "record_id").join(at, ["record_id", "slot"], "left")
+    found = slots.select("src", "position_id", F.inline_outer("said")).where("name is not null").withColumn("name_key", text.name_key(F.col("name"))).join(people.select("name_key", F.col("id").alias("dst")), "name_key")
     properties = F.map_filter(F.create_map(F.lit("position_id"), F.col("position_id")), lambda _, v: v.isNotNull())
     return found.select("src", "dst", "type", properties.alias("properties"))
 
 
+def _names(said: Column, links_only: bool) -> Column:
+    """The names in a field of an office: those of links, without links those of the plain text unless `links_only`."""
+    linked = text.link_targets(said)
+    return linked if links_only else F.get(F.transform(F.array(linked), lambda l: F.when(F.size(l) > 0, l).otherwise(text.plain_names(said))), 0)
+
+
 def build(records: DataFrame, links_only: bool = False) -> G.PropertyGraph:
     """The graph of clean records with lists (records.cleaned, records.with_lists): persons, all that they mention, and their edges.
 
     Of two records with one title the first by id makes the person, and the edges of both are that person's. Cases: no
     records give an empty graph; a record without title makes no person, and its mentions nodes without edges from it.
     """
+    # read for persons, mentions and offices, so what makes them is run once; in many files, as their texts take long for their size
+    records = G.cut(records.repartition(int(records.sparkSession.conf.get("spark.sql.shuffle.partitions")), "id"))
     people = G.cut(R.persons(records))
     nodes, mentioned = mention_edges(records, people)
     mentioned = G.cut(mentioned)
