@@ -69,14 +69,16 @@ def _moved(near: DataFrame, own: DataFrame, resolution: float, seed: int) -> tup
 def _round(near: DataFrame, member: DataFrame, m2: float, resolution: float, turn: Column) -> DataFrame:
     """Members after those whose turn it is have moved. Of two nodes that are communities of their own only the greater goes to the other, so that none swap."""
     total = member.groupBy("community").agg(F.sum("k").alias("total"), F.count(F.lit(1)).alias("size"))
-    there = near.join(member.select(F.col("id").alias("near"), "community"), "near").select("id", "community", "weight")
-    choice = there.unionByName(member.select("id", "community", F.lit(0.0).alias("weight"))).groupBy("id", "community").agg(F.sum("weight").alias("w"))
-    choice = choice.join(total, "community").join(member.select("id", F.col("community").alias("mine"), "k"), "id")
+    movers = member.where(turn)  # only their links are followed
+    there = near.where(turn).join(member.select(F.col("id").alias("near"), "community"), "near").select("id", "community", "weight")
+    choice = there.unionByName(movers.select("id", "community", F.lit(0.0).alias("weight"))).groupBy("id", "community").agg(F.sum("weight").alias("w"))
+    choice = choice.join(total, "community").join(movers.select("id", F.col("community").alias("mine"), "k"), "id")
     stays = F.col("community") == F.col("mine")
     gain = F.col("w") - resolution * F.col("k") / m2 * (F.col("total") - F.when(stays, F.col("k")).otherwise(0.0))
-    best = choice.groupBy("id").agg(F.min_by(F.struct("community", "size"), F.struct(-F.round(gain, 9), ~stays, "community")).alias("to"), F.max(F.when(stays, F.col("size"))).alias("size"))
+    best = choice.groupBy("id").agg(F.min_by(F.struct("community", "size"), F.struct(-F.round(gain, 9), ~stays, "community")).alias("to"), F.max(F.when(stays, F.col("size"))).alias("size"), F.max("mine").alias("community"))
     swap = (F.col("to.size") == 1) & (F.col("size") == 1) & (F.col("to.community") > F.col("community"))
-    return cut(member.join(best, "id").select("id", F.when(turn & ~swap, F.col("to.community")).otherwise(F.col("community")).alias("community"), "k"))
+    goes = best.where(~swap).select("id", F.col("to.community").alias("new"))
+    return cut(member.join(goes, "id", "left").select("id", F.coalesce("new", "community").alias("community"), "k"))
 
 
 def _quality(near: DataFrame, member: DataFrame, m2: float, loops: float, resolution: float) -> tuple[float, int]:
