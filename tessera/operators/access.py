@@ -34,9 +34,14 @@ def outgoing(graph: G.PropertyGraph, starts: DataFrame, types: list[str] | None
 
 
 def neighbours(graph: G.PropertyGraph, starts: DataFrame, types: list[str] | None = None, node_types: list[str] | None = None) -> DataFrame:
-    """start, type, id: what edges that leave starts (id) lead to, each once, of some types."""
-    found = outgoing(graph, starts, types).select(F.col("src").alias("start"), "type", F.col("dst").alias("id")).distinct()
-    return found.join(nodes_by_type(graph, node_types).select("id"), "id", "left_semi") if node_types else found
+    """start, type, id: what edges that leave starts (id) lead to, each once, of some types. One shuffle by start serves the join and the distinct rows."""
+    e = graph.edges.select("src", "type", "dst")
+    e = e.where(F.col("type").isin(types)) if types else e
+    rows = e.count()
+    if node_types:
+        e = e.join(nodes_by_type(graph, node_types).select(F.col("id").alias("dst")), "dst", "left_semi").select("src", "type", "dst")
+    own = G.spread(starts.select(F.col("id").alias("src")), rows, "src").distinct()  # in the parts of the edges
+    return G.spread(e, rows, "src").join(own, "src").select(F.col("src").alias("start"), "type", F.col("dst").alias("id")).distinct()
 
 
 def _facts(graph: G.PropertyGraph) -> DataFrame:
