@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera import constants as C
 from tessera.functions import dates
+from tessera.operators.graph import spread
 
 
 def top(rows: DataFrame, keys: list[str], order: list[Column], k: int) -> DataFrame:
@@ -29,8 +30,10 @@ def distribution(members: DataFrame, column: str, missing: str = C.DEFAULT_PARTY
 
 def connected(members: DataFrame, edges: DataFrame, nodes: DataFrame, k: int = 10) -> DataFrame:
     """community, type, name, count (members with an edge to a node of that name), percentage, total (names of the type), rank: the k most common of each type."""
-    to = members.select("community", F.col("id").alias("src")).join(edges.select("src", "dst").distinct(), "src").join(nodes.select(F.col("id").alias("dst"), "type", "name"), "dst")
-    counts = to.select("community", "type", "name", "src").distinct().groupBy("community", "type", "name").agg(F.count(F.lit(1)).alias("count"))
+    rows = edges.count()
+    to = spread(edges.select("src", "dst"), rows, "dst").join(nodes.select(F.col("id").alias("dst"), "type", "name"), "dst").select("src", "type", "name")
+    to = spread(to, rows, "src").distinct().join(members.select("community", F.col("id").alias("src")).distinct(), "src")
+    counts = to.groupBy("community", "type", "name").agg(F.count(F.lit(1)).alias("count"))
     totals = counts.groupBy("community", "type").agg(F.count(F.lit(1)).alias("total"))
     best = top(counts, ["community", "type"], [F.desc("count"), F.col("name")], k)
     return share_of(best.join(totals, ["community", "type"]), members)
