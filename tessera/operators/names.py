@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.functions.answers import similarity_match
-from tessera.operators.graph import cut, grams
+from tessera.operators.graph import cut, grams, spread
 
 #: What separates words.
 BETWEEN_WORDS = r"[^\p{L}\p{N}#]+"
@@ -46,7 +46,7 @@ def standing(questions: DataFrame, names: DataFrame) -> DataFrame:
     if not runs:
         return asked.select("id", F.lit("").alias("name"), F.lit("").alias("type")).limit(0)
     said = cut(asked.select("id", "question", F.explode(F.array_distinct(F.flatten(F.array(*runs)))).alias("key")).where("key is not null"))
-    return said.join(keyed, "key").where(F.contains(F.lower("question"), F.lower("name"))).select("id", "name", "type").distinct()
+    return spread(said, said.count(), "key").join(keyed, "key").where(F.contains(F.lower("question"), F.lower("name"))).select("id", "name", "type").distinct()
 
 
 #: Characters of the runs that texts and what stands in them meet at: of those a part is long enough for, the longest.
